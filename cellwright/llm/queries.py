@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm import line_dedup, mixing, ngram_join, packing, token_store
+from cellwright.llm import line_dedup, mixing, ngram_join, packing, quality, token_store
 from cellwright.llm.common import new_path, table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), seed=11)
+
+
 def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.poisson_mix(table(spark, sf_dir, "documents"), seed=17, rate_col="rate")
     return mixed.select("doc_id", "source", "copy", "mix_key", F.round("rate", 9).alias("rate"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -69,5 +73,5 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.verified(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op3_poisson_mix, op5_line_bitmaps, op6_best_two_fit, op7_ngram_jaccard, op9_token_store)}
+QUERIES = {f.__name__: f for f in (op2_importance_resampling, op3_poisson_mix, op5_line_bitmaps, op6_best_two_fit, op7_ngram_jaccard, op9_token_store)}
 ORACLE_SQL = {"op3_poisson_mix": OP3_SQL, "op5_line_bitmaps": OP5_SQL}
