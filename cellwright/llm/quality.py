@@ -26,7 +26,7 @@ FIT_ROWS = 50_000
 #: Share of labelled good rows that may fall below the threshold for the number of rows kept.
 GOOD_LOSS = 0.002
 #: Pseudocount of a bucket.
-PRIOR = 5.0
+PRIOR = 1.0
 
 
 def gram_buckets(data: np.ndarray) -> np.ndarray:

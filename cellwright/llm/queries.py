@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm import line_dedup, mixing, ngram_join, packing, quality, token_store
+from cellwright.llm import line_dedup, mixing, ngram_join, packing, quality, substring_dedup, token_store
 from cellwright.llm.common import new_path, table
 
 
@@ -41,6 +41,11 @@ FROM (SELECT doc_id, source, text, rate, unnest(range(0, k)) AS copy FROM RECURS
 """.replace("RECURSIVE_draws", "draws")
 
 
+def op4_suffix_order_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), length=200, keep_first=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -73,5 +78,5 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.verified(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op2_importance_resampling, op3_poisson_mix, op5_line_bitmaps, op6_best_two_fit, op7_ngram_jaccard, op9_token_store)}
+QUERIES = {f.__name__: f for f in (op2_importance_resampling, op3_poisson_mix, op4_suffix_order_dedup, op5_line_bitmaps, op6_best_two_fit, op7_ngram_jaccard, op9_token_store)}
 ORACLE_SQL = {"op3_poisson_mix": OP3_SQL, "op5_line_bitmaps": OP5_SQL}
