@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm import line_dedup, mixing, ngram_join, packing, quality, substring_dedup, token_store
+from cellwright.llm import line_dedup, media, mixing, ngram_join, packing, quality, substring_dedup, token_store
 from cellwright.llm.common import new_path, table
 
 
@@ -72,11 +72,17 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), words=3, top=9, bottom=10)
 
 
+def op8_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "media")
+    media.write_archives(table(spark, sf_dir, "documents"), path)
+    return media.media_features(media.read_archives(spark, path))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
     return token_store.verified(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op2_importance_resampling, op3_poisson_mix, op4_suffix_order_dedup, op5_line_bitmaps, op6_best_two_fit, op7_ngram_jaccard, op9_token_store)}
+QUERIES = {f.__name__: f for f in (op2_importance_resampling, op3_poisson_mix, op4_suffix_order_dedup, op5_line_bitmaps, op6_best_two_fit, op7_ngram_jaccard, op8_media_archives, op9_token_store)}
 ORACLE_SQL = {"op3_poisson_mix": OP3_SQL, "op5_line_bitmaps": OP5_SQL}
