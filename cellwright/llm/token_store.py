@@ -181,7 +181,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     schema = "doc_id bigint, n_tokens bigint, chunks array<binary>, hash binary, payload binary"
     pieces = source.mapInArrow(_chunker(tokenizer, end_id, wide), schema)
     # A row without a hash is a document's recipe.  Every task sends a payload once; of those, one stays.
-    dealt = pieces.withColumn("deal", F.coalesce(F.xxhash64("hash"), F.xxhash64("doc_id")))
+    dealt = pieces.withColumn("deal", F.when(F.col("hash").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("hash")))
     same = Window.partitionBy("deal", "hash").orderBy("n_tokens")
     kept = dealt.withColumn("copy", F.row_number().over(same)).filter(F.col("hash").isNull() | (F.col("copy") == 1))
     kept.select("doc_id", "n_tokens", "chunks", "hash", "payload").write.option("compression", "zstd").parquet(f"{path}/parts")
