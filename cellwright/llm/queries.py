@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm import line_dedup, media, mixing, ngram_join, packing, quality, substring_dedup, token_store
+from cellwright.llm import line_dedup, media, mixing, ngram_join, packing, quality, substring_dedup, token_store, vector_dedup
 from cellwright.llm.common import new_path, table
 
 
@@ -84,5 +84,9 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.verified(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op2_importance_resampling, op3_poisson_mix, op4_suffix_order_dedup, op5_line_bitmaps, op6_best_two_fit, op7_ngram_jaccard, op8_media_archives, op9_token_store)}
+def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_dedup(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+QUERIES = {f.__name__: f for f in (op2_importance_resampling, op3_poisson_mix, op4_suffix_order_dedup, op5_line_bitmaps, op6_best_two_fit, op7_ngram_jaccard, op8_media_archives, op9_token_store, op10_collision_counting)}
 ORACLE_SQL = {"op3_poisson_mix": OP3_SQL, "op5_line_bitmaps": OP5_SQL}
