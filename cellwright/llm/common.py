@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -27,10 +28,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage and outlives executors."""
+    """Write to the shared folder and read again: cuts the lineage and outlives executors.
+
+    The shuffle files behind it aren't needed any more then, and Spark is told to delete them.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -34,6 +34,8 @@ from cellwright.llm.words import shingle_sets
 #: Of a set's shingles, this part is looked at in the screen beyond what two linked sets can differ by.
 SCREEN = Fraction(1, 20)
 STAR_ROUNDS = 2
+#: Ids of screened classes up to which they are broadcast (24 bytes each).
+BROADCAST_IDS = 1_000_000
 
 
 def least_overlap(n: int, threshold: Fraction) -> int:
@@ -75,14 +77,17 @@ def _set_hashes(sets: list[np.ndarray]) -> list[pa.Array]:
 
 
 def _whole_sets(size: int):
+    """rep, shingles of the texts whose set has the hashes h1, h2."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices([len(x) for x in texts], 1_500_000):
                 sets = shingle_sets(texts[a:b], size)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), *_set_hashes(sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "h1", "h2", "shingles"]
-                )
+                h1, h2 = (x.to_numpy() for x in _set_hashes(sets))
+                own = (h1 == batch.column(2).to_numpy()[a:b]) & (h2 == batch.column(3).to_numpy()[a:b])
+                kept = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(kept)), pa.array([sets[k].view(np.int64) for k in kept], pa.list_(pa.int64()))], names=["rep", "shingles"])
 
     return run
 
@@ -113,7 +118,7 @@ def verified(pairs: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFr
 def short_lists(sets: DataFrame, threshold: Fraction) -> DataFrame:
     """s, rep, n: of each class with T shared shingles or more, all but its T - 1 longest lists."""
     postings = sets.select("rep", F.size("shingles").cast("bigint").alias("n"), F.explode("shingles").alias("s"))
-    shared = postings.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = stash(postings.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"), "list-lengths")
     own = postings.join(shared, "s").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("lists"))
     least = F.expr(f"(n * {threshold.numerator} + {threshold.denominator - 1}) div {threshold.denominator}")
     short = own.withColumn("short", F.size("lists") - least + 1).filter("short > 0")
@@ -130,17 +135,20 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     threshold = Fraction(top, bottom)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
     base = stash(source.mapInArrow(_scan(words, threshold), "doc_id bigint, n bigint, h1 bigint, h2 bigint, need bigint, prefix array<bigint>"), "shingle-sets")
-    classes = base.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("need").alias("need"), F.first("prefix").alias("prefix"))
-
-    screened = classes.select("rep", "need", F.explode("prefix").alias("s"))
-    shared = screened.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1").select("s")
-    passing = screened.join(shared, "s", "left_semi").groupBy("rep").agg(F.count("*").alias("met"), F.first("need").alias("need")).filter("met >= need").select("rep")
     keys = stash(base.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    left = keys.join(passing, "rep").select("rep", F.col("h1").alias("c1"), F.col("h2").alias("c2"))
 
-    texts = left.join(source, left.rep == source.doc_id).select("rep", "text", "c1", "c2")
-    found = texts.select("rep", "text").mapInArrow(_whole_sets(words), "rep bigint, h1 bigint, h2 bigint, shingles array<bigint>")
-    sets = stash(found.join(keys, ["rep", "h1", "h2"], "left_semi").dropDuplicates(["rep"]).select("rep", "shingles"), "candidate-sets")
+    screened = base.filter("n > 0").select("doc_id", "h1", "h2", "need", F.explode("prefix").alias("s"))
+    shared = stash(screened.groupBy("s").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x <> y").select("s"), "shared-shingles")
+    passing = screened.join(shared, "s", "left_semi").groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("met"), F.first("need").alias("need")).filter("met >= need")
+    left = stash(passing.select(F.col("doc_id").alias("rep"), "h1", "h2").join(keys, ["rep", "h1", "h2"], "left_semi"), "screened-classes")
+
+    # a bounded number of ids goes to the texts; more of them meet the texts in a shuffle
+    few = left.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = source.join(F.broadcast(left) if few else left, source.doc_id == left.rep).select("rep", "text", "h1", "h2")
+    found = texts.mapInArrow(_whole_sets(words), "rep bigint, shingles array<bigint>")
+    if base.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        found = found.dropDuplicates(["rep"])
+    sets = stash(found, "candidate-sets")
 
     lists = stash(short_lists(sets, threshold), "short-lists")
     links = _linked(lists, sets, top, bottom)
