@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm import line_dedup, media, mixing, ngram_join, packing, quality, substring_dedup, token_store, vector_dedup
+from cellwright.llm import line_dedup, lm_scoring, media, mixing, ngram_join, packing, quality, substring_dedup, token_store, vector_dedup
 from cellwright.llm.common import new_path, table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), seed=11)
 
@@ -88,5 +92,5 @@ def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_dedup(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
-QUERIES = {f.__name__: f for f in (op2_importance_resampling, op3_poisson_mix, op4_suffix_order_dedup, op5_line_bitmaps, op6_best_two_fit, op7_ngram_jaccard, op8_media_archives, op9_token_store, op10_collision_counting)}
+QUERIES = {f.__name__: f for f in (op1_attention_scores, op2_importance_resampling, op3_poisson_mix, op4_suffix_order_dedup, op5_line_bitmaps, op6_best_two_fit, op7_ngram_jaccard, op8_media_archives, op9_token_store, op10_collision_counting)}
 ORACLE_SQL = {"op3_poisson_mix": OP3_SQL, "op5_line_bitmaps": OP5_SQL}
