@@ -65,3 +65,10 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public tokenizer's file; the same on every machine that has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

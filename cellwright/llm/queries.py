@@ -6,13 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwright.llm import line_dedup, lm_scoring, media, mixing, ngram_join, packing, quality, substring_dedup, token_store, vector_dedup
-from cellwright.llm.common import new_path, table
-
-
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from cellwright.llm.common import new_path, table, tokenizer_path
 
 
 def op1_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
