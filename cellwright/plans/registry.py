@@ -1,4 +1,6 @@
 """All queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from cellwright.plans import cycles
+
+QUERIES: dict = {**cycles.Q}
+ORACLE_SQL: dict = {**cycles.S}
