@@ -35,4 +35,5 @@ def median_of(col: Column, w: WindowSpec, before: int, after: int) -> Column:
 
 
 def r6(col: Column) -> Column:
-    return F.round(col, 6)
+    """To 6 digits; shifted, so that a value right between two digits goes the same way whatever the order of summation."""
+    return F.round(col + 1e-9, 6)

@@ -210,6 +210,6 @@ def soc_window(first_cycle: DataFrame, capacity: float, keys: list[str] = KEYS)
 
 def repair_negative(rows: DataFrame, check: list[str], columns: list[str], keys: list[str], order: str) -> DataFrame:
     """Rows with a negative value in a checked column become NULL in all columns, then take the next row's values."""
-    bad = F.greatest(*(F.coalesce((F.col(c) < 0).cast("int"), F.lit(0)) for c in check)) == 1
+    bad = F.greatest(F.lit(0), *(F.coalesce((F.col(c) < 0).cast("int"), F.lit(0)) for c in check)) == 1
     w = ordered(keys, order).rowsBetween(0, Window.unboundedFollowing)
     return rows.withColumn("__bad", bad).select(*[c for c in rows.columns if c not in columns], *(F.first(F.when(~F.col("__bad"), F.col(c)), True).over(w).alias(c) for c in columns))

@@ -32,8 +32,7 @@ def query(name: str, sql: str | None = None):
 
 def rounded(df, *keep: str):
     """Doubles to 6 digits, so that the order of summation doesn't show."""
-    flat = lambda c: F.when(r6(F.col(c)) == 0, F.lit(0.0)).otherwise(r6(F.col(c)))  # noqa: E731  no negative zero
-    return df.select(*(flat(c).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes))
+    return df.select(*(r6(F.col(c)).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes))
 
 
 @query("ph1_split_phases", with_(TELEMETRY, PHASED) + "SELECT cell_id, cycle, phase, count(*) AS n, round(sum(time_s), 6) AS t FROM phased GROUP BY ALL")
@@ -148,13 +147,10 @@ SELECT cell_id, cycle, round(qc, 6) AS charge_capacity, round(qd, 6) AS discharg
   round(coalesce(CASE WHEN c1 - cv0 > 1e-6 THEN (cv0 - c0) / (c1 - cv0) END, 0), 6) AS rcv,
   round(idv, 6) AS idv, coalesce(coalesce(low0, d1) - d0, 0) AS lvp_time, coalesce(d1 - d0, 0) AS total_discharge_time,
   round(var_i, 6) AS var_i, round(var_v, 6) AS var_v, round(median_v, 6) AS median_v,
-  round(coalesce(CASE WHEN abs(i_first) > 1e-6 THEN (coalesce(v_rest, v_charge) - idv) / abs(i_first) END, 0)) AS internal_resistance,
-  round(coalesce(CASE WHEN i_charge > 0.001 THEN (ichv - v_last) / i_charge END, 0)) AS alternative_resistance,
-  round(CASE WHEN sd_v > 1e-6 THEN (m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1) / (sd_v * sd_v * sd_v) ELSE 0 END) AS skew_v
+  round(coalesce(CASE WHEN abs(i_first) > 1e-6 THEN (coalesce(v_rest, v_charge) - idv) / abs(i_first) END, 0), 6) AS internal_resistance,
+  round(coalesce(CASE WHEN i_charge > 0.001 THEN (ichv - v_last) / i_charge END, 0), 6) AS alternative_resistance,
+  round(CASE WHEN sd_v > 1e-6 THEN (m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1) / (sd_v * sd_v * sd_v) ELSE 0 END, 6) AS skew_v
 FROM a"""
-# without negative zeros
-FE_SQL = FE_SQL.replace("SELECT cell_id, cycle, round(qc, 6)", ", f AS (SELECT cell_id, cycle, round(qc, 6)") + """)
-SELECT * REPLACE (""" + ", ".join(f"CASE WHEN {c} = 0 THEN CAST(0 AS DOUBLE) ELSE {c} END AS {c}" for c in ("alternative_resistance", "internal_resistance", "skew_v")) + ") FROM f"
 
 
 @query("fe_cycle_features", FE_SQL)
@@ -206,8 +202,8 @@ def fe16(spark, d):
 
 
 @query("fe17_inferred_rates", with_(TELEMETRY) + """, c AS (SELECT *, row_number() OVER (PARTITION BY cell_id, cycle ORDER BY seq) AS k, count(*) OVER (PARTITION BY cell_id, cycle) AS n FROM telemetry WHERE current_a > 0),
-h AS (SELECT cell_id, cycle, round(quantile_cont(current_a, 0.5) / 1.1, 2) AS charge_rate FROM c WHERE k <= n // 2 GROUP BY ALL),
-x AS (SELECT cell_id, cycle, round(quantile_cont(abs(current_a), 0.5) / 1.1, 2) AS discharge_rate FROM telemetry WHERE current_a < 0 GROUP BY ALL)
+h AS (SELECT cell_id, cycle, ROUND(quantile_cont(current_a, 0.5) / 1.1, 2) AS charge_rate FROM c WHERE k <= n // 2 GROUP BY ALL),
+x AS (SELECT cell_id, cycle, ROUND(quantile_cont(abs(current_a), 0.5) / 1.1, 2) AS discharge_rate FROM telemetry WHERE current_a < 0 GROUP BY ALL)
 SELECT h.cell_id, h.cycle, charge_rate, discharge_rate FROM h LEFT JOIN x ON h.cell_id = x.cell_id AND h.cycle = x.cycle""")
 def fe17(spark, d):
     return fe.inferred_rates(fx.telemetry(spark, d), 1.1)

@@ -1,6 +1,8 @@
 """All queries of the library and their SQL."""
 
-from cellwright.plans import cycles
+from cellwright.plans import cycles, ingest
+from cellwright.plans.sql import shifted
 
-QUERIES: dict = {**cycles.Q}
-ORACLE_SQL: dict = {**cycles.S}
+PARTS = (cycles, ingest)
+QUERIES: dict = {name: f for part in PARTS for name, f in part.Q.items()}
+ORACLE_SQL: dict = {name: shifted(sql) for part in PARTS for name, sql in part.S.items()}

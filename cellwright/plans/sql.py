@@ -1,4 +1,8 @@
-"""SQL of the fixtures, for the queries' counterparts."""
+"""SQL of the fixtures, for the queries' counterparts.
+
+Doubles are compared to 6 digits: ``round(x, 6)`` in a query's SQL gets the same small shift as in ``columns.r6``, so that a sum
+right between two digits goes the same way in any order of summation.  ``ROUND`` has no shift.
+"""
 
 TELEMETRY = """telemetry AS (SELECT cell_id, CAST(floor(rn / 30) AS INT) + 1 AS cycle, CAST(rn % 30 AS INT) AS seq,
   CAST(60 * (rn % 30) AS DOUBLE) + l_linenumber AS time_s,
@@ -10,11 +14,11 @@ FROM (SELECT l_suppkey AS cell_id, l_quantity, l_discount, l_tax, l_linenumber,
         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS rn
       FROM lineitem) x WHERE rn < 540)"""
 
-QD = """qd AS (SELECT cell_id, cycle, round(sum(CASE WHEN current_a < 0 THEN abs(current_a) * (time_s - pt) ELSE 0 END) / 3600, 9) AS qd
+QD = """qd AS (SELECT cell_id, cycle, ROUND(sum(CASE WHEN current_a < 0 THEN abs(current_a) * (time_s - pt) ELSE 0 END) / 3600, 9) AS qd
   FROM (SELECT *, lag(time_s) OVER (PARTITION BY cell_id, cycle ORDER BY seq) AS pt FROM telemetry) x GROUP BY cell_id, cycle)"""
 
-FEATURES = """raw_features AS (SELECT cell_id, cycle, round(avg(temperature_c), 9) AS temp_mean,
-    round(sum(CASE WHEN current_a > 0 THEN voltage_v END), 9) AS chg_v, round(max(voltage_v) - min(voltage_v), 9) AS dvp
+FEATURES = """raw_features AS (SELECT cell_id, cycle, ROUND(avg(temperature_c), 9) AS temp_mean,
+    ROUND(sum(CASE WHEN current_a > 0 THEN voltage_v END), 9) AS chg_v, ROUND(max(voltage_v) - min(voltage_v), 9) AS dvp
   FROM telemetry GROUP BY cell_id, cycle),
 features AS (SELECT cell_id, cycle, CASE WHEN keep THEN temp_mean END AS temp_mean, CASE WHEN keep THEN chg_v END AS chg_v, CASE WHEN keep THEN dvp END AS dvp
   FROM (SELECT *, NOT ((cell_id * 7 + cycle * 3) % 11 = 0 OR (cell_id % 10 = 3 AND cycle <= 12)) AS keep FROM raw_features) x)"""
@@ -33,3 +37,7 @@ PREDICTIONS = """predictions AS (SELECT l_returnflag AS model, CAST(l_linenumber
 
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+def shifted(sql: str) -> str:
+    return sql.replace("round(", "round(1e-9 + ")
