@@ -151,7 +151,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = stash(found, "candidate-sets")
 
     lists = stash(short_lists(sets, threshold), "short-lists")
-    links = _linked(lists, sets, top, bottom)
+    # most candidate sets have no short list left; only the others are compared
+    compared = stash(sets.join(lists.select("rep").distinct(), "rep", "left_semi"), "compared-sets")
+    links = _linked(lists, compared, top, bottom)
     merged = components(links)
     labelled = keys.join(merged.select(F.col("v").alias("rep"), "component"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = base.select("doc_id", "n", "h1", "h2").join(labelled, ["h1", "h2"], "left")
@@ -176,9 +178,11 @@ def _linked(lists: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFra
             pairs = active.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), *(["component"] if turn else [])).join(centre, "s").filter("a <> b").filter(near)
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            one = active.select("s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            two = active.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            pairs = one.join(two, "s").filter("a < b and ca <> cb").filter(near).select("a", "b").distinct()
+            # a pair counts in the least of its common lists only
+            own = active.groupBy("rep").agg(F.collect_list("s").alias("own"))
+            one = active.join(own, "rep").select("s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("own").alias("la"))
+            two = one.select("s", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"), F.col("la").alias("lb"))
+            pairs = one.join(two, "s").filter("a < b and ca <> cb").filter(near).filter("array_min(array_intersect(la, lb)) = s").select("a", "b")
         new = stash(verified(pairs, sets, top, bottom), "links")
         links = new if links is None else links.unionByName(new)
     return links
