@@ -1,8 +1,8 @@
 """All queries of the library and their SQL."""
 
-from cellwright.plans import cleaning, cycles, ingest
+from cellwright.plans import cleaning, cycles, ingest, learning
 from cellwright.plans.sql import shifted
 
-PARTS = (cycles, ingest, cleaning)
+PARTS = (cycles, ingest, cleaning, learning)
 QUERIES: dict = {name: f for part in PARTS for name, f in part.Q.items()}
 ORACLE_SQL: dict = {name: shifted(sql) for part in PARTS for name, sql in part.S.items()}
