@@ -137,7 +137,7 @@ def current_tau(charge: DataFrame, uvp: float, tolerance: float = 0.05, least_ro
         fits = rows.join(grid, keys).withColumn("x", F.exp(-F.col("t") / F.col("tau"))).groupBy(*keys, "tau", "lo", "hi").agg(
             F.regr_sxx("i", "x").alias("sxx"), F.regr_sxy("i", "x").alias("sxy"), F.regr_syy("i", "x").alias("syy")
         )
-        good = fits.filter((F.col("sxx") > 0) & (F.col("sxy") >= 0)).withColumn("sse", F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"))
+        good = fits.filter((F.col("syy") > 1e-12) & (F.col("sxx") > 0) & (F.col("sxy") >= 0)).withColumn("sse", F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"))
         step = (F.col("hi") - F.col("lo")) / 59
         found = good.groupBy(*keys).agg(F.min(F.struct("sse", "tau", step.alias("step"))).alias("m"))
         best = found.select(*keys, F.greatest(F.lit(0.0), F.log("m.tau") - F.col("m.step")).alias("lo"), F.least(F.log(F.lit(1e4)), F.log("m.tau") + F.col("m.step")).alias("hi"), F.col("m.tau").alias("tau"))
