@@ -161,3 +161,32 @@ def resample_by_index(rows: DataFrame, columns: list[str], n: int, keys: list[st
     grid = nexts.withColumn("k", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("__j") - 1) * (n - 1) / F.col("__m"))).cast("int"), F.when(F.col("__j") == F.col("__m"), F.lit(n - 1)).otherwise((F.ceil(F.col("__j") * (n - 1) / F.col("__m")) - 1).cast("int")))))
     share = F.least(F.greatest(place - F.col("__j"), F.lit(0.0)), F.lit(1.0))
     return grid.select(*keys, "k", *((F.col(c) + (F.col(f"__{c}") - F.col(c)) * share).alias(c) for c in columns))
+
+
+def curvature_area(curve: DataFrame, peak: DataFrame, y: str = "y", keys: list[str] = KEYS) -> DataFrame:
+    """icp_area between the first change of sign of the second derivative (or local minimum) on each side of the peak, less the sloped baseline;
+    a side without one ends at the peak itself."""
+    bent = savgol(curve, 11, 3, y=y, name="__d2", derivative=2, keys=keys)
+    w = ordered(keys, "i")
+    before, after = F.lag(y).over(w), F.lead(y).over(w)
+    turn = F.coalesce((F.col(y) <= before) & (F.col(y) <= after), F.lit(False))
+    marked = bent.withColumn("__min", turn).withColumn("__left", F.lag("__d2").over(w)).withColumn("__right", F.lead("__d2").over(w))
+    top = marked.join(peak.select(*keys, "icp_v"), keys)
+    at = F.min(F.struct(F.abs(F.col("x") - F.col("icp_v")).alias("d"), F.col("i").alias("i"))).over(Window.partitionBy(*keys))
+    placed = top.withColumn("__p", at["i"])
+    crosses = lambda other: F.coalesce(F.col("__d2") * F.col(other) < 0, F.lit(False))
+    k = Window.partitionBy(*keys)
+    lo = F.max(F.when((F.col("i") < F.col("__p")) & (F.col("__min") | crosses("__right")), F.col("i"))).over(k)
+    hi = F.min(F.when((F.col("i") > F.col("__p")) & (F.col("__min") | crosses("__left")), F.col("i"))).over(k)
+    inside = placed.withColumn("__lo", F.coalesce(lo, F.col("__p"))).withColumn("__hi", F.coalesce(hi, F.col("__p"))).filter("i between __lo and __hi")
+    a, b = F.min(F.struct("i", "x", F.col(y).alias("y"))).over(k), F.max(F.struct("i", "x", F.col(y).alias("y"))).over(k)
+    line = a["y"] + F.coalesce(ratio((b["y"] - a["y"]) * (F.col("x") - a["x"]), b["x"] - a["x"]), F.lit(0.0))
+    above = inside.withColumn("__c", F.col(y) - line)
+    return above.withColumn("__s", trapezoid(F.col("__c"), F.col("x"), w)).groupBy(*keys).agg(F.abs(F.coalesce(F.sum("__s"), F.lit(0.0))).alias("icp_area"))
+
+
+def dv_at(dv: DataFrame, peak: DataFrame, valley_: DataFrame, y: str = "y", keys: list[str] = KEYS) -> DataFrame:
+    """dvv, dvp: the DV curve at the grid points nearest to the voltages of the IC peak and (if there is one) the IC valley."""
+    joined = dv.join(peak.select(*keys, "icp_v"), keys).join(valley_.select(*keys, "icv", "icvl_v"), keys)
+    near = lambda v: F.min_by(y, F.struct(F.abs(F.col("x") - F.col(v)), F.col("i")))
+    return joined.groupBy(*keys).agg(near("icp_v").alias("dvv"), F.min_by(y, F.when(F.col("icv") > 0, F.struct(F.abs(F.col("x") - F.col("icvl_v")), F.col("i")))).alias("dvp"))

@@ -132,3 +132,16 @@ g AS (SELECT n.*, k, 1 + k * m / CAST(24 AS DOUBLE) AS place FROM n, (SELECT unn
 SELECT cell_id, cycle, CAST(k AS INT) AS k, round(voltage_v + (nv - voltage_v) * least(greatest(place - j, 0), 1), 6) AS voltage_v FROM g WHERE j = least(floor(place + 1e-9), m)""")
 def cur16(spark, d):
     return rounded(cu.resample_by_index(fx.telemetry(spark, d).filter("current_a < 0"), ["voltage_v"], 25))
+
+
+@query("cur8_curvature_area")
+def cur8(spark, d):
+    curve, peak = _main(spark, d)
+    return rounded(cu.curvature_area(curve, peak))
+
+
+@query("cur10_dv_at_peak_and_valley")
+def cur10(spark, d):
+    curve, peak = _main(spark, d)
+    dv = curve.filter("y > 0").withColumn("y", F.try_divide(F.lit(1.0), "y"))
+    return rounded(cu.dv_at(dv, peak, cu.valley(curve, peak)))
