@@ -38,7 +38,7 @@ def json_cycles(records: DataFrame, column: str, fields: list[str], nested: bool
     schema = ", ".join(f"{f} array<double>" for f in fields)
     keep = [c for c in records.columns if c != column]
     parsed = records.select(*keep, F.from_json(text, schema).alias("r"))
-    arrays = F.arrays_zip(*(F.when(F.size(f"r.{f}") > 0, F.col(f"r.{f}")).alias(f) for f in fields))
+    arrays = F.arrays_zip(*(F.coalesce(F.col(f"r.{f}"), F.array().cast("array<double>")).alias(f) for f in fields))  # shorter ones are padded with NULLs
     return parsed.select(*keep, F.posexplode(arrays).alias("seq", "x")).select(*keep, "seq", *(F.col(f"x.{f}").alias(f) for f in fields))
 
 
