@@ -97,6 +97,17 @@ def collinear_losers(correlations: DataFrame, ranked: DataFrame, threshold: floa
     return judged.withColumn("k", F.row_number().over(ordered(["dropped"], "pa", "pb"))).filter("k = 1").select("dropped", "kept", "r")
 
 
+def two_stage_losers(correlations: DataFrame, ranked: DataFrame, inside: float, across: float) -> DataFrame:
+    """stage, dropped, kept, r: first the pairs within a family (``ranked`` has family) over ``inside``, then all pairs of the survivors over ``across``."""
+    family = ranked.select("feature", "family")
+    same = correlations.join(family.select(F.col("feature").alias("a"), F.col("family").alias("fa")), "a").join(family.select(F.col("feature").alias("b"), F.col("family").alias("fb")), "b").filter("fa = fb")
+    first = collinear_losers(same.select("a", "b", "r"), ranked, inside)
+    gone = first.select("dropped")
+    left = correlations.join(gone.withColumnRenamed("dropped", "a"), "a", "left_anti").join(gone.withColumnRenamed("dropped", "b"), "b", "left_anti")
+    second = collinear_losers(left.select("a", "b", "r"), ranked, across)
+    return first.withColumn("stage", F.lit(1)).unionByName(second.withColumn("stage", F.lit(2)))
+
+
 def all_pairs(features: list[str]) -> list[tuple[str, str]]:
     return list(combinations(features, 2))
 

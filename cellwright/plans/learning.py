@@ -102,6 +102,13 @@ def fs6(spark, d):
     return rounded(fs.collinear_losers(fs.pearson_pairs(wide(spark, d), PAIRS), _ranked(spark, d), 0.5))
 
 
+@query("fs9_two_stage_filter")
+def fs9(spark, d):
+    """FS6 within families and then over all survivors (rows only: FS6 has its SQL)."""
+    ranked = _ranked(spark, d).withColumn("family", F.when(F.col("feature").isin("price", "twice"), "money").otherwise("other"))
+    return rounded(fs.two_stage_losers(fs.pearson_pairs(wide(spark, d), PAIRS), ranked, 0.98, 0.5))
+
+
 @query("fs7_target_relevance", with_(WIDE, "tr AS (" + corr_sql("wide", TARGETS) + ")") + "SELECT a AS feature, r FROM tr WHERE abs(r) >= 0.1")
 def fs7(spark, d):
     return rounded(fs.pearson_pairs(wide(spark, d), TARGETS).filter(F.abs("r") >= 0.1).select(F.col("a").alias("feature"), "r"))

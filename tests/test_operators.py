@@ -146,6 +146,13 @@ def test_collinearity_is_order_free_and_ties(spark):
     assert [r["dropped"] for r in rows_of(selection.collinear_losers(corr, rank, 0.9), "dropped")] == ["b", "c"]
 
 
+def test_two_stages(spark):
+    corr = spark.createDataFrame([("a", "b", 0.99), ("b", "c", 0.97), ("a", "c", 0.97)], "a string, b string, r double")
+    rank = spark.createDataFrame([("a", 0, 1, 0.5, "f"), ("b", 1, 1, 0.5, "f"), ("c", 2, 1, 0.9, "g")], "feature string, position int, level int, target_r double, family string")
+    out = [(r["stage"], r["dropped"]) for r in rows_of(selection.two_stage_losers(corr, rank, 0.98, 0.95), "stage")]
+    assert out == [(1, "b"), (2, "a")]
+
+
 def test_constant_column_has_no_correlation(spark):
     df = spark.createDataFrame([(float(k), 1.0) for k in range(5)], "p double, q double")
     assert selection.pearson_pairs(df, [("p", "q")]).first()["r"] is None
