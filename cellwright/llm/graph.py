@@ -34,3 +34,16 @@ def components(edges: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("components didn't settle")
     return current.select("v", F.col("u").alias("component")).unionByName(current.select(F.col("u").alias("v"), F.col("u").alias("component")).distinct())
+
+
+def near_labels(edges: DataFrame, jumps: int = 2) -> DataFrame:
+    """v, component: a vertex of the same component, often the least one: the least neighbour, followed ``jumps`` times.
+
+    Far fewer shuffles than ``components``; vertices with equal labels are connected, those with others may be.
+    """
+    both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
+    labels = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("component"))
+    for _ in range(jumps):
+        onward = labels.select(F.col("v").alias("component"), F.col("component").alias("further"))
+        labels = stash(labels.join(onward, "component", "left").select("v", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
+    return labels

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellwright.llm.common import stash, text_of
-from cellwright.llm.graph import components
+from cellwright.llm.graph import components, near_labels
 from cellwright.llm.tokens import mixed, slices
 from cellwright.llm.words import shingle_sets
 
@@ -163,11 +163,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _linked(lists: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFrame:
     """Links (a, b) that give the same components as all links."""
     near = F.expr(f"least(na, nb) * {bottom} >= greatest(na, nb) * {top}")
-    links, known, active = None, None, lists
+    links, active = None, lists
     for turn in range(STAR_ROUNDS + 1):
         if turn:
-            merged = components(links)
-            known = stash(merged, "merged")
+            known = near_labels(links)
             marked = lists.join(known.select(F.col("v").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
             open_ = marked.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("s")
             active = stash(marked.join(open_, "s", "left_semi"), "open-lists")
