@@ -33,7 +33,8 @@ from cellwright.llm.words import shingle_sets
 
 #: Of a set's shingles, this part is looked at in the screen beyond what two linked sets can differ by.
 SCREEN = Fraction(1, 20)
-STAR_ROUNDS = 2
+#: Rounds in which one class of each list meets all the others, before the pairs that are left.
+STAR_ROUNDS = 6
 #: Ids of screened classes up to which they are broadcast (24 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -170,6 +171,8 @@ def _linked(lists: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFra
             marked = lists.join(known.select(F.col("v").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
             open_ = marked.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("s")
             active = stash(marked.join(open_, "s", "left_semi"), "open-lists")
+            if not active.limit(1).count():
+                return links
         if turn < STAR_ROUNDS:
             # one class of each list against all the others in it
             order = F.struct(F.xxhash64(F.lit(turn), "rep"), "rep", "n") if turn else F.struct(F.col("rep").alias("x"), "rep", "n")
