@@ -298,6 +298,22 @@ def test_language_model(spark, docs, empty):
     assert lm_scoring.lm_scores(empty, tokenizer_path()).count() == 0
 
 
+def test_language_model_learns_from_all_training_documents(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def stop(table, *_):
+        raise Seen(table.count(), table.select("replica").distinct().count(), table.groupBy("replica").agg(F.sum(F.size("ids")).alias("n")).agg(F.max("n")).first()[0])
+
+    monkeypatch.setattr(lm_scoring, "fitted", stop)
+    docs = spark.range(800).select(F.col("id").alias("doc_id"), F.lit(" ".join(WORDS * 110)).alias("text"))  # 1210 words each
+    with pytest.raises(Seen) as seen:
+        lm_scoring.lm_scores(docs, tokenizer_path())
+    rows, replicas, most = seen.value.args
+    assert rows == docs.filter(~lm_scoring.held_out("doc_id")).count()
+    assert replicas == math.ceil(rows * 1210 / lm_scoring.REPLICA_WORDS) and most < 1.5 * lm_scoring.REPLICA_WORDS
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
