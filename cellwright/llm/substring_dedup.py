@@ -97,7 +97,9 @@ def stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
     owner = np.searchsorted(ends, begin, side="right")
     ties = np.zeros(len(tie) + 1, np.int64)
     np.cumsum(tie, out=ties[1:])
-    return owner, begin - (ends - sizes)[owner], count, ties[begin + count] > ties[begin], least[begin]
+    # more strings than one gram's position lies in: the least gram stands at two positions, though no string may hold both
+    inside = (ties[begin + count] > ties[begin]) | (count > length - gram + 1)
+    return owner, begin - (ends - sizes)[owner], count, inside, least[begin]
 
 
 def _anchors(length: int):

@@ -122,6 +122,20 @@ def test_substrings(docs, empty, monkeypatch, keep_first, hot):
         assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("times", [3, 4, 8, 12])
+def test_a_text_of_period_137_repeats_inside(spark, times):
+    line = "".join(chr(97 + k) for k in np.random.default_rng(6).integers(0, 26, 136)) + "\n"
+    one = spark.createDataFrame([(1, line * times)], "doc_id bigint, text string")
+    for keep_first in (False, True):
+        (got,) = substring_dedup.substring_dedup(one, length=200, keep_first=keep_first).collect()
+        strings = [(line * times)[k : k + 200] for k in range(137 * times - 199)]
+        marks = np.zeros(137 * times, bool)
+        for k, x in enumerate(strings):
+            if x in strings[:k] or (not keep_first and strings.count(x) > 1):
+                marks[k : k + 200] = True
+        assert marks.any() and got["n_removed"] == marks.sum()
+
+
 def test_packing_plan_fits_and_is_tight():
     rng = np.random.default_rng(1)
     for hi, n in ((2048, 3000), (300, 500), (5, 50)):
