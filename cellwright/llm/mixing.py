@@ -16,26 +16,34 @@ from cellwright.llm.common import free_name, stash
 
 #: Sources up to which the table of rates is broadcast (about 50 bytes each); beyond it is joined by key.
 BROADCAST_SOURCES = 100_000
-#: Means above it are split: the integer part is certain, the rest is drawn.
-LARGEST_MEAN = 12.0
-STEPS = 64
+#: Larger means are drawn as sums of independent draws of equal mean, as exp(-mean) would vanish.
+LARGEST_MEAN = 500.0
 
 
-def unit(seed: int, *keys: str) -> Column:
-    """A number in [0, 1) from the first 52 bits of an MD5 over seed and keys (null: empty)."""
-    text = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
+def unit(seed: int, *keys: str, part: Column | None = None) -> Column:
+    """A number in [0, 1) from the first 52 bits of an MD5 over seed, keys (null: empty) and, if given, the part's number."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys), *([] if part is None else [F.lit("part"), part.cast("string")]))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def poisson_inverse(u: Column, mean: Column) -> Column:
-    """The smallest k whose cumulative Poisson probability exceeds u; at most 64 steps, beyond which less than 1e-20 of the mass lies for means up to 12."""
+    """The smallest k whose cumulative Poisson probability exceeds u, for means up to LARGEST_MEAN; beyond the last step lies less than 1e-18 of the mass."""
     start = F.struct(F.lit(0).cast("bigint").alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("c"))
 
     def step(s: Column, i: Column) -> Column:
         p = s["p"] * mean / i
         return F.when(u < s["c"], s).otherwise(F.struct(i.cast("bigint").alias("k"), p.alias("p"), (s["c"] + p).alias("c")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)["k"]
+    steps = F.greatest(F.lit(64), F.ceil(mean + 12 * F.sqrt(mean) + 20).cast("int"))
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step)["k"]
+
+
+def poisson(seed: int, mean: Column, *keys: str) -> Column:
+    """A Poisson draw of any mean from hashes of seed and keys."""
+    parts = F.greatest(F.ceil(mean / LARGEST_MEAN).cast("int"), F.lit(1))
+    more = F.transform(F.sequence(F.lit(2), parts), lambda k: poisson_inverse(unit(seed, *keys, part=k), mean / parts))
+    rest = F.when(parts > 1, F.aggregate(more, F.lit(0).cast("bigint"), lambda a, x: a + x)).otherwise(F.lit(0).cast("bigint"))
+    return poisson_inverse(unit(seed, *keys), mean / parts) + rest
 
 
 def rates(docs: DataFrame, targets: DataFrame | None, source_col: str, id_col: str, total: float | None = None) -> DataFrame:
@@ -65,9 +73,7 @@ def poisson_mix(docs: DataFrame, targets: DataFrame | None = None, id_col: str =
     own = stash(rates(docs, targets, source_col, id_col, total), "rates").select(F.col("source").alias("__source"), F.col("rate").alias(rate))
     few = own.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     joined = docs.join(F.broadcast(own) if few else own, F.col(source_col).eqNullSafe(F.col("__source"))).drop("__source")
-    sure = F.when(F.col(rate) > LARGEST_MEAN, F.floor(F.col(rate) - LARGEST_MEAN)).otherwise(F.lit(0)).cast("bigint")
-    count = sure + poisson_inverse(F.col(draw), F.col(rate) - sure)
-    counted = joined.withColumn(draw, unit(seed, id_col)).withColumn(draw, count).filter(F.col(draw) > 0)
+    counted = joined.withColumn(draw, poisson(seed, F.col(rate), id_col)).filter(F.col(draw) > 0)
     copies = counted.withColumn(copy_col, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(draw) - 1))).drop(draw)
     keyed = copies.withColumn(key_col, F.md5(F.concat_ws(":", F.lit(f"{seed}:mix"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(copy_col).cast("string"))))
     out = keyed.repartition(F.col(key_col)).sortWithinPartitions(key_col)

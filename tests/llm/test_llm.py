@@ -92,6 +92,17 @@ def test_poisson_mix(spark, docs, empty):
     assert sorted(r["mix_key"] for r in out.collect()) == sorted(r["mix_key"] for r in again.collect())
 
 
+@pytest.mark.parametrize("rate", [40, 1300])
+def test_a_rare_source_is_drawn_as_poisson(spark, rate):
+    n = 60
+    many = spark.range(n * rate * 2 - n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n, "rare").otherwise("often").alias("source"))
+    out = mixing.poisson_mix(many, seed=4, rate_col="rate").filter("source = 'rare'")
+    counts = [r["n"] for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()]
+    mean = out.first()["rate"]
+    assert len(counts) == n and abs(np.mean(counts) - mean) < 4 * (mean / n) ** 0.5
+    assert min(counts) < mean - 1.5 * mean**0.5 and 0.5 * mean < np.var(counts) < 1.7 * mean
+
+
 def covered(length, keep_first):
     count, seen, out = {}, set(), {}
     for t in TEXTS.values():
