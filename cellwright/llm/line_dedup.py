@@ -25,19 +25,21 @@ def line_key(line: Column) -> Column:
 
 
 def line_runs(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """One row for each (line, document): line hash h1, h2, doc, positions ascending.
+    """One row for each (line, document): line hash h1, h2, doc, positions (pos, t: hash of the text) ascending.
 
     128 hash bits identify a line key.
     """
-    lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_of(text_col), "\n")).alias("pos", "line"))
-    keyed = lines.select("doc", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
-    hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"), "doc", "pos")
+    # in a select of its own: beside the generator a text would be hashed once for each of its lines
+    hashed_texts = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_of(text_col)).alias("t"), text_of(text_col).alias("text"))
+    lines = hashed_texts.select("doc", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    keyed = lines.select("doc", "t", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
+    hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"), "doc", "pos", "t")
     sorted_runs = hashed.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
-    return sorted_runs.groupBy("h1", "h2", "doc").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    return sorted_runs.groupBy("h1", "h2", "doc").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("positions"))
 
 
 def drop_bitmaps(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    """doc, words: array of (word, keep) for the 64-line words in which some line goes.
+    """doc, t (hash of the text), words: array of (word, keep) for the 64-line words in which some line goes.
 
     Bit i of keep is set if line 64 * word + i stays; words that are not listed stay whole.
     A line goes if at least ``min_docs`` documents hold its key; with ``keep_first`` the first
@@ -47,18 +49,18 @@ def drop_bitmaps(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min
     totals = runs.groupBy("h1", "h2").agg(
         F.count("*").alias("n_docs"),
         F.sum(F.size("positions")).alias("n_lines"),
-        F.min(F.struct("doc", F.element_at("positions", 1).alias("pos"))).alias("first"),
+        F.min(F.struct("doc", F.element_at("positions", 1).alias("at"))).alias("first"),
     )
     if keep_first:
         common = totals.filter((F.col("n_docs") >= min_docs) & (F.col("n_lines") > 1)).select("h1", "h2", "first")
-        hit = runs.join(common, ["h1", "h2"]).select("doc", F.explode("positions").alias("pos"), "first")
-        gone = hit.filter((F.col("doc") != F.col("first.doc")) | (F.col("pos") != F.col("first.pos"))).select("doc", "pos")
+        hit = runs.join(common, ["h1", "h2"]).select("doc", F.explode("positions").alias("at"), "first")
+        gone = hit.filter(~F.col("doc").eqNullSafe(F.col("first.doc")) | (F.col("at") != F.col("first.at"))).select("doc", "at.t", "at.pos")
     else:
         common = totals.filter(F.col("n_docs") >= min_docs).select("h1", "h2")
-        gone = runs.join(common, ["h1", "h2"], "left_semi").select("doc", F.explode("positions").alias("pos"))
+        gone = runs.join(common, ["h1", "h2"], "left_semi").select("doc", F.explode("positions").alias("at")).select("doc", "at.t", "at.pos")
     bit = F.expr(f"shiftleft(1L, cast(pos % {WORD} as int))")
-    words = gone.select("doc", F.expr(f"cast(pos div {WORD} as int)").alias("word"), bit.alias("bit")).groupBy("doc", "word").agg(F.bitwise_not(F.bit_or("bit")).alias("keep"))
-    return words.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("word", "keep"))).alias("words"))
+    words = gone.select("doc", "t", F.expr(f"cast(pos div {WORD} as int)").alias("word"), bit.alias("bit")).groupBy("doc", "t", "word").agg(F.bitwise_not(F.bit_or("bit")).alias("keep"))
+    return words.groupBy("doc", "t").agg(F.array_sort(F.collect_list(F.struct("word", "keep"))).alias("words"))
 
 
 def dropped_positions(words: Column) -> Column:
@@ -72,8 +74,8 @@ def dropped_positions(words: Column) -> Column:
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with ``text_col`` replaced by the lines that stay, and n_lines, n_dropped as columns __n_lines, __n_dropped."""
-    marks = bitmaps.select(F.col("doc").alias("__doc"), F.col("words").alias("__words"))
-    joined = docs.join(marks, docs[id_col].eqNullSafe(marks["__doc"]), "left")
+    marks = bitmaps.select(F.col("doc").alias("__doc"), F.col("t").alias("__t"), F.col("words").alias("__words"))
+    joined = docs.join(marks, docs[id_col].eqNullSafe(marks["__doc"]) & (F.xxhash64(text_of(text_col)) == marks["__t"]), "left")
     lines = F.split(text_of(text_col), "\n")
     n_lines = F.size(lines)
     gone = dropped_positions(F.col("__words"))
@@ -92,7 +94,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Drop the lines whose key at least ``min_docs`` documents hold.
 
     Null and empty texts are one empty line, which never goes (its key has no code points).  A
-    null id is a document of its own kind: rows with equal ids count as one document.  An empty
-    table gives an empty result.  Other columns are kept; __n_lines and __n_dropped are added.
+    null id is a document of its own kind: rows with equal ids count as one document, and each
+    loses its own lines only.  An empty table gives an empty result.  Other columns are kept; __n_lines and __n_dropped are added.
     """
     return apply_bitmaps(docs, drop_bitmaps(docs, id_col, text_col, min_docs, min_chars, keep_first), id_col, text_col)

@@ -35,7 +35,7 @@ from cellwright.llm.words import shingle_sets
 SCREEN = Fraction(1, 20)
 #: Rounds in which one class of each list meets all the others, before the pairs that are left.
 STAR_ROUNDS = 6
-#: Ids of screened classes up to which they are broadcast (24 bytes each).
+#: Ids of screened classes up to which they are broadcast (40 bytes each).
 BROADCAST_IDS = 1_000_000
 
 
@@ -49,11 +49,11 @@ def screen_length(n: int) -> int:
 
 
 def _scan(size: int, threshold: Fraction):
-    """doc_id, n, h1, h2 (of the set), need, prefix."""
+    """doc_id, t, n, h1, h2 (of the set), need, prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in slices([len(x) for x in texts], 1_500_000):
                 sets = shingle_sets(texts[a:b], size)
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -61,12 +61,13 @@ def _scan(size: int, threshold: Fraction):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
+                        batch.column(1).slice(a, b - a),
                         pa.array(n),
                         *_set_hashes(sets),
                         pa.array([screen_length(t) if t else 0 for t in least], pa.int64()),
                         pa.array([s[: len(s) - t + screen_length(len(s))].view(np.int64) for s, t in zip(sets, least, strict=True)], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n", "h1", "h2", "need", "prefix"],
+                    names=["doc_id", "t", "n", "h1", "h2", "need", "prefix"],
                 )
 
     return run
@@ -131,23 +132,33 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case.  Null, empty and blank texts have no shingles and link with
     nothing; a text with fewer words than ``words`` is one shingle.  One row per row; rows with equal ids and texts are one
-    vertex.  A component is named by its smallest id.  An empty table gives an empty result.
+    vertex.  A component is named by its smallest id, if any of its rows has one.  An empty table gives an empty result.
+    """
+    return grouped(docs, id_col, text_col, words, top, bottom).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, top: int, bottom: int) -> DataFrame:
+    """doc_id, t (hash of the text), n, vertex (number of the component; null without shingles), component_id.
+
+    Vertices are numbers of rows, as ids may be null or belong to several texts.
     """
     threshold = Fraction(top, bottom)
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
-    base = stash(source.mapInArrow(_scan(words, threshold), "doc_id bigint, n bigint, h1 bigint, h2 bigint, need bigint, prefix array<bigint>"), "shingle-sets")
-    keys = stash(base.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("t"), text_of(text_col).cast("binary").alias("text"))
+    scanned = source.mapInArrow(_scan(words, threshold), "doc_id bigint, t bigint, n bigint, h1 bigint, h2 bigint, need bigint, prefix array<bigint>")
+    base = stash(scanned.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
+    keys = stash(base.filter("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id")), "classes")
 
-    screened = base.filter("n > 0").select("doc_id", "h1", "h2", "need", F.explode("prefix").alias("s"))
+    screened = base.filter("n > 0").select("row", "h1", "h2", "need", F.explode("prefix").alias("s"))
     shared = stash(screened.groupBy("s").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x <> y").select("s"), "shared-shingles")
-    passing = screened.join(shared, "s", "left_semi").groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("met"), F.first("need").alias("need")).filter("met >= need")
-    left = stash(passing.select(F.col("doc_id").alias("rep"), "h1", "h2").join(keys, ["rep", "h1", "h2"], "left_semi"), "screened-classes")
+    passing = screened.join(shared, "s", "left_semi").groupBy("row", "h1", "h2").agg(F.count("*").alias("met"), F.first("need").alias("need")).filter("met >= need")
+    reps = passing.select(F.col("row").alias("rep"), "h1", "h2").join(keys, ["rep", "h1", "h2"], "left_semi")
+    left = stash(reps.join(base.select(F.col("row").alias("rep"), F.col("doc_id").alias("id"), F.col("t").alias("text_hash")), "rep"), "screened-classes")
 
     # a bounded number of ids goes to the texts; more of them meet the texts in a shuffle
     few = left.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = source.join(F.broadcast(left) if few else left, source.doc_id == left.rep).select("rep", "text", "h1", "h2")
+    texts = source.join(F.broadcast(left) if few else left, (source.t == left.text_hash) & source.doc_id.eqNullSafe(left.id)).select("rep", "text", "h1", "h2")
     found = texts.mapInArrow(_whole_sets(words), "rep bigint, shingles array<bigint>")
-    if base.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+    if base.groupBy("doc_id", "t").count().filter("count > 1").limit(1).count():
         found = found.dropDuplicates(["rep"])
     sets = stash(found, "candidate-sets")
 
@@ -156,9 +167,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     compared = stash(sets.join(lists.select("rep").distinct(), "rep", "left_semi"), "compared-sets")
     links = _linked(lists, compared, top, bottom)
     merged = components(links)
-    labelled = keys.join(merged.select(F.col("v").alias("rep"), "component"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = base.select("doc_id", "n", "h1", "h2").join(labelled, ["h1", "h2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    labelled = keys.join(merged.select(F.col("v").alias("rep"), "component"), "rep", "left").select("h1", "h2", "least_id", F.coalesce("component", "rep").alias("vertex"))
+    names = labelled.groupBy("vertex").agg(F.min("least_id").alias("name"))
+    out = base.select("doc_id", "t", "n", "h1", "h2").join(labelled.join(names, "vertex").select("h1", "h2", "vertex", "name"), ["h1", "h2"], "left")
+    vertex = F.when(F.col("n") > 0, F.col("vertex"))
+    return out.select("doc_id", "t", "n", vertex.alias("vertex"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _linked(lists: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFrame:

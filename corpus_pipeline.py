@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cellwright.llm.common import stash, table, tokenizer_path
 from cellwright.llm.line_dedup import line_dedup
 from cellwright.llm.mixing import poisson_mix
-from cellwright.llm.ngram_join import ngram_jaccard_join
+from cellwright.llm.ngram_join import grouped
 from cellwright.llm.packing import best_fit_packing
 from cellwright.llm.quality import keep_good
 
@@ -32,10 +32,17 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each component of near duplicates (five-word shingles, similarity 0.8)."""
-    groups = ngram_jaccard_join(docs, words=5, top=4, bottom=5)
-    first = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(first, docs.doc_id.eqNullSafe(first["__id"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keep the document with the least id (then text hash) of each component of near duplicates (five-word shingles, similarity 0.8).
+
+    Texts without shingles are all kept; of rows with equal ids and texts one stays.
+    """
+    groups = grouped(docs, "doc_id", "text", words=5, top=4, bottom=5)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("__id"), F.col("t").alias("__t"))
+    linked = groups.filter("n > 0").groupBy("vertex").agg(F.min(row).alias("row")).select("row.__id", "row.__t")
+    first = linked.unionByName(groups.filter("n = 0").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"))).distinct()
+    hashed = docs.withColumn("__text", F.xxhash64("text"))
+    kept = hashed.join(first, hashed.doc_id.eqNullSafe(first["__id"]) & (hashed["__text"] == first["__t"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__text"]).select(*COLUMNS)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -350,6 +350,26 @@ def test_pipeline_stages(spark, sf):
     assert corpus_pipeline.STAGES[4][1](spark, docs, sf).count() >= docs.count()
 
 
+def test_null_and_repeated_ids_keep_their_texts(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**6, n))
+    twin, other = say(300), say(300)
+    rows = [(None, say(30)), (None, say(40)), (None, ""), (None, None), (7, say(30)), (7, twin), (7, other), (8, twin + " end"), (9, other + " end"), (3, say(20)), (3, say(25))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in [*rows, rows[4], rows[0]]], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect())
+    assert kept == sorted((str(i), str(t)) for i, t in rows if i not in (8, 9))
+    found = {(r["doc_id"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(docs).collect()}
+    assert {(8, 7), (9, 7), (3, 3), (None, None)} < found
+    lines = [(None, "common\nown a"), (None, "own b\ncommon"), (1, "common\nown c"), (1, "own d\nown e"), (2, "common\nown f")]
+    two = spark.createDataFrame(lines, "doc_id bigint, text string")
+    got = sorted(r["text"] for r in line_dedup.line_dedup(two, min_docs=3).collect())
+    assert got == ["own a", "own b", "own c", "own d\nown e", "own f"]
+    first = sorted(r["text"] for r in line_dedup.line_dedup(two, min_docs=3, keep_first=True).collect())
+    assert sum("common" in x for x in first) == 1 and sum(x.count("own") for x in first) == 6
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, sf, name):
     import duckdb
