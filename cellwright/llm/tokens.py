@@ -68,7 +68,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)).encode()) if added else None
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.hasher = Hasher()
         self._forget()
@@ -199,13 +200,13 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 def encoded(texts: list[bytes], path: str, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, ids in a row, counts) of slices of a batch.
 
-    A text with white space beyond ASCII, or with over 2**20 ids in a piece, is left to the tokenizer whole.
+    A text with white space beyond ASCII, with an added token of the tokenizer, or with over 2**20 ids in a piece, is left to the tokenizer whole.
     """
     own = encoder(path)
     for a, b in slices([len(x) for x in texts], most):
         part = texts[a:b]
         # lead bytes of white space beyond ASCII
-        odd = [k for k, x in enumerate(part) if len(x) > 200_000 or (not x.isascii() and _WIDE_SPACE.search(x.decode()))]
+        odd = [k for k, x in enumerate(part) if len(x) > 200_000 or (own.added and own.added.search(x)) or (not x.isascii() and _WIDE_SPACE.search(x.decode()))]
         if not odd:
             yield a, b, *own.encode(part)
             continue

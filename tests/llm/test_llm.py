@@ -53,6 +53,15 @@ def test_encoder_equals_the_tokenizer():
             assert flat[ends[k - a] - counts[k - a] : ends[k - a]].tolist() == ids_of(odd[k])
 
 
+def test_added_tokens_are_encoded_as_the_file_says():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path())
+    texts = ["<|endoftext|> a", "x <|endoftext|>", "a<|endoftext|>\n b", "<|endoftext", "plain text"]
+    found = [part.tolist() for _, _, flat, counts in encoded([t.encode() for t in texts], tokenizer_path()) for part in np.split(flat, np.cumsum(counts)[:-1])]
+    assert found == [fresh.encode(t, add_special_tokens=False).ids for t in texts] and found[0] == [50256, 257]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 1), (5, 5), (9, 8), (8, 7), (7, 6), *((20, k) for k in range(21, 60))]
     got = {r["v"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
