@@ -3,13 +3,15 @@
 Documents with equal shingle sets are one class from the start.  Two classes x and y link if their overlap
 reaches threshold * |union|, so x shares at least T(x) = ceil(threshold * |x|) shingles with any partner.
 
-1. Screen: the shingles of a set in hash order, cut so that linked sets share at least ``need`` of them; classes that
-   have fewer which any other class holds link with nothing.
-2. Inverted lists of the remaining classes over whole sets.  DivideSkip: T(x) - 1 of x's lists, the longest, are left out
-   of the merge, so any partner still meets x in one of the others, the short ones.
-3. The short lists are merged into candidates, first against one class of each list and then, where a list still spans several
-   components, for all its pairs across them.  A candidate's remaining shingles are binary-probed in the other's sorted
-   set, and the exact overlap decides.
+1. Inverted lists are ordered by length: by counts of shingles in a table of fixed size, over all documents.  DivideSkip: the
+   longest T(x) - k of x's lists are left out of the merge, so any partner meets x in at least k of the short ones.
+   Classes that have fewer short lists which any other class holds link with nothing.
+2. Classes that meet in short lists, directly or over others, are a family; sets are written as their symmetric difference D from
+   the family's smallest set.  As |x ^ y| = |Dx ^ Dy|, nothing is lost, and copies have short differences.
+3. Each member is compared with the smallest set and with up to CENTRES others of its family.
+4. What is left are pairs in different components so far.  The lists of D are merged, rare ones first: a pair that links shares at
+   least T(x, y) = (|Dx| + |Dy| - slack) / 2 of them, so its first common one lies before the T(x, y) - 1 last places of
+   both.  The long lists of such pairs are binary-probed in the other's sorted D, and the exact overlap decides.
 
 64 hash bits stand for a shingle, 128 for a set.
 """
@@ -23,18 +25,20 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwright.llm.common import stash, text_of
-from cellwright.llm.graph import components, near_labels
+from cellwright.llm.graph import components
 from cellwright.llm.tokens import mixed, slices
 from cellwright.llm.words import shingle_sets
 
-#: Of a set's shingles, this part is looked at in the screen beyond what two linked sets can differ by.
+#: Of a set's shingles, this part is merged beyond what two linked sets can differ by.
 SCREEN = Fraction(1, 20)
-#: Rounds in which one class of each list meets all the others, before the pairs that are left.
-STAR_ROUNDS = 6
+#: Buckets of the table of counts that lists are ordered by.
+BUCKET_BITS = 16
+#: Members of a family that all others are compared with, beside its smallest set.
+CENTRES = 8
 #: Ids of screened classes up to which they are broadcast (40 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -48,16 +52,44 @@ def screen_length(n: int) -> int:
     return 1 + int(SCREEN * n)
 
 
-def _scan(size: int, threshold: Fraction):
-    """doc_id, t, n, h1, h2 (of the set), need, prefix."""
+def _count(size: int):
+    """bucket, n: how many shingles of a partition's sets fall into each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in slices([len(x) for x in texts], 1_500_000):
+                sets = shingle_sets(texts[a:b], size)
+                if sets:
+                    total += np.bincount(np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS), minlength=1 << BUCKET_BITS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["bucket", "n"])
+
+    return run
+
+
+def list_lengths(source: DataFrame, words: int) -> np.ndarray:
+    """Counts of all documents' shingles by bucket; the driver sees 2 ** BUCKET_BITS rows at most."""
+    counted = source.select("text").mapInArrow(_count(words), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    out = np.zeros(1 << BUCKET_BITS, np.int64)
+    for row in counted.collect():
+        out[row["bucket"]] = row["n"]
+    return out
+
+
+def _scan(size: int, threshold: Fraction, lengths):
+    """doc_id, t, n, h1, h2 (of the set), need, short: the shortest lists, by the table of lengths and then by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = lengths.value
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in slices([len(x) for x in texts], 1_500_000):
                 sets = shingle_sets(texts[a:b], size)
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
                 least = [least_overlap(int(k), threshold) for k in n]
+                short = [s[np.argsort(table[s >> np.uint64(64 - BUCKET_BITS)], kind="stable")[: len(s) - t + screen_length(len(s))]].view(np.int64) for s, t in zip(sets, least, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
@@ -65,9 +97,9 @@ def _scan(size: int, threshold: Fraction):
                         pa.array(n),
                         *_set_hashes(sets),
                         pa.array([screen_length(t) if t else 0 for t in least], pa.int64()),
-                        pa.array([s[: len(s) - t + screen_length(len(s))].view(np.int64) for s, t in zip(sets, least, strict=True)], pa.list_(pa.int64())),
+                        pa.array(short, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "t", "n", "h1", "h2", "need", "prefix"],
+                    names=["doc_id", "t", "n", "h1", "h2", "need", "short"],
                 )
 
     return run
@@ -79,26 +111,31 @@ def _set_hashes(sets: list[np.ndarray]) -> list[pa.Array]:
 
 
 def _whole_sets(size: int):
-    """rep, shingles of the texts whose set has the hashes h1, h2."""
+    """rep, family, shingles (ascending) of the texts whose set has the hashes h1, h2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in slices([len(x) for x in texts], 1_500_000):
                 sets = shingle_sets(texts[a:b], size)
                 h1, h2 = (x.to_numpy() for x in _set_hashes(sets))
-                own = (h1 == batch.column(2).to_numpy()[a:b]) & (h2 == batch.column(3).to_numpy()[a:b])
+                own = (h1 == batch.column(3).to_numpy()[a:b]) & (h2 == batch.column(4).to_numpy()[a:b])
                 kept = np.flatnonzero(own)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(kept)), pa.array([sets[k].view(np.int64) for k in kept], pa.list_(pa.int64()))], names=["rep", "shingles"])
+                columns = [batch.column(k).slice(a, b - a).take(pa.array(kept)) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([np.sort(sets[k].view(np.int64)) for k in kept], pa.list_(pa.int64()))], names=["rep", "family", "shingles"])
 
     return run
 
 
+def _difference(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Symmetric differences of sorted sets, sorted."""
+    return pd.Series([np.setxor1d(x, y, assume_unique=True) for x, y in zip(left, right, strict=True)])
+
+
 def _overlaps(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Sizes of intersections: the smaller set's shingles are binary-probed in the larger one."""
+    """Sizes of intersections: the smaller set's elements are binary-probed in the larger one."""
     out = np.zeros(len(left), np.int64)
     for k, (x, y) in enumerate(zip(left, right, strict=True)):
-        x, y = x.view(np.uint64), y.view(np.uint64)
         if len(x) > len(y):
             x, y = y, x
         if len(x):
@@ -107,32 +144,30 @@ def _overlaps(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFrame:
-    """The pairs (a, b) whose sets link: bottom * overlap >= top * union."""
-    overlap = F.pandas_udf(_overlaps, "bigint")
-    one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    joined = pairs.select("a", "b").join(one, "a").join(two, "b")
-    counted = joined.select("a", "b", (F.size("sa") + F.size("sb")).alias("both"), overlap("sa", "sb").alias("common"))
-    return counted.filter(F.col("common") * bottom >= F.lit(top) * (F.col("both") - F.col("common"))).select("a", "b")
+def links(both: Column, apart: Column, top: int, bottom: int) -> Column:
+    """Whether two sets link, from the sum of their sizes and the size of their symmetric difference."""
+    return (both - apart) * bottom >= (both + apart) * top
 
 
-def short_lists(sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """s, rep, n: of each class with T shared shingles or more, all but its T - 1 longest lists."""
-    postings = sets.select("rep", F.size("shingles").cast("bigint").alias("n"), F.explode("shingles").alias("s"))
-    shared = stash(postings.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"), "list-lengths")
-    own = postings.join(shared, "s").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("lists"))
-    least = F.expr(f"(n * {threshold.numerator} + {threshold.denominator - 1}) div {threshold.denominator}")
-    short = own.withColumn("short", F.size("lists") - least + 1).filter("short > 0")
-    return short.select("rep", "n", F.explode(F.slice("lists", F.lit(1), F.col("short").cast("int"))).alias("x")).select(F.col("x.s").alias("s"), "rep", "n")
+def screened(base: DataFrame) -> DataFrame:
+    """rep, h1, h2, s: the short lists, with others in them, of classes that have enough of them."""
+    own = base.filter("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("row")).select("row")
+    postings = base.join(own, "row", "left_semi").select("row", "need", F.explode("short").alias("s"))
+    for turn in range(2):  # lists are shorter once the classes that fail are gone
+        held = stash(postings.groupBy("s").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first <> last").select("s", "first"), "held-lists")
+        met = postings.select("row", "need", "s").join(held, "s")
+        passing = met.groupBy("row").agg(F.count("*").alias("met"), F.first("need").alias("need"), F.collect_list(F.struct("s", "first")).alias("lists")).filter("met >= need")
+        postings = stash(passing.select("row", "need", F.explode("lists").alias("x")).select("row", "need", "x.s", "x.first"), "short-lists")
+    return postings
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, top: int = 4, bottom: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id: components of the links with Jaccard >= top / bottom.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case.  Null, empty and blank texts have no shingles and link with
-    nothing; a text with fewer words than ``words`` is one shingle.  One row per row; rows with equal ids and texts are one
-    vertex.  A component is named by its smallest id, if any of its rows has one.  An empty table gives an empty result.
+    nothing; a text with fewer words than ``words`` is one shingle.  One row per row.  Rows are told apart by themselves, not by their ids, so rows
+    with null or equal ids link as any others.  A component is named by its smallest id, and by null if none of its rows has an id;
+    a null id without links has a null component_id.  An empty table gives an empty result.
     """
     return grouped(docs, id_col, text_col, words, top, bottom).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
@@ -144,60 +179,72 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, top: int, b
     """
     threshold = Fraction(top, bottom)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("t"), text_of(text_col).cast("binary").alias("text"))
-    scanned = source.mapInArrow(_scan(words, threshold), "doc_id bigint, t bigint, n bigint, h1 bigint, h2 bigint, need bigint, prefix array<bigint>")
+    lengths = docs.sparkSession.sparkContext.broadcast(list_lengths(source, words))
+    scanned = source.mapInArrow(_scan(words, threshold, lengths), "doc_id bigint, t bigint, n bigint, h1 bigint, h2 bigint, need bigint, short array<bigint>")
     base = stash(scanned.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
-    keys = stash(base.filter("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id")), "classes")
-
-    screened = base.filter("n > 0").select("row", "h1", "h2", "need", F.explode("prefix").alias("s"))
-    shared = stash(screened.groupBy("s").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x <> y").select("s"), "shared-shingles")
-    passing = screened.join(shared, "s", "left_semi").groupBy("row", "h1", "h2").agg(F.count("*").alias("met"), F.first("need").alias("need")).filter("met >= need")
-    reps = passing.select(F.col("row").alias("rep"), "h1", "h2").join(keys, ["rep", "h1", "h2"], "left_semi")
-    left = stash(reps.join(base.select(F.col("row").alias("rep"), F.col("doc_id").alias("id"), F.col("t").alias("text_hash")), "rep"), "screened-classes")
 
-    # a bounded number of ids goes to the texts; more of them meet the texts in a shuffle
-    few = left.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = source.join(F.broadcast(left) if few else left, (source.t == left.text_hash) & source.doc_id.eqNullSafe(left.id)).select("rep", "text", "h1", "h2")
-    found = texts.mapInArrow(_whole_sets(words), "rep bigint, shingles array<bigint>")
-    if base.groupBy("doc_id", "t").count().filter("count > 1").limit(1).count():
-        found = found.dropDuplicates(["rep"])
-    sets = stash(found, "candidate-sets")
-
-    lists = stash(short_lists(sets, threshold), "short-lists")
-    # most candidate sets have no short list left; only the others are compared
-    compared = stash(sets.join(lists.select("rep").distinct(), "rep", "left_semi"), "compared-sets")
-    links = _linked(lists, compared, top, bottom)
-    merged = components(links)
-    labelled = keys.join(merged.select(F.col("v").alias("rep"), "component"), "rep", "left").select("h1", "h2", "least_id", F.coalesce("component", "rep").alias("vertex"))
+    merged = components(_linked(source, base, words, top, bottom)).select(F.col("v").alias("rep"), "component")
+    keys = base.filter("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least_id"))
+    labelled = stash(keys.join(merged, "rep", "left").select("h1", "h2", "least_id", F.coalesce("component", "rep").alias("vertex")), "classes")
     names = labelled.groupBy("vertex").agg(F.min("least_id").alias("name"))
     out = base.select("doc_id", "t", "n", "h1", "h2").join(labelled.join(names, "vertex").select("h1", "h2", "vertex", "name"), ["h1", "h2"], "left")
     vertex = F.when(F.col("n") > 0, F.col("vertex"))
     return out.select("doc_id", "t", "n", vertex.alias("vertex"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _linked(lists: DataFrame, sets: DataFrame, top: int, bottom: int) -> DataFrame:
-    """Links (a, b) that give the same components as all links."""
-    near = F.expr(f"least(na, nb) * {bottom} >= greatest(na, nb) * {top}")
-    links, active = None, lists
-    for turn in range(STAR_ROUNDS + 1):
-        if turn:
-            known = near_labels(links)
-            marked = lists.join(known.select(F.col("v").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            open_ = marked.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("s")
-            active = stash(marked.join(open_, "s", "left_semi"), "open-lists")
-            if not active.limit(1).count():
-                return links
-        if turn < STAR_ROUNDS:
-            # one class of each list against all the others in it
-            order = F.struct(F.xxhash64(F.lit(turn), "rep"), "rep", "n") if turn else F.struct(F.col("rep").alias("x"), "rep", "n")
-            centre = active.groupBy("s").agg(F.min(order).alias("c")).select("s", F.col("c.rep").alias("a"), F.col("c.n").alias("na"))
-            pairs = active.select("s", F.col("rep").alias("b"), F.col("n").alias("nb"), *(["component"] if turn else [])).join(centre, "s").filter("a <> b").filter(near)
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            # a pair counts in the least of its common lists only
-            own = active.groupBy("rep").agg(F.collect_list("s").alias("own"))
-            one = active.join(own, "rep").select("s", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("own").alias("la"))
-            two = one.select("s", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"), F.col("la").alias("lb"))
-            pairs = one.join(two, "s").filter("a < b and ca <> cb").filter(near).filter("array_min(array_intersect(la, lb)) = s").select("a", "b")
-        new = stash(verified(pairs, sets, top, bottom), "links")
-        links = new if links is None else links.unionByName(new)
-    return links
+def _linked(source: DataFrame, base: DataFrame, words: int, top: int, bottom: int) -> DataFrame:
+    """Links (a, b) of classes, named by a row each, that give the same components as all links."""
+    difference, overlap = F.pandas_udf(_difference, "array<bigint>"), F.pandas_udf(_overlaps, "bigint")
+    postings = screened(base)
+    family = components(postings.select(F.col("first").alias("a"), F.col("row").alias("b")).distinct()).select(F.col("v").alias("rep"), F.col("component").alias("family"))
+    left = stash(base.select(F.col("row").alias("rep"), F.col("doc_id").alias("id"), F.col("t").alias("text_hash"), "n", "h1", "h2").join(family, "rep"), "families")
+
+    # a bounded number of ids goes to the texts; more of them meet the texts in a shuffle
+    few = left.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    wanted = left.drop("n")
+    texts = source.join(F.broadcast(wanted) if few else wanted, (source.t == left.text_hash) & source.doc_id.eqNullSafe(left.id)).select("rep", "family", "text", "h1", "h2")
+    found = texts.mapInArrow(_whole_sets(words), "rep bigint, family bigint, shingles array<bigint>")
+    if base.groupBy("doc_id", "t").count().filter("count > 1").limit(1).count():
+        found = found.dropDuplicates(["rep"])
+    sets = stash(found, "family-sets")
+
+    # sets as differences from the smallest one of their family
+    least = left.groupBy("family").agg(F.min(F.struct("n", "rep")).alias("c"), F.count("*").alias("members")).select("family", F.col("c.n").alias("cn"), F.col("c.rep").alias("centre"), "members")
+    centres = least.join(sets.select(F.col("rep").alias("centre"), F.col("shingles").alias("middle")), "centre")
+    apart = sets.join(centres, "family").filter("rep <> centre").select("rep", "family", "centre", "cn", "members", F.size("shingles").cast("bigint").alias("n"), difference("shingles", "middle").alias("diff"))
+    apart = stash(apart.withColumn("d", F.size("diff").cast("bigint")).withColumn("near", links(F.col("n") + F.col("cn"), F.col("d"), top, bottom)), "differences")
+    first = apart.filter("near").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
+
+    # some more members that all others are compared with
+    crowd = apart.filter("members > 2").select("rep", "family", "n", "d", "diff")
+    spoke = F.pmod(F.xxhash64("rep"), F.lit(CENTRES))
+    chosen = crowd.groupBy("family", spoke.alias("spoke")).agg(F.min(F.struct(F.xxhash64("rep", F.lit(1)).alias("x"), "rep")).alias("c")).select(F.col("c.rep").alias("rep"))
+    hubs = crowd.join(chosen, "rep", "left_semi").select("family", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("diff").alias("x"))
+    second = stash(_verified(hubs.join(crowd.select("family", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("diff").alias("y")), "family").filter("a <> b"), overlap, top, bottom), "hub-links")
+    so_far = first.unionByName(second)
+
+    # lists of differences: rare ones first
+    known = components(so_far).select(F.col("v").alias("rep"), "component")
+    open_ = crowd.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    slack = F.expr(f"(n * {bottom - top}) div {top}")  # what a linked set may lack of D, at most
+    items = open_.select("rep", "family", "component", F.explode("diff").alias("s"))
+    lists = items.groupBy("family", "s").agg(F.count("*").alias("df"), (F.min("component") < F.max("component")).alias("open")).filter("df > 1")
+    placed = items.select("rep", "family", "s").join(lists, ["family", "s"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "s", "open"))).alias("lists"))
+    # the places before a class's first shared list are taken by what it has alone
+    own = open_.select("rep", "family", "component", "n", "d", F.greatest(F.lit(1), F.col("d") - slack).alias("t")).join(placed, "rep").filter(F.size("lists") >= F.col("t"))
+    short = own.select("rep", "family", "component", "n", "d", (F.col("d") - F.size("lists")).alias("alone"), F.posexplode(F.slice("lists", F.lit(1), (F.size("lists") - F.col("t") + 1).cast("int"))).alias("at", "x"))
+    merged = stash(short.filter("x.open").select("rep", "family", "component", "n", "d", (F.col("alone") + F.col("at") + 1).alias("place"), F.col("x.s").alias("s")), "difference-lists")
+    one, two = (merged.select("family", "s", F.col("rep").alias(r), F.col("n").alias(f"n{r}"), F.col("d").alias(f"d{r}"), F.col("place").alias(f"p{r}"), F.col("component").alias(f"c{r}")) for r in "ab")
+    # least overlap of the differences of two linked sets, times 2 * (top + bottom)
+    both = F.expr(f"(da + db) * {top + bottom} - (na + nb) * {bottom - top}")
+    within = lambda d, p: (F.col(d) - F.col(p) + 1) * (2 * (top + bottom)) >= both
+    sizes = F.expr(f"least(na, nb) * {bottom} >= greatest(na, nb) * {top}")
+    pairs = one.join(two, ["family", "s"]).filter("a < b and ca <> cb").filter(sizes & within("da", "pa") & within("db", "pb")).select("a", "b", "na", "nb", "da", "db").distinct()
+    third = pairs.join(crowd.select(F.col("rep").alias("a"), F.col("diff").alias("x")), "a").join(crowd.select(F.col("rep").alias("b"), F.col("diff").alias("y")), "b")
+    return so_far.unionByName(stash(_verified(third, overlap, top, bottom), "merged-links"))
+
+
+def _verified(pairs: DataFrame, overlap, top: int, bottom: int) -> DataFrame:
+    """The pairs (a, b) whose sets link, by their differences x and y of sizes da and db."""
+    counted = pairs.select("a", "b", "na", "nb", (F.col("da") + F.col("db") - 2 * overlap("x", "y")).alias("apart"))
+    return counted.filter(links(F.col("na") + F.col("nb"), F.col("apart"), top, bottom)).select("a", "b")

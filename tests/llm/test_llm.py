@@ -209,6 +209,28 @@ def test_ngram_join(docs, empty, words, top, bottom):
         assert ngram_join.ngram_jaccard_join(empty).count() == 0
 
 
+@pytest.mark.parametrize("words,top,bottom", [(3, 9, 10), (5, 4, 5)])
+def test_ngram_join_of_groups_of_near_copies(spark, words, top, bottom):
+    rng = np.random.default_rng(12)
+    say = lambda n: [f"w{k}" for k in rng.integers(0, 10**6, n)]
+    texts, one, two = [], say(150), say(90)
+    for k in range(70):  # copies with 0 to 6 words changed, of one text or of its extension by another
+        base = list(one) if k % 3 else one + two
+        for at in rng.choice(len(base), int(rng.integers(0, 7)), replace=False):
+            base[at] = f"e{rng.integers(0, 6)}"
+        texts.append(" ".join(base))
+    texts += [" ".join(one[:40] + say(40)) for _ in range(10)] + [texts[3], None]
+    docs = spark.createDataFrame([(100 + k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    got = [r["component_id"] for r in ngram_join.ngram_jaccard_join(docs, words=words, top=top, bottom=bottom).orderBy("doc_id").collect()]
+    sets = [set(s.tolist()) for s in shingle_sets([(t or "").encode() for t in texts], words)]
+    name = [100 + k for k in range(len(texts))]
+    edges = [(a, b) for b in range(len(sets)) for a in range(b) if sets[a] and bottom * len(sets[a] & sets[b]) >= top * len(sets[a] | sets[b])]
+    for _ in name:
+        for a, b in edges:
+            name[a] = name[b] = min(name[a], name[b])
+    assert got == name and 5 < len(set(got)) < 75
+
+
 def test_media(spark, docs, empty):
     path = new_path(spark, "media")
     media.write_archives(docs, path)
