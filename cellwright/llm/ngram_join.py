@@ -8,7 +8,7 @@ reaches threshold * |union|, so x shares at least T(x) = ceil(threshold * |x|) s
    Classes that have fewer short lists which any other class holds link with nothing.
 2. Classes that meet in short lists, directly or over others, are a family; sets are written as their symmetric difference D from
    the family's smallest set.  As |x ^ y| = |Dx ^ Dy|, nothing is lost, and copies have short differences.
-3. Each member is compared with the smallest set and with up to CENTRES others of its family.
+3. Each member is compared with the smallest set, with the one nearest to what most of the family have, and with up to CENTRES others.
 4. What is left are pairs in different components so far.  The lists of D are merged, rare ones first: a pair that links shares at
    least T(x, y) = (|Dx| + |Dy| - slack) / 2 of them, so its first common one lies before the T(x, y) - 1 last places of
    both.  The long lists of such pairs are binary-probed in the other's sorted D, and the exact overlap decides.
@@ -37,8 +37,10 @@ from cellwright.llm.words import shingle_sets
 SCREEN = Fraction(1, 20)
 #: Buckets of the table of counts that lists are ordered by.
 BUCKET_BITS = 16
-#: Members of a family that all others are compared with, beside its smallest set.
-CENTRES = 8
+#: Turns of the screen; one more only makes families smaller.
+SCREENS = 3
+#: Members of a family that all others are compared with, beside its smallest set and its middle.
+CENTRES = 4
 #: Ids of screened classes up to which they are broadcast (40 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -149,16 +151,25 @@ def links(both: Column, apart: Column, top: int, bottom: int) -> Column:
     return (both - apart) * bottom >= (both + apart) * top
 
 
-def screened(base: DataFrame) -> DataFrame:
-    """rep, h1, h2, s: the short lists, with others in them, of classes that have enough of them."""
+def screened(base: DataFrame, top: int, bottom: int) -> DataFrame:
+    """row, first: classes that have enough short lists with others in them, and the first class of each such list.
+
+    From the second turn on a list counts for classes of like sizes only: each goes to the lists of its size class and of the
+    next one, so that sets which can link meet in one of them.
+    """
     own = base.filter("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("row")).select("row")
-    postings = base.join(own, "row", "left_semi").select("row", "need", F.explode("short").alias("s"))
-    for turn in range(2):  # lists are shorter once the classes that fail are gone
-        held = stash(postings.groupBy("s").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first <> last").select("s", "first"), "held-lists")
-        met = postings.select("row", "need", "s").join(held, "s")
-        passing = met.groupBy("row").agg(F.count("*").alias("met"), F.first("need").alias("need"), F.collect_list(F.struct("s", "first")).alias("lists")).filter("met >= need")
-        postings = stash(passing.select("row", "need", F.explode("lists").alias("x")).select("row", "need", "x.s", "x.first"), "short-lists")
-    return postings
+    postings = base.join(own, "row", "left_semi").select("row", "n", F.explode("short").alias("s"))
+    need = F.expr(f"1 + ((n * {top} + {bottom - 1}) div {bottom} * {SCREEN.numerator}) div {SCREEN.denominator}")
+    size_class = F.floor(F.log("n") / F.lit(math.log(bottom / top) * 1.0001))
+    for turn in range(SCREENS):  # lists are shorter once the classes that fail are gone
+        keys = ["s", "size"] if turn else ["s"]
+        if turn:
+            postings = postings.select("row", "n", "s", F.explode(F.array(size_class, size_class + 1)).alias("size"))
+        held = stash(postings.groupBy(keys).agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first <> last").select(*keys, "first"), "held-lists")
+        met = postings.join(held, keys)
+        passing = met.groupBy("row", "n").agg(F.collect_set("s").alias("lists"), F.collect_set("first").alias("firsts")).filter(F.size("lists") >= need)
+        postings = stash(passing, "short-lists").select("row", "n", F.explode("lists").alias("s"))
+    return passing.select("row", F.explode("firsts").alias("first"))
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, top: int = 4, bottom: int = 5) -> DataFrame:
@@ -195,8 +206,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, top: int, b
 def _linked(source: DataFrame, base: DataFrame, words: int, top: int, bottom: int) -> DataFrame:
     """Links (a, b) of classes, named by a row each, that give the same components as all links."""
     difference, overlap = F.pandas_udf(_difference, "array<bigint>"), F.pandas_udf(_overlaps, "bigint")
-    postings = screened(base)
-    family = components(postings.select(F.col("first").alias("a"), F.col("row").alias("b")).distinct()).select(F.col("v").alias("rep"), F.col("component").alias("family"))
+    family = components(screened(base, top, bottom).select(F.col("first").alias("a"), F.col("row").alias("b"))).select(F.col("v").alias("rep"), F.col("component").alias("family"))
     left = stash(base.select(F.col("row").alias("rep"), F.col("doc_id").alias("id"), F.col("t").alias("text_hash"), "n", "h1", "h2").join(family, "rep"), "families")
 
     # a bounded number of ids goes to the texts; more of them meet the texts in a shuffle
@@ -215,26 +225,31 @@ def _linked(source: DataFrame, base: DataFrame, words: int, top: int, bottom: in
     apart = stash(apart.withColumn("d", F.size("diff").cast("bigint")).withColumn("near", links(F.col("n") + F.col("cn"), F.col("d"), top, bottom)), "differences")
     first = apart.filter("near").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
 
-    # some more members that all others are compared with
-    crowd = apart.filter("members > 2").select("rep", "family", "n", "d", "diff")
-    spoke = F.pmod(F.xxhash64("rep"), F.lit(CENTRES))
-    chosen = crowd.groupBy("family", spoke.alias("spoke")).agg(F.min(F.struct(F.xxhash64("rep", F.lit(1)).alias("x"), "rep")).alias("c")).select(F.col("c.rep").alias("rep"))
+    # lists of differences, rare ones first
+    crowd = apart.filter("members > 2").select("rep", "family", "members", "n", "d", "diff")
+    items = crowd.select("rep", "family", F.explode("diff").alias("s"))
+    lists = items.groupBy("family", "s").agg(F.count("*").alias("df")).filter("df > 1")
+    placed = stash(items.join(lists, ["family", "s"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("lists")), "difference-lists")
+
+    # the member nearest to what most of the family have, and some others, are compared with all the rest
+    often = F.size(F.filter("lists", lambda x: x["df"] * 2 >= F.col("members")))
+    spread = crowd.join(placed, "rep", "left").select("rep", "family", F.pmod(F.xxhash64("rep"), F.lit(CENTRES)).alias("spoke"), (F.col("d") - 2 * F.coalesce(F.when(F.col("lists").isNotNull(), often), F.lit(0))).alias("far"), F.xxhash64("rep", F.lit(1)).alias("x"))
+    middle = spread.groupBy("family").agg(F.min(F.struct("far", "rep")).alias("c"))
+    others = spread.groupBy("family", "spoke").agg(F.min(F.struct("x", "rep")).alias("c"))
+    chosen = middle.select("c.rep").unionByName(others.select("c.rep")).distinct()
     hubs = crowd.join(chosen, "rep", "left_semi").select("family", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("diff").alias("x"))
-    second = stash(_verified(hubs.join(crowd.select("family", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("diff").alias("y")), "family").filter("a <> b"), overlap, top, bottom), "hub-links")
-    so_far = first.unionByName(second)
-
-    # lists of differences: rare ones first
+    compared = hubs.join(crowd.select("family", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("diff").alias("y")), "family").filter("a <> b")
+    so_far = first.unionByName(stash(_verified(compared, overlap, top, bottom), "hub-links"))
     known = components(so_far).select(F.col("v").alias("rep"), "component")
-    open_ = crowd.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    # the first places of a class are taken by what it has alone, so one that has much of it meets nobody
     slack = F.expr(f"(n * {bottom - top}) div {top}")  # what a linked set may lack of D, at most
-    items = open_.select("rep", "family", "component", F.explode("diff").alias("s"))
-    lists = items.groupBy("family", "s").agg(F.count("*").alias("df"), (F.min("component") < F.max("component")).alias("open")).filter("df > 1")
-    placed = items.select("rep", "family", "s").join(lists, ["family", "s"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "s", "open"))).alias("lists"))
-    # the places before a class's first shared list are taken by what it has alone
-    own = open_.select("rep", "family", "component", "n", "d", F.greatest(F.lit(1), F.col("d") - slack).alias("t")).join(placed, "rep").filter(F.size("lists") >= F.col("t"))
-    short = own.select("rep", "family", "component", "n", "d", (F.col("d") - F.size("lists")).alias("alone"), F.posexplode(F.slice("lists", F.lit(1), (F.size("lists") - F.col("t") + 1).cast("int"))).alias("at", "x"))
-    merged = stash(short.filter("x.open").select("rep", "family", "component", "n", "d", (F.col("alone") + F.col("at") + 1).alias("place"), F.col("x.s").alias("s")), "difference-lists")
-    one, two = (merged.select("family", "s", F.col("rep").alias(r), F.col("n").alias(f"n{r}"), F.col("d").alias(f"d{r}"), F.col("place").alias(f"p{r}"), F.col("component").alias(f"c{r}")) for r in "ab")
+    own = crowd.select("rep", "family", "n", "d", F.greatest(F.lit(1), F.col("d") - slack).alias("t")).join(placed, "rep").filter(F.size("lists") >= F.col("t")).join(known, "rep", "left")
+    short = own.select("rep", "family", F.coalesce("component", "rep").alias("component"), "n", "d", (F.col("d") - F.size("lists")).alias("alone"), F.posexplode(F.slice("lists", F.lit(1), (F.size("lists") - F.col("t") + 1).cast("int"))).alias("at", "x"))
+    merged = stash(short.select("rep", "family", "component", "n", "d", (F.col("alone") + F.col("at") + 1).alias("place"), F.col("x.s").alias("s")), "short-difference-lists")
+    open_ = merged.groupBy("family", "s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("family", "s")
+    active = merged.join(open_, ["family", "s"], "left_semi")
+    one, two = (active.select("family", "s", F.col("rep").alias(r), F.col("n").alias(f"n{r}"), F.col("d").alias(f"d{r}"), F.col("place").alias(f"p{r}"), F.col("component").alias(f"c{r}")) for r in "ab")
     # least overlap of the differences of two linked sets, times 2 * (top + bottom)
     both = F.expr(f"(da + db) * {top + bottom} - (na + nb) * {bottom - top}")
     within = lambda d, p: (F.col(d) - F.col(p) + 1) * (2 * (top + bottom)) >= both
