@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import stash, text_of
+from cellwright.llm.common import lean, small_batches, stash, text_of
 from cellwright.llm.graph import components
 from cellwright.llm.tokens import mixed, slices
 from cellwright.llm.words import shingle_sets
@@ -57,6 +57,7 @@ def screen_length(n: int) -> int:
 def _count(size: int):
     """bucket, n: how many shingles of a partition's sets fall into each bucket."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
@@ -83,6 +84,7 @@ def list_lengths(source: DataFrame, words: int) -> np.ndarray:
 def _scan(size: int, threshold: Fraction, lengths):
     """doc_id, t, n, h1, h2 (of the set), need, short: the shortest lists, by the table of lengths and then by hash."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = lengths.value
         for batch in batches:
@@ -115,6 +117,7 @@ def _set_hashes(sets: list[np.ndarray]) -> list[pa.Array]:
 def _whole_sets(size: int):
     """rep, family, shingles (ascending) of the texts whose set has the hashes h1, h2."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
@@ -188,6 +191,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, top: int, b
 
     Vertices are numbers of rows, as ids may be null or belong to several texts.
     """
+    small_batches(docs.sparkSession)
     threshold = Fraction(top, bottom)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("t"), text_of(text_col).cast("binary").alias("text"))
     lengths = docs.sparkSession.sparkContext.broadcast(list_lengths(source, words))

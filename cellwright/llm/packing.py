@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import stash, text_of
+from cellwright.llm.common import lean, small_batches, stash, text_of
 from cellwright.llm.tokens import encoded
 
 RANK_SHARDS = 64
@@ -81,6 +81,7 @@ def best_pair(left: np.ndarray, room: int, than: int) -> tuple[int, int] | None:
 
 
 def _cutter(path: str, capacity: int, end_id: int | None, with_ids: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -115,6 +116,7 @@ def _cutter(path: str, capacity: int, end_id: int | None, with_ids: bool):
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): the first piece of a document may be shorter than the others."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
     return source.mapInArrow(_cutter(tokenizer, capacity, end_id, with_ids), schema)

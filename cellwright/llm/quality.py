@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import stash, text_of
+from cellwright.llm.common import lean, small_batches, stash, text_of
 from cellwright.llm.tokens import slices
 
 #: Hash buckets; counts and models have this size whatever the corpus.
@@ -46,6 +46,7 @@ def _padded(text: bytes) -> bytes:
     return b"\n" + text + b"\n"
 
 
+@lean
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts by bucket over a partition: of all rows and of target rows."""
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -140,6 +141,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     have the n-grams of an empty line, so the limit decides on them as on any short text; without any good label every weight
     is 0, and all rows are kept unless k is given.  Repeated rows have one key.
     """
+    small_batches(docs.sparkSession)
     # at most fit_rows small rows: they are broadcast
     sample = stash(sampled_labels(labels, id_col, label_col, fit_rows), "label-sample")
     ratio = fit(docs, sample, id_col, text_col)

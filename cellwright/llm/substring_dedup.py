@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import stash, text_of
+from cellwright.llm.common import lean, small_batches, stash, text_of
 from cellwright.llm.tokens import mixed, slices
 
 GRAM = 64
@@ -103,6 +103,7 @@ def stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _anchors(length: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a task count once
         for batch in batches:
@@ -125,6 +126,7 @@ def _anchors(length: int):
 def _regions(length: int):
     """For (c1, doc, text, marks (at, h, hot)): the bytes of each marked stretch."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, docs, texts, marks = (batch.column(k).to_pylist() for k in range(4))
@@ -186,6 +188,7 @@ def _ordered(length: int, keep_first: bool):
         owner, a, b = repeated([r[4] for r in unique], h, doc, first, length, keep_first)
         return pa.RecordBatch.from_arrays([pa.array(c1[owner]), pa.array(first[owner] + a), pa.array(first[owner] + b)], names=["c1", "a", "b"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
@@ -231,6 +234,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are judged on the input.  Null texts are empty; texts of under ``length`` bytes stay whole.  Repeated
     rows are copies of each other.  An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).cast("binary").alias("text")).withColumn("c1", F.xxhash64("text"))
     longs = source.filter(F.length("text") >= length)
     # equal texts are one class; its texts but one need no comparison

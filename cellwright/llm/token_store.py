@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import stash, text_of
+from cellwright.llm.common import lean, small_batches, stash, text_of
 from cellwright.llm.tokens import encoded
 
 WINDOW, CHUNK, LONGEST = 16, 512, 4096
@@ -72,6 +72,7 @@ def merkle(leaves: list[bytes]) -> bytes:
 def _chunker(path: str, end_id: int | None, wide: bool):
     dtype = "<u4" if wide else "<u2"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # payloads that this task has sent
         for batch in batches:
@@ -176,6 +177,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     table gives empty tables.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     merkle_root = F.pandas_udf(_roots, "binary")
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
     schema = "doc_id bigint, n_tokens bigint, chunks array<binary>, hash binary, payload binary"

@@ -14,9 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: A worker forgets its pieces beyond this many (about 40 bytes each).
-MAX_PIECES = 4_000_000
-SLICE_BYTES = 1_500_000
+#: A worker forgets its pieces beyond this many (about 25 bytes each).
+MAX_PIECES = 1_000_000
+#: Bytes of text that are cut and looked up at once; temporary arrays take some 60 times as much.
+SLICE_BYTES = 500_000
+#: Tables of powers up to this length stay with a worker (16 bytes each); one very long text has its own.
+KEPT_POWERS = 1 << 20
 _WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
 _ENCODERS: dict[str, Encoder] = {}
 _BASE = 0x9E3779B97F4A7C15
@@ -53,11 +56,14 @@ class Hasher:
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n = len(data)
-        if n >= len(self.up):
-            self.up, self.down = _powers(_BASE, n + n // 4 + 1), _powers(_INVERSE, n + n // 4 + 1)
+        up, down = self.up, self.down
+        if n >= len(up):
+            up, down = _powers(_BASE, n + n // 4 + 1), _powers(_INVERSE, n + n // 4 + 1)
+            if n <= KEPT_POWERS:
+                self.up, self.down = up, down
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.values[data] * self.up[:n], out=total[1:])
-        return mixed((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        np.cumsum(self.values[data] * up[:n], out=total[1:])
+        return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
 class Encoder:

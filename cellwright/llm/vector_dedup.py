@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import stash
+from cellwright.llm.common import lean, small_batches, stash
 from cellwright.llm.graph import components
 
 BUCKET = 8  # vectors a bucket holds on average
@@ -62,6 +62,7 @@ def _by_dim(vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield dim, rows, flat[begin[rows][:, None] + np.arange(dim)]
 
 
+@lean
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """vec_id, k1, k2 (of the vector), unit; null for a vector that links with nothing."""
     for batch in batches:
@@ -83,6 +84,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ball_codes(seed: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, rows, matrix in _by_dim(batch.column("unit")):
@@ -96,6 +98,7 @@ def _ball_codes(seed: int):
 def _places(bits: int, tables: int, seed: int):
     """dim, t, code, ball, place for every table."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
@@ -135,6 +138,7 @@ def _collisions(window: float):
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -182,6 +186,7 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     and no pair below the threshold is linked.  Vectors that are null, empty or zero, or hold nulls or non-finite components, link
     with nothing, as do vectors of different dimensions.  Repeated rows are vectors of their own; an empty table gives an empty result.
     """
+    small_batches(vectors.sparkSession)
     spread = math.acos(threshold)
     if 2 * math.radians(BALL_DEGREES) > spread:
         raise ValueError("the threshold is too near to 1 for the balls' radius")
