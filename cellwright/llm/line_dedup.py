@@ -14,9 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwright.llm.common import SPACES, ascii_lower, stash, text_of
+from cellwright.llm.common import SPACES, ascii_lower, free_name, stash, text_of
 
 WORD = 64
+#: Common lines up to which their hashes are broadcast (16 bytes each, and what a hash table takes); beyond they are joined by key.
+BROADCAST_LINES = 200_000
 
 
 def line_key(line: Column) -> Column:
@@ -52,17 +54,23 @@ def drop_bitmaps(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min
         F.min(F.struct("doc", F.element_at("positions", 1).alias("at"))).alias("first"),
     )
     if keep_first:
-        common = totals.filter((F.col("n_docs") >= min_docs) & (F.col("n_lines") > 1)).select("h1", "h2", "first")
+        common = _few(totals.filter((F.col("n_docs") >= min_docs) & (F.col("n_lines") > 1)).select("h1", "h2", "first"))
         hit = runs.join(common, ["h1", "h2"]).select("doc", F.explode("positions").alias("at"), "first")
         gone = hit.filter(~F.col("doc").eqNullSafe(F.col("first.doc")) | (F.col("at") != F.col("first.at"))).select("doc", "at.t", "at.pos")
     else:
-        common = totals.filter(F.col("n_docs") >= min_docs).select("h1", "h2")
+        common = _few(totals.filter(F.col("n_docs") >= min_docs).select("h1", "h2"))
         gone = runs.join(common, ["h1", "h2"], "left_semi").select("doc", F.explode("positions").alias("at")).select("doc", "at.t", "at.pos")
     bit = F.expr(f"shiftleft(1L, cast(pos % {WORD} as int))")
     words = gone.select("doc", "t", F.expr(f"cast(pos div {WORD} as int)").alias("word"), bit.alias("bit")).groupBy("doc", "t", "word").agg(F.bitwise_not(F.bit_or("bit")).alias("keep"))
     return words.groupBy("doc", "t").agg(F.array_sort(F.collect_list(F.struct("word", "keep"))).alias("words"))
 
 
+def _few(common: DataFrame) -> DataFrame:
+    """The common lines, to be broadcast if they are few: then the runs of a very common line need not meet in one task."""
+    written = stash(common, "common-lines")
+    return F.broadcast(written) if written.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else written
+
+
 def dropped_positions(words: Column) -> Column:
     """The line numbers whose bits are cleared."""
     bits = F.sequence(F.lit(0), F.lit(WORD - 1))
@@ -73,20 +81,21 @@ def dropped_positions(words: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with ``text_col`` replaced by the lines that stay, and n_lines, n_dropped as columns __n_lines, __n_dropped."""
-    marks = bitmaps.select(F.col("doc").alias("__doc"), F.col("t").alias("__t"), F.col("words").alias("__words"))
-    joined = docs.join(marks, docs[id_col].eqNullSafe(marks["__doc"]) & (F.xxhash64(text_of(text_col)) == marks["__t"]), "left")
+    """docs with ``text_col`` replaced by the lines that stay, and n_lines, n_dropped as columns __n_lines, __n_dropped (with an underscore more if taken)."""
+    doc, t, words = (free_name(docs, name) for name in ("__doc", "__t", "__words"))
+    marks = bitmaps.select(F.col("doc").alias(doc), F.col("t").alias(t), F.col("words").alias(words))
+    joined = docs.join(marks, docs[id_col].eqNullSafe(marks[doc]) & (F.xxhash64(text_of(text_col)) == marks[t]), "left")
     lines = F.split(text_of(text_col), "\n")
     n_lines = F.size(lines)
-    gone = dropped_positions(F.col("__words"))
+    gone = dropped_positions(F.col(words))
     stay = F.array_except(F.sequence(F.lit(0), n_lines - 1), gone)
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    n_gone = F.aggregate("__words", F.lit(0), lambda a, w: a + (WORD - F.bit_count(w["keep"])))
+    n_gone = F.aggregate(words, F.lit(0), lambda a, w: a + (WORD - F.bit_count(w["keep"])))
     return joined.select(
         *[c for c in docs.columns if c != text_col],
-        F.when(F.col("__words").isNull(), F.col(text_col)).otherwise(kept).alias(text_col),
-        n_lines.cast("bigint").alias("__n_lines"),
-        F.coalesce(n_gone, F.lit(0)).cast("bigint").alias("__n_dropped"),
+        F.when(F.col(words).isNull(), F.col(text_col)).otherwise(kept).alias(text_col),
+        n_lines.cast("bigint").alias(free_name(docs, "__n_lines")),
+        F.coalesce(n_gone, F.lit(0)).cast("bigint").alias(free_name(docs, "__n_dropped")),
     )
 
 
