@@ -46,17 +46,26 @@ def _padded(text: bytes) -> bytes:
     return b"\n" + text + b"\n"
 
 
+def text_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of all texts in a row, and how many each text has; none goes over from one text to the next."""
+    padded = [_padded(x) for x in texts]
+    found = gram_buckets(np.frombuffer(b"".join(padded), np.uint8))
+    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+    counts = np.maximum(sizes - GRAM + 1, 0)
+    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return found[np.repeat(np.cumsum(sizes) - sizes, counts) + at], counts
+
+
 @lean
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts by bucket over a partition: of all rows and of target rows."""
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
         texts, good = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in slices([len(x) for x in texts], 1 << 20):
-            raw += np.bincount(gram_buckets(np.frombuffer(b"\n".join([b"", *texts[a:b], b""]), np.uint8)), minlength=BUCKETS)
-        for x, g in zip(texts, good, strict=True):
-            if g:
-                target += np.bincount(gram_buckets(np.frombuffer(_padded(x), np.uint8)), minlength=BUCKETS)
+        for a, b in slices([len(x) for x in texts], 1 << 19):
+            found, counts = text_grams(texts[a:b])
+            raw += np.bincount(found, minlength=BUCKETS)
+            target += np.bincount(found[np.repeat(np.array(good[a:b], bool), counts)], minlength=BUCKETS)
     some = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
@@ -73,7 +82,8 @@ def fit(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> np.nd
     The counts cover every document; BUCKETS rows at most come to the driver.
     """
     good = sample.filter("good").select("id", F.lit(True).alias("good"))
-    marked = docs.join(F.broadcast(good), docs[id_col] == good.id, "left").select(text_of(text_col).cast("binary").alias("text"), F.coalesce("good", F.lit(False)).alias("good"))
+    own = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"))
+    marked = own.join(F.broadcast(good), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     counted = marked.mapInArrow(_counter, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for row in counted.collect():
@@ -92,8 +102,9 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, text_col: str, name: str) ->
 
     def score(texts: pd.Series) -> pd.Series:
         table, out = model.value, np.zeros(len(texts))
-        for k, text in enumerate(texts):
-            out[k] = table[gram_buckets(np.frombuffer(_padded(text), np.uint8))].sum()
+        for a, b in slices([len(x) for x in texts], 1 << 19):
+            found, counts = text_grams(list(texts[a:b]))
+            out[a:b] = np.bincount(np.repeat(np.arange(b - a), counts), weights=table[found], minlength=b - a)
         return pd.Series(out)
 
     return docs.withColumn(name, F.pandas_udf(score, "double")(text_of(text_col).cast("binary")))
@@ -134,10 +145,9 @@ def kth_largest(keys: DataFrame, name: str, k: int) -> float | None:
 
 
 def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 0, k: int | None = None, fit_rows: int = FIT_ROWS, good_loss: float = GOOD_LOSS) -> DataFrame:
-    """docs' ids with log_weight, key and kept: whether the key is among the k largest.
+    """docs' ids with log_weight, key and kept: whether the key is among the k largest; without ``k`` labels say how many that is.
 
-    Without ``k`` the number of rows to keep is what labelled rows say: as many as have a key no less than all but the
-    share ``good_loss`` of the labelled good ones.  Rows with equal keys at the limit all stay.  Null and empty texts
+    The number of rows to keep is then that of the keys no less than all but the share ``good_loss`` of those of labelled good rows.  Rows with equal keys at the limit all stay.  Null and empty texts
     have the n-grams of an empty line, so the limit decides on them as on any short text; without any good label every weight
     is 0, and all rows are kept unless k is given.  Repeated rows have one key.
     """
