@@ -67,14 +67,15 @@ def poisson_mix(docs: DataFrame, targets: DataFrame | None = None, id_col: str =
     """Replicate documents to the sources' target shares and shuffle them globally.
 
     Every column stays; ``copy_col`` numbers a document's copies from 0 and ``key_col`` is the hash by which rows are dealt
-    to partitions and sorted inside them.  Rows with equal ids draw the same number.  An empty table stays empty.
+    to partitions and sorted inside them; where docs has a column of one of these names, the new one gets an underscore.  Rows with equal ids draw the same number.  An empty table stays empty.
     """
-    rate, draw = free_name(docs, "rate"), free_name(docs, "draw")
-    own = stash(rates(docs, targets, source_col, id_col, total), "rates").select(F.col("source").alias("__source"), F.col("rate").alias(rate))
+    rate, draw, wanted = (free_name(docs, name) for name in ("rate", "draw", "wanted_source"))
+    copy_col, key_col = free_name(docs, copy_col), free_name(docs, key_col)
+    own = stash(rates(docs, targets, source_col, id_col, total), "rates").select(F.col("source").alias(wanted), F.col("rate").alias(rate))
     few = own.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = docs.join(F.broadcast(own) if few else own, F.col(source_col).eqNullSafe(F.col("__source"))).drop("__source")
+    joined = docs.join(F.broadcast(own) if few else own, F.col(source_col).eqNullSafe(F.col(wanted))).drop(wanted)
     counted = joined.withColumn(draw, poisson(seed, F.col(rate), id_col)).filter(F.col(draw) > 0)
     copies = counted.withColumn(copy_col, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(draw) - 1))).drop(draw)
     keyed = copies.withColumn(key_col, F.md5(F.concat_ws(":", F.lit(f"{seed}:mix"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(copy_col).cast("string"))))
     out = keyed.repartition(F.col(key_col)).sortWithinPartitions(key_col)
-    return out.drop(rate) if rate_col is None else out.withColumnRenamed(rate, rate_col)
+    return out.drop(rate) if rate_col is None else out.withColumnRenamed(rate, free_name(docs, rate_col))
