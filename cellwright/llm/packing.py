@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from cellwright.llm.common import lean, small_batches, stash, text_of
 from cellwright.llm.tokens import encoded
 
-RANK_SHARDS = 64
+#: Pieces of one length that a task puts in order, about.
+SHARD_PIECES = 100_000
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
@@ -122,15 +123,15 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int
     return source.mapInArrow(_cutter(tokenizer, capacity, end_id, with_ids), schema)
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
-    """pieces with place: their rank within their length, from 0; a length that a third of all pieces have is ranked in shards."""
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_SHARDS)).cast("int")
+def ranked(pieces: DataFrame, most: int) -> DataFrame:
+    """pieces with place: their rank within their length, from 0; ``most``: pieces of the most frequent length, which make the number of shards."""
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(1, -(-most // SHARD_PIECES)))).cast("int")
     dealt = pieces.withColumn("shard", shard)
     counts = dealt.groupBy("length", "shard").count()
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
     own = Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "start", "ids_crc32")
-    return dealt.withColumn("own", F.row_number().over(own)).join(F.broadcast(offsets), ["length", "shard"]).withColumn("place", F.col("ahead") + F.col("own") - 1).drop("shard", "own", "ahead")
+    return dealt.withColumn("own", F.row_number().over(own)).join(offsets, ["length", "shard"]).withColumn("place", F.col("ahead") + F.col("own") - 1).drop("shard", "own", "ahead")
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -157,7 +158,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     # slots of a length cover its ranks without a gap; a slot is found by the range that holds the rank
     steps = spark.createDataFrame(slots or [(-1, 0, 0, 0, 0)], "length bigint, first bigint, times bigint, sequence bigint, at bigint")
     table = steps.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "sequence", "at"))).alias("slots"))
-    found = ranked(kept).join(F.broadcast(table), "length", "left")
+    found = ranked(kept, int(counts.max())).join(F.broadcast(table), "length", "left")
     slot = slot_of(F.col("slots"), F.col("place"))
     placed = found.withColumn("slot", slot)
     return placed.select(
