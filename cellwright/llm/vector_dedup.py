@@ -13,6 +13,7 @@ triangle inequality decides it, and member by member otherwise.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -45,6 +46,7 @@ def calibrated(n: int, threshold: float, recall: float) -> tuple[int, int, float
     return bits, tables, WINDOW * math.sqrt(2 * (1 - threshold))
 
 
+@functools.lru_cache(maxsize=8)
 def directions(dim: int, count: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, count))
 
@@ -184,15 +186,16 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     ``recall`` is the probability that a pair right at the threshold becomes a candidate; closer pairs pass more surely,
     and no pair below the threshold is linked.  Vectors that are null, empty or zero, or hold nulls or non-finite components, link
-    with nothing, as do vectors of different dimensions.  Repeated rows are vectors of their own; an empty table gives an empty result.
+    with nothing, as do vectors of different dimensions.  Rows are vectors of their own whatever their ids: with null or
+    equal ids they link as others do, a component is named by the smallest id in it, and by null where none of its rows has one.  An empty table gives an empty result.
     """
     small_batches(vectors.sparkSession)
     spread = math.acos(threshold)
     if 2 * math.radians(BALL_DEGREES) > spread:
         raise ValueError("the threshold is too near to 1 for the balls' radius")
     source = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    base = stash(source.mapInArrow(_units, "vec_id bigint, k1 bigint, k2 bigint, unit array<double>"), "units")
-    classes = stash(base.filter("unit is not null").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("vec_id").alias("cid"), F.first("unit").alias("unit")), "vector-classes")
+    base = stash(source.mapInArrow(_units, "vec_id bigint, k1 bigint, k2 bigint, unit array<double>").withColumn("row", F.monotonically_increasing_id()), "units")
+    classes = stash(base.filter("unit is not null").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("row").alias("cid"), F.min("vec_id").alias("least_id"), F.first("unit").alias("unit")), "vector-classes")
     bits, tables, window = calibrated(classes.count(), threshold, recall)
     state = stash(_balls(classes, seed).join(classes.select("cid", "copies"), "cid"), "vectors-in-balls")
     balls = stash(state.groupBy("ball").agg(F.max("angle").alias("radius"), F.sum("copies").alias("weight")).join(state.select(F.col("cid").alias("ball"), "unit"), "ball"), "ball-table")
@@ -224,8 +227,9 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     counted = state.join(weights, "ball").join(around, "ball", "left").join(singles, "cid", "left").join(merged.withColumnRenamed("v", "ball"), "ball", "left")
     counted = counted.select("cid", F.coalesce("component", "ball").alias("group"), (F.col("weight") - 1 + F.coalesce("around", F.lit(0)) + F.coalesce("single", F.lit(0))).alias("n_links"))
     counted = stash(counted, "vector-links")
-    least = counted.groupBy("group").agg(F.min("cid").alias("component_id"))
-    found = classes.select("k1", "k2", "cid").join(counted.join(least, "group"), "cid").select("k1", "k2", "n_links", "component_id")
+    named = classes.select("k1", "k2", "cid", "least_id").join(counted, "cid")
+    least = named.groupBy("group").agg(F.min("least_id").alias("component_id"))
+    found = named.join(least, "group").select("k1", "k2", "n_links", "component_id")
     out = base.select("vec_id", "k1", "k2").join(found, ["k1", "k2"], "left")
-    component = F.coalesce("component_id", "vec_id")
+    component = F.when(F.col("k1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
