@@ -1,11 +1,10 @@
 """Exact substring deduplication over a whole corpus.
 
 Every string of ``length`` bytes is assigned to the least hash among the 64-byte grams in it, so equal strings meet
-under one hash wherever they stand, and only stretches whose hash occurs again are looked at.  Stretches of one hash are
-put into suffix order, truncated at ``length`` bytes: equal strings are named alike (by 64 hash bits, as
-in prefix doubling) and lie side by side, by position.  In that order the previous smaller position of a suffix is its
-neighbour before and the next one its neighbour behind, so the longest previous factor reaches ``length``
-if the neighbour before has the same name.
+under one hash wherever they stand, and only stretches whose hash occurs again are looked at.  A suffix array over the bytes of
+stretches that share hashes, truncated at ``length`` bytes, is built by prefix doubling; suffixes that agree so far lie side by side, by
+position.  From it comes the array of longest previous factors, as far as ``length``: the previous smaller position of a suffix
+in that order, if it agrees over ``length`` bytes, is the earlier match that removes it.
 
 A hash with more stretches than HOT is not left to one task: its strings are counted by name with pre-aggregation.
 """
@@ -24,6 +23,7 @@ from cellwright.llm.common import lean, small_batches, stash, text_of
 from cellwright.llm.tokens import mixed, slices
 
 GRAM = 64
+NULL_ID = (1 << 63) - 1  # where a null id stands among ids
 #: Strings in a stretch, at most.
 LONGEST = 1024
 #: Stretches of one hash that a task puts in order; beyond, counting by name does it.
@@ -147,28 +147,48 @@ def _regions(length: int):
     return run
 
 
+def truncated_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """Rank of data[i : i + length] among all such strings, at each i where it fits, by prefix doubling; equal strings have one rank."""
+    width = min(8, length)
+    n = len(data) - width + 1
+    if len(data) < length:
+        return np.zeros(0, np.int64)
+    rank = np.zeros(n, np.uint64)
+    for k in range(width):
+        rank = rank << np.uint64(8) | data[k : k + n]
+    while True:
+        order = np.argsort(rank)
+        ordered = rank[order]
+        rank = np.empty(len(order), np.uint64)
+        rank[order] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1])).astype(np.uint64)
+        if width == length:
+            return rank.astype(np.int64)
+        step = min(width, length - width)
+        rank = rank[: len(rank) - step] << np.uint64(32) | rank[step:]
+        width += step
+
+
 def repeated(regions: list[bytes], groups: np.ndarray, docs: np.ndarray, firsts: np.ndarray, length: int, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """region, first string, last string of the runs of strings that occur elsewhere (with keep_first: earlier) under the same hash.
+    """region, first string, last string of the runs of strings that occur elsewhere (with keep_first: earlier).
 
     A stretch may be there more than once (copies of its text were in several tasks); it counts once.
     """
     sizes = np.fromiter(map(len, regions), np.int64, len(regions))
-    names = rolling(np.frombuffer(b"".join(regions), np.uint8), length)
+    ranks = truncated_ranks(np.frombuffer(b"".join(regions), np.uint8), length)
     begin = np.cumsum(sizes) - sizes
     count = sizes - length + 1
     owner = np.repeat(np.arange(len(regions)), count)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    name = names[begin[owner] + inner] ^ mixed(groups.view(np.uint64).copy())[owner]
-    if keep_first:
-        order = np.lexsort((firsts[owner] + inner, docs[owner], name))
-    else:
-        order = np.argsort(name)
-    ranked = name[order]
-    same = ranked[1:] == ranked[:-1]
+    rank = ranks[begin[owner] + inner]
+    # the suffix array: by the first ``length`` bytes, then by position in the corpus
+    order = np.lexsort((firsts[owner] + inner, groups[owner], docs[owner], rank)) if keep_first else np.argsort(rank, kind="stable")
+    # among suffixes that agree over ``length`` bytes positions ascend, so the previous smaller position is the one before
+    # and its common prefix is the longest previous factor, cut at ``length``; the next position is the one behind
+    agree = rank[order][1:] == rank[order][:-1]
     marked = np.zeros(len(order), bool)
-    marked[order[1:][same]] = True
+    marked[order[1:][agree]] = True
     if not keep_first:
-        marked[order[:-1][same]] = True
+        marked[order[:-1][agree]] = True
     # runs of marked strings within a region
     before = np.zeros(len(marked), bool)
     before[1:] = marked[:-1] & (inner[1:] > 0)
@@ -185,7 +205,7 @@ def _ordered(length: int, keep_first: bool):
     def result(rows: list[tuple]) -> pa.RecordBatch:
         unique = list({(h, c1, first): (h, c1, doc, first, data) for h, c1, doc, first, data in rows}.values())
         h, c1, doc, first = (np.array([r[k] for r in unique], np.int64) for k in range(4))
-        owner, a, b = repeated([r[4] for r in unique], h, doc, first, length, keep_first)
+        owner, a, b = repeated([r[4] for r in unique], c1, doc, first, length, keep_first)
         return pa.RecordBatch.from_arrays([pa.array(c1[owner]), pa.array(first[owner] + a), pa.array(first[owner] + b)], names=["c1", "a", "b"])
 
     @lean
@@ -232,7 +252,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A byte goes if a string of ``length`` bytes over it also starts anywhere else in the corpus, or, with ``keep_first``,
     starts somewhere before: in a document with a smaller id, or further ahead in the same one.  Strings never cross documents and
     are judged on the input.  Null texts are empty; texts of under ``length`` bytes stay whole.  Repeated
-    rows are copies of each other.  An empty table gives an empty result.
+    rows are copies of each other (with ``keep_first`` rows with equal ids and texts are one document).  A null id comes after all others.  An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).cast("binary").alias("text")).withColumn("c1", F.xxhash64("text"))
@@ -248,14 +268,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = classes.join(marks, "c1", "left").select("c1", "copies", "rep", "marks")
 
     joined = source.join(known, "c1", "left").select("doc_id", "c1", "copies", "rep", "marks", "text")
-    whole_copy = (F.col("copies") > 1) & ((F.col("doc_id") != F.col("rep")) if keep_first else F.lit(True))
+    whole_copy = (F.col("copies") > 1) & (~F.col("doc_id").eqNullSafe(F.col("rep")) if keep_first else F.lit(True))
     first_row = F.col("doc_id").eqNullSafe(F.col("rep"))
     goes = F.coalesce(whole_copy, F.lit(False))
     needed = F.col("marks").isNotNull() & (~goes | first_row)
     # only texts with a stretch that occurs again are looked at further
     table = stash(joined.select("doc_id", "c1", F.length("text").cast("bigint").alias("n_bytes"), goes.alias("goes"), (needed & first_row).alias("first_row"), F.when(needed, F.col("marks")).alias("marks"), F.when(goes & ~(needed & first_row), F.lit(b"")).otherwise(F.col("text")).alias("text")), "marked-texts")
 
-    regions = table.filter("first_row").select("c1", F.col("doc_id").alias("doc"), "text", "marks").mapInArrow(_regions(length), "h bigint, hot boolean, c1 bigint, doc bigint, first bigint, bytes binary")
+    regions = table.filter("first_row").select("c1", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text", "marks").mapInArrow(_regions(length), "h bigint, hot boolean, c1 bigint, doc bigint, first bigint, bytes binary")
     cold = regions.filter(~F.col("hot")).select("h", "c1", "doc", "first", "bytes").repartition("h").sortWithinPartitions("h")
     runs = cold.mapInArrow(_ordered(length, keep_first), "c1 bigint, a bigint, b bigint").unionByName(_hot_runs(regions.filter("hot"), length, keep_first))
     found = runs.groupBy("c1").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
