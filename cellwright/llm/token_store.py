@@ -156,10 +156,10 @@ def shifted_crc(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 
 
 def _joined_up(parts: pd.Series) -> pd.DataFrame:
-    """Root, CRC-32 and number of ids of documents from their chunks' (seq, hash, n_ids, crc), in order."""
+    """Root, CRC-32 and number of ids of documents from their chunks' (seq, hash, n_ids, crc), in order; crc and n_ids of a bad chunk are null."""
     rows = [list(x) for x in parts]
-    crc = np.array([p["crc"] for x in rows for p in x], np.uint64)
-    n = np.array([p["n_ids"] for x in rows for p in x], np.int64)
+    crc = np.array([p["crc"] or 0 for x in rows for p in x], np.uint64)
+    n = np.array([p["n_ids"] or 0 for x in rows for p in x], np.int64)
     size = np.array([len(x) for x in rows], np.int64)
     total = np.zeros(len(n) + 1, np.int64)
     np.cumsum(n, out=total[1:])
