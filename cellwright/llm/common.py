@@ -17,7 +17,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows and bytes of a batch that goes to a Python worker; Spark's default of 10,000 rows may be gigabytes of long texts.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("", "8m")}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -54,10 +54,10 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what is sent to Python workers at once, unless the session has its own settings."""
-    for key, (default, own) in BATCH.items():
-        if spark.conf.get(key, default) == default:
-            spark.conf.set(key, own)
+    """Bound what is sent to Python workers at once, unless the session has a number of rows of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        for key, value in BATCH.items():
+            spark.conf.set(key, value)
 
 
 def lean(run: Callable) -> Callable:

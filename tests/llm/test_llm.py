@@ -411,3 +411,66 @@ def test_sql(spark, sf, name):
     answer = con.sql(ORACLE_SQL[name])
     at = [answer.columns.index(c) for c in df.columns]
     assert sorted(map(tuple, df.collect())) == sorted(tuple(r[k] for k in at) for r in answer.fetchall())
+
+
+def test_scores_do_not_depend_on_partitions(spark, docs):
+    runs = [{r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(docs.repartition(k), tokenizer_path()).collect()} for k in (1, 7)]
+    assert runs[0] == pytest.approx(runs[1], rel=1e-4)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id bigint, quality int")
+    weights = [{r["doc_id"]: r["log_weight"] for r in quality.importance_resample(docs.repartition(k), labels).collect()} for k in (1, 7)]
+    assert weights[0] == pytest.approx(weights[1]) and len(set(weights[0].values())) > 5
+
+
+def test_grams_stay_inside_texts():
+    texts = [b"", b"a", b"stone river", b"ab\ncd" * 9]
+    found, counts = quality.text_grams(texts)
+    alone = [quality.gram_buckets(np.frombuffer(b"\n" + x + b"\n", np.uint8)).tolist() for x in texts]
+    assert counts.tolist() == [len(x) for x in alone] and found.tolist() == sum(alone, [])
+
+
+def test_clashing_column_names(spark):
+    schema = "doc_id bigint, text string, source string, good boolean, copy string, mix_key string, wanted_source string, __words string, __n_lines string, __doc string, __t string, id bigint"
+    one = spark.createDataFrame([(k, f"line {k}\nshared", "s", None, "c", "m", "w", "x", "n", "d", "t", 7) for k in range(4)], schema)
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id bigint, quality int")
+    assert quality.keep_good(spark, one, labels).columns == one.columns
+    mixed = mixing.poisson_mix(one, seed=3)
+    assert mixed.columns == [*one.columns, "copy_", "mix_key_"] and {r["copy"] for r in mixed.collect()} <= {"c"}
+    lines = line_dedup.line_dedup(one, min_docs=3)
+    assert {r["text"] for r in lines.collect()} == {f"line {k}" for k in range(4)} and {r["__n_lines_"] for r in lines.collect()} == {2} and {r["__words"] for r in lines.collect()} == {"x"}
+    for out in (ngram_join.ngram_jaccard_join(one), substring_dedup.substring_dedup(one), lm_scoring.lm_scores(one, tokenizer_path()), packing.best_fit_packing(one, tokenizer_path())):
+        assert out.count() == 4
+
+
+def test_vectors_with_null_and_equal_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [1.0, 0.02]), (None, [0.0, 1.0]), (4, [0.01, 1.0]), (None, [0.02, 1.0]), (None, [-1.0, -1.0]), (5, None)]
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in vector_dedup.vector_dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect())
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (0, 2, 4, False), (4, 2, 4, True), (0, 2, 4, False), (0, 0, 0, True), (5, 0, 5, True)])
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_substrings_of_documents_without_ids(spark, keep_first):
+    passage = "".join(chr(97 + k) for k in np.random.default_rng(9).integers(0, 26, 260))
+    rows = [(None, "x#" + passage), (3, passage + " y"), (None, "z" + passage), (3, "other %" + passage)]
+    got = {bytes(r["kept"]).decode() for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), length=200, keep_first=keep_first).collect()}
+    assert got >= ({"x#", "z"} if keep_first else {"x#", " y", "z", "other %"}) and len(got) == 4
+
+
+def test_ranks_of_truncated_suffixes():
+    data = np.frombuffer(b"banana bandana banana bandana!" * 3, np.uint8)
+    for length in (1, 5, 8, 13, 30, 31):
+        strings = [data[k : k + length].tobytes() for k in range(len(data) - length + 1)]
+        place = {x: k for k, x in enumerate(sorted(set(strings)))}
+        assert substring_dedup.truncated_ranks(data, length).tolist() == [place[x] for x in strings]
+
+
+@pytest.mark.parametrize("table,column", [("parts", "payload"), ("recipes", "chunks"), ("recipes", "root")])
+def test_a_store_that_was_tampered_with_fails(spark, docs, table, column):
+    path = new_path(spark, "store")
+    token_store.write_store(docs, path, tokenizer_path(), end_id=2)
+    rows = spark.read.parquet(f"{path}/{table}")
+    changed = {"payload": F.overlay("payload", F.lit(b"\x01"), F.lit(1)), "chunks": F.reverse(F.col("chunks")), "root": F.overlay("root", F.lit(b"\x01"), F.lit(1))}[column]
+    other = new_path(spark, "store")
+    for name in ("parts", "recipes", "manifest"):
+        (rows.withColumn(column, changed) if name == table else spark.read.parquet(f"{path}/{name}")).write.parquet(f"{other}/{name}")
+    with pytest.raises(Exception, match="doesn't hold document"):
+        token_store.verified(spark, other).collect()
