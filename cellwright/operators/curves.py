@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,43 +83,83 @@ def savgol(curve: DataFrame, window: int, order: int, y: str = "y", name: str =
     return ends.withColumn(name, F.greatest(out, F.lit(0.0)) if clip else out).drop("__l", "__n", "__k", "__f", "__e")
 
 
+def _lowest_since_higher(h: list[float]) -> list[float]:
+    """For each place the least value after the nearest higher one before it (or the start), up to the place itself; one pass with a stack."""
+    out, stack = [], []
+    for value in h:
+        low = value
+        while stack and stack[-1][0] <= value:
+            low = min(low, stack.pop()[1])
+        stack.append((value, low))
+        out.append(low)
+    return out
+
+
+def local_maxima(i: np.ndarray, y: np.ndarray) -> list[tuple[int, float, float]]:
+    """(place, height, prominence) of maxima that are higher than what lies on both sides; a flat top counts at its middle."""
+    some = ~np.isnan(y)
+    i, y = i[some], y[some]
+    if len(y) < 3:
+        return []
+    begin = np.flatnonzero(np.append(True, y[1:] != y[:-1]))
+    end = np.append(begin[1:], len(y)) - 1
+    h = y[begin].tolist()
+    left, right = _lowest_since_higher(h), _lowest_since_higher(h[::-1])[::-1]
+    inner = [k for k in range(1, len(h) - 1) if h[k] > h[k - 1] and h[k] > h[k + 1]]
+    return [(int(i[begin[k]] + i[end[k]]) // 2, h[k], h[k] - max(left[k], right[k])) for k in inner]
+
+
+def crossings(i: np.ndarray, y: np.ndarray, place: int, level: float) -> tuple[float, float]:
+    """Fractional places left and right of a peak where the curve falls to the level; the curve's ends if it doesn't."""
+    below = np.flatnonzero(y < level)
+    at = np.searchsorted(i, place)
+    cut = np.searchsorted(below, at)
+    left, right = float(i[0]), float(i[-1])
+    if cut > 0:
+        k = below[cut - 1]
+        left = i[k] + (level - y[k]) / (y[k + 1] - y[k])
+    if cut < len(below):
+        k = below[cut]
+        right = i[k] - (level - y[k]) / (y[k - 1] - y[k])
+    return float(left), float(right)
+
+
+def _arrays(curve: DataFrame, y: str, keys: list[str]) -> DataFrame:
+    """One row for each curve: points, sorted by i."""
+    return curve.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), F.col("x").cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("points"))
+
+
 def peaks(curve: DataFrame, y: str = "y", height: float | None = None, prominence: float | None = None, keys: list[str] = KEYS) -> DataFrame:
-    """keys, i, x, y, prominence, left_base, right_base of local maxima; a flat top counts at its middle.
+    """keys, i, x, y, prominence of local maxima; a flat top counts at its middle.
 
-    A peak's bases lie between it and the nearest higher points on both sides (or the ends): found by a join with the points of its own curve, a few thousand.
+    A curve has some thousands of points: they come together once, as an array, and a pass with a stack finds all prominences.
     """
-    w = ordered(keys, "i")
-    changed = curve.withColumn("__new", F.coalesce(F.col(y) != F.lag(y).over(w), F.lit(True)).cast("int")).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = changed.groupBy(*keys, "__run").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.first(y).alias("h"))
-    wr = ordered(keys, "__run")
-    tops = runs.withColumn("__p", F.lag("h").over(wr)).withColumn("__q", F.lead("h").over(wr)).filter("h > __p and h > __q")
-    tops = tops.select(*keys, F.floor((F.col("a") + F.col("b")) / 2).cast("int").alias("p"), "h")
-    if height is not None:
-        tops = tops.filter(F.col("h") >= height)
-    points = curve.select(*keys, F.col("i").alias("__i"), F.col(y).alias("__y"))
-    higher = tops.join(points, keys).groupBy(*keys, "p", "h").agg(
-        F.max(F.when((F.col("__i") < F.col("p")) & (F.col("__y") > F.col("h")), F.col("__i"))).alias("l"), F.min(F.when((F.col("__i") > F.col("p")) & (F.col("__y") > F.col("h")), F.col("__i"))).alias("r")
-    )
-    inside = higher.join(points, keys).filter((F.col("l").isNull() | (F.col("__i") > F.col("l"))) & (F.col("r").isNull() | (F.col("__i") < F.col("r"))))
-    low = inside.groupBy(*keys, "p", "h").agg(F.min(F.when(F.col("__i") <= F.col("p"), F.col("__y"))).alias("lm"), F.min(F.when(F.col("__i") >= F.col("p"), F.col("__y"))).alias("rm"))
-    out = low.withColumn("prominence", F.col("h") - F.greatest("lm", "rm")).drop("lm", "rm")
-    if prominence is not None:
-        out = out.filter(F.col("prominence") >= prominence)
-    return out.join(curve.select(*keys, F.col("i").alias("p"), "x"), [*keys, "p"]).select(*keys, F.col("p").alias("i"), "x", F.col("h").alias("y"), "prominence")
+
+    def found(i: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([[{"p": p, "h": h, "prominence": r} for p, h, r in local_maxima(np.asarray(a), np.asarray(b, float))] for a, b in zip(i, values, strict=True)])
+
+    maxima = F.pandas_udf(found, "array<struct<p:int,h:double,prominence:double>>")
+    rows = _arrays(curve, y, keys).select(*keys, "points", F.explode(maxima("points.i", "points.y")).alias("m"))
+    at = F.get(F.filter("points", lambda p: p["i"] == F.col("m.p")), F.lit(0))
+    out = rows.select(*keys, F.col("m.p").alias("i"), at["x"].alias("x"), F.col("m.h").alias("y"), F.col("m.prominence").alias("prominence"))
+    for column, least in (("y", height), ("prominence", prominence)):
+        if least is not None:
+            out = out.filter(F.col(column) >= least)
+    return out
 
 
 def peak_widths(found: DataFrame, curve: DataFrame, y: str = "y", rel: float = 0.5, keys: list[str] = KEYS) -> DataFrame:
     """left, right (fractional places of the crossings of y - rel * prominence) and width in steps of each peak."""
-    points = curve.select(*keys, F.col("i").alias("__i"), F.col(y).alias("__y"), F.lead(y).over(ordered(keys, "i")).alias("__next"), F.lag(y).over(ordered(keys, "i")).alias("__prev"))
-    level = F.col("y") - rel * F.col("prominence")
-    joined = found.withColumn("__level", level).join(points, keys)
-    below = F.col("__y") < F.col("__level")
-    agg = joined.groupBy(*keys, "i", "x", "y", "prominence", "__level").agg(
-        F.max(F.when(below & (F.col("__i") < F.col("i")), F.struct("__i", "__y", "__next"))).alias("l"), F.min(F.when(below & (F.col("__i") > F.col("i")), F.struct("__i", "__y", "__prev"))).alias("r"), F.min("__i").alias("__a"), F.max("__i").alias("__b")
-    )
-    left = F.coalesce(F.col("l.__i") + ratio(F.col("__level") - F.col("l.__y"), F.col("l.__next") - F.col("l.__y")), F.col("__a").cast("double"))
-    right = F.coalesce(F.col("r.__i") - ratio(F.col("__level") - F.col("r.__y"), F.col("r.__prev") - F.col("r.__y")), F.col("__b").cast("double"))
-    return agg.select(*keys, "i", "x", "y", "prominence", left.alias("left"), right.alias("right"), (right - left).alias("width"))
+
+    def crossed(i: pd.Series, values: pd.Series, peak: pd.Series, level: pd.Series) -> pd.DataFrame:
+        both = [[crossings(np.asarray(a), np.asarray(b, float), p, c) for p, c in zip(q, d, strict=True)] for a, b, q, d in zip(i, values, peak, level, strict=True)]
+        return pd.DataFrame({"left": [[x[0] for x in one] for one in both], "right": [[x[1] for x in one] for one in both]})
+
+    cut = F.pandas_udf(crossed, "struct<left:array<double>,right:array<double>>")
+    listed = found.groupBy(*keys).agg(F.collect_list(F.struct("i", "x", "y", "prominence", (F.col("y") - rel * F.col("prominence")).alias("level"))).alias("tops"))
+    joined = _arrays(curve, y, keys).join(listed, keys).select(*keys, "tops", cut("points.i", "points.y", "tops.i", "tops.level").alias("cut"))
+    each = joined.select(*keys, F.explode(F.arrays_zip("tops", F.col("cut.left").alias("left"), F.col("cut.right").alias("right"))).alias("t"))
+    return each.select(*keys, "t.tops.i", "t.tops.x", "t.tops.y", "t.tops.prominence", "t.left", "t.right", (F.col("t.right") - F.col("t.left")).alias("width"))
 
 
 def main_peak(curve: DataFrame, widths: DataFrame, low: float, high: float, y: str = "y", keys: list[str] = KEYS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwright.functions.columns import ordered, ratio, trapezoid
+from cellwright.operators.curves import savgol
 
 KEYS = ["cell_id", "cycle"]
 
@@ -88,6 +89,12 @@ def equal_voltage_times(phased: DataFrame, phase: str, intervals: list[tuple[flo
     return rows.groupBy(*keys).agg(*(F.greatest(F.coalesce(first(b) - first(a), F.lit(0.0)), F.lit(0.0)).alias(f"{phase}_time_{k}") for k, (a, b) in enumerate(intervals, 1)))
 
 
+def smoothed_temperature(rows: DataFrame, window: int = 51, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:
+    """rows with temperature_c after a Savitzky-Golay filter of third order; a cycle shorter than the window stays as it is."""
+    curve = rows.withColumn("i", F.col(order))
+    return savgol(curve, window, 3, y="temperature_c", name="__smooth", keys=keys).withColumn("temperature_c", F.col("__smooth")).drop("__smooth", "i")
+
+
 def thermal(smooth: DataFrame, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:
     """Temperatures, heating rates and load from (smoothed) temperatures; zeros with under 5 rows, rates with over 5 only."""
     w = ordered(keys, order)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwright.functions.columns import ordered, running
+from cellwright.operators.curves import peaks
 
 KEYS = ["cell_id", "cycle"]
 
@@ -122,3 +123,49 @@ def renumbered(cycles: DataFrame, reject: Column, limit: int | None = None, firs
         cycles = cycles.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= limit).drop("__k")
     kept = cycles.filter(~F.coalesce(reject, F.lit(False))).withColumn("new_cycle", F.row_number().over(w))
     return kept.filter(F.col("new_cycle") <= limit) if limit and not first_limit else kept
+
+
+def histogram_stages(rows: DataFrame, tolerance: float = 0.3, window: int = 15, bins: int = 100, apart: int = 5, gap: float = 120.0, least: float = 60.0, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:
+    """keys, stage, start_s, duration_s, current_a: constant-current charge stages around the most frequent currents.
+
+    Currents go through a median filter (zeros beyond the ends); a histogram of those over 0.1 A has peaks, at least ``apart`` bins from each other and
+    with a prominence of a hundredth of its rows.  Rows within ``tolerance`` of a peak's current (the lowest such) form runs; runs of one current, or of currents
+    under 0.5 A both, with less than ``gap`` seconds in between are one stage; stages of under ``least`` seconds go.  The current is
+    the mean over the rows within twice the tolerance.  A cycle without peaks has no stages.
+    """
+    w, whole = ordered(keys, order), Window.partitionBy(*keys)
+    half = window // 2
+    near = F.collect_list("current_a").over(w.rowsBetween(-half, half))
+    padded = F.array_sort(F.concat(near, F.array_repeat(F.lit(0.0), F.lit(window) - F.size(near))))
+    smooth = rows.withColumn("__s", F.get(padded, F.lit(half))).withColumn("__k", F.row_number().over(w))
+    charging = F.when(F.col("__s") > 0.1, F.col("__s"))
+    sized = smooth.withColumn("__top", F.greatest(F.max(charging).over(whole), F.lit(1.0)) * 1.1).withColumn("__n", F.count(charging).over(whole))
+
+    # the histogram with all its bins, as curves for ``peaks``
+    bin_ = F.least(F.floor(F.col("__s") / F.col("__top") * bins), F.lit(bins - 1)).cast("int")
+    counted = sized.filter("__s > 0.1").groupBy(*keys, "__top", "__n", bin_.alias("bin")).agg(F.count("*").alias("c"))
+    filled = counted.groupBy(*keys, "__top", "__n").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m")).select(*keys, "__top", "__n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("i"), "m")
+    curve = filled.select(*keys, "i", ((F.col("i") + 0.5) * F.col("__top") / bins).alias("x"), F.coalesce(F.element_at("m", F.col("i")), F.lit(0)).cast("double").alias("y"), F.col("__n").alias("n"))
+    tops = peaks(curve, keys=keys).groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list(F.struct("y", "i", "x", "prominence")))).alias("tops"))
+    # the higher one stays (of equal ones the later), then what is prominent
+    none = F.filter("tops", lambda p: F.lit(False))
+    chosen = F.aggregate("tops", none, lambda kept, p: F.when(F.exists(kept, lambda q: F.abs(q["i"] - p["i"]) < apart), kept).otherwise(F.concat(kept, F.array(p))))
+    currents = tops.select(*keys, chosen.alias("tops"))
+
+    marked = sized.join(currents, keys).withColumn("__c", F.array_min(F.transform(F.filter("tops", lambda p: (p["prominence"] >= F.col("__n") * 0.01) & (F.abs(F.col("__s") - p["x"]) < tolerance)), lambda p: p["x"])))
+    runs = marked.withColumn("__new", (~F.col("__c").eqNullSafe(F.lag("__c").over(w)) | (F.col("__k") == 1)).cast("int")).withColumn("__run", F.sum("__new").over(w))
+    parts = runs.filter("__c is not null").groupBy(*keys, "__run").agg(F.min("__k").alias("a"), F.max("__k").alias("b"), F.min_by("time_s", "__k").alias("t0"), F.max_by("time_s", "__k").alias("t1"), F.first("__c").alias("c"))
+    listed = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("a", "b", "t0", "t1", "c"))).alias("parts"))
+
+    def stitched(done: Column, part: Column) -> Column:
+        last = F.element_at(done, -1)
+        joins = (part["t0"] - last["t1"] < gap) & ((part["c"] == last["c"]) | ((part["c"] < 0.5) & (last["c"] < 0.5)))
+        longer = F.struct(last["a"].alias("a"), part["b"].alias("b"), last["t0"].alias("t0"), part["t1"].alias("t1"), last["c"].alias("c"))
+        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(part)))
+
+    merged = F.aggregate(F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0))), F.slice("parts", 1, 1), stitched)
+    segments = listed.select(*keys, F.filter(merged, lambda p: p["t1"] - p["t0"] >= least).alias("segments")).filter(F.size("segments") > 0)
+    inside = smooth.join(segments, keys).withColumn("s", F.get(F.filter("segments", lambda p: F.col("__k").between(p["a"], p["b"])), F.lit(0))).filter("s is not null")
+    mean = F.avg(F.when(F.abs(F.col("current_a") - F.col("s.c")) < 2 * tolerance, F.col("current_a")))
+    found = inside.groupBy(*keys, "s").agg(mean.alias("m")).select(*keys, F.col("s.t0").alias("start_s"), (F.col("s.t1") - F.col("s.t0")).alias("duration_s"), F.coalesce("m", F.col("s.c")).alias("current_a"))
+    return found.withColumn("stage", F.row_number().over(ordered(keys, "start_s"))).select(*keys, "stage", "start_s", "duration_s", "current_a")

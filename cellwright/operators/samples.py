@@ -94,14 +94,43 @@ def errors(y: str = "y", pred: str = "pred") -> list[Column]:
 
 def relative_errors(df: DataFrame, keys: list[str], y: str = "y", pred: str = "pred") -> DataFrame:
     """rse, and corr as sum(dx dy) / sqrt(sum(dx^2 dy^2)); means first, then deviations."""
-    k = Window.partitionBy(*keys)
-    d = df.withColumn("__y", F.col(y) - F.avg(y).over(k)).withColumn("__p", F.col(pred) - F.avg(pred).over(k))
+    means = df.groupBy(*keys).agg(F.avg(y).alias("__my"), F.avg(pred).alias("__mp"))  # a row for each key, joined back: few keys don't gather rows
+    same = [df[k].eqNullSafe(means[k]) for k in keys]
+    joined = df.join(means, same).select(df["*"], "__my", "__mp")
+    d = joined.withColumn("__y", F.col(y) - F.col("__my")).withColumn("__p", F.col(pred) - F.col("__mp"))
     return d.groupBy(*keys).agg(
         F.sqrt(ratio(F.sum(F.pow(F.col(y) - F.col(pred), F.lit(2.0))), F.sum(F.col("__y") * F.col("__y")))).alias("rse"),
         ratio(F.sum(F.col("__y") * F.col("__p")), F.sqrt(F.sum(F.col("__y") * F.col("__y") * F.col("__p") * F.col("__p")))).alias("corr"),
     )
 
 
+def weighted_errors(weight: str, y: str = "y", pred: str = "pred") -> list[Column]:
+    """MAE, MSE and MAPE with a weight for each row."""
+    w, e = F.col(weight), F.col(pred) - F.col(y)
+    mean = lambda x: ratio(F.sum(w * x), F.sum(w))
+    return [mean(F.abs(e)).alias("mae"), mean(e * e).alias("mse"), mean(ratio(F.abs(e), F.greatest(F.abs(F.col(y)), F.lit(EPSILON)))).alias("mape")]
+
+
+def multi_output_errors(outputs: list[tuple[str, str]]) -> list[Column]:
+    """mae_k of each output (y, pred), and mae, their mean."""
+    each = [F.avg(F.abs(F.col(p) - F.col(y))) for y, p in outputs]
+    return [*(m.alias(f"mae_{k}") for k, m in enumerate(each)), (sum(each[1:], each[0]) / len(each)).alias("mae")]
+
+
+def whole_lives(soh: DataFrame, least: float = 0.78) -> DataFrame:
+    """Trajectories (cell_id, cycle, soh) of the cells whose last state of health is no less than ``least``."""
+    last = soh.groupBy("cell_id").agg(F.max_by("soh", "cycle").alias("__last")).filter(F.col("__last") >= least)
+    return soh.join(last, "cell_id", "left_semi")
+
+
+def first_columns(df: DataFrame, n: int, with_last: bool = False) -> DataFrame:
+    """The first n numeric columns, and with ``with_last`` the last one too; all numeric columns if there aren't so many."""
+    numeric = [c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal")]
+    if with_last and n > 0:
+        return df.select(*(numeric[:n] + numeric[-1:] if len(numeric) > n else numeric))
+    return df.select(*(numeric[:n] if 0 < n <= len(numeric) else numeric))
+
+
 def point_adjust(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """adjusted: a hit anywhere in a true segment marks the whole segment; the first row of a series is not back-filled."""
     w = ordered(keys, order)

@@ -11,30 +11,74 @@ from cellwright.functions.columns import ordered, ratio
 
 #: Pairs whose moments go into one aggregate: more would not be compiled as one.
 PAIRS_AT_ONCE = 150
-#: Families by name parts, tried in order (fixed values).
-FAMILIES = [("Thermo", ("temp", "heat", "thermal")), ("Energy", ("energy", "capacity", "efficiency")), ("Kinetics", ("time", "rate", "tau", "resistance", "slope", "current")), ("Curve", ("icp", "icv", "dvp", "dvv", "fwhm", "peak"))]
-#: Parts of names by priority level; level 2 is tried before 1, then 3, 4, else 5 (fixed values).
-PRIORITIES = [(2, ("energy", "efficiency")), (1, ("capacity", "icp", "resistance")), (3, ("slope", "time")), (4, ("temp", "heat"))]
+#: Families of features (fixed values): exact names first, in this order.
+EXACT = {
+    "Energy": "discharge_capacity charge_capacity discharge_energy charge_energy coulombic_efficiency energy_efficiency",
+    "Kinetics": "internal_resistance cv_current_tau tccc tcvc rcv charge_c_rate discharge_c_rate rest_time total_discharge_time"
+    " uvp_time lvp_time v_rest_end charge_time_ratio_1_2 charge_time_1 charge_time_2 charge_time_3"
+    " discharge_time_1 discharge_time_2 discharge_time_3 discharge_time_4",
+    "Thermodynamics": "dtp dtpl_v mat_charge mat_discharge met_charge met_discharge mint_charge mint_discharge"
+    " t_rise_charge t_rise_discharge thermal_load_charge thermal_load_discharge skew_t_discharge temperature heatrate ambient_temperature",
+    "Curve": "icp icpl_v icp_area icp_fwhm icv icvl_v dvp dvpl_v dvp_q dvv dvvl_v dvv_q dvp_fwhm dvp_area centroid_voltage"
+    " ratio_peak1_peak3 v_diff_peak3_peak1",
+    "Geometric": "skew_v_discharge var_i_charge max_i_charge var_i_discharge var_v_discharge median_v_discharge"
+    " charge_slope_1 charge_slope_2 charge_slope_3 discharge_slope_1 discharge_slope_2 discharge_slope_3"
+    " tevi_1 tevi_2 tevi_3 tevd_1 tevd_2 tevd_3 charge_current_1 charge_current_2 charge_current_3"
+    " discharge_current_1 discharge_current_2 discharge_current_3 discharge_current_4",
+    "Metadata": "workload_type icp_is_missing dvp_type peak_mode ichv idv uvp lvp soc",
+}
+#: Families by parts of normalized names, for all other features, in this order (fixed values); without a match: Geometric.
+PARTS = [
+    ("Thermodynamics", "temperature heat t_rise temp"),
+    ("Energy", "capacity energy"),
+    ("Kinetics", "resistance tau time rate current_tau"),
+    ("Curve", "ic dv peak area"),
+    ("Geometric", "slope skewness kurtosis var_ mean_ median_"),
+]
+#: Physical priorities by parts of lower-case names, in this order (fixed values); without a match: 5.
+PRIORITIES = [
+    (2, "icp_area dvp_area icp_fwhm centroid_voltage t_rise_discharge dtp heatrate ichv idv v_rest_end uvp_time lvp_time charge_slope_ discharge_slope_ tevi_ tevd_"),
+    (1, "icpl_v dvpl_v icvl_v dvvl_v icp dvp icv dvv internal_resistance cv_current_tau rcv coulombic_efficiency ambient_temperature"),
+    (3, "skew_ kurtosis_ var_ median_"),
+    (4, "discharge_capacity charge_capacity discharge_energy charge_energy"),
+]
 
 
 def normal_name(name: Column) -> Column:
-    """Lower case, without parentheses; blanks, '-' and '/' as '_'."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(name), r"\(.*?\)", "")), r"[ \-/]+", "_")
+    """Lower case, without parentheses; blanks, '-' and '/' as one '_', none at the ends."""
+    bare = F.regexp_replace(F.lower(F.trim(name)), r"\([^)]*\)", "")
+    return F.btrim(F.regexp_replace(F.regexp_replace(bare, r"[\s\-/]+", "_"), "_+", "_"), F.lit("_"))
 
 
 def _first_rule(name: Column, rules: list[tuple], default) -> Column:
     out = F.lit(default)
     for value, parts in reversed(rules):
-        out = F.when(F.greatest(F.lit(False), *(F.contains(name, F.lit(p)) for p in parts)), F.lit(value)).otherwise(out)
+        out = F.when(F.greatest(F.lit(False), *(F.contains(name, F.lit(p)) for p in parts.split())), F.lit(value)).otherwise(out)
     return out
 
 
 def families(features: DataFrame) -> DataFrame:
-    return features.filter("feature <> 'cycle_number'").withColumn("family", _first_rule(normal_name(F.col("feature")), FAMILIES, "Geometric"))
+    """``features`` with family, without the cycle number: by exact name, else by parts of the name."""
+    name = normal_name(F.col("feature"))
+    family = _first_rule(name, PARTS, "Geometric")
+    for value, names in reversed(EXACT.items()):
+        family = F.when(name.isin(*names.split()), F.lit(value)).otherwise(family)
+    return features.filter(name != "cycle_number").withColumn("family", family)
 
 
 def priorities(features: DataFrame, rules: list[tuple] = PRIORITIES) -> DataFrame:
-    return features.withColumn("level", _first_rule(normal_name(F.col("feature")), rules, 5))
+    """``features`` with level: 1 (core mechanism) to 5; other tables of levels may be given."""
+    return features.withColumn("level", _first_rule(F.lower("feature"), rules, 5))
+
+
+def target_relevance(relevance: DataFrame, threshold: float) -> DataFrame:
+    """feature, r: of correlations (a, b, r) with a target the features with |r| of the threshold or more; a constant one has none."""
+    return relevance.filter(F.abs("r") >= threshold).select(F.col("a").alias("feature"), "r")
+
+
+def target_decides(wide: DataFrame, target: str, least: int = 5) -> DataFrame:
+    """n_targets, keep_all: with fewer distinct targets than ``least`` a selection by relevance keeps all features."""
+    return wide.agg(F.countDistinct(target).alias("n_targets")).withColumn("keep_all", F.col("n_targets") < least)
 
 
 def pearson_pairs(wide: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

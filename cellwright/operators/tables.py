@@ -53,3 +53,8 @@ def ordered_columns(df: DataFrame, priority: list[str]) -> DataFrame:
     """Columns of the priority list first, the others by name."""
     first = [c for c in priority if c in df.columns]
     return df.select(*first, *sorted(c for c in df.columns if c not in first))
+
+
+def without(rows: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFrame:
+    """rows whose keys aren't among the excluded ones; a null key is never excluded."""
+    return rows.join(excluded.select(*keys), keys, "left_anti")

@@ -194,6 +194,14 @@ def j9(spark, d):
     return rounded(joined.select("cell_id", "dataset", "mode", (F.col("nominal_capacity_ah") * 0.005).alias("dv_step")))
 
 
+@query("j6_excluded_cycles", with_(TELEMETRY) + """SELECT cell_id, cycle, count(*) AS n_rows FROM telemetry t WHERE NOT EXISTS (SELECT 1 FROM telemetry x WHERE x.cell_id = t.cell_id AND x.cycle = t.cycle AND x.time_s > 1743)
+GROUP BY ALL""")
+def j6(spark, d):
+    rows = fx.telemetry(spark, d)
+    late = rows.filter("time_s > 1743").select(*KEYS).distinct()
+    return t.without(rows, late, KEYS).groupBy(*KEYS).agg(F.count("*").alias("n_rows"))
+
+
 @query("e2_relative_features", None)
 def e2(spark, d):
     """Cleaning and imputation in one job, wide again (rows only: each step has its own SQL)."""

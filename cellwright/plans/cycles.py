@@ -66,6 +66,12 @@ def _stages(spark, d):
     return ph.charge_stages(fx.telemetry(spark, d).filter("current_a > 0"), big=0.3, small=0.02, dv=0.12, least=3)
 
 
+@query("ph5_histogram_stages")
+def ph5(spark, d):
+    """Peaks of a histogram and a fold over runs: no SQL; a test compares it with a loop."""
+    return rounded(ph.histogram_stages(fx.telemetry(spark, d), tolerance=0.1))
+
+
 @query("ph6_stable_phase", with_(TELEMETRY) + """, s AS (SELECT *, CASE WHEN abs(current_a) >= 0.6 * max(abs(current_a)) OVER (PARTITION BY cell_id, cycle) THEN 1 ELSE 0 END AS stable FROM telemetry WHERE current_a < 0),
 f AS (SELECT *, sum(stable) OVER (PARTITION BY cell_id, cycle ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 AS full_run FROM s)
 SELECT cell_id, cycle, min(CASE WHEN full_run THEN seq END) AS first_stable, CAST(sum(stable) AS BIGINT) AS n_stable FROM f GROUP BY ALL""")
@@ -110,10 +116,10 @@ def ph10(spark, d):
     return ph.rest_by_index(fx.telemetry(spark, d))
 
 
-@query("ph11_workload_type", with_(TELEMETRY) + """, b AS (SELECT cell_id, cycle, min(CASE WHEN current_a > 0 THEN time_s END) AS c, min(CASE WHEN current_a < 0 THEN time_s END) AS d FROM telemetry WHERE seq % 30 >= cycle GROUP BY ALL)
+@query("ph11_workload_type", with_(TELEMETRY) + """, b AS (SELECT cell_id, cycle, min(CASE WHEN current_a > 0 AND seq >= cycle % 31 THEN time_s END) AS c, min(CASE WHEN current_a < 0 AND seq >= cycle % 31 THEN time_s END) AS d FROM telemetry GROUP BY ALL)
 SELECT cell_id, cycle, CAST(CASE WHEN c IS NULL AND d IS NULL THEN -1 WHEN d IS NULL THEN 2 WHEN c IS NULL THEN 3 WHEN c <= d THEN 0 ELSE 1 END AS INT) AS workload_type FROM b""")
 def ph11(spark, d):
-    return ph.workload_type(fx.telemetry(spark, d).filter("seq % 30 >= cycle"))
+    return ph.workload_type(fx.telemetry(spark, d).withColumn("current_a", F.when(F.col("seq") >= F.col("cycle") % 31, F.col("current_a")).otherwise(0.0)))
 
 
 @query("ph12_cycle_rejection", with_(TELEMETRY) + """, b AS (SELECT cell_id, cycle, max(time_s) AS t FROM telemetry GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY cycle) AS new_cycle FROM b WHERE NOT (t > 1743))
@@ -194,6 +200,12 @@ def fe15(spark, d):
     return rounded(fe.thermal(fx.telemetry(spark, d)))
 
 
+@query("fe15_smoothed_thermal")
+def fe15_smoothed(spark, d):
+    """On Savitzky-Golay temperatures: no SQL; a test compares it with numpy."""
+    return rounded(fe.thermal(fe.smoothed_temperature(fx.telemetry(spark, d), 29)))
+
+
 @query("fe16_stage_features", S["ph4_charge_stages"].replace("SELECT cell_id, cycle, n_rows, duration_s, current_a, row_number()", ", st AS (SELECT cell_id, cycle, n_rows, duration_s, current_a, row_number()") + """)
 SELECT cell_id, cycle, """ + ", ".join(f"coalesce(max(CASE WHEN stage = {k} THEN current_a END), 0) AS charge_current_{k}, coalesce(max(CASE WHEN stage = {k} THEN duration_s END), 0) AS charge_time_{k}" for k in (1, 2, 3)) + """,
   round(coalesce(coalesce(max(CASE WHEN stage = 1 THEN duration_s END), 0) / nullif(coalesce(max(CASE WHEN stage = 2 THEN duration_s END), 0), 0), 0), 6) AS charge_time_ratio_1_2 FROM st GROUP BY ALL""")

@@ -36,26 +36,33 @@ def wide(spark, d):
     )
 
 
-def feature_names(spark):
-    names = ["Charge_Energy", "Internal_Resistance(ohm)", "Mean HeatRate", "ICP_Area", "skew_V", "charge_slope_1", "cycle_number", "Discharge_Capacity", "MAT/MinT temp"]
-    return spark.createDataFrame([(n, k) for k, n in enumerate(names)], "feature string, position int")
-
-
-FAMILY = "lower(regexp_replace(p_name, ' ', '_', 'g'))"
-
-
-def part_names(spark, d):
-    return fx.table(spark, d, "part").select(F.col("p_partkey"), F.concat(F.lit("x_"), F.element_at(F.array(*(F.lit(x) for x in ("Energy", "Heat", "slope", "ICP", "capacity", "skew"))), (F.col("p_partkey") % 6 + 1).cast("int"))).alias("feature"))
-
-
-@query("fs1_families", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Energy' WHEN 1 THEN 'Thermo' WHEN 2 THEN 'Kinetics' WHEN 3 THEN 'Curve' WHEN 4 THEN 'Energy' ELSE 'Geometric' END AS family FROM part")
+#: Names of features with the family and the level that they must get.
+NAMES = [
+    ("Discharge_Capacity", "Energy", 4), ("Charge_Capacity", "Energy", 4), ("Discharge_Energy", "Energy", 4), ("Charge_Energy", "Energy", 4), ("Coulombic_Efficiency", "Energy", 1), ("Energy_Efficiency", "Energy", 5),
+    ("Internal_Resistance(ohm)", "Kinetics", 1), ("CV_Current_Tau", "Kinetics", 1), ("TCCC", "Kinetics", 5), ("RCV(V)", "Kinetics", 1), ("Charge_C_Rate", "Kinetics", 5), ("Rest_Time", "Kinetics", 5), ("UVP_Time", "Kinetics", 2), ("V_rest_end", "Kinetics", 2), ("charge_time_1", "Kinetics", 5),
+    ("DTP", "Thermodynamics", 2), ("DTPL_V", "Thermodynamics", 2), ("MAT_Charge", "Thermodynamics", 5), ("T_rise_Discharge", "Thermodynamics", 2), ("T_rise_Charge", "Thermodynamics", 5), ("skew_T_discharge", "Thermodynamics", 3), ("HeatRate", "Thermodynamics", 2), ("Ambient_Temperature", "Thermodynamics", 1),
+    ("ICP", "Curve", 1), ("ICPL_V", "Curve", 1), ("ICP_Area", "Curve", 2), ("ICP_FWHM", "Curve", 2), ("DVP_Q", "Curve", 1), ("DVV", "Curve", 1), ("Centroid_Voltage", "Curve", 2), ("ratio_peak1_peak3", "Curve", 5),
+    ("skew_V_discharge", "Geometric", 3), ("var_I_charge", "Geometric", 3), ("max_I_charge", "Geometric", 5), ("charge_slope_1", "Geometric", 2), ("TEVI_1", "Geometric", 2), ("median_V_discharge", "Geometric", 3), ("charge_current_1", "Geometric", 5),
+    ("workload_type", "Metadata", 5), ("ICP_is_missing", "Metadata", 1), ("DVP_type", "Metadata", 1), ("ICHV", "Metadata", 2), ("IDV", "Metadata", 2), ("soc", "Metadata", 5), ("UVP", "Metadata", 5),
+    (" Mean Heat-Rate ", "Thermodynamics", 5), ("Peak Area", "Curve", 5), ("Total / Time", "Kinetics", 5), ("Loop Resistance", "Kinetics", 5), ("Stored Energy", "Energy", 5), ("Area Energy/temp", "Thermodynamics", 5), ("kurtosis_V", "Geometric", 3), ("mean_I", "Geometric", 5), ("Voltage Noise", "Geometric", 5), ("Static Voltage", "Curve", 5), ("dv_dt(V/s)", "Curve", 5), ("Cycle Number", None, 5),
+]
+NAMED = "names(k, feature, family, level) AS (VALUES " + ", ".join(f"({k}, '{n}', {repr(f) if f else 'NULL'}, {p})" for k, (n, f, p) in enumerate(NAMES)) + f"), named AS (SELECT p_partkey, names.* FROM part JOIN names ON p_partkey % {len(NAMES)} = k)"
+
+
+def named_parts(spark, d):
+    """Every part with a feature's name."""
+    names = F.broadcast(spark.createDataFrame([(k, n) for k, (n, _, _) in enumerate(NAMES)], "k int, feature string"))
+    return fx.table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(NAMES)).cast("int").alias("k")).join(names, "k").select("p_partkey", "feature")
+
+
+@query("fs1_families", with_(NAMED) + "SELECT p_partkey, feature, family FROM named WHERE family IS NOT NULL")
 def fs1(spark, d):
-    return fs.families(part_names(spark, d)).select("p_partkey", "family")
+    return fs.families(named_parts(spark, d)).select("p_partkey", "feature", "family")
 
 
-@query("fs2_priorities", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 5 END AS level FROM part")
+@query("fs2_priorities", with_(NAMED) + "SELECT p_partkey, feature, level FROM named")
 def fs2(spark, d):
-    return fs.priorities(part_names(spark, d)).select("p_partkey", "level")
+    return fs.priorities(named_parts(spark, d)).select("p_partkey", "feature", "level")
 
 
 def corr_sql(table: str, pairs) -> str:
@@ -109,9 +116,12 @@ def fs9(spark, d):
     return rounded(fs.two_stage_losers(fs.pearson_pairs(wide(spark, d), PAIRS), ranked, 0.98, 0.5))
 
 
-@query("fs7_target_relevance", with_(WIDE, "tr AS (" + corr_sql("wide", TARGETS) + ")") + "SELECT a AS feature, r FROM tr WHERE abs(r) >= 0.1")
+RELEVANCE = [(c, "price") for c in ("quantity", "discount", "tax", "twice", "constant", "target")]
+
+
+@query("fs7_target_relevance", with_(WIDE, "tr AS (" + corr_sql("wide", RELEVANCE) + ")") + "SELECT a AS feature, r FROM tr WHERE abs(r) >= 0.1")
 def fs7(spark, d):
-    return rounded(fs.pearson_pairs(wide(spark, d), TARGETS).filter(F.abs("r") >= 0.1).select(F.col("a").alias("feature"), "r"))
+    return rounded(fs.target_relevance(fs.pearson_pairs(wide(spark, d), RELEVANCE), 0.1))
 
 
 @query("fs8_binned_information", with_(WIDE) + """, e AS (SELECT quantile_cont(price, [0.2, 0.4, 0.6, 0.8]) AS fx, quantile_cont(target, [0.2, 0.4, 0.6, 0.8]) AS ty FROM wide),
@@ -127,17 +137,21 @@ def fs12(spark, d):
     return rounded(fs.permutation_importance(wide(spark, d), ["quantity", "discount"], F.col("quantity") * 1000 + F.col("discount"), "price", "id", repeats=2))
 
 
-IMPORTANCE = "imp AS (SELECT o_custkey % 5 AS seed, 'f' || o_orderkey % 12 AS feature, round(avg(o_totalprice), 4) AS importance FROM orders WHERE (o_orderkey + o_custkey) % 3 <> 0 GROUP BY ALL)"
+IMPORTANCE = """imp AS (SELECT seed, feature, importance FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY importance DESC, feature) AS place
+  FROM (SELECT o_custkey % 5 AS seed, 'f' || o_orderkey % 12 AS feature, round(avg(o_totalprice), 4) AS importance FROM orders GROUP BY ALL)) WHERE place <= 8)"""
 
 
 def importance(spark, d):
-    o = fx.table(spark, d, "orders").filter("(o_orderkey + o_custkey) % 3 <> 0")
-    return o.groupBy((F.col("o_custkey") % 5).alias("seed"), F.concat(F.lit("f"), (F.col("o_orderkey") % 12).cast("string")).alias("feature")).agg(F.round(F.avg("o_totalprice") + 1e-9, 4).alias("importance"))
+    """The eight most important of twelve features for each of five seeds."""
+    o = fx.table(spark, d, "orders")
+    means = o.groupBy((F.col("o_custkey") % 5).alias("seed"), F.concat(F.lit("f"), (F.col("o_orderkey") % 12).cast("string")).alias("feature")).agg(F.round(F.avg("o_totalprice") + 1e-9, 4).alias("importance"))
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("importance"), "feature"))  # of 12 rows
+    return means.withColumn("place", place).filter("place <= 8").drop("place")
 
 
 @query("fs13_selection_shortcut", with_(WIDE) + "SELECT count(DISTINCT quantity) AS n_targets, count(DISTINCT quantity) < 5 AS keep_all FROM wide")
 def fs13(spark, d):
-    return wide(spark, d).agg(F.countDistinct("quantity").alias("n_targets")).withColumn("keep_all", F.col("n_targets") < 5)
+    return fs.target_decides(wide(spark, d), "quantity")
 
 
 @query("fs14_robustness", with_(IMPORTANCE) + """, r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY importance DESC, feature) AS rank FROM imp)
@@ -167,10 +181,10 @@ def fs18(spark, d):
     return fs.importance_knee(importance(spark, d).groupBy("feature").agg(F.sum("importance").alias("importance")), 0.9)
 
 
-@query("fs20_feature_matrix", """WITH s AS (SELECT DISTINCT 'f' || s_suppkey % 7 AS feature, r_name AS dataset FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 4 <> 0)
+@query("fs20_feature_matrix", """WITH s AS (SELECT DISTINCT 'f' || s_suppkey % 97 AS feature, r_name AS dataset FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
 SELECT feature, CAST(max(CASE WHEN dataset = 'ASIA' THEN 1 ELSE 0 END) AS INT) AS ASIA, CAST(max(CASE WHEN dataset = 'EUROPE' THEN 1 ELSE 0 END) AS INT) AS EUROPE, CAST(max(CASE WHEN dataset = 'ASIA' THEN 1 ELSE 0 END) + max(CASE WHEN dataset = 'EUROPE' THEN 1 ELSE 0 END) AS INT) AS n_datasets FROM s GROUP BY feature""")
 def fs20(spark, d):
-    rows = fx.cells(spark, d).filter("cell_id % 4 <> 0").select(F.concat(F.lit("f"), (F.col("cell_id") % 7).cast("string")).alias("feature"), "dataset").distinct()
+    rows = fx.cells(spark, d).select(F.concat(F.lit("f"), (F.col("cell_id") % 97).cast("string")).alias("feature"), "dataset").distinct()
     return fs.feature_matrix(rows, ["ASIA", "EUROPE"])
 
 
@@ -188,13 +202,16 @@ def sm2(spark, d):
 SOH = "soh AS (SELECT cell_id, cycle, qd / (0.16 + cycle * 0.002 + cell_id % 5 * 0.01) AS soh FROM qd)"
 
 
+def _soh(spark, d):
+    q = fx.discharge_capacity(fx.telemetry(spark, d))
+    return q.select("cell_id", "cycle", (F.col("qd") / (0.16 + F.col("cycle") * 0.002 + F.col("cell_id") % 5 * 0.01)).alias("soh"))
+
+
 @query("sm3_end_of_life", with_(TELEMETRY, QD, SOH) + """, r AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY cycle) AS k, row_number() OVER (PARTITION BY cell_id ORDER BY cycle DESC) AS b FROM soh),
 a AS (SELECT cell_id, max(CASE WHEN b = 1 THEN soh END) AS e, min(CASE WHEN soh <= 0.85 THEN k END) AS f, regr_slope(k, soh) FILTER (WHERE b <= 20) AS s, regr_intercept(k, soh) FILTER (WHERE b <= 20) AS c FROM r GROUP BY cell_id)
 SELECT cell_id, CAST(CASE WHEN e > 0.85 THEN floor(s * 0.85 + c) ELSE f END AS BIGINT) AS life FROM a WHERE e < 0.95""")
 def sm3(spark, d):
-    q = fx.discharge_capacity(fx.telemetry(spark, d))
-    soh = q.select("cell_id", "cycle", (F.col("qd") / (0.16 + F.col("cycle") * 0.002 + F.col("cell_id") % 5 * 0.01)).alias("soh"))
-    return sm.end_of_life(soh, limit=0.85, near=0.95)
+    return sm.end_of_life(_soh(spark, d), limit=0.85, near=0.95)
 
 
 @query("sm4_early_samples", with_(TELEMETRY, FEATURES, LABELS) + """, n AS (SELECT cell_id, count(*) AS n FROM features GROUP BY cell_id HAVING count(*) >= 3) SELECT n.cell_id, CAST(unnest(range(3, least(n, 10) + 1)) AS INT) AS n_cycles, CAST(life AS BIGINT) AS life FROM n JOIN life_labels l ON n.cell_id = l.cell_id""")
@@ -262,10 +279,15 @@ def ev5(spark, d):
     return _errors(fx.predictions(spark, d).groupBy("n_cycles").agg(*sm.errors()))
 
 
-@query("ev6_weighted_errors", with_(PREDICTIONS) + "SELECT model, round(sum(n_cycles * abs(pred - y)) / sum(n_cycles), 6) AS mae, round(sum(n_cycles * abs(pred - y) / y) / sum(n_cycles), 6) AS mape FROM predictions GROUP BY model")
+@query("ev6_weighted_errors", with_(PREDICTIONS) + """SELECT model, round(sum(n_cycles * abs(pred - y)) / sum(n_cycles), 6) AS mae, round(sum(n_cycles * (pred - y) * (pred - y)) / sum(n_cycles), 3) AS mse,
+  round(sum(n_cycles * abs(pred - y) / y) / sum(n_cycles), 6) AS mape FROM predictions GROUP BY model""")
 def ev6(spark, d):
-    w, e = F.col("n_cycles"), F.abs(F.col("pred") - F.col("y"))
-    return rounded(fx.predictions(spark, d).groupBy("model").agg((F.sum(w * e) / F.sum(w)).alias("mae"), (F.sum(w * e / F.col("y")) / F.sum(w)).alias("mape")))
+    return _errors(fx.predictions(spark, d).groupBy("model").agg(*sm.weighted_errors("n_cycles")))
+
+
+@query("ev6_multi_output", with_(PREDICTIONS) + """SELECT model, round(avg(abs(pred - y)), 6) AS mae_0, round(avg(abs(seen - n_cycles)), 6) AS mae_1, round((avg(abs(pred - y)) + avg(abs(seen - n_cycles))) / 2, 6) AS mae FROM predictions GROUP BY model""")
+def ev6_multi(spark, d):
+    return rounded(fx.predictions(spark, d).groupBy("model").agg(*sm.multi_output_errors([("y", "pred"), ("n_cycles", "seen")])))
 
 
 SERIES = "series AS (SELECT o_orderpriority AS g, o_orderkey, CAST(o_totalprice AS DOUBLE) AS y, o_totalprice * (1 + (o_orderkey % 7) / 100.0) AS pred, lag(CAST(o_totalprice AS DOUBLE), 4) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS back FROM orders)"
@@ -327,3 +349,13 @@ def ev12(spark, d):
 @query("ev14_life_histogram", with_(LABELS) + "SELECT CAST(floor(life / 100) * 100 AS BIGINT) AS bin, count(*) AS n FROM life_labels GROUP BY 1")
 def ev14(spark, d):
     return fx.life_labels(spark, d).groupBy((F.floor(F.col("life") / 100) * 100).cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("ev14_soh_trajectories", with_(TELEMETRY, QD, SOH) + "SELECT soh.cell_id, cycle, round(soh, 6) AS soh FROM soh JOIN (SELECT cell_id, arg_max(soh, cycle) AS last FROM soh GROUP BY cell_id) e ON soh.cell_id = e.cell_id WHERE last >= 0.78")
+def ev14_soh(spark, d):
+    return rounded(sm.whole_lives(_soh(spark, d)))
+
+
+@query("sm5_column_slices", with_(WIDE) + "SELECT id, round(quantity, 6) AS quantity, round(price, 6) AS price, round(target, 6) AS target FROM wide")
+def sm5(spark, d):
+    return rounded(sm.first_columns(wide(spark, d), 3, with_last=True))

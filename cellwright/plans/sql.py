@@ -12,7 +12,7 @@ TELEMETRY = """telemetry AS (SELECT cell_id, CAST(floor(rn / 30) AS INT) + 1 AS
   25 + l_quantity / 10 AS temperature_c
 FROM (SELECT l_suppkey AS cell_id, l_quantity, l_discount, l_tax, l_linenumber,
         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1 AS rn
-      FROM lineitem) x WHERE rn < 540)"""
+      FROM lineitem) x)"""
 
 QD = """qd AS (SELECT cell_id, cycle, ROUND(sum(CASE WHEN current_a < 0 THEN abs(current_a) * (time_s - pt) ELSE 0 END) / 3600, 9) AS qd
   FROM (SELECT *, lag(time_s) OVER (PARTITION BY cell_id, cycle ORDER BY seq) AS pt FROM telemetry) x GROUP BY cell_id, cycle)"""
