@@ -243,8 +243,13 @@ def _linked(source: DataFrame, base: DataFrame, words: int, top: int, bottom: in
     chosen = middle.select("c.rep").unionByName(others.select("c.rep")).distinct()
     hubs = crowd.join(chosen, "rep", "left_semi").select("family", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("diff").alias("x"))
     compared = hubs.join(crowd.select("family", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("diff").alias("y")), "family").filter("a <> b")
-    so_far = first.unionByName(stash(_verified(compared, overlap, top, bottom), "hub-links"))
-    known = components(so_far).select(F.col("v").alias("rep"), "component")
+    second = stash(_verified(compared, overlap, top, bottom), "hub-links")
+    so_far = first.unionByName(second)
+    # members that are linked to one centre are in one component; the middle goes before the others
+    to_hub = second.join(middle.select(F.col("c.rep").alias("a"), F.lit(True).alias("best")), "a", "left")
+    ties = to_hub.select(F.col("b").alias("rep"), F.when(F.col("best"), 0).otherwise(1).alias("order"), "a")
+    ties = ties.unionByName(middle.select(F.col("c.rep").alias("rep"), F.lit(0).alias("order"), F.col("c.rep").alias("a"))).unionByName(first.select(F.col("b").alias("rep"), F.lit(1).alias("order"), "a"))
+    known = ties.groupBy("rep").agg(F.min(F.struct("order", "a")).alias("m")).select("rep", F.col("m.a").alias("component"))
 
     # the first places of a class are taken by what it has alone, so one that has much of it meets nobody
     slack = F.expr(f"(n * {bottom - top}) div {top}")  # what a linked set may lack of D, at most
