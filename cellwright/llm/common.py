@@ -21,10 +21,17 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.exec
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def one_machine(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; where it is unset a temporary one in a session of one machine (tests), an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not one_machine(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = "file://" + tempfile.mkdtemp(prefix="cellwright-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

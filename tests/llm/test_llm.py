@@ -474,3 +474,161 @@ def test_a_store_that_was_tampered_with_fails(spark, docs, table, column):
         (rows.withColumn(column, changed) if name == table else spark.read.parquet(f"{path}/{name}")).write.parquet(f"{other}/{name}")
     with pytest.raises(Exception, match="doesn't hold document"):
         token_store.verified(spark, other).collect()
+
+
+class FailingFiles:
+    """A file system whose reads fail or fall short now and then, each place for the first time only."""
+
+    def __init__(self, fs):
+        self.fs, self.seen, self.failed = fs, set(), 0
+
+    def open_input_file(self, path):
+        inner, outer = self.fs.open_input_file(path), self
+
+        class File:
+            def read_at(self, size, offset):
+                if (path, offset) not in outer.seen:
+                    outer.seen.add((path, offset))
+                    if len(outer.seen) % 3 == 0:
+                        outer.failed += 1
+                        raise OSError("lost")
+                    if len(outer.seen) % 3 == 1:
+                        outer.failed += 1
+                        return inner.read_at(size // 2, offset)
+                return inner.read_at(size, offset)
+
+        return File()
+
+
+def test_members_are_read_again_by_offset(spark, docs, monkeypatch):
+    path = new_path(spark, "media")
+    listed = media.write_archives(docs, path).collect()
+    found, local = media._filesystem(path)
+    failing = FailingFiles(found)
+    monkeypatch.setattr(media, "_filesystem", lambda p: (failing, local))
+    monkeypatch.setattr(media.time, "sleep", lambda s: None)
+    reader = media.ArchiveReader({"path": path})
+    got = {}
+    for row in listed:
+        for start in range(0, row["size"], 900):
+            for batch in reader.read(media.Range(row["archive"], start, min(start + 900, row["size"]), row["size"])):
+                for r in batch.to_pylist():
+                    assert r["doc_id"] not in got
+                    got[r["doc_id"]] = r["media"]
+    assert failing.failed > 20 and {k: media.to_png(media.padded(t.encode())) for k, t in TEXTS.items()} == got
+
+
+def brute_quality(rows, labels, noise):
+    """Ids that the importance resampling keeps, from counts in dictionaries."""
+    import collections
+
+    def grams(t):
+        b = b"\n" + (t or "").encode() + b"\n"
+        out = []
+        for k in range(len(b) - 3):
+            h = 0
+            for x in b[k : k + 4]:
+                h = (h * 257 + x) & 0xFFFFFFFF
+            out.append((h * 0x9E3779B1 & 0xFFFFFFFF) >> 16)
+        return out
+
+    good = {i for i, q in labels if q == 1}
+    raw, target = collections.Counter(), collections.Counter()
+    for r in rows:
+        raw.update(grams(r["text"]))
+        if r["doc_id"] in good:
+            target.update(grams(r["text"]))
+    share = sum(target.values()) / sum(raw.values())
+    keys = [(r["doc_id"], sum(math.log(target[g] + 1) - math.log(raw[g] * share + 1) for g in grams(r["text"])) + noise[r["doc_id"]]) for r in rows]
+    least = min(k for i, k in keys if i in good)  # under 500 good rows none may fall
+    return [k >= least - 1e-9 for _, k in keys]
+
+
+def brute_poisson(seed, doc, rate):
+    u = int(hashlib.md5(f"{seed}:{'' if doc is None else doc}".encode()).hexdigest()[:13], 16) / 2**52
+    k, p = 0, math.exp(-rate)
+    c = p
+    while u >= c:
+        k += 1
+        p *= rate / k
+        c += p
+    return k
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    import collections
+
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(15)
+    say = lambda n: " ".join(rng.choice(WORDS, n)) + "\n" + " ".join(f"w{k}" for k in rng.integers(0, 500, n))
+    texts = [("Common  line \n" if 5 < k < 22 else "") + say(int(rng.integers(3, 60))) for k in range(30)]
+    texts += [t + " more" for t in texts[:8]] + [texts[3], texts[4], None, "", "zq#@!$ %^&*" * 20, "0101 " * 90] + [f"common  line\n{say(9)}" for _ in range(12)]
+    docs = spark.createDataFrame([(None if k == 5 else k, t, "en", ["a", "b", "b", None][k % 4], None if t is None else len(t)) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = [(k, int(k % 3 != 0)) for k in range(0, 30)]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def staged(k, before):
+        return cp.STAGES[k][1](spark, spark.createDataFrame(before, docs.schema), str(tmp_path)).collect()
+
+    as_bag = lambda rows: collections.Counter((r["doc_id"], r["text"], r["source"]) for r in rows)
+    rows = docs.collect()
+    noise = {r["id"]: r["g"] for r in docs.select(F.col("doc_id").alias("id"), quality.gumbel(11, "doc_id").alias("g")).collect()}
+    kept = [r for r, good in zip(rows, brute_quality(rows, labels, noise), strict=True) if good]
+    one = staged(0, rows)
+    assert as_bag(one) == as_bag(kept) and len(one) < len(rows)
+
+    two = staged(1, one)
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").lower()
+    holders = collections.defaultdict(set)
+    for r in one:
+        for line in (r["text"] or "").split("\n"):
+            holders[key(line)].add(r["doc_id"])
+    common = {k for k, v in holders.items() if k and len(v) >= 10}
+    seen, want = set(), []
+    for r in sorted(one, key=lambda r: (r["doc_id"] is not None, r["doc_id"])):
+        lines = []
+        for line in (r["text"] or "").split("\n"):
+            if key(line) not in common or key(line) not in seen:
+                lines.append(line)
+            seen.add(key(line))
+        want.append((r["doc_id"], "\n".join(lines)))
+    assert common and sorted(map(str, want)) == sorted(str((r["doc_id"], r["text"] or "")) for r in two)
+
+    three = staged(2, two)
+    sets = [set(s.tolist()) for s in shingle_sets([(r["text"] or "").encode() for r in two], 5)]
+    name = list(range(len(two)))
+    for _ in name:
+        for a in range(len(two)):
+            for b in range(a):
+                if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    name[a] = name[b] = min(name[a], name[b])
+    groups = collections.defaultdict(list)
+    for k, n in enumerate(name):
+        groups[n].append(two[k]["doc_id"])
+    firsts = {min((i is None, i or 0) for i in v) for v in groups.values()}
+    assert {(r["doc_id"] is None, r["doc_id"] or 0) for r in three} == firsts and len(three) == len(groups) < len(two)
+
+    four = staged(3, three)
+    sizes = collections.Counter(r["source"] for r in three)
+    want = collections.Counter()
+    for r in three:
+        copies = brute_poisson(17, r["doc_id"], len(three) / len(sizes) / sizes[r["source"]])
+        if copies:
+            want[r["doc_id"], r["text"], r["source"]] += copies
+    assert as_bag(four) == want
+
+    five = staged(4, four)
+    places = collections.defaultdict(list)
+    pieces = collections.Counter()
+    for r in five:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+        pieces[r["doc_id"], r["start"], r["length"], r["ids_crc32"]] += 1
+    assert pieces == collections.Counter((r["doc_id"], 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for r in four for ids in [[*ids_of(r["text"] or ""), 0]])
+    for found in places.values():
+        found.sort()
+        assert all(b[0] == sum(n for _, n in found[:k]) for k, b in enumerate(found)) and sum(n for _, n in found) <= 2048
+    total = sum(r["length"] for r in five)
+    assert len(places) <= math.ceil(total / 2048) + 1
+    assert len(cp.run(spark, str(tmp_path)).columns) == len(five[0])
