@@ -632,3 +632,9 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     total = sum(r["length"] for r in five)
     assert len(places) <= math.ceil(total / 2048) + 1
     assert len(cp.run(spark, str(tmp_path)).columns) == len(five[0])
+
+
+def test_model_beats_the_baseline_on_held_out_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    base, score, words = lm_scoring.lm_scores(docs, tokenizer_path()).filter("held_out").agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
+    assert score / words > base / words + 0.02
