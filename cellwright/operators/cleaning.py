@@ -99,8 +99,11 @@ def forward_fill(long: DataFrame) -> DataFrame:
 
 def null_report(long: DataFrame) -> DataFrame:
     """cell_id, rows, features, nulls and the cycles of the first five NULLs."""
-    at = F.array_sort(F.collect_list(F.when(F.col("value").isNull(), F.struct("cycle", "feature"))))
-    return long.groupBy("cell_id").agg(F.countDistinct("cycle").alias("n_rows"), F.countDistinct("feature").alias("n_features"), F.count_if(F.col("value").isNull()).alias("n_nulls"), F.array_join(F.transform(F.slice(at, 1, 5), lambda x: F.concat_ws(":", x["cycle"].cast("string"), x["feature"])), ",").alias("first_nulls"))
+    counts = long.groupBy("cell_id").agg(F.countDistinct("cycle").alias("n_rows"), F.countDistinct("feature").alias("n_features"), F.count_if(F.col("value").isNull()).alias("n_nulls"))
+    place = F.row_number().over(ordered(["cell_id"], "cycle", "feature"))
+    five = long.filter("value is null").select("cell_id", "cycle", "feature", place.alias("k")).filter("k <= 5")
+    named = five.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("k", F.concat_ws(":", F.col("cycle").cast("string"), "feature").alias("at")))).alias("at"))
+    return counts.join(named, "cell_id", "left").select("cell_id", "n_rows", "n_features", "n_nulls", F.coalesce(F.array_join("at.at", ","), F.lit("")).alias("first_nulls"))
 
 
 def cycle_count_report(cycles: DataFrame, groups: DataFrame) -> DataFrame:

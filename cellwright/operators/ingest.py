@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,10 +61,21 @@ def cycle_boundaries(tel: DataFrame, cell: str = "cell_id", order: str = "t", ru
 
 def drop_time_anomalies(rows: DataFrame, most: float = 1e5, keys: list[str] = KEYS, order: str = "seq", time: str = "time_s") -> DataFrame:
     """keys, order of rows that stay: one goes if its time is over ``most`` after the last row that stayed."""
-    arrays = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(time).alias("t")))).alias("a"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    fold = F.aggregate("a", start, lambda s, x: F.when(s["last"].isNull() | (x["t"] - s["last"] <= most), F.struct(x["t"].cast("double").alias("last"), F.concat(s["kept"], F.array(x["o"].cast("bigint"))).alias("kept"))).otherwise(s))
-    return arrays.select(*keys, F.explode(fold["kept"]).alias(order))
+    arrays = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("o"), F.col(time).cast("double").alias("t")))).alias("a"))
+
+    def kept(orders: pd.Series, times: pd.Series) -> pd.Series:
+        out = []
+        for own, values in zip(orders, times, strict=True):
+            last, left = None, []
+            for o, t in zip(own, values, strict=True):
+                if last is None or t - last <= most:
+                    last = t
+                    left.append(int(o))
+            out.append(left)
+        return pd.Series(out)
+
+    walk = F.pandas_udf(kept, "array<bigint>")  # what stays depends on what stayed before
+    return arrays.select(*keys, F.explode(walk("a.o", "a.t")).alias(order))
 
 
 def dedupe_times(rows: DataFrame, keys: list[str], time: str, source: str) -> DataFrame:
