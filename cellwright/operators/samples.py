@@ -104,6 +104,26 @@ def relative_errors(df: DataFrame, keys: list[str], y: str = "y", pred: str = "p
     )
 
 
+def lagged(rows: DataFrame, keys: list[str], order: str, value: str, n: int, width: int, name: str) -> DataFrame:
+    """rows with ``name``: the value n rows before, by a whole-numbered ``order``, in series that may hold a large part of all rows.
+
+    Series are cut into ranges of ``width`` numbers; what the first rows of a range lack comes from the last n rows of the ranges before it,
+    of which there is one small row each.
+    """
+    cut = rows.withColumn("__b", F.floor(F.col(order) / width))
+    own = ordered([*keys, "__b"], order)
+    inside = cut.withColumn("__own", F.lag(value, n).over(own)).withColumn("__k", F.row_number().over(own))
+    back = Window.partitionBy(*keys, "__b").orderBy(F.desc(order))
+    last = cut.select(*keys, "__b", F.struct(F.col(order).alias("o"), F.col(value).alias("v")).alias("x"), F.row_number().over(back).alias("r")).filter(F.col("r") <= n)
+    tails = last.groupBy(*keys, "__b").agg(F.array_sort(F.collect_list("x")).alias("t"))
+    before = ordered(keys, "__b").rowsBetween(-n, -1)
+    carried = tails.select(*keys, "__b", F.flatten(F.collect_list("t").over(before)).alias("__c"))
+    joined = inside.join(carried, [*keys, "__b"])
+    place = F.size("__c") - n + F.col("__k")
+    found = F.when(F.col("__k") > n, F.col("__own")).when(place >= 1, F.get("__c", place - 1)["v"])
+    return joined.withColumn(name, found).drop("__b", "__own", "__k", "__c")
+
+
 def weighted_errors(weight: str, y: str = "y", pred: str = "pred") -> list[Column]:
     """MAE, MSE and MAPE with a weight for each row."""
     w, e = F.col(weight), F.col(pred) - F.col(y)

@@ -294,9 +294,8 @@ SERIES = "series AS (SELECT o_orderpriority AS g, o_orderkey, CAST(o_totalprice
 
 
 def series(spark, d):
-    w = Window.partitionBy("g").orderBy("o_orderkey")
     rows = fx.table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), "o_orderkey", F.col("o_totalprice").cast("double").alias("y"))
-    return rows.withColumn("pred", F.col("y") * (1 + F.col("o_orderkey") % 7 / 100)).withColumn("back", F.lag("y", 4).over(w))
+    return sm.lagged(rows.withColumn("pred", F.col("y") * (1 + F.col("o_orderkey") % 7 / 100)), ["g"], "o_orderkey", "y", 4, width=50_000, name="back")
 
 
 @query("ev7_smape_mase", with_(SERIES) + "SELECT g, round(avg(coalesce(200 * abs(pred - y) / nullif(abs(pred) + abs(y), 0), 0)), 6) AS smape, round(avg(abs(pred - y)) / nullif(avg(abs(y - back)), 0), 6) AS mase FROM series GROUP BY g")

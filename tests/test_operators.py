@@ -198,3 +198,14 @@ def test_distance_of_equal_domains_is_small(spark):
     same = spark.createDataFrame([(k % 2, [float(v) for v in r]) for k, r in enumerate(x)], "domain int, x array<double>")
     apart = spark.createDataFrame([(k % 2, [float(v + 2 * (k % 2)) for v in r]) for k, r in enumerate(x)], "domain int, x array<double>")
     assert models.mmd(same).first()["mmd2"] < 0.1 < models.mmd(apart).first()["mmd2"]
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_lags_over_ranges_match_a_window(spark, width):
+    rng = np.random.default_rng(11)
+    rows = [(g, int(k), float(k) if k % 5 else None) for g in ("a", "b") for k in rng.choice(300, 60, replace=False)] + [("c", 3, 1.0)]
+    df = spark.createDataFrame(rows, "g string, k int, v double")
+    got = {(r["g"], r["k"]): r["back"] for r in samples.lagged(df, ["g"], "k", "v", 3, width, "back").collect()}
+    for g in "abc":
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: r[1])
+        assert [got[g, r[1]] for r in own] == [None] * min(3, len(own)) + [r[2] for r in own[:-3]]
