@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellwright.operators import cleaning as c
+from cellwright.operators import profiles as pr
 from cellwright.operators import tables as t
 from cellwright.plans.cycles import rounded
 from cellwright.plans.sql import CELLS, FEATURES, LABELS, LONG, SPLITS, TELEMETRY, with_
@@ -184,14 +185,23 @@ def j8(spark, d):
     return cells_.filter("cell_id % 2 = 0").intersect(cells_.filter("cell_id % 3 = 0"))
 
 
-@query("j9_profile_lookup", with_(CELLS) + """SELECT cell_id, dataset, CASE WHEN dataset IN ('ASIA', 'EUROPE') THEN 2 ELSE 1 END AS mode, round(nominal_capacity_ah * 0.005, 6) AS dv_step FROM cells""")
-def j9(spark, d):
-    from cellwright.operators.profiles import profiles
+#: Datasets of the fixtures as profiles.
+PROFILES = {"AFRICA": "CALCE", "AMERICA": "HUST", "ASIA": "CALB", "EUROPE": "UL_PUR", "MIDDLE EAST": "MATR"}
+PROFILED = """p(dataset, profile, mode, area, no_width, no_dvp, charge_from, discharge_from, n_discharge) AS (VALUES ('AFRICA', 'CALCE', 1, NULL, false, false, 3.5, 4.1, 3), ('AMERICA', 'HUST', 1, 0.05, false, false, 3.0, NULL, 0),
+  ('ASIA', 'CALB', 2, NULL, false, false, 3.5, 4.1, 3), ('EUROPE', 'UL_PUR', 2, 0.05, true, true, 3.5, 4.1, 3), ('MIDDLE EAST', 'MATR', 1, 0.03, false, false, 3.0, 3.5, 3))"""
+
+
+def profiled(spark, d):
+    """Cells with their profile's columns."""
+    names = F.create_map(*[F.lit(x) for pair in PROFILES.items() for x in pair])
+    return fx.cells(spark, d).withColumn("profile", F.element_at(names, F.col("dataset"))).join(F.broadcast(pr.profiles(spark)), "profile")
 
-    regions = {"AFRICA": "CALCE", "AMERICA": "HUST", "ASIA": "CALB", "EUROPE": "UL_PUR", "MIDDLE EAST": "MATR"}
-    names = F.create_map(*[F.lit(x) for pair in regions.items() for x in pair])
-    joined = fx.cells(spark, d).withColumn("profile", F.element_at(names, F.col("dataset"))).join(F.broadcast(profiles(spark)), "profile")
-    return rounded(joined.select("cell_id", "dataset", "mode", (F.col("nominal_capacity_ah") * 0.005).alias("dv_step")))
+
+@query("j9_profile_lookup", with_(CELLS, PROFILED) + """SELECT cell_id, cells.dataset, profile, mode, round(nominal_capacity_ah * 0.005, 6) AS dv_step, round(CAST(area AS DOUBLE), 6) AS area,
+  round(CAST(charge_from AS DOUBLE), 6) AS charge_from, round(CAST(discharge_from AS DOUBLE), 6) AS discharge_from, n_discharge FROM cells JOIN p ON cells.dataset = p.dataset""")
+def j9(spark, d):
+    first = lambda c: F.get(F.get(c, F.lit(0)), F.lit(0))
+    return rounded(profiled(spark, d).select("cell_id", "dataset", "profile", "mode", (F.col("nominal_capacity_ah") * 0.005).alias("dv_step"), "area", first("tevi").alias("charge_from"), first("tevd").alias("discharge_from"), F.size("tevd").alias("n_discharge")))
 
 
 @query("j6_excluded_cycles", with_(TELEMETRY) + """SELECT cell_id, cycle, count(*) AS n_rows FROM telemetry t WHERE NOT EXISTS (SELECT 1 FROM telemetry x WHERE x.cell_id = t.cell_id AND x.cycle = t.cycle AND x.time_s > 1743)

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from cellwright.operators import curves as cu
 from cellwright.operators import ingest as g
+from cellwright.operators.profiles import forced_zeros
+from cellwright.plans.cleaning import PROFILED, profiled
 from cellwright.plans.cycles import rounded
 from cellwright.plans.ingest import CAP
-from cellwright.plans.sql import TELEMETRY, with_
+from cellwright.plans.sql import CELLS, TELEMETRY, with_
 from cellwright.sources import fixtures as fx
 
 Q: dict = {}
@@ -113,10 +115,12 @@ def cur11(spark, d):
     return rounded(cu.centroid(rows))
 
 
-@query("cur14_forced_zeros", with_(TELEMETRY) + "SELECT cell_id, cycle, CASE WHEN cell_id % 2 = 0 THEN CAST(0 AS DOUBLE) ELSE round(max(voltage_v), 6) END AS fwhm FROM telemetry GROUP BY cell_id, cycle")
+@query("cur14_forced_zeros", with_(TELEMETRY, CELLS, PROFILED) + """SELECT t.cell_id, t.cycle, round(CASE WHEN no_width THEN 0 ELSE max(voltage_v) END, 6) AS fwhm, round(CASE WHEN no_dvp THEN 0 ELSE min(voltage_v) END, 6) AS dvp, round(avg(voltage_v), 6) AS icp
+FROM telemetry t JOIN cells ON t.cell_id = cells.cell_id JOIN p ON cells.dataset = p.dataset GROUP BY t.cell_id, t.cycle, no_width, no_dvp""")
 def cur14(spark, d):
-    top = fx.telemetry(spark, d).groupBy(*KEYS).agg(F.max("voltage_v").alias("fwhm"))
-    return rounded(top.withColumn("fwhm", F.when(F.col("cell_id") % 2 == 0, 0.0).otherwise(F.col("fwhm"))))
+    values = fx.telemetry(spark, d).groupBy(*KEYS).agg(F.max("voltage_v").alias("fwhm"), F.min("voltage_v").alias("dvp"), F.avg("voltage_v").alias("icp"))
+    flagged = values.join(profiled(spark, d).select("cell_id", "no_width", "no_dvp"), "cell_id")
+    return rounded(forced_zeros(flagged, {"no_width": ["fwhm"], "no_dvp": ["dvp"]}).select(*KEYS, "fwhm", "dvp", "icp"))
 
 
 @query("cur15_curve_export")
