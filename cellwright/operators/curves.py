@@ -231,3 +231,10 @@ def dv_at(dv: DataFrame, peak: DataFrame, valley_: DataFrame, y: str = "y", keys
     joined = dv.join(peak.select(*keys, "icp_v"), keys).join(valley_.select(*keys, "icv", "icvl_v"), keys)
     near = lambda v: F.min_by(y, F.struct(F.abs(F.col("x") - F.col(v)), F.col("i")))
     return joined.groupBy(*keys).agg(near("icp_v").alias("dvv"), F.min_by(y, F.when(F.col("icv") > 0, F.struct(F.abs(F.col("x") - F.col("icvl_v")), F.col("i")))).alias("dvp"))
+
+
+def dv_by_rule_of_lfp(dv: DataFrame, peak: DataFrame, least: float = 0.005, share: float = 0.7, y: str = "y", keys: list[str] = KEYS) -> DataFrame:
+    """dvv: one over the IC peak; dvp, dvp_q: the most prominent peak (over ``least``) of the DV curve over the charge x, in the first ``share`` of it; NULL without one."""
+    tops = peaks(dv, y=y, prominence=least, keys=keys).join(dv.groupBy(*keys).agg(F.max("x").alias("__q")), keys)
+    best = tops.filter((F.col("x") > 0) & (F.col("x") < share * F.col("__q"))).groupBy(*keys).agg(F.max(F.struct("prominence", "y", "x")).alias("p"))
+    return peak.select(*keys, "icp").join(best, keys, "left").select(*keys, ratio(F.lit(1.0), F.col("icp")).alias("dvv"), F.col("p.y").alias("dvp"), F.col("p.x").alias("dvp_q"))

@@ -149,3 +149,16 @@ def cur10(spark, d):
     curve, peak = _main(spark, d)
     dv = curve.filter("y > 0").withColumn("y", F.try_divide(F.lit(1.0), "y"))
     return rounded(cu.dv_at(dv, peak, cu.valley(curve, peak)))
+
+
+def dv(spark, d):
+    """Smoothed dV/dQ over the charge, from a uniform grid of 60 points."""
+    grid = cu.resample(cu.prepare(vq(spark, d), cut=0.02, least=10), step=0.001, least=60, most=60, x="q", y="v")
+    slope = cu.gradient(cu.gradient(grid, name="dy"), y="x", name="dx")
+    return cu.savgol(slope.select(*KEYS, "i", "x", F.abs(F.try_divide("dy", "dx")).alias("y")), 11, 3, clip=True).select(*KEYS, "i", "x", F.col("smooth").alias("y"))
+
+
+@query("cur10_lfp_dv")
+def cur10_lfp(spark, d):
+    """The other rule of CUR10: peaks have no SQL; a test compares it with a loop."""
+    return rounded(cu.dv_by_rule_of_lfp(dv(spark, d), _main(spark, d)[1]))

@@ -112,6 +112,20 @@ def test_dv_at_peak_and_valley_and_curve_export(spark, sf, ic):
     assert set(out) == set(want) and all(out[k] == pytest.approx(want[k], rel=1e-6, abs=2e-6) for k in want)
 
 
+def test_dv_by_the_rule_of_lfp(spark, sf, ic):
+    got, curves = rows_of(spark, sf, "cur10_lfp_dv"), {}
+    for r in plans.dv(spark, sf).orderBy("cell_id", "cycle", "i").collect():
+        curves.setdefault((r["cell_id"], r["cycle"]), []).append((r["x"], r["y"]))
+    assert set(got) == set(ic)
+    for key, points in curves.items():
+        q, y = np.array(points, float).T
+        tops = [(r, h, q[p]) for p, h, r, _ in loop_peaks(y) if r >= 0.005 and 0 < q[p] < 0.7 * q.max()]
+        h = loop_main(*ic[key][1:])[0]
+        assert (got[key]["dvv"] is None) == (not h) and (not h or got[key]["dvv"] == pytest.approx(1 / h, rel=1e-4, abs=2e-6))
+        assert close(got[key]["dvp"], max(tops)[1] if tops else None) and close(got[key]["dvp_q"], max(tops)[2] if tops else None)
+    assert sum(r["dvp"] is not None for r in got.values()) > 20
+
+
 def test_curvature_area(spark, sf, ic):
     got, h = rows_of(spark, sf, "cur8_curvature_area"), savgol_matrix(11, 3, 2)
     for key, (_, x, y) in ic.items():
