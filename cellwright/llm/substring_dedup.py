@@ -28,7 +28,7 @@ NULL_ID = (1 << 63) - 1  # where a null id stands among ids
 LONGEST = 1024
 #: Stretches of one hash that a task puts in order; beyond, counting by name does it.
 HOT = 2000
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -148,24 +148,41 @@ def _regions(length: int):
 
 
 def truncated_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of data[i : i + length] among all such strings, at each i where it fits, by prefix doubling; equal strings have one rank."""
-    width = min(8, length)
-    n = len(data) - width + 1
+    """Rank of data[i : i + length] among all such strings, at each i where it fits; equal strings have one rank.
+
+    Prefix doubling, or tripling where three ranks fit into a key.
+    """
     if len(data) < length:
         return np.zeros(0, np.int64)
-    rank = np.zeros(n, np.uint64)
+    width = min(8, length)
+    key = np.zeros(len(data) - width + 1, np.uint64)
     for k in range(width):
-        rank = rank << np.uint64(8) | data[k : k + n]
+        key = key << np.uint64(8) | data[k : k + len(key)]
+    bits = 21 if len(data) < 1 << 21 else 32
     while True:
-        order = np.argsort(rank)
-        ordered = rank[order]
+        order = np.argsort(key)
+        key = key[order]
         rank = np.empty(len(order), np.uint64)
-        rank[order] = np.cumsum(np.append(False, ordered[1:] != ordered[:-1])).astype(np.uint64)
+        rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1])).astype(np.uint64)
         if width == length:
             return rank.astype(np.int64)
-        step = min(width, length - width)
-        rank = rank[: len(rank) - step] << np.uint64(32) | rank[step:]
-        width += step
+        steps = [min(width, length - width)]
+        if bits == 21:
+            steps.append(min(2 * width, length - width))
+        n = len(rank) - steps[-1]
+        key = rank[:n]
+        for step in steps:
+            key = key << np.uint64(bits) | rank[step : step + n]
+        width += steps[-1]
+
+
+def _repeats(x: np.ndarray) -> np.ndarray:
+    """Whether each value is there more than once."""
+    order = np.argsort(x)
+    same = x[order][1:] == x[order][:-1]
+    out = np.zeros(len(x), bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
 
 
 def repeated(regions: list[bytes], groups: np.ndarray, docs: np.ndarray, firsts: np.ndarray, length: int, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,21 +191,29 @@ def repeated(regions: list[bytes], groups: np.ndarray, docs: np.ndarray, firsts:
     A stretch may be there more than once (copies of its text were in several tasks); it counts once.
     """
     sizes = np.fromiter(map(len, regions), np.int64, len(regions))
-    ranks = truncated_ranks(np.frombuffer(b"".join(regions), np.uint8), length)
+    data = np.frombuffer(b"".join(regions), np.uint8)
     begin = np.cumsum(sizes) - sizes
     count = sizes - length + 1
     owner = np.repeat(np.arange(len(regions)), count)
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    rank = ranks[begin[owner] + inner]
+    marked = np.zeros(len(owner), bool)
+    # only bytes under strings whose hash is there again come into the suffix array
+    place = begin[owner] + inner
+    again = np.flatnonzero(_repeats(rolling(data, length)[place]))
+    change = np.zeros(len(data) + 1, np.int32)
+    change[place[again]] += 1
+    change[place[again] + length] -= 1
+    under = np.cumsum(change[:-1]) > 0
+    rank = truncated_ranks(data[under], length)[(np.cumsum(under) - 1)[place[again]]]
     # the suffix array: by the first ``length`` bytes, then by position in the corpus
-    order = np.lexsort((firsts[owner] + inner, groups[owner], docs[owner], rank)) if keep_first else np.argsort(rank, kind="stable")
+    own = owner[again]
+    order = np.lexsort((firsts[own] + inner[again], groups[own], docs[own], rank)) if keep_first else np.argsort(rank, kind="stable")
     # among suffixes that agree over ``length`` bytes positions ascend, so the previous smaller position is the one before
     # and its common prefix is the longest previous factor, cut at ``length``; the next position is the one behind
     agree = rank[order][1:] == rank[order][:-1]
-    marked = np.zeros(len(order), bool)
-    marked[order[1:][agree]] = True
+    marked[again[order[1:][agree]]] = True
     if not keep_first:
-        marked[order[:-1][agree]] = True
+        marked[again[order[:-1][agree]]] = True
     # runs of marked strings within a region
     before = np.zeros(len(marked), bool)
     before[1:] = marked[:-1] & (inner[1:] > 0)

@@ -460,7 +460,8 @@ def test_ranks_of_truncated_suffixes():
     for length in (1, 5, 8, 13, 30, 31):
         strings = [data[k : k + length].tobytes() for k in range(len(data) - length + 1)]
         place = {x: k for k, x in enumerate(sorted(set(strings)))}
-        assert substring_dedup.truncated_ranks(data, length).tolist() == [place[x] for x in strings]
+        got = substring_dedup.truncated_ranks(data, length)
+        assert np.unique(got, return_inverse=True)[1].tolist() == [place[x] for x in strings]
 
 
 @pytest.mark.parametrize("table,column", [("parts", "payload"), ("recipes", "chunks"), ("recipes", "root")])
