@@ -303,7 +303,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     regions = table.filter("first_row").select("c1", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text", "marks").mapInArrow(_regions(length), "h bigint, hot boolean, c1 bigint, doc bigint, first bigint, bytes binary")
     cold = regions.filter(~F.col("hot")).select("h", "c1", "doc", "first", "bytes").repartition("h").sortWithinPartitions("h")
     runs = cold.mapInArrow(_ordered(length, keep_first), "c1 bigint, a bigint, b bigint").unionByName(_hot_runs(regions.filter("hot"), length, keep_first))
-    found = runs.groupBy("c1").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    found = stash(runs.groupBy("c1").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "removed-runs")
 
     cut = F.pandas_udf(lambda texts, own: _cut(texts, own, length), "struct<kept:binary,n_removed:bigint,n_spans:bigint>")
     open_ = table.filter(F.col("marks").isNotNull() & ~F.col("goes")).join(found, "c1", "left")
