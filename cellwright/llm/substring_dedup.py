@@ -6,7 +6,8 @@ stretches that share hashes, truncated at ``length`` bytes, is built by prefix d
 position.  From it comes the array of longest previous factors, as far as ``length``: the previous smaller position of a suffix
 in that order, if it agrees over ``length`` bytes, is the earlier match that removes it.
 
-A hash with more stretches than HOT is not left to one task: its strings are counted by name with pre-aggregation.
+A hash with more stretches than HOT is not left to one task: its strings are counted by name with pre-aggregation, and those of
+crowded names are dealt over many tasks to be told whether they go.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ LONGEST = 1024
 #: Stretches of one hash that a task puts in order; beyond, counting by name does it.
 HOT = 2000
 CHUNK_BYTES = 2_000_000
+#: Names of hot strings fall into this many buckets; a bucket with more rows than CROWD and than four times the mean is dealt over SALTS tasks.
+BUCKETS = 1 << 16
+CROWD = 5000
+SALTS = 64
 _BASE = 0x9E3779B97F4A7C15
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -124,7 +129,7 @@ def _anchors(length: int):
 
 
 def _regions(length: int):
-    """For (c1, doc, text, marks (at, h, hot)): the bytes of each marked stretch."""
+    """For (c1, doc, text, marks (at, h)): the bytes of each marked stretch."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,13 +140,12 @@ def _regions(length: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([m["h"] for m in own], pa.int64()),
-                        pa.array([m["hot"] for m in own], pa.bool_()),
                         pa.array([key] * len(own), pa.int64()),
                         pa.array([doc] * len(own), pa.int64()),
                         pa.array([x >> 12 for x in at], pa.int64()),
                         pa.array([text[x >> 12 : (x >> 12) + (x >> 1 & 2047) + length - 1] for x in at], pa.binary()),
                     ],
-                    names=["h", "hot", "c1", "doc", "first", "bytes"],
+                    names=["h", "c1", "doc", "first", "bytes"],
                 )
 
     return run
@@ -300,9 +304,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # only texts with a stretch that occurs again are looked at further
     table = stash(joined.select("doc_id", "c1", F.length("text").cast("bigint").alias("n_bytes"), goes.alias("goes"), (needed & first_row).alias("first_row"), F.when(needed, F.col("marks")).alias("marks"), F.when(goes & ~(needed & first_row), F.lit(b"")).otherwise(F.col("text")).alias("text")), "marked-texts")
 
-    regions = table.filter("first_row").select("c1", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text", "marks").mapInArrow(_regions(length), "h bigint, hot boolean, c1 bigint, doc bigint, first bigint, bytes binary")
-    cold = regions.filter(~F.col("hot")).select("h", "c1", "doc", "first", "bytes").repartition("h").sortWithinPartitions("h")
-    runs = cold.mapInArrow(_ordered(length, keep_first), "c1 bigint, a bigint, b bigint").unionByName(_hot_runs(regions.filter("hot"), length, keep_first))
+    def regions(hot: bool) -> DataFrame:
+        own = F.filter("marks", lambda m: m["hot"] == hot)
+        some = table.filter("first_row").select("c1", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text", own.alias("marks")).filter(F.size("marks") > 0)
+        return some.mapInArrow(_regions(length), "h bigint, c1 bigint, doc bigint, first bigint, bytes binary")
+
+    cold = regions(hot=False).repartition("h").sortWithinPartitions("h")
+    runs = cold.mapInArrow(_ordered(length, keep_first), "c1 bigint, a bigint, b bigint").unionByName(_hot_runs(regions(hot=True), length, keep_first))
     found = stash(runs.groupBy("c1").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "removed-runs")
 
     cut = F.pandas_udf(lambda texts, own: _cut(texts, own, length), "struct<kept:binary,n_removed:bigint,n_spans:bigint>")
@@ -321,7 +329,14 @@ def _hot_runs(regions: DataFrame, length: int, keep_first: bool) -> DataFrame:
     data = F.substring(F.col("bytes"), F.col("k"), F.lit(length))
     named = strings.select("c1", "doc", (F.col("first") + F.col("k") - 1).alias("a"), F.xxhash64(data).alias("w1"), F.xxhash64(F.lit(1), data).alias("w2"))
     counted = named.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "a")).alias("least")).filter("n > 1")
-    hit = named.join(counted, ["w1", "w2"])
+    bucket = F.pmod("w1", F.lit(BUCKETS)).cast("int").alias("bucket")
+    loads = named.groupBy(bucket).count().collect()  # BUCKETS rows at most
+    bound = max(CROWD, 4 * sum(r["count"] for r in loads) // BUCKETS)
+    crowded = F.broadcast(regions.sparkSession.createDataFrame([(r["bucket"], True) for r in loads if r["count"] > bound], "bucket int, many boolean"))
+    dealt = named.withColumn("bucket", bucket).join(crowded, "bucket", "left").withColumn("salt", F.when(F.col("many"), F.pmod(F.hash("c1", "a"), F.lit(SALTS))).otherwise(0))
+    each = F.when(F.col("many"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = counted.withColumn("bucket", bucket).join(crowded, "bucket", "left").select("w1", "w2", "least", F.explode(each).alias("salt"))
+    hit = dealt.join(spread, ["w1", "w2", "salt"])
     if keep_first:
         hit = hit.filter((F.col("doc") != F.col("least.doc")) | (F.col("a") != F.col("least.a")))
     return hit.select("c1", "a", F.col("a").alias("b"))

@@ -133,6 +133,7 @@ def covered(length, keep_first):
 @pytest.mark.parametrize("keep_first,hot", [(False, 2000), (True, 2000), (False, 1)])
 def test_substrings(docs, empty, monkeypatch, keep_first, hot):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "CROWD", hot)
     got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(docs, length=200, keep_first=keep_first).collect()}
     for i, marks in covered(200, keep_first).items():
         b = np.frombuffer(TEXTS[i].encode(), np.uint8)
