@@ -12,10 +12,12 @@ from cellwright.functions.columns import ordered, ratio, trapezoid
 KEYS = ["cell_id", "cycle"]
 
 
-def prepare(rows: DataFrame, cut: float, least: int = 15, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:
-    """Rows (v, q): curves of under ``least`` rows go; then q <= cut * max q, and repeats of a voltage and of a charge (the first stays)."""
+def prepare(rows: DataFrame, cut: float | None, least: int = 15, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:
+    """Rows (v, q): curves of under ``least`` rows go; then q <= cut * max q (no cut: none), and repeats of a voltage and of a charge (the first stays)."""
     k = Window.partitionBy(*keys)
-    out = rows.withColumn("__n", F.count("*").over(k)).withColumn("__top", F.max("q").over(k)).filter((F.col("__n") >= least) & (F.col("q") > cut * F.col("__top")))
+    out = rows.withColumn("__n", F.count("*").over(k)).withColumn("__top", F.max("q").over(k)).filter(F.col("__n") >= least)
+    if cut is not None:
+        out = out.filter(F.col("q") > cut * F.col("__top"))
     for column in ("v", "q"):
         out = out.withColumn("__k", F.row_number().over(ordered([*keys, column], order))).filter("__k = 1")
     return out.drop("__n", "__top", "__k")
@@ -183,14 +185,37 @@ def centroid(curve: DataFrame, y: str = "y", keys: list[str] = KEYS) -> DataFram
     return curve.groupBy(*keys).agg(F.when(F.sum(y) > 0, ratio(F.sum(F.col("x") * F.col(y)), F.sum(y))).alias("centroid_voltage"))
 
 
-def valley(curve: DataFrame, peak: DataFrame, offset: tuple[float, float] = (0.05, 0.5), y: str = "y", keys: list[str] = KEYS) -> DataFrame:
-    """icv, icvl_v: in the window above the main peak the first strict local minimum, else the first place where the slope turns upwards, else the least value; else 0."""
+def valley(curve: DataFrame, peak: DataFrame, offset: tuple[float, float] = (0.05, 0.5), least: bool = True, unset: float | None = 0.0, y: str = "y", keys: list[str] = KEYS) -> DataFrame:
+    """icv, icvl_v: in the window above the main peak the first strict local minimum, else the first place where the slope turns upwards, else
+    (with ``least``) the least value; else ``unset``."""
     w = ordered(keys, "i")
     marked = curve.withColumn("__p", F.lag(y).over(w)).withColumn("__q", F.lead(y).over(w))
     near = marked.join(peak.select(*keys, "icp_v"), keys, "left").filter(F.col("x").between(F.col("icp_v") + offset[0], F.col("icp_v") + offset[1]))
     here = F.struct(F.col("i"), F.col(y).alias("y"), F.col("x").alias("x"))
     agg = near.groupBy(*keys).agg(F.min(F.when((F.col(y) < F.col("__p")) & (F.col(y) < F.col("__q")), here)).alias("a"), F.min(F.when((F.col(y) <= F.col("__p")) & (F.col("__q") > F.col(y)), here)).alias("b"), F.min(F.struct(F.col(y).alias("y"), F.col("x").alias("x"))).alias("c"))
-    return peak.select(*keys).join(agg, keys, "left").select(*keys, F.coalesce("a.y", "b.y", "c.y", F.lit(0.0)).alias("icv"), F.coalesce("a.x", "b.x", "c.x", F.lit(0.0)).alias("icvl_v"))
+    rules = ("a", "b", "c") if least else ("a", "b")
+    found = (F.coalesce(*(F.col(f"{r}.{c}") for r in rules), F.lit(unset).cast("double")) for c in "yx")
+    return peak.select(*keys).join(agg, keys, "left").select(*keys, *(c.alias(name) for c, name in zip(found, ("icv", "icvl_v"), strict=True)))
+
+
+def valley_before_next_peak(curve: DataFrame, peak: DataFrame, tops: DataFrame, low: float, high: float, unset: float | None = 0.0, y: str = "y", keys: list[str] = KEYS) -> DataFrame:
+    """icv, icvl_v: the least value from the main peak to the next of the peaks in [low, high]; without a next one the first place above the main
+    peak where a falling slope turns into a rising one, else the first strict local minimum; else ``unset``."""
+    w = ordered(keys, "i")
+    own = peak.select(*keys, "icp_v")
+    after = tops.join(own, keys).filter((F.col("x") > F.col("icp_v")) & F.col("x").between(low, high)).groupBy(*keys).agg(F.min("x").alias("__next"))
+    sloped = gradient(curve, y=y, name="__g", keys=keys)
+    marked = sloped.withColumn("__p", F.lag(y).over(w)).withColumn("__q", F.lead(y).over(w)).withColumn("__h", F.lead("__g").over(w))
+    near = marked.join(own, keys).filter(F.col("x") >= F.col("icp_v")).join(after, keys, "left")
+    here = F.struct(F.col("i"), F.col(y).alias("y"), F.col("x").alias("x"))
+    alone = F.col("__next").isNull() & (F.col("x") > F.col("icp_v"))
+    agg = near.groupBy(*keys).agg(
+        F.min(F.when(F.col("x") <= F.col("__next"), F.struct(F.col(y).alias("y"), F.col("i"), F.col("x").alias("x")))).alias("a"),
+        F.min(F.when(alone & (F.col("__g") < 0) & (F.col("__h") > 0), here)).alias("b"),
+        F.min(F.when(alone & (F.col(y) < F.col("__p")) & (F.col(y) < F.col("__q")), here)).alias("c"),
+    )
+    found = (F.coalesce(*(F.col(f"{r}.{c}") for r in "abc"), F.lit(unset).cast("double")) for c in "yx")
+    return peak.select(*keys).join(agg, keys, "left").select(*keys, *(c.alias(name) for c, name in zip(found, ("icv", "icvl_v"), strict=True)))
 
 
 def resample_by_index(rows: DataFrame, columns: list[str], n: int, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:

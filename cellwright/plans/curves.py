@@ -29,15 +29,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def vq(spark, d):
-    """Voltage and charge of the discharge, to 6 digits."""
-    rows = g.integrate_charge(fx.telemetry(spark, d), -1).filter("current_a < 0")
+def vq(spark, d, sign=-1):
+    """Voltage and charge of the discharge (sign 1: of the charge), to 6 digits."""
+    rows = g.integrate_charge(fx.telemetry(spark, d), sign).filter(F.col("current_a") * sign > 0)
     return rows.select(*KEYS, "seq", F.round(F.col("voltage_v") + 1e-9, 6).alias("v"), F.round(F.col("capacity") + 1e-9, 6).alias("q"))
 
 
-def ic(spark, d):
+def ic(spark, d, sign=-1, cut=0.02):
     """Smoothed dQ/dV over the voltage, from a uniform grid of 60 points."""
-    grid = cu.resample(cu.prepare(vq(spark, d), cut=0.02, least=10), step=0.02, least=60, most=60)
+    grid = cu.resample(cu.prepare(vq(spark, d, sign), cut=cut, least=10), step=0.02, least=60, most=60)
     slope = cu.gradient(cu.gradient(grid, name="dq"), y="x", name="dv")
     curve = slope.select(*KEYS, "i", "x", F.abs(F.try_divide("dq", "dv")).alias("y"))
     return cu.savgol(curve, 11, 3, clip=True).select(*KEYS, "i", "x", F.col("smooth").alias("y"))
@@ -162,3 +162,25 @@ def dv(spark, d):
 def cur10_lfp(spark, d):
     """The other rule of CUR10: peaks have no SQL; a test compares it with a loop."""
     return rounded(cu.dv_by_rule_of_lfp(dv(spark, d), _main(spark, d)[1]))
+
+
+@query("cur9_valley_before_next_peak")
+def cur9_next(spark, d):
+    """The other rule of CUR9."""
+    curve, peak = _main(spark, d)
+    return rounded(cu.valley_before_next_peak(curve, peak, cu.peaks(curve, prominence=0.01), 3.2, 4.1))
+
+
+@query("cur13_charge_side")
+def cur13(spark, d):
+    """The curve features of the charge: no charge is cut off, and a valley that isn't there is NULL."""
+    curve = ic(spark, d, sign=1, cut=None)
+    tops = cu.peaks(curve, prominence=0.01)
+    peak = cu.main_peak(curve, cu.peak_widths(tops, curve), 3.2, 4.1)
+    parts = [cu.peak_area(curve, peak, 0.05), cu.centroid(curve), cu.valley(curve, peak, least=False, unset=None)]
+    next_ = cu.valley_before_next_peak(curve, peak, tops, 3.2, 4.1, unset=None)
+    parts.append(next_.select(*KEYS, F.col("icv").alias("icv_next"), F.col("icvl_v").alias("icvl_v_next")))
+    out = peak
+    for part in parts:
+        out = out.join(part, KEYS, "left")
+    return rounded(out.select(*KEYS, *(F.col(c).alias(f"chg_{c}") for c in out.columns if c not in KEYS)))

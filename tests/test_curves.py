@@ -91,6 +91,51 @@ def test_main_peak_area_and_valley(spark, sf, ic):
     assert sum(r["fwhm"] is not None for r in got.values()) > len(got) / 2
 
 
+def loop_next(x, y, at, unset):
+    if at is None:
+        return unset, unset
+    p = int(np.argmin(abs(x - at)))
+    later = [k for k, _, r, _ in loop_peaks(y) if r >= 0.01 and 3.2 <= x[k] <= 4.1 and k > p]
+    if later:
+        k = p + int(np.argmin(y[p : later[0] + 1]))
+        return y[k], x[k]
+    slope = np.gradient(y)
+    turns = [k for k in range(p + 1, len(y) - 1) if slope[k] < 0 < slope[k + 1]]
+    turns = turns or [k for k in range(p + 1, len(y) - 1) if y[k] < min(y[k - 1], y[k + 1])]
+    return (y[turns[0]], x[turns[0]]) if turns else (unset, unset)
+
+
+def test_valley_before_the_next_peak(spark, sf, ic):
+    got, peak = rows_of(spark, sf, "cur9_valley_before_next_peak"), rows_of(spark, sf, "cur6_main_peak")
+    assert set(got) == set(peak) == set(ic)
+    for key, (_, x, y) in ic.items():
+        v, place = loop_next(x, y, loop_main(x, y)[1], 0.0)
+        assert close(got[key]["icv"], v) and close(got[key]["icvl_v"], place)
+
+
+def test_charge_side(spark, sf):
+    curves = {}
+    for r in plans.ic(spark, sf, sign=1, cut=None).orderBy("cell_id", "cycle", "i").collect():
+        curves.setdefault((r["cell_id"], r["cycle"]), []).append((r["x"], r["y"]))
+    got = rows_of(spark, sf, "cur13_charge_side")
+    assert set(got) == set(curves) and curves
+    for key, points in curves.items():
+        x, y = np.array(points).T
+        h, at, w = loop_main(x, y)
+        r = got[key]
+        assert close(r["chg_icp"], h) and close(r["chg_icp_v"], at) and close(r["chg_fwhm"], w) and r["chg_icp_is_missing"] == (h is None)
+        assert close(r["chg_centroid_voltage"], float((x * y).sum() / y.sum()) if y.sum() > 0 else None)
+        if at is not None:
+            near = [k for k in range(len(x)) if abs(x[k] - at) <= 0.05]
+            assert close(r["chg_icp_area"], loop_area(x[near], y[near]))
+        v, place = loop_next(x, y, at, None)
+        assert close(r["chg_icv_next"], v) and close(r["chg_icvl_v_next"], place)
+        inner = [] if at is None else [k for k in range(1, len(x) - 1) if at + 0.05 <= x[k] <= at + 0.5]
+        hit = [k for k in inner if y[k] < min(y[k - 1], y[k + 1])] or [k for k in inner if y[k] <= y[k - 1] and y[k + 1] > y[k]]
+        assert close(r["chg_icv"], y[hit[0]] if hit else None) and close(r["chg_icvl_v"], x[hit[0]] if hit else None)
+    assert any(r["chg_icp"] is not None for r in got.values()) and any(r["chg_icv"] is None for r in got.values())
+
+
 def test_dv_at_peak_and_valley_and_curve_export(spark, sf, ic):
     got = rows_of(spark, sf, "cur10_dv_at_peak_and_valley")
     n = 0
