@@ -143,7 +143,7 @@ def src6(spark, d):
 @query("src7_unprocessed_cells", "SELECT s_suppkey AS cell_id FROM supplier WHERE s_suppkey % 3 <> 0")
 def src7(spark, d):
     cells_ = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell_id"))
-    return cells_.join(cells_.filter("cell_id % 3 = 0"), "cell_id", "left_anti")
+    return t.without(cells_, cells_.filter("cell_id % 3 = 0"), ["cell_id"])
 
 
 @query("j1_features_with_labels", with_(TELEMETRY, FEATURES, LABELS) + "SELECT f.cell_id, cycle, round(dvp, 6) AS dvp, CAST(life AS BIGINT) AS life FROM features f JOIN life_labels l ON f.cell_id = l.cell_id WHERE life > 100")

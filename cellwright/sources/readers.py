@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellwright.operators.tables import without
 
 TELEMETRY = "cell_id bigint, cycle int, seq int, time_s double, current_a double, voltage_v double"
 
@@ -47,6 +49,17 @@ def write_features(features: DataFrame, path: str) -> None:
     features.write.mode("overwrite").partitionBy("cell_id").parquet(path)
 
 
+def unfinished(cells: DataFrame, path: str) -> DataFrame:
+    """Cells without a folder under ``path`` where ``write_features`` wrote; all cells if nothing was written there yet."""
+    try:
+        done = cells.sparkSession.read.parquet(path).select("cell_id").distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return cells
+    return without(cells, done, ["cell_id"])
+
+
 def write_reports(path: str, **tables: DataFrame) -> None:
     """Parquet tables under one folder: selected, importance, robustness, drops."""
     for name, df in tables.items():

@@ -270,3 +270,13 @@ def test_files(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(out).select(*table.columns).collect())) == sorted(map(tuple, table.collect()))
     readers.write_reports(f"{tmp_path}/reports", selected=table, drops=table.limit(0))
     assert spark.read.parquet(f"{tmp_path}/reports/selected").count() == 8 and spark.read.parquet(f"{tmp_path}/reports/drops").count() == 0
+
+
+def test_unfinished_cells(spark, tmp_path):
+    from cellwright.sources import readers
+
+    cells = spark.createDataFrame([(1, 2.0), (2, 3.0), (3, None)], "cell_id bigint, dvp double")
+    path = f"file://{tmp_path}/features"
+    assert {r["cell_id"] for r in readers.unfinished(cells, path).collect()} == {1, 2, 3}
+    readers.write_features(cells.filter("cell_id < 3"), path)
+    assert {r["cell_id"] for r in readers.unfinished(cells, path).collect()} == {3}
