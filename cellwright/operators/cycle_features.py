@@ -113,10 +113,14 @@ def thermal(smooth: DataFrame, keys: list[str] = KEYS, order: str = "seq") -> Da
     )
 
 
-def stage_features(stages: DataFrame, most: int = 3, keys: list[str] = KEYS) -> DataFrame:
-    """charge_current_i and charge_time_i of the first stages, and the ratio of the first two times; absent stages are 0."""
+def stage_features(stages: DataFrame, most: int = 3, phase: str = "charge", keys: list[str] = KEYS) -> DataFrame:
+    """Current and time of the first stages of a phase; of the charge also the ratio of the first two times and the voltage's step into the
+    second stage; absent stages are 0."""
     at = lambda k, c: F.coalesce(F.max(F.when(F.col("stage") == k, F.col(c))), F.lit(0.0))
-    agg = stages.groupBy(*keys).agg(*(at(k, "current_a").alias(f"charge_current_{k}") for k in range(1, most + 1)), *(at(k, "duration_s").alias(f"charge_time_{k}") for k in range(1, most + 1)))
+    each = [at(k, column).alias(f"{phase}_{name}_{k}") for column, name in (("current_a", "current"), ("duration_s", "time")) for k in range(1, most + 1)]
+    if phase != "charge":
+        return stages.groupBy(*keys).agg(*each)
+    agg = stages.groupBy(*keys).agg(*each, at(2, "jump_v").alias("resistance_jump_dv"))
     return agg.withColumn("charge_time_ratio_1_2", F.coalesce(ratio(F.col("charge_time_1"), F.col("charge_time_2")), F.lit(0.0)))
 
 

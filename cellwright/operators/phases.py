@@ -46,11 +46,13 @@ def identify_phases(tel: DataFrame, rest: float = 0.01, step: float = 0.05, keys
 
 
 def charge_stages(charge: DataFrame, big: float = 0.5, small: float = 0.1, dv: float = 0.01, least: int = 5, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:
-    """Stages of the charge: a boundary where the current steps, or stays while the voltage moves; stages of under ``least`` rows go."""
+    """Stages of the charge (or discharge): a boundary where the current steps, or stays while the voltage moves; stages of under ``least`` rows go.
+    jump_v: the step of the voltage into the stage's first row."""
     w = ordered(keys, order)
     di, du = F.abs(F.col("current_a") - F.lag("current_a").over(w)), F.abs(F.col("voltage_v") - F.lag("voltage_v").over(w))
     marked = charge.withColumn("__new", F.coalesce((di > big) | ((di < small) & (du > dv)), F.lit(False)))
-    runs = islands(marked, F.col("__new"), w, "run").groupBy(*keys, "run").agg(F.count("*").alias("n_rows"), (F.max("time_s") - F.min("time_s")).alias("duration_s"), F.avg("current_a").alias("current_a"))
+    marked = marked.withColumn("__jump", F.coalesce(du, F.lit(0.0)))
+    runs = islands(marked, F.col("__new"), w, "run").groupBy(*keys, "run").agg(F.count("*").alias("n_rows"), (F.max("time_s") - F.min("time_s")).alias("duration_s"), F.avg("current_a").alias("current_a"), F.min_by("__jump", order).alias("jump_v"))
     return runs.filter(F.col("n_rows") >= least).withColumn("stage", F.row_number().over(ordered(keys, "run"))).drop("run")
 
 

@@ -59,11 +59,11 @@ g AS (SELECT *, sum(CASE WHEN di > 0.3 OR (di < 0.02 AND du > 0.12) THEN 1 ELSE
 a AS (SELECT cell_id, cycle, run, count(*) AS n_rows, max(time_s) - min(time_s) AS duration_s, round(avg(current_a), 6) AS current_a FROM g GROUP BY ALL HAVING count(*) >= 3)
 SELECT cell_id, cycle, n_rows, duration_s, current_a, row_number() OVER (PARTITION BY cell_id, cycle ORDER BY run) AS stage FROM a""")
 def ph4(spark, d):
-    return rounded(_stages(spark, d))
+    return rounded(_stages(spark, d).drop("jump_v"))
 
 
-def _stages(spark, d):
-    return ph.charge_stages(fx.telemetry(spark, d).filter("current_a > 0"), big=0.3, small=0.02, dv=0.12, least=3)
+def _stages(spark, d, rows="current_a > 0"):
+    return ph.charge_stages(fx.telemetry(spark, d).filter(rows), big=0.3, small=0.02, dv=0.12, least=3)
 
 
 @query("ph5_histogram_stages")
@@ -206,13 +206,27 @@ def fe15_smoothed(spark, d):
     return rounded(fe.thermal(fe.smoothed_temperature(fx.telemetry(spark, d), 29)))
 
 
-@query("fe16_stage_features", S["ph4_charge_stages"].replace("SELECT cell_id, cycle, n_rows, duration_s, current_a, row_number()", ", st AS (SELECT cell_id, cycle, n_rows, duration_s, current_a, row_number()") + """)
-SELECT cell_id, cycle, """ + ", ".join(f"coalesce(max(CASE WHEN stage = {k} THEN current_a END), 0) AS charge_current_{k}, coalesce(max(CASE WHEN stage = {k} THEN duration_s END), 0) AS charge_time_{k}" for k in (1, 2, 3)) + """,
+def _stage_sql(phase: str, most: int) -> str:
+    """The SQL of ph4 with the voltage's step into each stage, for either phase, as a table st; then the stages' columns."""
+    named = S["ph4_charge_stages"].replace("count(*) AS n_rows", "arg_min(coalesce(du, 0), seq) AS jump_v, count(*) AS n_rows", 1)
+    named = named.replace("SELECT cell_id, cycle, n_rows, duration_s, current_a, row_number()", ", st AS (SELECT *, row_number()")
+    if phase == "discharge":
+        named = named.replace("FROM telemetry WHERE current_a > 0", "FROM telemetry WHERE current_a < 0")
+    columns = (f"coalesce(max(CASE WHEN stage = {k} THEN {c} END), 0) AS {phase}_{n}_{k}" for c, n in (("current_a", "current"), ("duration_s", "time")) for k in range(1, most + 1))
+    return named + ") SELECT cell_id, cycle, " + ", ".join(columns)
+
+
+@query("fe16_stage_features", _stage_sql("charge", 3) + """, round(coalesce(max(CASE WHEN stage = 2 THEN jump_v END), 0), 6) AS resistance_jump_dv,
   round(coalesce(coalesce(max(CASE WHEN stage = 1 THEN duration_s END), 0) / nullif(coalesce(max(CASE WHEN stage = 2 THEN duration_s END), 0), 0), 0), 6) AS charge_time_ratio_1_2 FROM st GROUP BY ALL""")
 def fe16(spark, d):
     return rounded(fe.stage_features(_stages(spark, d)))
 
 
+@query("fe16_discharge_stages", _stage_sql("discharge", 4) + " FROM st GROUP BY ALL")
+def fe16_discharge(spark, d):
+    return rounded(fe.stage_features(_stages(spark, d, "current_a < 0"), most=4, phase="discharge"))
+
+
 @query("fe17_inferred_rates", with_(TELEMETRY) + """, c AS (SELECT *, row_number() OVER (PARTITION BY cell_id, cycle ORDER BY seq) AS k, count(*) OVER (PARTITION BY cell_id, cycle) AS n FROM telemetry WHERE current_a > 0),
 h AS (SELECT cell_id, cycle, ROUND(quantile_cont(current_a, 0.5) / 1.1, 2) AS charge_rate FROM c WHERE k <= n // 2 GROUP BY ALL),
 x AS (SELECT cell_id, cycle, ROUND(quantile_cont(abs(current_a), 0.5) / 1.1, 2) AS discharge_rate FROM telemetry WHERE current_a < 0 GROUP BY ALL)
