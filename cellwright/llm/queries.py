@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm import line_dedup, lm_scoring, media, mixing, ngram_join, packing, quality, substring_dedup, token_store, vector_dedup
+from cellwright.llm import filter_audit, line_dedup, lm_scoring, media, mixing, ngram_join, packing, quality, substring_dedup, token_store, vector_dedup
 from cellwright.llm.common import new_path, table, tokenizer_path
 
 
@@ -86,5 +86,36 @@ def op10_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_dedup(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
-QUERIES = {f.__name__: f for f in (op1_attention_scores, op2_importance_resampling, op3_poisson_mix, op4_suffix_order_dedup, op5_line_bitmaps, op6_best_two_fit, op7_ngram_jaccard, op8_media_archives, op9_token_store, op10_collision_counting)}
-ORACLE_SQL = {"op3_poisson_mix": OP3_SQL, "op5_line_bitmaps": OP5_SQL}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH letters(l, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (SELECT concat(a.l, b.l, c.l, d.l, e.l) AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT filter_order, step, (SELECT bit FROM letters WHERE l = substr(filter_order, step, 1)) AS bit,
+    coalesce((SELECT sum(bit) FROM letters WHERE position(l IN substr(filter_order, 1, step - 1)) > 0), 0)::INT AS before
+  FROM orders, (SELECT unnest(range(1, 6))::INT AS step) s),
+w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+flagged AS (SELECT doc_id, part, CASE WHEN len(words) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask FROM w),
+named AS (SELECT doc_id AS id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM flagged LEFT JOIN named ON doc_id = id GROUP BY part, mask)
+SELECT part, filter_order, step, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost,
+  sum(CASE WHEN mask & bit > 0 THEN n * 120 // bit_count(mask) ELSE 0 END)::BIGINT AS shapley
+FROM m, steps GROUP BY part, filter_order, step
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_attention_scores, op2_importance_resampling, op3_poisson_mix, op4_suffix_order_dedup, op5_line_bitmaps, op6_best_two_fit, op7_ngram_jaccard, op8_media_archives, op9_token_store, op10_collision_counting, op11_filter_audit)}
+ORACLE_SQL = {"op3_poisson_mix": OP3_SQL, "op5_line_bitmaps": OP5_SQL, "op11_filter_audit": OP11_SQL}
