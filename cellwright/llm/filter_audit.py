@@ -34,8 +34,9 @@ BLOCKS = 2048
 
 def n_counters(n_docs: int, sketch_bytes: int = SKETCH_BYTES) -> int:
     """A power of two."""
-    most = 1 << (max(sketch_bytes * 8, BLOCKS).bit_length() - 1)
-    return min(most, max(BLOCKS * 8, 1 << (n_docs * PER_DOC - 1).bit_length() if n_docs else 0))
+    most = 1 << ((sketch_bytes * 8).bit_length() - 1)
+    wanted = 1 << (n_docs * PER_DOC).bit_length()
+    return max(BLOCKS * 8, min(most, wanted))
 
 
 def text_hashes(texts: list[bytes | None]) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwright.llm import filter_audit, line_dedup, lm_scoring, media, mixing, ngram_join, packing, quality, substring_dedup, token_store, vector_dedup
+from cellwright.llm import alignment, filter_audit, line_dedup, lm_scoring, media, mixing, ngram_join, packing, quality, secret_scan, substring_dedup, token_store, vector_dedup
 from cellwright.llm.common import new_path, table, tokenizer_path
 
 
@@ -117,5 +117,13 @@ FROM m, steps GROUP BY part, filter_order, step
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_attention_scores, op2_importance_resampling, op3_poisson_mix, op4_suffix_order_dedup, op5_line_bitmaps, op6_best_two_fit, op7_ngram_jaccard, op8_media_archives, op9_token_store, op10_collision_counting, op11_filter_audit)}
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_tokenizer_alignment(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_attention_scores, op2_importance_resampling, op3_poisson_mix, op4_suffix_order_dedup, op5_line_bitmaps, op6_best_two_fit, op7_ngram_jaccard, op8_media_archives, op9_token_store, op10_collision_counting, op11_filter_audit, op12_secret_scan, op13_token_alignment)}
 ORACLE_SQL = {"op3_poisson_mix": OP3_SQL, "op5_line_bitmaps": OP5_SQL, "op11_filter_audit": OP11_SQL}
