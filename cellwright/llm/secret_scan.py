@@ -45,6 +45,8 @@ LONGEST = 256
 LOSS = 0.05
 #: The least score by character, and of a whole token, in nats, whatever the examples say.
 LEAST_SCORE, EVIDENCE = 0.5, 14.0
+#: Times that the ordinary automaton is inferred at most.
+ROUNDS = 8
 
 
 def base_matches(text: bytes) -> list[tuple[int, int, int, int]]:
@@ -64,14 +66,14 @@ def base_matches(text: bytes) -> list[tuple[int, int, int, int]]:
 
 
 def candidates(text: bytes, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """Byte ranges of the long tokens with letters and digits that no match of a pattern touches."""
+    """Byte ranges of the long tokens that no match of a pattern touches."""
     out = []
     k = reach = 0
     for m in TOKEN.finditer(text):
         while k < len(base) and base[k][0] < m.end():
             reach = max(reach, base[k][2])
             k += 1
-        if reach <= m.start() and MIXED.search(m[0]):
+        if reach <= m.start():
             out.append(m.span())
     return out
 
@@ -136,18 +138,23 @@ def margin(kind: Automaton, ordinary: Automaton, texts: list[bytes]) -> np.ndarr
 def learned(found: dict[str, list[bytes]]) -> tuple[Automaton, list[Format]]:
     """The automaton of ordinary tokens, and the formats: inferred from one half of the examples, limits from the other.
 
-    Values of under 16 characters are no candidates and aren't learned from.
+    Values of under 16 characters are no candidates and aren't learned from.  Ordinary tokens hold unlabelled credentials too: those that a
+    format told apart from ordinary tokens explains better are left out, and the ordinary automaton is inferred again.
     """
-    ordinary = infer([(x, 1) for x in found[ORDINARY]])
-    formats = []
-    for kind in KINDS[:3]:
-        own = [x for x in found[kind] if len(x) >= 16]
-        if len(own) < FEWEST:
-            continue
-        automaton = infer([(x, 1) for x in own[::2]])
-        low = float(np.quantile(margin(automaton, ordinary, own[1::2]), LOSS))
-        formats.append(Format(kind, automaton, max(low, LEAST_SCORE)))
-    return ordinary, formats
+    kinds = {k: [x for x in found[k] if len(x) >= 16] for k in KINDS[:3]}
+    kinds = {k: (infer([(x, 1) for x in own[::2]]), own[1::2]) for k, own in kinds.items() if len(own) >= FEWEST}
+    plain = found[ORDINARY]
+    for _ in range(ROUNDS):
+        ordinary = infer([(x, 1) for x in plain])
+        low = {k: float(np.quantile(margin(automaton, ordinary, aside), LOSS)) for k, (automaton, aside) in kinds.items()}
+        explained = np.zeros(len(plain), bool)
+        for k, (automaton, _) in kinds.items():
+            if low[k] > 0:
+                explained |= margin(automaton, ordinary, plain) >= low[k]
+        if not explained.any():
+            break
+        plain = [x for x, e in zip(plain, explained.tolist(), strict=True) if not e]
+    return ordinary, [Format(k, automaton, max(low[k], LEAST_SCORE)) for k, (automaton, _) in kinds.items()]
 
 
 def passed_by(form: Format, ordinary: Automaton, texts: list[bytes]) -> np.ndarray:
@@ -174,6 +181,8 @@ def _scanner(model, id_type: pa.DataType):
             owner, where, tokens = [], [], []
             for k, (text, base) in enumerate(zip(texts, bases, strict=True)):
                 for a, b in candidates(text, base):
+                    if not MIXED.search(text, a, b):
+                        continue
                     owner.append(k)
                     where.append((a, b))
                     tokens.append(text[a:b])
