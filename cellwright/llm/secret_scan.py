@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellwright.llm.automata import Automaton, infer
-from cellwright.llm.common import lean, small_batches
+from cellwright.llm.common import lean, small_batches, stash
 
 KINDS = ["assign", "access", "hex", "format"]
 ORDINARY = "ordinary"
@@ -110,7 +110,8 @@ def _gatherer(most: int):
 def examples(docs: DataFrame, text_col: str, fit_rows: int) -> dict[str, list[bytes]]:
     """Up to ``fit_rows`` distinct values of each kind, over all documents, in order of their hashes; so they don't depend on partitions."""
     texts = docs.select(F.col(text_col).cast("binary").alias("text"))
-    found = texts.mapInArrow(_gatherer(fit_rows), "kind string, value binary, hash bigint").distinct()
+    # written once: the four kinds would each read all documents
+    found = stash(texts.mapInArrow(_gatherer(fit_rows), "kind string, value binary, hash bigint"), "secret-examples").distinct()
     sample = None
     for kind in (*KINDS[:3], ORDINARY):
         part = found.filter(F.col("kind") == kind).orderBy("hash", "value").limit(fit_rows)
