@@ -91,6 +91,71 @@ def group_range_means(long: DataFrame, groups: DataFrame, reach: int = 5) -> Dat
     return groups.join(mean, "grp").select("cell_id", "feature", "mean")
 
 
+#: Parts of lower-case names that make a feature one of temperature (fixed values).
+TEMPERATURE = ["temp", "t_rise", "mint", "maxt", "mat_", "met_"]
+
+
+def containing(names: DataFrame, patterns: DataFrame, at_start: bool = False) -> DataFrame:
+    """cell_id, pattern: the cells (cell_id, name) whose names contain (or with ``at_start`` begin with) a text of ``patterns`` (pattern).
+
+    An equi join on all pieces of the names that are as long as a pattern; names have tens of characters, so patterns have few lengths.
+    """
+    distinct = patterns.select("pattern").filter("pattern <> ''").distinct()
+    lengths = distinct.agg(F.collect_set(F.length("pattern")).alias("lengths"))  # one row
+    each = names.crossJoin(F.broadcast(lengths)).select("cell_id", "name", F.explode("lengths").alias("l")).filter(F.length("name") >= F.col("l"))
+    places = F.array(F.lit(1)) if at_start else F.sequence(F.lit(1), F.length("name") - F.col("l") + 1)
+    pieces = each.withColumn("at", F.explode(places)).select("cell_id", F.substring("name", F.col("at"), F.col("l")).alias("pattern")).distinct()
+    return pieces.join(distinct, "pattern")
+
+
+def cell_feature_means(long: DataFrame) -> DataFrame:
+    """cell_id, feature, m: per-cell means; a feature without values in a cell has none."""
+    return long.groupBy("cell_id", "feature").agg(F.avg("value").alias("m")).filter("m is not null")
+
+
+def _means_of_others(means: DataFrame, own: DataFrame, members: DataFrame) -> DataFrame:
+    """cell_id, feature, mean over the cells (cell_id, pattern of ``members``) of the pattern that the cell has in ``own``, without the cell itself."""
+    sums = members.join(means, "cell_id").groupBy("pattern", "feature").agg(F.sum("m").alias("s"), F.count("*").alias("n"))
+    mine = own.join(members, ["cell_id", "pattern"], "left_semi").join(means, "cell_id").select("cell_id", "feature", "m")
+    joined = own.join(sums, "pattern").join(mine, ["cell_id", "feature"], "left")
+    n = F.col("n") - F.col("m").isNotNull().cast("int")
+    return joined.filter(n > 0).select("cell_id", "feature", ((F.col("s") - F.coalesce("m", F.lit(0.0))) / n).alias("mean"))
+
+
+def named_sibling_means(long: DataFrame, names: DataFrame) -> DataFrame:
+    """cell_id, feature, mean of the per-cell means of the cells with like names (``names``: cell_id, name).
+
+    Features of temperature: other cells whose names begin with the cell's own up to its last '_'.  DVP features of cells named NCA, 25C and 20-80: cells whose names contain the
+    cell's own up to its last '_' with 0-100 for 20-80.  Cells without siblings have no row.
+    """
+    means = cell_feature_means(long)
+    lower = F.lower("feature")
+    warm = F.greatest(*(F.contains(lower, F.lit(t)) for t in TEMPERATURE))
+    prefix = lambda name: F.regexp_extract(name, r"^(.+)_[a-zA-Z0-9]+$", 1)
+    own = names.select("cell_id", prefix(F.col("name")).alias("pattern")).filter("pattern <> ''")
+    temperature = _means_of_others(means.filter(warm), own, containing(names, own, at_start=True))
+    special = names.filter(F.contains("name", F.lit("NCA")) & F.contains("name", F.lit("25C")) & F.contains("name", F.lit("20-80")))
+    wide = special.select("cell_id", prefix(F.replace("name", F.lit("20-80"), F.lit("0-100"))).alias("pattern")).filter("pattern <> ''")
+    peaks = _means_of_others(means.filter(F.contains(lower, F.lit("dvp")) & ~warm), wide, containing(names, wide))
+    return temperature.unionByName(peaks)
+
+
+def numbered_group_means(long: DataFrame, names: DataFrame, reach: int = 5) -> DataFrame:
+    """cell_id, feature, mean of the per-cell means of other cells whose names contain the cell's 'G' and number (G5 is in G57 too).
+
+    Where no such cell has the feature, of the cells of other numbers within ``reach``: an equi join on the numbers near each cell's.
+    """
+    means = cell_feature_means(long)
+    numbered = names.withColumn("number", F.regexp_extract("name", r"G(\d+)", 1)).filter("number <> ''").withColumn("number", F.col("number").cast("int"))
+    own = numbered.select("cell_id", F.concat(F.lit("G"), F.col("number").cast("string")).alias("pattern"))
+    same = _means_of_others(means, own, containing(names, own))
+    per = means.join(numbered, "cell_id").groupBy("number", "feature").agg(F.sum("m").alias("s"), F.count("*").alias("n"))
+    near = per.withColumn("near", F.explode(F.sequence(F.col("number") - reach, F.col("number") + reach))).filter("near <> number")
+    mean = near.groupBy(F.col("near").alias("number"), "feature").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    fallback = numbered.join(mean, "number").select("cell_id", "feature", "mean").join(same, ["cell_id", "feature"], "left_anti")
+    return same.unionByName(fallback)
+
+
 def forward_fill(long: DataFrame) -> DataFrame:
     """The last value before, else 0."""
     w = ordered(SERIES, "cycle").rowsBetween(Window.unboundedPreceding, 0)
@@ -109,8 +174,17 @@ def null_report(long: DataFrame) -> DataFrame:
 def cycle_count_report(cycles: DataFrame, groups: DataFrame) -> DataFrame:
     """By group: cells, least, most and mean cycles, the upper median, and cells of under 50, 50-99 and at least 100 cycles."""
     n = cycles.groupBy("cell_id").agg(F.count("*").alias("n")).join(groups, "cell_id")
-    agg = n.groupBy("grp").agg(F.count("*").alias("cells"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"), F.array_sort(F.collect_list("n")).alias("l"), *(F.count_if(c).alias(a) for a, c in (("under_50", F.col("n") < 50), ("under_100", F.col("n").between(50, 99)), ("from_100", F.col("n") >= 100))))
-    return agg.select("grp", "cells", "least", "most", "mean", F.get("l", F.floor(F.size("l") / 2).cast("int")).alias("upper_median"), "under_50", "under_100", "from_100")
+    # a row for each number of cycles that a group's cells have, not for each cell
+    sized = n.groupBy("grp", "n").agg(F.count("*").alias("c"))
+    sums = sized.withColumn("upto", F.sum("c").over(ordered(["grp"], "n"))).withColumn("all", F.sum("c").over(Window.partitionBy("grp")))
+    median = sums.filter(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("grp").agg(F.min("n").alias("upper_median"))
+    agg = n.groupBy("grp").agg(F.count("*").alias("cells"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"), *(F.count_if(c).alias(a) for a, c in (("under_50", F.col("n") < 50), ("under_100", F.col("n").between(50, 99)), ("from_100", F.col("n") >= 100))))
+    return agg.join(median, "grp").select("grp", "cells", "least", "most", "mean", "upper_median", "under_50", "under_100", "from_100")
+
+
+def fewest_cycles(cycles: DataFrame, n: int = 20) -> DataFrame:
+    """cell_id, n_cycles of the cells with the fewest cycles, the lower id first on ties (a report of n rows)."""
+    return cycles.groupBy("cell_id").agg(F.count("*").alias("n_cycles")).orderBy("n_cycles", "cell_id").limit(n)
 
 
 def alias_labels(cells: DataFrame, labels: DataFrame, alias: Column) -> DataFrame:

@@ -229,6 +229,36 @@ def resample_by_index(rows: DataFrame, columns: list[str], n: int, keys: list[st
     return grid.select(*keys, "k", *((F.col(c) + (F.col(f"__{c}") - F.col(c)) * share).alias(c) for c in columns))
 
 
+def model_curves(rows: DataFrame, capacity: float | str, early: int, points: int = 50, discharge_first: bool = False, cell: str = "cell_id", cycle: str = "cycle", order: str = "seq") -> DataFrame:
+    """cell, cycle, k (0 to 2 * points - 1), v, i, q: the first ``early`` cycles of each cell as curves of one length, charge before discharge.
+
+    ``rows``: voltage_v, current_a, charge_capacity_ah, discharge_capacity_ah; ``capacity``: the nominal one, or its column.  A cycle is cut at the last row that charges at C/100 or more (with
+    ``discharge_first``: that discharges so); what comes after the cut counts where its current is over C/100 either way.  Both parts are resampled by sample number; voltages are over the highest
+    of the cycle's points, currents and capacities over the nominal capacity.  Cycles that are missing, or lack a cut or a part, are zeros.
+    """
+    keys = [cell, cycle]
+    c = F.col(capacity) if isinstance(capacity, str) else F.lit(float(capacity))
+    w, whole = ordered(keys, order), Window.partitionBy(*keys)
+    rate = F.col("current_a") / c
+    own = rows.filter(F.col(cycle).between(1, early)).withColumn("__c", c).withColumn("__j", F.row_number().over(w))
+    cut = F.max(F.when((rate <= -0.01) if discharge_first else (rate >= 0.01), F.col("__j"))).over(whole)
+    first = F.col("__j") < F.col("__cut")
+    placed = own.withColumn("__cut", cut).filter(first | ((F.col("__j") >= F.col("__cut")) & (F.abs(rate) > 0.01)))
+    placed = placed.withColumn("__part", F.when(first, int(discharge_first)).otherwise(1 - int(discharge_first)))
+    q = F.when(F.col("__part") == 0, F.col("charge_capacity_ah")).otherwise(F.col("discharge_capacity_ah"))
+    drawn = resample_by_index(placed.select(*keys, order, "__c", "__part", F.col("voltage_v").alias("v"), F.col("current_a").alias("i"), q.alias("q")), ["v", "i", "q", "__c"], points, [*keys, "__part"], order)
+    both = drawn.withColumn("__n", F.count("*").over(whole)).filter(F.col("__n") == 2 * points)
+    scaled = both.select(*keys, (F.col("k") + points * F.col("__part")).alias("k"), ratio(F.col("v"), F.max("v").over(whole)).alias("v"), (F.col("i") / F.col("__c")).alias("i"), (F.col("q") / F.col("__c")).alias("q"))
+    grid = rows.select(cell).distinct().withColumn(cycle, F.explode(F.sequence(F.lit(1), F.lit(early)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2 * points - 1))))
+    return grid.join(scaled, [cell, cycle, "k"], "left").select(cell, cycle, "k", *(F.coalesce(x, F.lit(0.0)).alias(x) for x in ("v", "i", "q")))
+
+
+def curve_arrays(curves: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """keys, v, i, q as arrays in the order of k, a row for each cycle: a model's input."""
+    rows = curves.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "v", "i", "q"))).alias("r"))
+    return rows.select(*keys, *(F.transform("r", lambda x, c=c: x[c]).alias(c) for c in ("v", "i", "q")))
+
+
 def curvature_area(curve: DataFrame, peak: DataFrame, y: str = "y", keys: list[str] = KEYS) -> DataFrame:
     """icp_area between the first change of sign of the second derivative (or local minimum) on each side of the peak, less the sloped baseline;
     a side without one ends at the peak itself."""

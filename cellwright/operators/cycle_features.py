@@ -124,6 +124,17 @@ def stage_features(stages: DataFrame, most: int = 3, phase: str = "charge", keys
     return agg.withColumn("charge_time_ratio_1_2", F.coalesce(ratio(F.col("charge_time_1"), F.col("charge_time_2")), F.lit(0.0)))
 
 
+def stage_times(charge: DataFrame, stages: DataFrame, near_v: float = 0.03, steady_v: float = 0.015, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:
+    """tccc, tcvc of the cycles with stages (duration_s, mean_v, std_v): seconds in stages that aren't held at the charge's highest voltage, and the rest of the charge.
+
+    A stage is held there where its mean voltage is over the highest less ``near_v`` and its deviation under ``steady_v``; one of a single row has no deviation and isn't.
+    """
+    whole = charge.groupBy(*keys).agg(F.max("voltage_v").alias("top"), (F.max_by("time_s", order) - F.min_by("time_s", order)).alias("total"))
+    held = (F.col("mean_v") > F.col("top") - near_v) & (F.col("std_v") < steady_v)
+    summed = stages.join(whole, keys).groupBy(*keys, "total").agg(F.sum(F.when(F.coalesce(held, F.lit(False)), 0.0).otherwise(F.col("duration_s"))).alias("tccc"))
+    return summed.select(*keys, "tccc", F.greatest(F.lit(0.0), F.col("total") - F.col("tccc")).alias("tcvc"))
+
+
 def inferred_rates(tel: DataFrame, capacity: float, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:
     """C-rates: median current of the first half of the charge rows, and median |I| of the discharge, over the capacity; 2 digits."""
     w = Window.partitionBy(*keys)

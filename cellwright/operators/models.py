@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellwright.operators.selection import permutation_importance
+from cellwright.operators.trees import absolute_tree, ensemble_nodes, feature_edges, path_importance, predicted
+
 
 def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
     filled = df.select("*", *(F.coalesce(F.col(c), F.lit(0.0)).alias(f"__{c}") for c in features))
@@ -15,24 +18,33 @@ def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def tree_importance(df: DataFrame, features: list[str], target: str, rounds: int = 20, seed: int = 0) -> DataFrame:
-    """feature, importance from boosted trees with absolute loss (impurity importances, in place of path attributions)."""
+    """feature, importance: mean absolute path attribution over all rows of boosted trees with absolute loss."""
     model = GBTRegressor(featuresCol="features", labelCol=target, lossType="absolute", stepSize=0.05, maxIter=rounds, maxDepth=4, seed=seed).fit(_assembled(df, features))
-    return df.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)], "feature string, importance double")
+    return path_importance(df, features, ensemble_nodes(model))
+
 
+def recursive_elimination(df: DataFrame, features: list[str], target: str, keep: int, step: float = 0.1, depth: int = 5) -> list[str]:
+    """Drop the features with the least importance in a tree of absolute deviations, a tenth of all (one at least) at a time, until ``keep`` are left.
 
-def recursive_elimination(df: DataFrame, features: list[str], target: str, keep: int, seed: int = 0) -> list[str]:
-    """Drop the tenth of the features with the least importance in a decision tree (variance impurity) until ``keep`` are left."""
-    left = list(features)
+    On equal importances the later feature goes.  The rows' quantiles are taken once; every tree is one pass a level.
+    """
+    edges = feature_edges(df, features, target, 32, 128)
+    left, at_once = list(features), max(1, int(step * len(features)))
     while len(left) > keep:
-        tree = DecisionTreeRegressor(featuresCol="features", labelCol=target, maxDepth=5, seed=seed).fit(_assembled(df, left))
-        values = tree.featureImportances.toArray()
-        drop = min(max(1, len(left) // 10), len(left) - keep)
-        order = sorted(range(len(left)), key=lambda k: (values[k], -k))
-        gone = {left[k] for k in order[:drop]}
+        values = dict(zip(features, absolute_tree(df, features, target, depth, edges, left).importance, strict=True))
+        order = sorted(left, key=lambda f: (values[f], -left.index(f)))
+        gone = set(order[: min(at_once, len(left) - keep)])
         left = [f for f in left if f not in gone]
     return left
 
 
+def elimination_importance(df: DataFrame, features: list[str], target: str, key: str, keep: int, repeats: int = 5, seed: int = 0) -> DataFrame:
+    """feature, importance of the features that recursive elimination keeps: permutation importance (mean absolute error) of a tree of them alone."""
+    left = recursive_elimination(df, features, target, keep)
+    tree = absolute_tree(df, left, target)
+    return permutation_importance(df, left, predicted(tree.nodes, left), target, key, repeats, seed)
+
+
 def lasso_selection(df: DataFrame, features: list[str], target: str, strength: float = 0.1) -> DataFrame:
     """feature, coefficient (of standardized columns' fit, in the columns' own units) of the features an L1 fit keeps."""
     model = LinearRegression(featuresCol="features", labelCol=target, elasticNetParam=1.0, regParam=strength).fit(_assembled(df, features))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwright.functions.columns import ordered, running
+from cellwright.functions.columns import ordered, ratio, running
 from cellwright.operators.curves import peaks
 
 KEYS = ["cell_id", "cycle"]
@@ -76,6 +76,79 @@ def longest_block(tel: DataFrame, below: float = -0.005, keys: list[str] = KEYS,
     return kept.withColumn("time_s", F.col("time_s") - F.min("time_s").over(Window.partitionBy(*keys))).drop("__in", "__block", "__n", "__best")
 
 
+def stable_current_rows(tel: DataFrame, charge: bool, threshold: float = 0.001, least_v: float = 2.5, share: float = 0.9, length: int = 50, least: int | None = None, gap_s: float = 30.0, drop_v: float = 0.05, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:
+    """Rows of the charge (or discharge) from the first stable window on.
+
+    Rows with a current beyond ``threshold`` and a voltage over ``least_v`` count; ``least`` of them (``length`` when charging, else 10) and a largest current over 0.1 A must be there.  A window
+    of ``length`` rows is stable where every current reaches ``share`` of the largest and the voltage rises by over 1e-5 V/s (discharging: doesn't rise).  From its first row on, the phase ends before
+    the first gap in time of over ``gap_s``; when charging, also before the first row more than ``drop_v`` below the highest voltage so far.
+    """
+    sign = 1 if charge else -1
+    least = least if least is not None else (length if charge else 10)
+    w, whole = ordered(keys, order), Window.partitionBy(*keys)
+    current = sign * F.col("current_a")
+    rows = tel.filter((current > threshold) & (F.col("voltage_v") > least_v))
+    rows = rows.withColumn("__top", F.max(current).over(whole)).withColumn("__n", F.count("*").over(whole)).filter((F.col("__n") >= least) & (F.col("__top") > 0.1))
+    stable = F.sum((current >= share * F.col("__top")).cast("int")).over(w.rowsBetween(1 - length, 0)) == length
+    dv, dt = F.col("voltage_v") - F.lag("voltage_v", length - 1).over(w), F.col("time_s") - F.lag("time_s", length - 1).over(w)
+    rises = (dt > 1e-3) & (ratio(dv, dt) > 1e-5) if charge else dv <= 0
+    marked = rows.withColumn("__i", F.row_number().over(w)).withColumn("__ok", F.coalesce(stable & rises, F.lit(False)))
+    marked = marked.withColumn("__dt", F.col("time_s") - F.lag("time_s").over(w))
+    begun = marked.withColumn("__begin", F.min(F.when(F.col("__ok"), F.col("__i") - (length - 1))).over(whole)).filter(F.col("__i") >= F.col("__begin"))
+    ended = (F.col("__i") > F.col("__begin")) & (F.col("__dt") > gap_s)
+    if charge:
+        ended = ended | (F.max("voltage_v").over(w) - F.col("voltage_v") > drop_v)
+    cut = begun.withColumn("__ended", ended).withColumn("__cut", F.min(F.when(F.col("__ended"), F.col("__i"))).over(whole))
+    kept = cut.filter(F.col("__cut").isNull() | (F.col("__i") < F.col("__cut")))
+    return kept.select(*tel.columns)
+
+
+def charge_stream(tel: DataFrame, least_v: float = 2.5, least_a: float = 0.01, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:
+    """Charging rows from a voltage on; time_s starts at 0 at the first of them."""
+    rows = tel.filter((F.col("voltage_v") >= least_v) & (F.col("current_a") > least_a))
+    return rows.withColumn("time_s", F.col("time_s") - F.first("time_s").over(ordered(keys, order)))
+
+
+def discharge_stream(tel: DataFrame, below: float = -0.005, after: int = 10, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:
+    """The longest contiguous discharge block from its highest voltage (unless that is its last row) to its lowest one after it (if more than ``after`` rows in).
+
+    On equal voltages the first row counts; time_s starts at 0 at the first row that is left.
+    """
+    w, whole = ordered(keys, order), Window.partitionBy(*keys)
+
+    def numbered(df: DataFrame) -> DataFrame:
+        return df.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(whole))
+
+    def place(best: Column) -> Column:
+        return F.min(F.when(F.col("voltage_v") == best, F.col("__i"))).over(whole)
+
+    block = numbered(longest_block(tel, below, keys, order)).withColumn("__v", F.max("voltage_v").over(whole))
+    head = block.withColumn("__at", place(F.col("__v"))).filter((F.col("__at") >= F.col("__n") - 1) | (F.col("__i") >= F.col("__at")))
+    tail = numbered(head.drop("__i", "__n", "__v", "__at")).withColumn("__v", F.min("voltage_v").over(whole))
+    cut = tail.withColumn("__at", place(F.col("__v"))).filter((F.col("__at") <= after) | (F.col("__i") <= F.col("__at")))
+    return cut.withColumn("time_s", F.col("time_s") - F.first("time_s").over(w)).select(*tel.columns)
+
+
+def longest_chain(rows: DataFrame, gap_s: float = 10.0, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:
+    """Rows of the longest chain of segments, with their voltages stitched.
+
+    ``order`` numbers all samples of a cycle, so a missing number splits segments; neighbouring segments less than ``gap_s`` apart chain (``stitched``), and the chain with the most rows stays,
+    the first on ties.  Where a voltage jumps up between the segments of a chain, the following one is shifted down by the jump.
+    """
+    w = ordered(keys, order)
+    split = F.coalesce(F.col(order) - F.lag(order).over(w) > 1, F.lit(False))
+    own = islands(rows, split, w, "__segment")
+    ends = own.groupBy(*keys, "__segment").agg(
+        F.min_by("time_s", order).alias("begin_s"), F.max_by("time_s", order).alias("end_s"), F.min_by("voltage_v", order).alias("begin_v"), F.max_by("voltage_v", order).alias("end_v"), F.count("*").alias("n")
+    )
+    chains = stitched(ends, gap_s, keys, "__segment")
+    sized = chains.withColumn("__n", F.sum("n").over(Window.partitionBy(*keys, "chain")))
+    best = F.max(F.struct("__n", (-F.col("chain")).alias("c"))).over(Window.partitionBy(*keys))
+    kept = sized.withColumn("__best", best).filter(F.col("chain") == -F.col("__best.c")).select(*keys, "__segment", "shift_v")
+    joined = own.join(kept, [*keys, "__segment"])
+    return joined.withColumn("voltage_v", F.col("voltage_v") - F.col("shift_v")).select(*rows.columns)
+
+
 def stitched(segments: DataFrame, gap_s: float = 10.0, keys: list[str] = KEYS, order: str = "segment") -> DataFrame:
     """chain, shift of segments (begin_s, end_s, begin_v, end_v): neighbours within ``gap_s`` chain, and where the voltage jumps up the following
     segment is shifted down by the jump, measured against the shifted end before: a cumulative sum less its running minimum."""
@@ -127,8 +200,8 @@ def renumbered(cycles: DataFrame, reject: Column, limit: int | None = None, firs
     return kept.filter(F.col("new_cycle") <= limit) if limit and not first_limit else kept
 
 
-def histogram_stages(rows: DataFrame, tolerance: float = 0.3, window: int = 15, bins: int = 100, apart: int = 5, gap: float = 120.0, least: float = 60.0, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:
-    """keys, stage, start_s, duration_s, current_a: constant-current charge stages around the most frequent currents.
+def histogram_stages(rows: DataFrame, tolerance: float = 0.3, window: int = 15, bins: int = 100, apart: int = 5, gap: float = 120.0, least: float = 60.0, keys: list[str] = KEYS, order: str = "seq", voltage: str | None = None) -> DataFrame:
+    """keys, stage, start_s, duration_s, current_a (and with ``voltage`` that column's mean_v and std_v over the stage's rows): constant-current charge stages around the most frequent currents.
 
     Currents go through a median filter (zeros beyond the ends); a histogram of those over 0.1 A has peaks, at least ``apart`` bins from each other and
     with a prominence of a hundredth of its rows.  Rows within ``tolerance`` of a peak's current (the lowest such) form runs; runs of one current, or of currents
@@ -169,5 +242,7 @@ def histogram_stages(rows: DataFrame, tolerance: float = 0.3, window: int = 15,
     segments = listed.select(*keys, F.filter(merged, lambda p: p["t1"] - p["t0"] >= least).alias("segments")).filter(F.size("segments") > 0)
     inside = smooth.join(segments, keys).withColumn("s", F.get(F.filter("segments", lambda p: F.col("__k").between(p["a"], p["b"])), F.lit(0))).filter("s is not null")
     mean = F.avg(F.when(F.abs(F.col("current_a") - F.col("s.c")) < 2 * tolerance, F.col("current_a")))
-    found = inside.groupBy(*keys, "s").agg(mean.alias("m")).select(*keys, F.col("s.t0").alias("start_s"), (F.col("s.t1") - F.col("s.t0")).alias("duration_s"), F.coalesce("m", F.col("s.c")).alias("current_a"))
-    return found.withColumn("stage", F.row_number().over(ordered(keys, "start_s"))).select(*keys, "stage", "start_s", "duration_s", "current_a")
+    volts = [F.avg(voltage).alias("mean_v"), F.stddev_samp(voltage).alias("std_v")] if voltage else []
+    own = ["mean_v", "std_v"] if voltage else []
+    found = inside.groupBy(*keys, "s").agg(mean.alias("m"), *volts).select(*keys, F.col("s.t0").alias("start_s"), (F.col("s.t1") - F.col("s.t0")).alias("duration_s"), F.coalesce("m", F.col("s.c")).alias("current_a"), *own)
+    return found.withColumn("stage", F.row_number().over(ordered(keys, "start_s"))).select(*keys, "stage", "start_s", "duration_s", "current_a", *own)

@@ -131,10 +131,70 @@ def weighted_errors(weight: str, y: str = "y", pred: str = "pred") -> list[Colum
     return [mean(F.abs(e)).alias("mae"), mean(e * e).alias("mse"), mean(ratio(F.abs(e), F.greatest(F.abs(F.col(y)), F.lit(EPSILON)))).alias("mape")]
 
 
-def multi_output_errors(outputs: list[tuple[str, str]]) -> list[Column]:
-    """mae_k of each output (y, pred), and mae, their mean."""
-    each = [F.avg(F.abs(F.col(p) - F.col(y))) for y, p in outputs]
-    return [*(m.alias(f"mae_{k}") for k, m in enumerate(each)), (sum(each[1:], each[0]) / len(each)).alias("mae")]
+def multi_output_errors(outputs: list[tuple[str, str]], kinds: tuple[str, ...] = ("mae",)) -> list[Column]:
+    """Of each kind (mae, mse, mape) the error of each output (y, pred) as kind_k, and as kind their mean."""
+    e = lambda y, p: F.col(p) - F.col(y)
+    error = {"mae": lambda y, p: F.abs(e(y, p)), "mse": lambda y, p: e(y, p) * e(y, p), "mape": lambda y, p: F.abs(e(y, p)) / F.greatest(F.abs(F.col(y)), F.lit(EPSILON))}
+    out = []
+    for kind in kinds:
+        each = [F.avg(error[kind](y, p)) for y, p in outputs]
+        out += [*(m.alias(f"{kind}_{k}") for k, m in enumerate(each)), (sum(each[1:], each[0]) / len(each)).alias(kind)]
+    return out
+
+
+def masked_errors(mask: str, scale: str, y: str = "y", pred: str = "pred") -> list[Column]:
+    """Masked mape, smape and mase over all rows, masked ones counting as 0; a ratio over 0 is 0.  ``scale``: the row's mean absolute seasonal difference."""
+    e = F.abs(F.col(pred) - F.col(y))
+    over = lambda a, b: F.coalesce(ratio(a, b), F.lit(0.0))
+    return [F.avg(e * F.abs(over(F.col(mask), F.col(y)))).alias("mape"), (200 * F.avg(over(e, F.abs(pred) + F.abs(y)) * F.col(mask))).alias("smape"), F.avg(e * over(F.col(mask), F.col(scale))).alias("mase")]
+
+
+def forecast_summary(points: DataFrame, scales: DataFrame, minor: list[str], digits: int = 3) -> DataFrame:
+    """grp, smape, mape, mase, owa of forecasts by group, the ``minor`` groups as Others, and Average.
+
+    ``points``: grp, series, y, pred, naive; ``scales``: grp, series, scale (the mean absolute seasonal difference of the series' own past).  A group's mase is the mean over its
+    series, the others over its points; Others and Average weight groups by their series.  owa is the mean of the ratios of mase and smape to the naive forecast's.
+    """
+    denominator = lambda p: F.when(F.abs("y") + F.abs(p) == 0, 1.0).otherwise(F.abs("y") + F.abs(p))
+    smape = lambda p: 200 * F.abs(F.col(p) - F.col("y")) / denominator(p)
+    mape = 100 * F.abs(F.col("pred") - F.col("y")) / F.when(F.col("y") == 0, 1.0).otherwise(F.abs("y"))
+    per = points.groupBy("grp", "series").agg(
+        F.count("*").alias("n"), F.sum(smape("pred")).alias("s"), F.sum(smape("naive")).alias("s0"), F.sum(mape).alias("p"), F.avg(F.abs(F.col("pred") - F.col("y"))).alias("e"), F.avg(F.abs(F.col("naive") - F.col("y"))).alias("e0")
+    )
+    joined = per.join(scales, ["grp", "series"])
+    group = joined.groupBy("grp").agg(
+        F.count("*").alias("w"), ratio(F.sum("s"), F.sum("n")).alias("smape"), ratio(F.sum("s0"), F.sum("n")).alias("smape0"), ratio(F.sum("p"), F.sum("n")).alias("mape"),
+        F.avg(ratio(F.col("e"), F.col("scale"))).alias("mase"), F.avg(ratio(F.col("e0"), F.col("scale"))).alias("mase0"),
+    )
+    names = F.array(F.when(F.col("grp").isin(*minor), "Others").otherwise(F.col("grp")), F.lit("Average"))
+    mean = lambda c: ratio(F.sum(F.col(c) * F.col("w")), F.sum("w")).alias(c)
+    merged = group.withColumn("grp", F.explode(names)).groupBy("grp").agg(*(mean(c) for c in ("smape", "smape0", "mape", "mase", "mase0")))
+    owa = (ratio(F.col("mase"), F.col("mase0")) + ratio(F.col("smape"), F.col("smape0"))) / 2
+    return merged.select("grp", *(F.round(c + 1e-9, digits).alias(name) for name, c in (("smape", F.col("smape")), ("mape", F.col("mape")), ("mase", F.col("mase")), ("owa", owa))))
+
+
+def sensitivity_grid(predictions: DataFrame, axes: dict[str, list[int]], keys: list[str]) -> DataFrame:
+    """Mean absolute percentage errors for each combination of upper limits on the axes' columns: a row counts for all limits that it keeps within."""
+    own = predictions
+    for column, limits in axes.items():
+        own = own.withColumn(f"{column}_limit", F.explode(F.filter(F.array(*(F.lit(k) for k in limits)), lambda k, c=column: k >= F.col(c))))
+    return own.groupBy(*(f"{c}_limit" for c in axes), *keys).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("pred") - F.col("y")) / F.greatest(F.abs("y"), F.lit(EPSILON))).alias("mape"))
+
+
+#: Nominal capacities in Ah by the beginnings of names, in this order (fixed values).
+CAPACITIES = [("RWTH", 1.85), ("SNL_18650_NCA_25C_20-80", 3.2)]
+
+
+def state_of_health(capacities: DataFrame, cells: DataFrame) -> DataFrame:
+    """cell_id, cycle, soh: a cycle's largest discharge capacity over the nominal one and the share of the charge range that is used.
+
+    ``capacities``: cell_id, cycle, discharge_capacity_ah (samples); ``cells``: cell_id, name, nominal_capacity_ah, soc_from, soc_to.  Names in CAPACITIES have a nominal capacity of their own.
+    """
+    nominal = F.col("nominal_capacity_ah")
+    for begin, value in reversed(CAPACITIES):
+        nominal = F.when(F.col("name").startswith(begin), value).otherwise(nominal)
+    top = capacities.groupBy("cell_id", "cycle").agg(F.max("discharge_capacity_ah").alias("q"))
+    return top.join(cells.select("cell_id", nominal.alias("__c"), (F.col("soc_to") - F.col("soc_from")).alias("__s")), "cell_id").select("cell_id", "cycle", ratio(F.col("q") / F.col("__c"), F.col("__s")).alias("soh"))
 
 
 def whole_lives(soh: DataFrame, least: float = 0.78) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwright.functions.columns import ordered, ratio
+from cellwright.operators.ranks import quantiles
 
 #: Pairs whose moments go into one aggregate: more would not be compiled as one.
 PAIRS_AT_ONCE = 150
@@ -115,19 +116,6 @@ def spearman_pairs(wide: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return pearson_pairs(average_ranks(wide.select(*columns), columns), pairs)
 
 
-def kendall(wide: DataFrame, a: str, b: str) -> DataFrame:
-    """tau_b of two columns of few distinct value pairs: a range join of the pairs' counts."""
-    counts = wide.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("n"))
-    other = counts.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"))
-    sign = F.signum(F.col("y2") - F.col("y"))
-    joined = counts.join(other, F.col("x") < F.col("x2")).agg(F.sum(sign * F.col("n") * F.col("n2")).alias("s"))
-    n = F.sum("n")
-    tie = lambda key: counts.groupBy(key).agg(n.alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(f"t{key}"))
-    total = counts.agg((n * (n - 1) / 2).alias("t"))
-    row = joined.crossJoin(tie("x")).crossJoin(tie("y")).crossJoin(total)  # one row each
-    return row.select(F.lit(a).alias("a"), F.lit(b).alias("b"), ratio(F.col("s"), F.sqrt((F.col("t") - F.col("tx")) * (F.col("t") - F.col("ty")))).alias("tau"))
-
-
 def collinear_losers(correlations: DataFrame, ranked: DataFrame, threshold: float) -> DataFrame:
     """dropped, kept, r: for every pair (a before b) over the threshold one loses: the higher level, else the lower |r| with the target, else b.
 
@@ -156,16 +144,22 @@ def all_pairs(features: list[str]) -> list[tuple[str, str]]:
     return list(combinations(features, 2))
 
 
-def binned_information(wide: DataFrame, feature: str, target: str, bins: int = 10, key: str = "id") -> DataFrame:
-    """Mutual information of equal-frequency bins; deterministic, in place of a nearest-neighbour estimate."""
-    cut = wide.filter(F.col(feature).isNotNull() & F.col(target).isNotNull())
-    edges = cut.agg(F.percentile(feature, F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("fx"), F.percentile(target, F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("ty"))
-    bin_of = lambda c, e: F.size(F.filter(e, lambda x: x < F.col(c)))
-    joint = cut.crossJoin(F.broadcast(edges)).select(bin_of(feature, F.col("fx")).alias("x"), bin_of(target, F.col("ty")).alias("y")).groupBy("x", "y").count()
-    k = lambda *c: F.sum("count").over(Window.partitionBy(*c))  # noqa: E731  of bins * bins rows at most
-    total = joint.agg(F.sum("count").alias("n"))
-    p = joint.withColumn("px", k("x")).withColumn("py", k("y")).crossJoin(F.broadcast(total))
-    return p.agg(F.sum(F.col("count") / F.col("n") * F.log(F.col("count") * F.col("n") / (F.col("px") * F.col("py")))).alias("mi")).select(F.lit(feature).alias("feature"), "mi")
+def binned_information(wide: DataFrame, features: str | list[str], target: str, bins: int = 10) -> DataFrame:
+    """feature, mi: mutual information of equal-frequency bins; deterministic, in place of a nearest-neighbour estimate.
+
+    The edges of all features are exact quantiles of the rows where feature and target are there, counted digit by digit (``ranks.quantiles``); one more scan
+    counts the bins of all features, and bins * bins rows a feature are left.
+    """
+    features = [features] if isinstance(features, str) else features
+    both = {f: F.col(f).isNotNull() & F.col(target).isNotNull() for f in features}
+    masked = wide.select(*(F.when(both[f], F.col(c)).alias(f"{kind}{k}") for k, f in enumerate(features) for kind, c in (("x", f), ("y", target))))
+    edges = quantiles(masked, masked.columns, [k / bins for k in range(1, bins)])
+    bin_of = lambda c: F.size(F.filter(F.array(*(F.lit(v) for v in edges[c])).cast("array<double>"), lambda v: v < F.col(c)))
+    cells = F.array(*(F.when(F.col(f"x{k}").isNotNull(), F.struct(F.lit(f).alias("feature"), bin_of(f"x{k}").alias("x"), bin_of(f"y{k}").alias("y"))) for k, f in enumerate(features)))
+    joint = masked.select(F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).groupBy("c.feature", "c.x", "c.y").count()
+    total = lambda *keys: F.sum("count").over(Window.partitionBy("feature", *keys))
+    p = joint.withColumn("px", total("x")).withColumn("py", total("y")).withColumn("n", total())
+    return p.groupBy("feature").agg(F.sum(F.col("count") / F.col("n") * F.log(F.col("count") * F.col("n") / (F.col("px") * F.col("py")))).alias("mi"))
 
 
 def robustness(importance: DataFrame, top: int | None = None) -> DataFrame:
@@ -204,20 +198,20 @@ def cell_means(features: DataFrame, columns: list[str]) -> DataFrame:
     return features.groupBy("cell_id").agg(*(F.avg(c).alias(c) for c in columns))
 
 
-def permutation_importance(scored: DataFrame, features: list[str], predict, target: str, key: str, repeats: int = 5, seed: int = 0) -> DataFrame:
+def permutation_importance(scored: DataFrame, features: list[str], predict: Column, target: str, key: str, repeats: int = 5, seed: int = 0, shard_rows: int = 200_000) -> DataFrame:
     """feature, importance: rise of the mean absolute error when the feature's values are dealt out anew, over repeats.
 
-    A permutation joins rows by the rank of one hash to the rank of another, ranks being counted inside hash shards, and all (feature, repeat) copies
-    are predicted in one pass by ``predict`` (a Column of the features).
+    In every repeat a row takes the values of the row after it in a hashed order, in shards of about ``shard_rows`` rows (the last one those of the first): one window over
+    the rows of all repeats.  Each (repeat, feature) copy then has that feature replaced, and ``predict``, a Column of the features, is evaluated on all copies in one pass.
     """
+    shards = max(1, scored.count() // shard_rows)
+    own = scored.select(key, target, *features).withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    order = F.xxhash64(F.lit(seed), "__r", key)
+    w = Window.partitionBy("__r", F.pmod(F.xxhash64("__r", key), F.lit(shards))).orderBy(order, key)
+    values = F.struct(*(F.col(f) for f in features))
+    dealt = own.withColumn("__x", F.coalesce(F.lead(values).over(w), F.first(values).over(w)))
+    copies = dealt.withColumn("__f", F.explode(F.array(*(F.lit(f) for f in features))))
+    moved = copies.select("__f", target, *(F.when(F.col("__f") == f, F.col(f"__x.{f}")).otherwise(F.col(f)).alias(f) for f in features))
+    changed = moved.groupBy(F.col("__f").alias("feature")).agg(F.avg(F.abs(predict - F.col(target))).alias("e"))
     base = scored.agg(F.avg(F.abs(predict - F.col(target))).alias("e0"))
-    shards = 64
-    out = None
-    for f in features:
-        for r in range(repeats):
-            shard = F.pmod(F.xxhash64(F.lit(seed + r), key), F.lit(shards))
-            one = scored.withColumn("__s", shard).withColumn("__k", F.row_number().over(Window.partitionBy("__s").orderBy(key)))
-            two = one.withColumn("__j", F.row_number().over(Window.partitionBy("__s").orderBy(F.xxhash64(F.lit(r), F.lit(f), key), key))).select("__s", F.col("__j").alias("__k"), F.col(f).alias("__x"))
-            moved = one.join(two, ["__s", "__k"]).withColumn(f, F.col("__x")).agg(F.avg(F.abs(predict - F.col(target))).alias("e")).select(F.lit(f).alias("feature"), "e")
-            out = moved if out is None else out.unionByName(moved)
-    return out.crossJoin(F.broadcast(base)).groupBy("feature").agg(F.avg(F.col("e") - F.col("e0")).alias("importance"))
+    return changed.crossJoin(F.broadcast(base)).select("feature", (F.col("e") - F.col("e0")).alias("importance"))

@@ -79,6 +79,59 @@ def ph6(spark, d):
     return ph.stable_phase(fx.telemetry(spark, d).filter("current_a < 0"), share=0.6, length=5)
 
 
+def _stable_sql(phase: str, sign: str, rises: str, gap: int, least: int) -> str:
+    """Rows of a phase from the first window of 5 stable rows to a gap."""
+    k, w = "PARTITION BY cell_id, cycle", "PARTITION BY cell_id, cycle ORDER BY seq"
+    return f"""(WITH r AS (SELECT *, {sign}current_a AS c FROM telemetry WHERE {sign}current_a > 0.001 AND voltage_v > 2.5),
+t AS (SELECT *, max(c) OVER ({k}) AS top, count(*) OVER ({k}) AS n FROM r),
+m AS (SELECT *, row_number() OVER ({w}) AS i, time_s - lag(time_s) OVER ({w}) AS dt, sum(CASE WHEN c >= 0.6 * top THEN 1 ELSE 0 END) OVER ({w} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS stable,
+  voltage_v - lag(voltage_v, 4) OVER ({w}) AS dv, time_s - lag(time_s, 4) OVER ({w}) AS dt4 FROM t WHERE n >= {least} AND top > 0.1),
+b AS (SELECT *, min(CASE WHEN stable = 5 AND {rises} THEN i - 4 END) OVER ({k}) AS first_i FROM m),
+v AS (SELECT *, max(voltage_v) OVER ({w}) AS high FROM b WHERE i >= first_i),
+e AS (SELECT *, min(CASE WHEN (i > first_i AND dt > {gap}) OR ({'high - voltage_v > 0.05' if not sign else 'false'}) THEN i END) OVER ({k}) AS cut FROM v)
+SELECT '{phase}' AS phase, cell_id, cycle, seq, time_s, current_a, voltage_v FROM e WHERE cut IS NULL OR i < cut)"""
+
+
+@query("ph6_stable_rows", with_(TELEMETRY) + _stable_sql("charge", "", "dt4 > 0.001 AND dv / dt4 > 0.00001", 63, 5) + " UNION ALL " + _stable_sql("discharge", "-", "dv <= 0", 63, 10))
+def ph6_rows(spark, d):
+    """Both phases from their first stable window on."""
+    tel = fx.telemetry(spark, d).select(*KEYS, "seq", "time_s", "current_a", "voltage_v")
+    charge, discharge = (ph.stable_current_rows(tel, c, share=0.6, length=5, gap_s=63.0).withColumn("phase", F.lit("charge" if c else "discharge")) for c in (True, False))
+    return charge.unionByName(discharge)
+
+
+@query("ph7_streams", with_(TELEMETRY) + """, i AS (SELECT *, current_a < -0.7 AS inside FROM telemetry),
+m AS (SELECT *, CASE WHEN inside <> lag(inside) OVER w OR lag(inside) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM i WINDOW w AS (PARTITION BY cell_id, cycle ORDER BY seq)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY cell_id, cycle ORDER BY seq) AS block FROM m),
+b AS (SELECT *, row_number() OVER (PARTITION BY cell_id, cycle ORDER BY n DESC, block) AS k FROM (SELECT cell_id, cycle, block, count(*) AS n FROM g WHERE inside GROUP BY ALL) x),
+r AS (SELECT g.*, n, row_number() OVER (PARTITION BY cell_id, cycle ORDER BY seq) - 1 AS i FROM g JOIN b USING (cell_id, cycle, block) WHERE k = 1),
+h AS (SELECT *, min(CASE WHEN voltage_v = top THEN i END) OVER (PARTITION BY cell_id, cycle) AS place FROM (SELECT *, max(voltage_v) OVER (PARTITION BY cell_id, cycle) AS top FROM r) x),
+t AS (SELECT cell_id, cycle, seq, time_s, current_a, voltage_v, row_number() OVER (PARTITION BY cell_id, cycle ORDER BY seq) - 1 AS i, min(voltage_v) OVER (PARTITION BY cell_id, cycle) AS low FROM h WHERE place >= n - 1 OR i >= place),
+z AS (SELECT *, min(CASE WHEN voltage_v = low THEN i END) OVER (PARTITION BY cell_id, cycle) AS place FROM t),
+c AS (SELECT 'discharge' AS phase, cell_id, cycle, seq, time_s, current_a, voltage_v FROM z WHERE place <= 3 OR i <= place UNION ALL SELECT 'charge', cell_id, cycle, seq, time_s, current_a, voltage_v FROM telemetry WHERE voltage_v >= 3.2 AND current_a > 0.01)
+SELECT phase, cell_id, cycle, seq, time_s - min(time_s) OVER (PARTITION BY phase, cell_id, cycle) AS time_s, current_a, voltage_v FROM c""")
+def ph7_streams(spark, d):
+    """The discharge from its highest to its lowest voltage, and the charge."""
+    tel = fx.telemetry(spark, d).select(*KEYS, "seq", "time_s", "current_a", "voltage_v")
+    discharge = ph.discharge_stream(tel, below=-0.7, after=3).withColumn("phase", F.lit("discharge"))
+    return discharge.unionByName(ph.charge_stream(tel, least_v=3.2).withColumn("phase", F.lit("charge")))
+
+
+@query("ph8_longest_chain", with_(TELEMETRY) + """, r AS (SELECT cell_id, cycle, seq, time_s, voltage_v FROM telemetry WHERE current_a < -0.6),
+s AS (SELECT *, sum(CASE WHEN seq - before > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY cell_id, cycle ORDER BY seq) AS segment FROM (SELECT *, lag(seq) OVER (PARTITION BY cell_id, cycle ORDER BY seq) AS before FROM r) x),
+e AS (SELECT cell_id, cycle, segment, count(*) AS n, min(time_s) AS begin_s, max(time_s) AS end_s, arg_min(voltage_v, seq) AS begin_v, arg_max(voltage_v, seq) AS end_v FROM s GROUP BY ALL),
+c AS (SELECT *, sum(CASE WHEN begin_s - gone < 130 THEN 0 ELSE 1 END) OVER (PARTITION BY cell_id, cycle ORDER BY segment) AS chain FROM (SELECT *, lag(end_s) OVER (PARTITION BY cell_id, cycle ORDER BY segment) AS gone FROM e) x),
+j AS (SELECT *, coalesce(begin_v - lag(end_v) OVER (PARTITION BY cell_id, cycle, chain ORDER BY segment), 0) AS jump FROM c),
+u AS (SELECT *, sum(jump) OVER (PARTITION BY cell_id, cycle, chain ORDER BY segment) AS total, sum(n) OVER (PARTITION BY cell_id, cycle, chain) AS rows_in FROM j),
+f AS (SELECT *, least(0, min(total) OVER (PARTITION BY cell_id, cycle, chain ORDER BY segment)) AS low FROM u),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY cell_id, cycle ORDER BY rows_in DESC, chain) AS place FROM f)
+SELECT cell_id, cycle, seq, time_s, round(voltage_v - (total - low), 6) AS voltage_v FROM s JOIN k USING (cell_id, cycle, segment) WHERE place = 1""")
+def ph8_rows(spark, d):
+    """Discharge rows of over 0.6 A: a missing row splits, two missing ones in a row end a chain."""
+    rows = fx.telemetry(spark, d).filter("current_a < -0.6").select(*KEYS, "seq", "time_s", "voltage_v")
+    return rounded(ph.longest_chain(rows, gap_s=130.0))
+
+
 @query("ph7_longest_block", with_(TELEMETRY) + """, i AS (SELECT *, current_a < -0.7 AS inside FROM telemetry),
 m AS (SELECT *, CASE WHEN inside <> lag(inside) OVER w OR lag(inside) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM i WINDOW w AS (PARTITION BY cell_id, cycle ORDER BY seq)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY cell_id, cycle ORDER BY seq) AS block FROM m),

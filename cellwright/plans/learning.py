@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cellwright.operators import ranks
 from cellwright.operators import samples as sm
 from cellwright.operators import selection as fs
 from cellwright.plans.cycles import rounded
@@ -91,7 +92,17 @@ def fs4(spark, d):
 x AS (SELECT sum(n * (n - 1) / 2) AS t FROM (SELECT sum(n) AS n FROM p GROUP BY x)), y AS (SELECT sum(n * (n - 1) / 2) AS t FROM (SELECT sum(n) AS n FROM p GROUP BY y)), a AS (SELECT sum(n) * (sum(n) - 1) / 2 AS t FROM p)
 SELECT 'discount' AS a, 'tax' AS b, round(s.s / nullif(sqrt((a.t - x.t) * (a.t - y.t)), 0), 6) AS tau FROM s, x, y, a""")
 def fs5(spark, d):
-    return rounded(fs.kendall(wide(spark, d), "discount", "tax"))
+    return rounded(ranks.kendall(wide(spark, d), "discount", "tax"))
+
+
+@query("fs5_kendall_distinct", """WITH p AS (SELECT o_orderkey AS id, CAST(o_totalprice AS DOUBLE) AS x, CAST(o_custkey AS DOUBLE) AS y FROM orders),
+s AS (SELECT sum(sign(b.y - a.y)) AS s FROM p a JOIN p b ON a.x < b.x),
+x AS (SELECT sum(n * (n - 1) / 2) AS t FROM (SELECT count(*) AS n FROM p GROUP BY x)), y AS (SELECT sum(n * (n - 1) / 2) AS t FROM (SELECT count(*) AS n FROM p GROUP BY y)), a AS (SELECT count(*) * (count(*) - 1) / 2 AS t FROM p)
+SELECT 'x' AS a, 'y' AS b, round(s.s / nullif(sqrt((a.t - x.t) * (a.t - y.t)), 0), 6) AS tau FROM s, x, y, a""")
+def fs5_distinct(spark, d):
+    """Columns of nearly distinct values, in ranges of 4000 rows."""
+    orders = fx.table(spark, d, "orders").select(F.col("o_totalprice").cast("double").alias("x"), F.col("o_custkey").cast("double").alias("y"))
+    return rounded(ranks.kendall(orders, "x", "y", strip=4000))
 
 
 def _ranked(spark, d):
@@ -131,6 +142,18 @@ def fs8(spark, d):
     return rounded(fs.binned_information(wide(spark, d), "price", "target", bins=5))
 
 
+def _information_sql(feature: str) -> str:
+    return f"""SELECT '{feature}' AS feature, round(sum(c / n * ln(c * n / (px * py))), 6) AS mi FROM (SELECT *, sum(c) OVER (PARTITION BY x) AS px, sum(c) OVER (PARTITION BY y) AS py, sum(c) OVER () AS n
+  FROM (SELECT len(list_filter(fx, lambda v: v < {feature})) AS x, len(list_filter(ty, lambda v: v < target)) AS y, count(*) AS c
+    FROM wide, (SELECT quantile_cont({feature}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS fx, quantile_cont(target, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS ty FROM wide) e GROUP BY ALL) b) p"""
+
+
+@query("fs8_information_of_all", with_(WIDE) + "\nUNION ALL ".join(_information_sql(c) for c in ("quantity", "price", "discount", "tax", "twice", "constant")))
+def fs8_all(spark, d):
+    """All features at once: their quantiles in the same scans."""
+    return rounded(fs.binned_information(wide(spark, d), COLUMNS, "target"))
+
+
 @query("fs12_permutation_importance")
 def fs12(spark, d):
     """Hash-dealt permutations: no SQL; tests check it on a model whose importances are known."""

@@ -34,6 +34,11 @@ def fs11(spark, d):
     return spark.createDataFrame([(f, k) for k, f in enumerate(left)], "feature string, position int")
 
 
+@query("fs11_elimination_importance")
+def fs11_importance(spark, d):
+    return rounded(m.elimination_importance(wide(spark, d), NAMES, "price", "id", keep=2, repeats=2))
+
+
 @query("fs19_lasso_selection")
 def fs19(spark, d):
     return rounded(m.lasso_selection(wide(spark, d), NAMES, "price", strength=100.0))
