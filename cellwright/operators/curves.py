@@ -224,7 +224,10 @@ def resample_by_index(rows: DataFrame, columns: list[str], n: int, keys: list[st
     numbered = rows.withColumn("__j", F.row_number().over(w)).withColumn("__m", F.count("*").over(Window.partitionBy(*keys)))
     nexts = numbered.select("*", *(F.coalesce(F.lead(c).over(w), F.col(c)).alias(f"__{c}") for c in columns))
     place = 1 + F.col("k") * F.col("__m") / (n - 1)
-    grid = nexts.withColumn("k", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("__j") - 1) * (n - 1) / F.col("__m"))).cast("int"), F.when(F.col("__j") == F.col("__m"), F.lit(n - 1)).otherwise((F.ceil(F.col("__j") * (n - 1) / F.col("__m")) - 1).cast("int")))))
+    first = F.ceil((F.col("__j") - 1) * (n - 1) / F.col("__m")).cast("int")
+    last = F.when(F.col("__j") == F.col("__m"), F.lit(n - 1)).otherwise((F.ceil(F.col("__j") * (n - 1) / F.col("__m")) - 1).cast("int"))
+    # a sample between two points has none: a sequence would run backwards
+    grid = nexts.withColumn("k", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
     share = F.least(F.greatest(place - F.col("__j"), F.lit(0.0)), F.lit(1.0))
     return grid.select(*keys, "k", *((F.col(c) + (F.col(f"__{c}") - F.col(c)) * share).alias(c) for c in columns))
 
@@ -256,7 +259,7 @@ def model_curves(rows: DataFrame, capacity: float | str, early: int, points: int
 def curve_arrays(curves: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """keys, v, i, q as arrays in the order of k, a row for each cycle: a model's input."""
     rows = curves.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "v", "i", "q"))).alias("r"))
-    return rows.select(*keys, *(F.transform("r", lambda x, c=c: x[c]).alias(c) for c in ("v", "i", "q")))
+    return rows.select(*keys, *(F.col(f"r.{c}").alias(c) for c in ("v", "i", "q")))
 
 
 def curvature_area(curve: DataFrame, peak: DataFrame, y: str = "y", keys: list[str] = KEYS) -> DataFrame:

@@ -177,7 +177,7 @@ def sensitivity_grid(predictions: DataFrame, axes: dict[str, list[int]], keys: l
     """Mean absolute percentage errors for each combination of upper limits on the axes' columns: a row counts for all limits that it keeps within."""
     own = predictions
     for column, limits in axes.items():
-        own = own.withColumn(f"{column}_limit", F.explode(F.filter(F.array(*(F.lit(k) for k in limits)), lambda k, c=column: k >= F.col(c))))
+        own = own.withColumn(f"{column}_limit", F.explode(F.filter(F.array(*(F.lit(k) for k in limits)), lambda k: k >= F.col(column))))  # noqa: B023  called at once
     return own.groupBy(*(f"{c}_limit" for c in axes), *keys).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("pred") - F.col("y")) / F.greatest(F.abs("y"), F.lit(EPSILON))).alias("mape"))
 
 

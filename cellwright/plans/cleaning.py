@@ -97,6 +97,49 @@ def cl8(spark, d):
     return rounded(c.group_range_means(long(spark, d), groups(spark, d)))
 
 
+#: Names of suppliers as cells of two data sets.
+SNL_NAMES = """names AS (SELECT s_suppkey AS cell_id, 'SNL_18650_' || CASE WHEN s_suppkey % 2 = 0 THEN 'NCA' ELSE 'LFP' END || '_25C_' || CASE WHEN (s_suppkey // 2) % 2 = 0 THEN '20-80' ELSE '0-100' END || '_0.5-1C'
+  || CASE WHEN (s_suppkey // 4) % 2 = 0 THEN '' ELSE '5' END || CASE WHEN s_suppkey % 7 = 3 THEN '' ELSE '_' || chr(CAST(97 + s_suppkey % 26 AS INT)) END AS name FROM supplier)"""
+ISU_NAMES = """names AS (SELECT s_suppkey AS cell_id, CASE WHEN s_suppkey % 9 = 4 THEN 'ISU-ILCC_' || s_suppkey ELSE 'ISU-ILCC_G' || (s_suppkey * 7 % 64 + 1) || 'C' || s_suppkey END AS name FROM supplier)"""
+
+
+def snl_names(spark, d):
+    k = F.col("s_suppkey")
+    letter = F.when(k % 7 == 3, "").otherwise(F.concat(F.lit("_"), F.chr(97 + k % 26)))
+    name = F.concat(F.lit("SNL_18650_"), F.when(k % 2 == 0, "NCA").otherwise("LFP"), F.lit("_25C_"), F.when(F.floor(k / 2) % 2 == 0, "20-80").otherwise("0-100"), F.lit("_0.5-1C"), F.when(F.floor(k / 4) % 2 == 0, "").otherwise("5"), letter)
+    return fx.table(spark, d, "supplier").select(k.alias("cell_id"), name.alias("name"))
+
+
+def isu_names(spark, d):
+    k = F.col("s_suppkey")
+    name = F.when(k % 9 == 4, F.concat(F.lit("ISU-ILCC_"), k.cast("string"))).otherwise(F.concat(F.lit("ISU-ILCC_G"), (k * 7 % 64 + 1).cast("string"), F.lit("C"), k.cast("string")))
+    return fx.table(spark, d, "supplier").select(k.alias("cell_id"), name.alias("name"))
+
+
+CELL_MEANS = "m AS (SELECT cell_id, feature, avg(value) AS m FROM long GROUP BY ALL HAVING avg(value) IS NOT NULL)"
+
+
+@query("cl7_named_siblings", HEAD + ", " + SNL_NAMES + ", " + CELL_MEANS + """, p AS (SELECT *, regexp_extract(name, '^(.+)_[a-zA-Z0-9]+$', 1) AS prefix, regexp_extract(replace(name, '20-80', '0-100'), '^(.+)_[a-zA-Z0-9]+$', 1) AS wide FROM names)
+SELECT p.cell_id, feature, round(avg(m), 6) AS mean FROM p JOIN names o ON p.cell_id <> o.cell_id AND prefix <> '' AND starts_with(o.name, prefix) JOIN m ON m.cell_id = o.cell_id WHERE feature = 'temp_mean' GROUP BY ALL
+UNION ALL SELECT p.cell_id, feature, round(avg(m), 6) FROM p JOIN names o ON p.cell_id <> o.cell_id AND wide <> '' AND contains(o.name, wide) JOIN m ON m.cell_id = o.cell_id
+  WHERE feature = 'dvp' AND contains(p.name, 'NCA') AND contains(p.name, '25C') AND contains(p.name, '20-80') GROUP BY ALL""")
+def cl7_named(spark, d):
+    return rounded(c.named_sibling_means(long(spark, d), snl_names(spark, d)))
+
+
+@query("cl8_numbered_groups", HEAD + ", " + ISU_NAMES + ", " + CELL_MEANS + """, n AS (SELECT *, CAST(nullif(regexp_extract(name, 'G(\\d+)', 1), '') AS INT) AS number FROM names),
+a AS (SELECT n.cell_id, feature, avg(m) AS mean FROM n JOIN names o ON n.cell_id <> o.cell_id AND contains(o.name, 'G' || n.number) JOIN m ON m.cell_id = o.cell_id GROUP BY ALL),
+b AS (SELECT n.cell_id, feature, avg(m) AS mean FROM n JOIN n o ON n.number <> o.number AND abs(n.number - o.number) <= 5 JOIN m ON m.cell_id = o.cell_id GROUP BY ALL)
+SELECT coalesce(a.cell_id, b.cell_id) AS cell_id, coalesce(a.feature, b.feature) AS feature, round(coalesce(a.mean, b.mean), 6) AS mean FROM a FULL JOIN b ON a.cell_id = b.cell_id AND a.feature = b.feature""")
+def cl8_numbered(spark, d):
+    return rounded(c.numbered_group_means(long(spark, d), isu_names(spark, d)))
+
+
+@query("cl12_fewest_cycles", with_(TELEMETRY) + "SELECT cell_id, count(*) AS n_cycles FROM (SELECT DISTINCT cell_id, cycle FROM telemetry) x GROUP BY cell_id ORDER BY n_cycles, cell_id LIMIT 20")
+def cl12_fewest(spark, d):
+    return c.fewest_cycles(fx.telemetry(spark, d).select(*KEYS).distinct())
+
+
 @query("cl9_global_means", HEAD + "SELECT feature, round(avg(value), 6) AS mean FROM long GROUP BY feature")
 def cl9(spark, d):
     return rounded(long(spark, d).groupBy("feature").agg(F.avg("value").alias("mean")))

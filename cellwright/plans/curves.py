@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cellwright.functions.columns import ordered, running
 from cellwright.operators import curves as cu
 from cellwright.operators import ingest as g
 from cellwright.operators.profiles import forced_zeros
@@ -138,6 +139,42 @@ def cur16(spark, d):
     return rounded(cu.resample_by_index(fx.telemetry(spark, d).filter("current_a < 0"), ["voltage_v"], 25))
 
 
+#: Telemetry with running capacities of a cycle.
+CAPACITIES = """caps AS (SELECT *, sum(CASE WHEN current_a > 0 THEN current_a * dt ELSE 0 END) OVER (PARTITION BY cell_id, cycle ORDER BY seq) / 3600 AS qc, sum(CASE WHEN current_a < 0 THEN -current_a * dt ELSE 0 END) OVER (PARTITION BY cell_id, cycle ORDER BY seq) / 3600 AS qd
+  FROM (SELECT *, time_s - lag(time_s, 1, time_s) OVER (PARTITION BY cell_id, cycle ORDER BY seq) AS dt FROM telemetry) x)"""
+
+
+def capacities(spark, d):
+    w = ordered(KEYS, "seq")
+    tel = fx.telemetry(spark, d).withColumn("__dt", F.coalesce(F.col("time_s") - F.lag("time_s").over(w), F.lit(0.0)))
+    up, down = (F.when(sign * F.col("current_a") > 0, sign * F.col("current_a") * F.col("__dt")).otherwise(0.0) for sign in (1, -1))
+    return tel.withColumn("__u", up).withColumn("__d", down).withColumn("charge_capacity_ah", running(F.col("__u"), w) / 3600).withColumn("discharge_capacity_ah", running(F.col("__d"), w) / 3600)
+
+
+def _model_curve_sql(discharge_first: bool) -> str:
+    """Curves of 10 + 10 points of the first 12 cycles, capacity 0.4 Ah."""
+    cut = "current_a / 0.4 <= -0.01" if discharge_first else "current_a / 0.4 >= 0.01"
+    before, after = (1, 0) if discharge_first else (0, 1)
+    return f"""SELECT cell_id, cycle, CAST(k AS INT) AS k, round(coalesce(v, 0), 6) AS v, round(coalesce(i, 0), 6) AS i, round(coalesce(q, 0), 6) AS q FROM (WITH a AS (SELECT *, max(CASE WHEN {cut} THEN j END) OVER (PARTITION BY cell_id, cycle) AS cut FROM (SELECT *, row_number() OVER (PARTITION BY cell_id, cycle ORDER BY seq) AS j FROM caps WHERE cycle <= 12) x),
+b AS (SELECT *, CASE WHEN j < cut THEN {before} ELSE {after} END AS part FROM a WHERE j < cut OR (j >= cut AND abs(current_a / 0.4) > 0.01)),
+n AS (SELECT *, CASE WHEN part = 0 THEN qc ELSE qd END AS q, row_number() OVER w AS p, count(*) OVER (PARTITION BY cell_id, cycle, part) AS m FROM b WINDOW w AS (PARTITION BY cell_id, cycle, part ORDER BY seq)),
+o AS (SELECT *, coalesce(lead(voltage_v) OVER w, voltage_v) AS nv, coalesce(lead(current_a) OVER w, current_a) AS ni, coalesce(lead(q) OVER w, q) AS nq FROM n WINDOW w AS (PARTITION BY cell_id, cycle, part ORDER BY seq)),
+g AS (SELECT o.*, k, least(greatest(1 + k * m / CAST(9 AS DOUBLE) - p, 0), 1) AS f FROM o, (SELECT unnest(range(10)) AS k) t WHERE p = least(floor(1 + k * m / CAST(9 AS DOUBLE) + 1e-9), m)),
+r AS (SELECT cell_id, cycle, k + 10 * part AS k, voltage_v + (nv - voltage_v) * f AS v, current_a + (ni - current_a) * f AS i, q + (nq - q) * f AS q, count(*) OVER (PARTITION BY cell_id, cycle) AS n FROM g),
+z AS (SELECT cell_id, cycle, k, v / max(v) OVER (PARTITION BY cell_id, cycle) AS v, i / 0.4 AS i, q / 0.4 AS q FROM r WHERE n = 20)
+SELECT s.cell_id, s.cycle, s.k, v, i, q FROM (SELECT cell_id, cycle, k FROM (SELECT DISTINCT cell_id FROM telemetry) c, (SELECT unnest(range(1, 13)) AS cycle) y, (SELECT unnest(range(20)) AS k) t) s LEFT JOIN z ON z.cell_id = s.cell_id AND z.cycle = s.cycle AND z.k = s.k) w"""
+
+
+@query("cur16_model_curves", with_(TELEMETRY, CAPACITIES) + _model_curve_sql(False))
+def cur16_model(spark, d):
+    return rounded(cu.model_curves(capacities(spark, d), 0.4, 12, points=10))
+
+
+@query("cur16_model_curves_discharge_first", with_(TELEMETRY, CAPACITIES) + _model_curve_sql(True))
+def cur16_discharge_first(spark, d):
+    return rounded(cu.model_curves(capacities(spark, d), 0.4, 12, points=10, discharge_first=True))
+
+
 @query("cur8_curvature_area")
 def cur8(spark, d):
     curve, peak = _main(spark, d)

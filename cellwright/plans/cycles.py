@@ -280,6 +280,13 @@ def fe16_discharge(spark, d):
     return rounded(fe.stage_features(_stages(spark, d, "current_a < 0"), most=4, phase="discharge"))
 
 
+@query("fe16_stage_times")
+def fe16_times(spark, d):
+    """Times from the stages of PH5, which has no SQL; a test compares them with a loop."""
+    charge = fx.telemetry(spark, d).filter("current_a > 0")
+    return rounded(fe.stage_times(charge, ph.histogram_stages(charge, tolerance=0.1, voltage="voltage_v")))
+
+
 @query("fe17_inferred_rates", with_(TELEMETRY) + """, c AS (SELECT *, row_number() OVER (PARTITION BY cell_id, cycle ORDER BY seq) AS k, count(*) OVER (PARTITION BY cell_id, cycle) AS n FROM telemetry WHERE current_a > 0),
 h AS (SELECT cell_id, cycle, ROUND(quantile_cont(current_a, 0.5) / 1.1, 2) AS charge_rate FROM c WHERE k <= n // 2 GROUP BY ALL),
 x AS (SELECT cell_id, cycle, ROUND(quantile_cont(abs(current_a), 0.5) / 1.1, 2) AS discharge_rate FROM telemetry WHERE current_a < 0 GROUP BY ALL)

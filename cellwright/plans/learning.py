@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cellwright.functions.columns import ordered, running
 from cellwright.operators import ranks
 from cellwright.operators import samples as sm
 from cellwright.operators import selection as fs
@@ -237,6 +238,27 @@ def sm3(spark, d):
     return sm.end_of_life(_soh(spark, d), limit=0.85, near=0.95)
 
 
+#: Suppliers as cells with names, nominal capacities and ranges of charge.
+NAMED_CELLS = """c AS (SELECT s_suppkey AS cell_id, CASE s_suppkey % 3 WHEN 0 THEN 'RWTH_' WHEN 1 THEN 'SNL_18650_NCA_25C_20-80_' ELSE 'CALCE_' END || s_suppkey AS name, 0.3 + s_suppkey % 4 / CAST(10 AS DOUBLE) AS cap, 0.2 * (s_suppkey % 2) AS soc_from FROM supplier)"""
+SMALL = "CASE WHEN starts_with(name, 'RWTH') THEN 1.85 WHEN starts_with(name, 'SNL_18650_NCA_25C_20-80') THEN 3.2 ELSE cap END"
+
+
+@query("sm3_from_capacities", with_(TELEMETRY, NAMED_CELLS) + f""", q AS (SELECT cell_id, cycle, sum(CASE WHEN current_a < 0 THEN abs(current_a) * (time_s - pt) * 8 ELSE 0 END) OVER (PARTITION BY cell_id, cycle ORDER BY seq) / 3600 AS q FROM (SELECT *, lag(time_s, 1, time_s) OVER (PARTITION BY cell_id, cycle ORDER BY seq) AS pt FROM telemetry) x),
+h AS (SELECT q.cell_id, cycle, max(q) / ({SMALL}) / (1 - soc_from) AS soh FROM q JOIN c ON q.cell_id = c.cell_id GROUP BY q.cell_id, cycle, name, cap, soc_from),
+r AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY cycle) AS k, row_number() OVER (PARTITION BY cell_id ORDER BY cycle DESC) AS b FROM h),
+a AS (SELECT cell_id, max(CASE WHEN b = 1 THEN soh END) AS e, min(CASE WHEN soh <= 0.85 THEN k END) AS f, regr_slope(k, soh) FILTER (WHERE b <= 20) AS s, regr_intercept(k, soh) FILTER (WHERE b <= 20) AS i FROM r GROUP BY cell_id)
+SELECT cell_id, CAST(CASE WHEN e > 0.85 THEN floor(s * 0.85 + i) ELSE f END AS BIGINT) AS life FROM a WHERE e < 5""")
+def sm3_capacities(spark, d):
+    """From the telemetry's running capacities (eight times, so that some cells live)."""
+    w = ordered(["cell_id", "cycle"], "seq")
+    step = F.when(F.col("current_a") < 0, F.abs("current_a") * (F.col("time_s") - F.lag("time_s").over(w)) * 8).otherwise(0.0)
+    samples = fx.telemetry(spark, d).withColumn("__q", F.coalesce(step, F.lit(0.0))).withColumn("discharge_capacity_ah", running(F.col("__q"), w) / 3600)
+    k = F.col("s_suppkey")
+    name = F.concat(F.when(k % 3 == 0, "RWTH_").when(k % 3 == 1, "SNL_18650_NCA_25C_20-80_").otherwise("CALCE_"), k.cast("string"))
+    cells = fx.table(spark, d, "supplier").select(k.alias("cell_id"), name.alias("name"), (0.3 + k % 4 / 10).alias("nominal_capacity_ah"), (0.2 * (k % 2)).alias("soc_from"), F.lit(1.0).alias("soc_to"))
+    return sm.end_of_life(sm.state_of_health(samples, cells), limit=0.85, near=5.0)
+
+
 @query("sm4_early_samples", with_(TELEMETRY, FEATURES, LABELS) + """, n AS (SELECT cell_id, count(*) AS n FROM features GROUP BY cell_id HAVING count(*) >= 3) SELECT n.cell_id, CAST(unnest(range(3, least(n, 10) + 1)) AS INT) AS n_cycles, CAST(life AS BIGINT) AS life FROM n JOIN life_labels l ON n.cell_id = l.cell_id""")
 def sm4(spark, d):
     return sm.early_samples(fx.cycle_features(spark, d), fx.life_labels(spark, d).withColumn("life", F.col("life").cast("bigint")), 3, 10)
@@ -336,6 +358,42 @@ def ev8(spark, d):
     return agg.select(F.coalesce("grp", F.lit("Average")).alias("grp"), "n", F.round(F.col("mae") + 1e-9, 3).alias("mae"), F.round(F.col("owa") + 1e-9, 3).alias("owa"))
 
 
+@query("ev6_multi_output_all", with_(PREDICTIONS) + """, e AS (SELECT model, abs(pred - y) AS e0, abs(seen - n_cycles) AS e1, y, n_cycles FROM predictions)
+SELECT model, round(avg(e0), 6) AS mae_0, round(avg(e1), 6) AS mae_1, round((avg(e0) + avg(e1)) / 2, 6) AS mae, round(avg(e0 * e0), 3) AS mse_0, round(avg(e1 * e1), 3) AS mse_1, round((avg(e0 * e0) + avg(e1 * e1)) / 2, 3) AS mse,
+  round(avg(e0 / abs(y)), 6) AS mape_0, round(avg(e1 / n_cycles), 6) AS mape_1, round((avg(e0 / abs(y)) + avg(e1 / n_cycles)) / 2, 6) AS mape FROM e GROUP BY model""")
+def ev6_all(spark, d):
+    out = fx.predictions(spark, d).groupBy("model").agg(*sm.multi_output_errors([("y", "pred"), ("n_cycles", "seen")], ("mae", "mse", "mape")))
+    return rounded(out.select(*(F.round(F.col(c) + 1e-9, 3).alias(c) if c.startswith("mse") else F.col(c) for c in out.columns)))
+
+
+PAST = "past AS (SELECT *, o_orderkey % 20 AS s FROM series WHERE back IS NOT NULL), scales AS (SELECT g, s, avg(abs(y - back)) AS scale FROM past GROUP BY ALL)"
+
+
+def past(spark, d):
+    """Points with a seasonal forecast (the value four orders before), 20 series a group."""
+    return series(spark, d).filter("back is not null").withColumn("s", F.col("o_orderkey") % 20)
+
+
+@query("ev7_masked_errors", with_(SERIES, PAST) + """, m AS (SELECT past.*, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS mask, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE y END AS t, scale FROM past JOIN scales USING (g, s))
+SELECT g, round(avg(abs(pred - t) * coalesce(mask / nullif(t, 0), 0)), 6) AS mape, round(200 * avg(coalesce(abs(pred - t) / nullif(abs(pred) + abs(t), 0), 0) * mask), 6) AS smape, round(avg(abs(pred - t) * coalesce(mask / nullif(scale, 0), 0)), 6) AS mase FROM m GROUP BY g""")
+def ev7_masked(spark, d):
+    rows = past(spark, d)
+    scales = rows.groupBy("g", "s").agg(F.avg(F.abs(F.col("y") - F.col("back"))).alias("scale"))
+    masked = rows.join(scales, ["g", "s"]).withColumn("mask", F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(1)).withColumn("t", F.when(F.col("o_orderkey") % 11 == 0, 0.0).otherwise(F.col("y")))
+    return rounded(masked.groupBy("g").agg(*sm.masked_errors("mask", "scale", y="t")))
+
+
+@query("ev8_forecast_summary", with_(SERIES, PAST) + """, p AS (SELECT g, s, avg(200 * abs(pred - y) / (abs(pred) + abs(y))) AS sm, avg(200 * abs(back - y) / (abs(back) + abs(y))) AS sm0, avg(100 * abs(pred - y) / abs(y)) AS mp, avg(abs(pred - y)) AS e, avg(abs(back - y)) AS e0, count(*) AS n FROM past GROUP BY ALL),
+q AS (SELECT g, count(*) AS w, sum(sm * n) / sum(n) AS smape, sum(sm0 * n) / sum(n) AS smape0, sum(mp * n) / sum(n) AS mape, avg(e / scale) AS mase, avg(e0 / scale) AS mase0 FROM p JOIN scales USING (g, s) GROUP BY g),
+r AS (SELECT unnest([CASE WHEN g IN ('3-MEDIUM', '4-NOT SPECIFIED', '5-LOW') THEN 'Others' ELSE g END, 'Average']) AS grp, * FROM q),
+t AS (SELECT grp, sum(smape * w) / sum(w) AS smape, sum(smape0 * w) / sum(w) AS smape0, sum(mape * w) / sum(w) AS mape, sum(mase * w) / sum(w) AS mase, sum(mase0 * w) / sum(w) AS mase0 FROM r GROUP BY grp)
+SELECT grp, round(smape, 3) AS smape, round(mape, 3) AS mape, round(mase, 3) AS mase, round((mase / mase0 + smape / smape0) / 2, 3) AS owa FROM t""")
+def ev8_summary(spark, d):
+    rows = past(spark, d).select(F.col("g").alias("grp"), F.col("s").alias("series"), "y", "pred", F.col("back").alias("naive"))
+    scales = rows.groupBy("grp", "series").agg(F.avg(F.abs(F.col("y") - F.col("naive"))).alias("scale"))
+    return sm.forecast_summary(rows, scales, ["3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
+
+
 @query("ev9_point_adjust", """WITH e AS (SELECT user_id, event_id, CASE WHEN event_type IN ('error', 'view') THEN 1 ELSE 0 END AS gt, CASE WHEN value > 40 THEN 1 ELSE 0 END AS pred FROM events),
 m AS (SELECT *, CASE WHEN gt <> lag(gt) OVER w OR lag(gt) OVER w IS NULL THEN 1 ELSE 0 END AS new, row_number() OVER w AS k FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM m)
 SELECT user_id, event_id, gt, CASE WHEN gt = 1 AND k > 1 AND max(CASE WHEN gt = 1 AND pred = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run) = 1 THEN 1 ELSE pred END AS adjusted FROM r""")
@@ -368,6 +426,13 @@ def ev12(spark, d):
     return rounded(fx.predictions(spark, d).withColumn("cycle_limit", limits).groupBy("cycle_limit", "model").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("pred") - F.col("y")) / F.col("y")).alias("mape")))
 
 
+@query("ev12_grid_of_two", with_(PREDICTIONS) + """, p AS (SELECT l_returnflag AS model, l_linenumber AS n_features, CAST(l_quantity AS INT) AS n_cycles, l_extendedprice AS y, l_extendedprice * (1 + l_discount - 0.05) AS pred FROM lineitem)
+SELECT c AS n_cycles_limit, f AS n_features_limit, model, count(*) AS n, round(avg(abs(pred - y) / y), 6) AS mape FROM p, (VALUES (10), (20), (50)) c(c), (VALUES (2), (5), (7)) f(f) WHERE n_cycles <= c AND n_features <= f GROUP BY ALL""")
+def ev12_two(spark, d):
+    rows = fx.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("n_features"), F.col("l_quantity").cast("int").alias("n_cycles"), F.col("l_extendedprice").cast("double").alias("y"), (F.col("l_extendedprice") * (1 + F.col("l_discount") - 0.05)).cast("double").alias("pred"))
+    return rounded(sm.sensitivity_grid(rows, {"n_cycles": [10, 20, 50], "n_features": [2, 5, 7]}, ["model"]))
+
+
 @query("ev14_life_histogram", with_(LABELS) + "SELECT CAST(floor(life / 100) * 100 AS BIGINT) AS bin, count(*) AS n FROM life_labels GROUP BY 1")
 def ev14(spark, d):
     return fx.life_labels(spark, d).groupBy((F.floor(F.col("life") / 100) * 100).cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
