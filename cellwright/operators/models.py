@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +56,33 @@ def lasso_selection(df: DataFrame, features: list[str], target: str, strength: f
     return df.sparkSession.createDataFrame(rows, "feature string, coefficient double")
 
 
+def tuned_baseline(train: DataFrame, features: list[str], target: str, key: str, folds: int = 5, strengths: tuple[float, ...] = (0.0, 0.1, 10.0), depths: tuple[int, ...] = (2, 4), rounds: tuple[int, ...] = (5, 20), parallelism: int = 4, seed: int = 0) -> tuple[DataFrame, dict]:
+    """A table (model, setting, error, deviation, best) of a line and boosted trees by cross-validation, and the fitted best model of each kind.
+
+    Folds are hashes of the key, so all rows of a cell are in one; a fold that gets no row is left out.  The error is the mean over folds of the mean absolute error, missing features count as 0, and
+    settings are fitted side by side.  ``best`` marks the setting with the least error over both models, the first one on ties.
+    """
+    rows = _assembled(train, features).select("features", F.col(target).cast("double").alias("label"), F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds)).cast("int").alias("fold"))
+    present = sorted(r["fold"] for r in rows.select("fold").distinct().collect())  # folds rows at most
+    if len(present) < 2:
+        raise ValueError("rows of at least two folds are needed")
+    rows = rows.withColumn("fold", F.array_position(F.array(*(F.lit(k) for k in present)), F.col("fold")).cast("int") - 1).cache()
+    line, trees = LinearRegression(standardization=True), GBTRegressor(stepSize=0.1, seed=seed)
+    grids = {
+        "line": (line, ParamGridBuilder().addGrid(line.regParam, list(strengths)).build()),
+        "trees": (trees, ParamGridBuilder().addGrid(trees.maxDepth, list(depths)).addGrid(trees.maxIter, list(rounds)).build()),
+    }
+    found, models = [], {}
+    for name, (estimator, grid) in grids.items():
+        search = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="mae"), numFolds=len(present), foldCol="fold", parallelism=parallelism).fit(rows)
+        models[name] = search.bestModel
+        for setting, error, deviation in zip(grid, search.avgMetrics, search.stdMetrics, strict=True):
+            found.append((name, ",".join(f"{p.name}={v}" for p, v in sorted(setting.items(), key=lambda x: x[0].name)), float(error), float(deviation)))
+    rows.unpersist()
+    best = min(range(len(found)), key=lambda k: (found[k][2], k))
+    return train.sparkSession.createDataFrame([(*f, k == best) for k, f in enumerate(found)], "model string, setting string, error double, deviation double, best boolean"), models
+
+
 def life_baseline(train: DataFrame, test: DataFrame, features: list[str], target: str) -> DataFrame:
     """test with pred: a linear fit of the target on the features, missing ones as 0."""
     fill = lambda df: df.select("*", *(F.coalesce(F.col(c), F.lit(0.0)).alias(f"__{c}") for c in features))
@@ -82,8 +113,6 @@ def mmd(domain: DataFrame, features: int = 64, seed: int = 0, bandwidths: int =
 
     Means by domain and feature are all that is gathered, whatever the number of rows.
     """
-    import numpy as np
-
     dim = len(domain.select("x").first()["x"])
     spread = domain.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.var_pop("v").alias("s")).agg(F.sum("s")).first()[0] or 1.0
     rng = np.random.default_rng(seed)
@@ -99,6 +128,43 @@ def mmd(domain: DataFrame, features: int = 64, seed: int = 0, bandwidths: int =
     return a.crossJoin(b).select((sum((F.pow(F.col(f"m{k}") - F.col(f"n{k}"), F.lit(2.0)) for k in range(len(cols))), F.lit(0.0)) / bandwidths).alias("mmd2"))
 
 
+def mmd_exact(domain: DataFrame, key: str, bandwidths: int = 5, multiplier: float = 2.0, block: int = 1000) -> DataFrame:
+    """mmd2 and bandwidth of two domains (domain 0/1, x array<double>, a unique key): means of a sum of Gaussian kernels within and between them.
+
+    The kernels' widths are powers of ``multiplier`` around the mean squared distance, which comes from sums alone.  Rows are dealt into blocks of about ``block`` by a hash of the key, and every
+    pair of blocks is a tile that returns three partial sums: time grows with the square of the rows, what is shuffled with rows times blocks, and no task holds more than two blocks.
+    """
+    rows = domain.filter("x is not null").select("domain", F.col(key).alias("key"), "x")
+    n = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    total = sum(n.values())
+    if not n.get(0) or not n.get(1):
+        return domain.sparkSession.createDataFrame([(None, None)], "mmd2 double, bandwidth double")
+    squares = rows.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")).agg(F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s")).alias("s")).first()
+    mean = (2 * total * squares["q"] - 2 * squares["s"]) / (total * (total - 1)) or 1.0
+    widths = [mean / multiplier ** (bandwidths // 2) * multiplier**k for k in range(bandwidths)]
+    blocks = max(1, -(-total // block))
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    left = dealt.withColumn("j", F.explode(F.sequence("b", F.lit(blocks - 1)))).select(F.col("b").alias("i"), "j", "domain", "x")
+    right = dealt.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b")))).select("i", F.col("b").alias("j"), "domain", "x")
+
+    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"within0": [], "within1": [], "between": []})
+        x, y = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
+        far = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0)
+        kernel = sum(np.exp(-far / w) for w in widths)
+        p, q = a["domain"].to_numpy(), b["domain"].to_numpy()
+        part = lambda u, v: float(kernel[np.ix_(p == u, q == v)].sum())
+        if a["i"].iloc[0] == a["j"].iloc[0]:
+            return pd.DataFrame({"within0": [part(0, 0)], "within1": [part(1, 1)], "between": [part(0, 1)]})
+        return pd.DataFrame({"within0": [2 * part(0, 0)], "within1": [2 * part(1, 1)], "between": [part(0, 1) + part(1, 0)]})
+
+    sums = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(tile, "within0 double, within1 double, between double")
+    whole = sums.agg(*(F.sum(c).alias(c) for c in ("within0", "within1", "between")))
+    loss = F.col("within0") / float(n[0]) ** 2 + F.col("within1") / float(n[1]) ** 2 - 2 * F.col("between") / (float(n[0]) * float(n[1]))
+    return whole.select(loss.alias("mmd2"), F.lit(float(mean)).alias("bandwidth"))
+
+
 def jittered(points: DataFrame, keys: list[str], order: str, value: str, length: int, holes: int = 10, half: int = 2, sigma: float = 0.02, seed: int = 0) -> DataFrame:
     """Multiplicative noise within ``half`` points of hash-drawn holes, clipped at 3 sigma; other points stay."""
     centres = F.transform(F.sequence(F.lit(1), F.lit(holes)), lambda h: F.pmod(F.xxhash64(F.lit(seed), h, *keys), F.lit(length)))
@@ -122,3 +188,34 @@ def low_rank_spectrum(points: DataFrame, keys: list[str], order: str, value: str
     times = spark.range(length).select(F.col("id").alias(order))
     twice = F.when((F.col("f") == 0) | (F.col("f") * 2 == length), 1.0).otherwise(2.0)
     return ranked.crossJoin(F.broadcast(times)).groupBy(*keys, order).agg((F.sum(twice * (F.col("re") * F.cos(angle(order, "f")) - F.col("im") * F.sin(angle(order, "f")))) / length).alias(value))
+
+
+def mixed_spectrum(points: DataFrame, keys: list[str], order: str, value: str, share: float, mix: bool = True, dominant: int = 3, seed: int = 0, shard_series: int = 100_000) -> DataFrame:
+    """keys, order, value: each series with a hashed ``share`` of its frequencies taken from another series (or, without ``mix``, left out).
+
+    The ``dominant`` frequencies of largest amplitude stay.  A series' partner is the next one of the same length in a hashed order (the last one's the first), in shards of about
+    ``shard_series`` series, so the only window is over whole series; one that is alone keeps its own frequencies.  A missing value counts as 0.
+    """
+    listed = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v")))).alias("__s"))
+    series = listed.select(*keys, F.col("__s.o").alias("__o"), F.col("__s.v").alias("__x"))
+    shards = max(1, series.count() // shard_series)
+    place = F.xxhash64(F.lit(seed), *keys)
+    w = Window.partitionBy(F.size("__x"), F.pmod(F.xxhash64(F.lit(seed + 1), *keys), F.lit(shards))).orderBy(place, *keys)
+    paired = series.withColumn("__y", F.coalesce(F.lead("__x").over(w), F.first("__x").over(w)))
+    draw = lambda k: (F.pmod(F.xxhash64(F.lit(seed + 2), k, *keys), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    drawn = paired.withColumn("__u", F.transform(F.sequence(F.lit(0), (F.size("__x") / 2).cast("int")), draw))
+
+    def blend(x: pd.Series, y: pd.Series, u: pd.Series) -> pd.Series:
+        out = []
+        for own, other, dice in zip(x, y, u, strict=True):
+            spectrum = np.fft.rfft(own)
+            amplitude = np.abs(spectrum)
+            rank = np.empty(len(amplitude), int)
+            rank[np.argsort(-amplitude, kind="stable")] = np.arange(len(amplitude))
+            moved = (dice < share) & (rank >= dominant)
+            spectrum[moved] = np.fft.rfft(other)[moved] if mix else 0
+            out.append(np.fft.irfft(spectrum, n=len(own)))
+        return pd.Series(out)
+
+    blended = drawn.withColumn("__z", F.pandas_udf(blend, "array<double>")("__x", "__y", "__u"))
+    return blended.select(*keys, F.explode(F.arrays_zip("__o", "__z")).alias("p")).select(*keys, F.col("p.__o").alias(order), F.col("p.__z").alias(value))

@@ -51,6 +51,13 @@ def sm14(spark, d):
     return rounded(scored.groupBy("split").agg(*sm.errors("life", "pred")))
 
 
+@query("sm14_tuned_baseline")
+def sm14_tuned(spark, d):
+    """Cross-validated errors of all settings on the training cells."""
+    rows = fx.cycle_features(spark, d).groupBy("cell_id").agg(*(F.avg(c).alias(c) for c in ("temp_mean", "chg_v", "dvp"))).join(fx.life_labels(spark, d), "cell_id").join(fx.splits(spark, d), "cell_id").filter("split = 'train'")
+    return rounded(m.tuned_baseline(rows, ["temp_mean", "chg_v", "dvp"], "life", "cell_id", folds=3, strengths=(0.0, 10.0), depths=(2,), rounds=(5, 10))[0])
+
+
 @query("sm9_resampled_domain")
 def sm9(spark, d):
     rows = fx.table(spark, d, "embeddings").select("vec_id", "label")
@@ -71,3 +78,14 @@ def sm11(spark, d):
 def ev13(spark, d):
     rows = fx.table(spark, d, "embeddings").select((F.col("label") < 5).cast("int").alias("domain"), F.col("embedding").cast("array<double>").alias("x"))
     return rounded(m.mmd(rows, features=16))
+
+
+@query("sm11_frequency_mix")
+def sm11_mix(spark, d):
+    return rounded(m.mixed_spectrum(fx.telemetry(spark, d).select("cell_id", "cycle", "seq", "voltage_v"), ["cell_id", "cycle"], "seq", "voltage_v", 0.5))
+
+
+@query("ev13_exact_distance")
+def ev13_exact(spark, d):
+    rows = fx.table(spark, d, "embeddings").select("vec_id", (F.col("label") < 5).cast("int").alias("domain"), F.col("embedding").cast("array<double>").alias("x"))
+    return rounded(m.mmd_exact(rows, "vec_id"))

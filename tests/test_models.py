@@ -20,7 +20,7 @@ def known(spark):
 
 def test_tree_importance_ranks_a_known_model(known):
     got = {r["feature"]: r["importance"] for r in models.tree_importance(known[0], NAMES, "y", rounds=5).collect()}
-    assert got["a"] > got["b"] > 5 * got["c"] and sum(got.values()) == pytest.approx(1, abs=1e-6)
+    assert got["a"] > got["b"] > 5 * got["c"]  # in the target's units: mean absolute attributions
 
 
 def test_elimination_keeps_what_matters(known):
@@ -71,3 +71,95 @@ def test_jitter_changes_points_near_holes_only(spark):
         assert (v != 4.0) <= any(abs(seq - h) <= 1 for h in holes[cell])
     assert 40 * 2 < len(changed) <= 40 * 6 and max(changed) <= 0.06 + 1e-12 and np.std(changed) > 0.005
     assert {(r["cell"], r["seq"]): r["v"] for r in models.jittered(points.repartition(5), ["cell"], "seq", "v", 50, holes=2, half=1).collect()} == rows
+
+
+def domains(n, m, seed):
+    rng = np.random.default_rng(seed)
+    return rng.normal(0, 1, (n, 4)), rng.normal(0.5, 1.5, (m, 4))
+
+
+def exact_mmd(x, y):
+    z = np.concatenate([x, y])
+    far = ((z[:, None] - z[None]) ** 2).sum(-1)
+    width = far.sum() / (len(z) ** 2 - len(z))
+    kernel = sum(np.exp(-far / (width / 4 * 2**k)) for k in range(5))
+    n = len(x)
+    return kernel[:n, :n].mean() + kernel[n:, n:].mean() - 2 * kernel[:n, n:].mean(), width
+
+
+@pytest.mark.parametrize("block", [1000, 25])
+def test_exact_domain_distance(spark, block):
+    x, y = domains(90, 60, 3)
+    df = spark.createDataFrame([(k, int(k >= 90), list(map(float, v))) for k, v in enumerate(np.concatenate([x, y]))] + [(999, 1, None)], "id int, domain int, x array<double>").repartition(3)
+    got = models.mmd_exact(df, "id", block=block).first()
+    assert (got["mmd2"], got["bandwidth"]) == pytest.approx(exact_mmd(x, y))
+    assert models.mmd_exact(df.filter("domain = 0"), "id").first()["mmd2"] is None
+
+
+def test_random_features_come_near_the_exact_distance(spark):
+    x, y = domains(300, 300, 4)
+    df = spark.createDataFrame([(k, int(k >= 300), list(map(float, v))) for k, v in enumerate(np.concatenate([x, y]))], "id int, domain int, x array<double>")
+    # the exact form sums five kernels, the other one takes their mean
+    assert models.mmd(df).first()["mmd2"] == pytest.approx(models.mmd_exact(df, "id").first()["mmd2"] / 5, rel=0.3)
+
+
+def spectrum_rows(spark, lengths, seed=1):
+    rng = np.random.default_rng(seed)
+    own = {k: rng.normal(size=n) for k, n in enumerate(lengths)}
+    return own, spark.createDataFrame([(k, t, float(v)) for k, x in own.items() for t, v in enumerate(x)], "k int, t int, v double").repartition(3)
+
+
+def as_series(df):
+    out = {}
+    for r in sorted(df.collect()):
+        out.setdefault(r["k"], []).append(r["v"])
+    return out
+
+
+def test_mixed_frequencies(spark):
+    own, df = spectrum_rows(spark, [30, 30, 30, 31, 31, 8])
+    same = as_series(models.mixed_spectrum(df, ["k"], "t", "v", 0.0))
+    assert all(same[k] == pytest.approx(own[k]) for k in own)
+    swapped = as_series(models.mixed_spectrum(df, ["k"], "t", "v", 1.0, dominant=0))
+    assert swapped[3] == pytest.approx(own[4]) and swapped[4] == pytest.approx(own[3]) and swapped[5] == pytest.approx(own[5])
+    cycle = {k: next(j for j in range(3) if swapped[k] == pytest.approx(own[j])) for k in range(3)}
+    assert all(cycle[k] != k for k in range(3)) and sorted(cycle.values()) == [0, 1, 2]
+    part = as_series(models.mixed_spectrum(df, ["k"], "t", "v", 0.5, dominant=3))
+    for k in range(3):
+        a, b, c = (np.fft.rfft(x) for x in (own[k], own[cycle[k]], part[k]))
+        from_other = ~np.isclose(c, a)
+        assert np.allclose(c[from_other], b[from_other]) and 0 < from_other.sum() < len(a)
+        assert not from_other[np.argsort(-np.abs(a))[:3]].any()
+
+
+def test_left_out_frequencies(spark):
+    own, df = spectrum_rows(spark, [24, 25])
+    got = as_series(models.mixed_spectrum(df, ["k"], "t", "v", 1.0, mix=False, dominant=4))
+    for k in own:
+        a = np.fft.rfft(own[k])
+        a[np.argsort(-np.abs(a))[4:]] = 0
+        assert got[k] == pytest.approx(np.fft.irfft(a, n=len(own[k])))
+
+
+def test_tuning_equals_a_loop_over_folds(known):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    df, x, y = known
+    table, best = models.tuned_baseline(df, NAMES, "y", "id", folds=3, strengths=(0.0, 1.0), depths=(2,), rounds=(3,))
+    rows = {(r["model"], r["setting"]): r for r in table.collect()}
+    folds = {r["id"]: r["f"] for r in df.select("id", F.pmod(F.xxhash64(F.lit(0), "id"), F.lit(3)).alias("f")).collect()}
+    assembled = VectorAssembler(inputCols=NAMES, outputCol="features").transform(df)
+    for strength in (0.0, 1.0):
+        errors = []
+        for f in range(3):
+            inside = [k for k, v in folds.items() if v == f]
+            model = LinearRegression(labelCol="y", regParam=strength).fit(assembled.filter(~F.col("id").isin(inside)))
+            scored = model.transform(assembled.filter(F.col("id").isin(inside)))
+            errors.append(scored.agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0])
+        got = rows["line", f"regParam={strength}"]
+        assert got["error"] == pytest.approx(np.mean(errors), rel=1e-6) and got["deviation"] == pytest.approx(np.std(errors), rel=1e-4)
+    assert [r["best"] for r in rows.values()].count(True) == 1 and rows["line", "regParam=0.0"]["best"]
+    assert len(rows) == 3 and set(best) == {"line", "trees"}
+    with pytest.raises(ValueError, match="two folds"):
+        models.tuned_baseline(df.filter("id = 1"), NAMES, "y", "id")
