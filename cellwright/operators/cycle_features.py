@@ -95,12 +95,20 @@ def smoothed_temperature(rows: DataFrame, window: int = 51, keys: list[str] = KE
     return savgol(curve, window, 3, y="temperature_c", name="__smooth", keys=keys).withColumn("temperature_c", F.col("__smooth")).drop("__smooth", "i")
 
 
-def thermal(smooth: DataFrame, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:
-    """Temperatures, heating rates and load from (smoothed) temperatures; zeros with under 5 rows, rates with over 5 only."""
+def thermal(smooth: DataFrame, uneven: bool = False, keys: list[str] = KEYS, order: str = "seq") -> DataFrame:
+    """Temperatures, heating rates and load from (smoothed) temperatures; zeros with under 5 rows, rates with over 5 only.
+
+    A rate is the ratio of the central differences of temperature and time, or with ``uneven`` the second-order difference for unequal steps (NULL where a step is 0)."""
     w = ordered(keys, order)
     d = lambda c: F.when(F.lag(c).over(w).isNull(), F.lead(c).over(w) - F.col(c)).when(F.lead(c).over(w).isNull(), F.col(c) - F.lag(c).over(w)).otherwise((F.lead(c).over(w) - F.lag(c).over(w)) / 2)
     dt = d("time_s")
     rate = ratio(d("temperature_c"), F.when(dt == 0, F.lit(1e-6)).otherwise(dt))
+    if uneven:
+        x, t = F.col("temperature_c"), F.col("time_s")
+        back, ahead = t - F.lag(t).over(w), F.lead(t).over(w) - t
+        inner = ratio(back * back * F.lead(x).over(w) + (ahead * ahead - back * back) * x - ahead * ahead * F.lag(x).over(w), back * ahead * (back + ahead))
+        edge = F.when(back.isNull(), ratio(F.lead(x).over(w) - x, ahead)).otherwise(ratio(x - F.lag(x).over(w), back))
+        rate = F.when(back.isNull() | ahead.isNull(), edge).otherwise(inner)
     strip = trapezoid(F.col("temperature_c"), F.col("time_s"), w)
     agg = smooth.withColumn("__rate", rate).withColumn("__strip", strip).groupBy(*keys).agg(
         F.count("temperature_c").alias("n"), F.max("temperature_c").alias("hi"), F.min("temperature_c").alias("lo"), F.avg("temperature_c").alias("mean"),

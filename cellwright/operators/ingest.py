@@ -53,10 +53,14 @@ def cycle_boundaries(tel: DataFrame, cell: str = "cell_id", order: str = "t", ru
     fixed = numbered.withColumn("n", F.when(F.coalesce(spike, F.lit(False)), F.lead("current_a").over(w) < 0).otherwise(neg).cast("int"))
     ahead = F.sum("n").over(w.rowsBetween(0, run - 1)) == run
     starts = fixed.withColumn("b", ahead & (F.coalesce(F.lag("n").over(w), F.lit(0)) == 0)).filter("b")
-    found = starts.groupBy(cell).agg(F.array_sort(F.collect_list("i")).alias("c"))
-    last = lambda a: F.coalesce(F.element_at(F.slice(a, -1, 1), 1), F.lit(-(10**9)))
-    keep = F.aggregate("c", F.array().cast("array<int>"), lambda a, x: F.when((F.size(a) == 0) | (x - last(F.when(F.size(a) > 0, a).otherwise(F.array(F.lit(0)))) > suppress), F.concat(a, F.array(x))).otherwise(a))
-    return found.select(cell, F.explode(F.slice(keep, 2, 10**6)).alias("boundary"))
+    # a candidate within reach of none before it is kept whatever came earlier, so each stretch of near ones is walked on its own
+    far = F.coalesce(F.col("i") - F.lag("i").over(ordered([cell], "i")) > suppress, F.lit(True))
+    runs = starts.select(cell, "i", far.alias("far")).withColumn("run", F.sum(F.col("far").cast("int")).over(ordered([cell], "i")))
+    listed = runs.groupBy(cell, "run").agg(F.array_sort(F.collect_list("i")).alias("c"))
+    step = lambda a, x: F.when(x - a["last"] > suppress, F.struct(x.alias("last"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a)
+    begin = F.struct(F.get("c", F.lit(0)).alias("last"), F.slice("c", 1, 1).alias("kept"))
+    kept = listed.select(cell, F.explode(F.aggregate("c", begin, step, lambda a: a["kept"])).alias("boundary"))
+    return kept.withColumn("__k", F.row_number().over(ordered([cell], "boundary"))).filter("__k > 1").drop("__k")
 
 
 def drop_time_anomalies(rows: DataFrame, most: float = 1e5, keys: list[str] = KEYS, order: str = "seq", time: str = "time_s") -> DataFrame:
@@ -186,6 +190,24 @@ def zero_other_phase(tel: DataFrame) -> DataFrame:
     return kept.withColumn("qd", F.when(F.col("current_a") >= 0, 0.0).otherwise(F.col("qd"))).withColumn("qc", F.when(F.col("current_a") < 0, 0.0).otherwise(F.col("qc")))
 
 
+def skipped_cycles(tel: DataFrame, skips: DataFrame, cell: str = "cell_id", cycle: str = "cycle", minutes: str | None = "time_s") -> DataFrame:
+    """tel without one bad cycle (``skips``: cell, skip) of some cells, later cycles of which move up by one; the column ``minutes`` becomes seconds.
+
+    A cell has one skip at most; ``skips`` is a table of named cells and is broadcast.
+    """
+    one = skips.select(F.col(cell).alias("__cell"), F.col("skip").alias("__skip"))
+    kept = tel.join(F.broadcast(one), F.col(cell) == F.col("__cell"), "left").filter(F.col("__skip").isNull() | (F.col(cycle) != F.col("__skip")))
+    moved = kept.withColumn(cycle, F.when(F.col(cycle) > F.col("__skip"), F.col(cycle) - 1).otherwise(F.col(cycle)))
+    timed = moved.withColumn(minutes, F.col(minutes) * 60) if minutes else moved
+    return timed.select(*tel.columns)
+
+
+def without_partial_end(tel: DataFrame, whole: DataFrame, cell: str = "cell_id", cycle: str = "cycle") -> DataFrame:
+    """tel up to each cell's number of whole cycles (``whole``: cell, n_whole); cells that aren't listed lose their last cycle, which may be cut short."""
+    last = tel.groupBy(cell).agg(F.max(cycle).alias("__last")).join(whole.select(cell, "n_whole"), cell, "left").select(F.col(cell).alias("__cell"), F.coalesce("n_whole", F.col("__last") - 1).alias("__most"))
+    return tel.join(last, tel[cell] == F.col("__cell")).filter(F.col(cycle) <= F.col("__most")).select(*tel.columns)
+
+
 def merge_continued(tel: DataFrame, mapping: DataFrame, dropped: DataFrame) -> DataFrame:
     """Append the cycles of continuing cells (from_cell -> to_cell, offset) to the cells they continue; listed cells go."""
     kept = tel.join(dropped.select("cell_id"), "cell_id", "left_anti")

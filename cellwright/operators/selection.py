@@ -82,6 +82,23 @@ def target_decides(wide: DataFrame, target: str, least: int = 5) -> DataFrame:
     return wide.agg(F.countDistinct(target).alias("n_targets")).withColumn("keep_all", F.col("n_targets") < least)
 
 
+def selection_shortcut(wide: DataFrame, features: list[str], target: str, k: int, least: int = 5, skip_small: bool = True) -> DataFrame | None:
+    """feature, importance of all features where no wrapper need run, else None: 0 with fewer distinct targets than ``least`` (with ``skip_small``), 1 with at most k features."""
+    if skip_small and target_decides(wide, target, least).first()["keep_all"]:
+        value = 0.0
+    elif len(features) <= k:
+        value = 1.0
+    else:
+        return None
+    return wide.sparkSession.createDataFrame([(f, value) for f in features], "feature string, importance double")
+
+
+def varying_columns(means: DataFrame, columns: list[str]) -> list[str]:
+    """The columns that differ between rows: those with two values, or with one and some NULLs."""
+    row = means.agg(*(F.min(c).alias(f"lo_{c}") for c in columns), *(F.max(c).alias(f"hi_{c}") for c in columns), *(F.count(c).alias(f"n_{c}") for c in columns), F.count("*").alias("n")).first()
+    return [c for c in columns if row[f"lo_{c}"] != row[f"hi_{c}"] or row[f"n_{c}"] < row["n"]]
+
+
 def pearson_pairs(wide: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """a, b, r over the rows where both are there; NULL if one of them is constant.  One scan for each PAIRS_AT_ONCE pairs, one row each."""
     parts = []

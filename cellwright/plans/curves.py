@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cellwright.functions.columns import ordered, running
 from cellwright.operators import curves as cu
 from cellwright.operators import ingest as g
+from cellwright.operators.names import ZERO_AT_HALF, expansion_metadata
 from cellwright.operators.profiles import forced_zeros
 from cellwright.plans.cleaning import PROFILED, profiled
 from cellwright.plans.cycles import rounded
@@ -139,6 +140,14 @@ def cur16(spark, d):
     return rounded(cu.resample_by_index(fx.telemetry(spark, d).filter("current_a < 0"), ["voltage_v"], 25))
 
 
+@query("cur14_zeros_at_half_range", with_(TELEMETRY) + """SELECT cell_id, cycle, round(CASE WHEN cell_id % 3 = 0 THEN 0 ELSE max(voltage_v) END, 6) AS icp, round(CASE WHEN cell_id % 3 = 0 THEN 0 ELSE min(voltage_v) END, 6) AS dvvl_v, round(avg(voltage_v), 6) AS icp_area FROM telemetry GROUP BY cell_id, cycle""")
+def cur14_half(spark, d):
+    """Cells whose names say half a range."""
+    values = fx.telemetry(spark, d).groupBy(*KEYS).agg(F.max("voltage_v").alias("icp"), F.min("voltage_v").alias("dvvl_v"), F.avg("voltage_v").alias("icp_area"))
+    half = values.withColumn("half", expansion_metadata(F.when(F.col("cell_id") % 3 == 0, F.lit("MICH_13R_NMC_25C")).otherwise("MICH_05R_NMC_25C_0-100"))["soc"] == 50)
+    return rounded(forced_zeros(half, {"half": [c for c in ZERO_AT_HALF if c in values.columns]}).select(*KEYS, "icp", "dvvl_v", "icp_area"))
+
+
 #: Telemetry with running capacities of a cycle.
 CAPACITIES = """caps AS (SELECT *, sum(CASE WHEN current_a > 0 THEN current_a * dt ELSE 0 END) OVER (PARTITION BY cell_id, cycle ORDER BY seq) / 3600 AS qc, sum(CASE WHEN current_a < 0 THEN -current_a * dt ELSE 0 END) OVER (PARTITION BY cell_id, cycle ORDER BY seq) / 3600 AS qd
   FROM (SELECT *, time_s - lag(time_s, 1, time_s) OVER (PARTITION BY cell_id, cycle ORDER BY seq) AS dt FROM telemetry) x)"""

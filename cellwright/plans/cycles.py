@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cellwright.functions.columns import ordered, r6
 from cellwright.operators import cycle_features as fe
+from cellwright.operators import names as nm
 from cellwright.operators import phases as ph
 from cellwright.plans.sql import TELEMETRY, with_
 from cellwright.sources import fixtures as fx
@@ -259,6 +260,13 @@ def fe15_smoothed(spark, d):
     return rounded(fe.thermal(fe.smoothed_temperature(fx.telemetry(spark, d), 29)))
 
 
+@query("fe15_uneven_thermal", with_(TELEMETRY) + """, d AS (SELECT *, time_s - lag(time_s) OVER w AS a, lead(time_s) OVER w - time_s AS b, lag(temperature_c) OVER w AS p, lead(temperature_c) OVER w AS q FROM telemetry WINDOW w AS (PARTITION BY cell_id, cycle ORDER BY seq)),
+g AS (SELECT *, CASE WHEN a IS NULL THEN (q - temperature_c) / b WHEN b IS NULL THEN (temperature_c - p) / a ELSE (a * a * q + (b * b - a * a) * temperature_c - b * b * p) / (a * b * (a + b)) END AS rate FROM d)
+SELECT cell_id, cycle, round(CASE WHEN count(*) >= 6 THEN max(rate) ELSE 0 END, 6) AS max_heat_rate, round(CASE WHEN count(*) >= 6 THEN avg(rate) ELSE 0 END, 6) AS mean_heat_rate FROM g GROUP BY ALL""")
+def fe15_uneven(spark, d):
+    return rounded(fe.thermal(fx.telemetry(spark, d), uneven=True).select(*KEYS, "max_heat_rate", "mean_heat_rate"))
+
+
 def _stage_sql(phase: str, most: int) -> str:
     """The SQL of ph4 with the voltage's step into each stage, for either phase, as a table st; then the stages' columns."""
     named = S["ph4_charge_stages"].replace("count(*) AS n_rows", "arg_min(coalesce(du, 0), seq) AS jump_v, count(*) AS n_rows", 1)
@@ -301,6 +309,55 @@ def fe12(spark, d):
     return rounded(fe.current_tau(fx.telemetry(spark, d).filter("current_a > 0"), uvp=4.1, tolerance=0.4))
 
 
+NAMED = """cells AS (SELECT s_suppkey AS cell_id, CASE s_suppkey % 4 WHEN 0 THEN 'ISU-ILCC_G' || s_suppkey % 70 || 'C' || s_suppkey WHEN 1 THEN 'MICH_EXP_' || lpad(CAST(s_suppkey % 19 AS VARCHAR), 2, '0') || 'R_NMC_' || CASE WHEN s_suppkey % 3 = 0 THEN '-5' ELSE CAST(25 + s_suppkey % 3 AS VARCHAR) END || 'C_' || CASE WHEN s_suppkey % 8 = 1 THEN '50-100' ELSE '0-100' END
+  WHEN 2 THEN 'SNL_18650_' || CASE s_suppkey % 3 WHEN 0 THEN 'NCA' WHEN 1 THEN 'LFP' ELSE 'NMC' END || '_25C_' || CASE WHEN s_suppkey % 8 = 2 THEN '20-80' ELSE '0-100' END || '_0.5-' || s_suppkey % 5 || 'C_a' ELSE 'CALB_' || (s_suppkey % 5 * 10 - 10) || '_B' || s_suppkey END AS name FROM supplier)"""
+
+
+def named_cells(spark, d):
+    """Suppliers as cells of four data sets, told by their names."""
+    k = F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    isu = F.concat(F.lit("ISU-ILCC_G"), text(k % 70), F.lit("C"), text(k))
+    mich = F.concat(F.lit("MICH_EXP_"), F.lpad(text(k % 19), 2, "0"), F.lit("R_NMC_"), F.when(k % 3 == 0, "-5").otherwise(text(25 + k % 3)), F.lit("C_"), F.when(k % 8 == 1, "50-100").otherwise("0-100"))
+    snl = F.concat(F.lit("SNL_18650_"), F.when(k % 3 == 0, "NCA").when(k % 3 == 1, "LFP").otherwise("NMC"), F.lit("_25C_"), F.when(k % 8 == 2, "20-80").otherwise("0-100"), F.lit("_0.5-"), text(k % 5), F.lit("C_a"))
+    calb = F.concat(F.lit("CALB_"), text(k % 5 * 10 - 10), F.lit("_B"), text(k))
+    return fx.table(spark, d, "supplier").select(k.alias("cell_id"), F.when(k % 4 == 0, isu).when(k % 4 == 1, mich).when(k % 4 == 2, snl).otherwise(calb).alias("name"))
+
+
+RATES = "rates(g, charge_rate, discharge_rate) AS (VALUES " + ", ".join(f"({k}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for k, (a, b) in nm.GROUP_RATES.items()) + ")"
+
+
+@query("fe17_group_rates", with_(NAMED, RATES) + "SELECT cell_id, charge_rate, discharge_rate FROM cells LEFT JOIN rates ON regexp_extract(name, 'ISU-ILCC_G([0-9]+)', 1) = CAST(g AS VARCHAR)")
+def fe17_groups(spark, d):
+    return nm.group_rates(named_cells(spark, d)).drop("name")
+
+
+@query("fe17_protocol_rates", "SELECT s_suppkey AS cell_id, CASE WHEN s_suppkey % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE s_suppkey % 7 / CAST(4 AS DOUBLE) END AS charge_rate, CASE WHEN s_suppkey % 5 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(1.5 AS DOUBLE) END AS discharge_rate FROM supplier")
+def fe17_protocols(spark, d):
+    """The first of a protocol's entries; some have none, some no rate."""
+    k = F.col("s_suppkey")
+    entry = lambda rate: F.struct(rate.alias("rate_in_c"), F.lit(0.0).alias("start_soc"))
+    none = F.array().cast("array<struct<rate_in_c:double,start_soc:double>>")
+    charge = F.when(k % 3 == 0, none).otherwise(F.array(entry(k % 7 / 4), entry(F.lit(9.0))))
+    discharge = F.array(entry(F.when(k % 5 != 0, 1.5)))
+    return nm.protocol_rates(fx.table(spark, d, "supplier").select(k.alias("cell_id"), charge.alias("charge_protocol"), discharge.alias("discharge_protocol"))).select("cell_id", "charge_rate", "discharge_rate")
+
+
+@query("ing22_protocol_of_names", with_(NAMED) + """SELECT cell_id, CAST(0.5 AS DOUBLE) AS charge_rate, CAST(cell_id % 5 AS DOUBLE) AS discharge_rate, CASE WHEN cell_id % 8 = 2 THEN CAST(0.2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS soc_from, CASE WHEN cell_id % 8 = 2 THEN CAST(0.8 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS soc_to,
+  CASE WHEN contains(name, 'NCA') THEN CAST(2.5 AS DOUBLE) ELSE CAST(2 AS DOUBLE) END AS min_v, CASE WHEN contains(name, 'LFP') THEN CAST(3.6 AS DOUBLE) ELSE CAST(4.2 AS DOUBLE) END AS max_v, CASE WHEN contains(name, 'LFP') THEN CAST(30 AS DOUBLE) WHEN contains(name, 'NCA') THEN CAST(6 AS DOUBLE) ELSE CAST(20 AS DOUBLE) END AS max_a
+FROM cells WHERE starts_with(name, 'SNL')""")
+def ing22_names(spark, d):
+    snl = named_cells(spark, d).filter(F.col("name").startswith("SNL"))
+    return snl.select("cell_id", nm.protocol_of_name(F.col("name")).alias("p")).select("cell_id", "p.*")
+
+
+@query("fe18_metadata_of_names", with_(NAMED) + """SELECT cell_id, name, TRY_CAST(split_part(name, '_', 2) AS DOUBLE) AS ambient_temperature, coalesce(TRY_CAST(nullif(regexp_extract(name, 'NMC_([0-9]+)C', 1), '') AS INT), 0) AS temperature,
+  CASE WHEN regexp_matches(name, '13R|14C|15H|16R|17C|18H') THEN 50 WHEN contains(name, '0-100') THEN 100 WHEN contains(name, '50-100') THEN 50 ELSE 100 END AS soc, CASE WHEN regexp_matches(name, '01|02|03') THEN 2 ELSE 1 END AS peak_mode FROM cells""")
+def fe18_names(spark, d):
+    name = F.col("name")
+    return named_cells(spark, d).select("cell_id", "name", nm.ambient_temperature(name).alias("ambient_temperature"), nm.expansion_metadata(name).alias("m")).select("cell_id", "name", "ambient_temperature", "m.*")
+
+
 @query("fe18_metadata", """SELECT s_suppkey AS cell_id, CAST(regexp_extract('CALB_' || (s_suppkey % 3) * 10 || '_B' || s_suppkey, 'CALB_([0-9]+)_', 1) AS INT) AS ambient_temperature,
   (s_suppkey % 3) * 50 AS soc FROM supplier""")
 def fe18(spark, d):

@@ -167,6 +167,18 @@ def ing19(spark, d):
     return g.merge_continued(tel, mapping, ids.filter("cell_id % 10 = 7")).groupBy("cell_id").agg(F.countDistinct("cycle").alias("n_cycles"), F.max("cycle").cast("bigint").alias("last_cycle"))
 
 
+@query("ing19_skipped_cycles", with_(TELEMETRY) + """SELECT cell_id, CASE WHEN cell_id % 4 = 1 AND cycle > 3 THEN cycle - 1 ELSE cycle END AS cycle, seq, round(time_s * 60, 6) AS time_s FROM telemetry WHERE NOT (cell_id % 4 = 1 AND cycle = 3)""")
+def ing19_skips(spark, d):
+    skips = fx.table(spark, d, "supplier").filter("s_suppkey % 4 = 1").select(F.col("s_suppkey").alias("cell_id"), F.lit(3).alias("skip"))
+    return rounded(g.skipped_cycles(fx.telemetry(spark, d).select(*KEYS, "seq", "time_s"), skips))
+
+
+@query("ing20_without_partial_end", with_(TELEMETRY) + """, m AS (SELECT cell_id, CASE WHEN cell_id % 3 = 0 THEN 7 ELSE max(cycle) - 1 END AS most FROM telemetry GROUP BY cell_id) SELECT t.cell_id, cycle, seq FROM telemetry t JOIN m ON t.cell_id = m.cell_id WHERE cycle <= most""")
+def ing20_partial(spark, d):
+    whole = fx.table(spark, d, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("cell_id"), F.lit(7).alias("n_whole"))
+    return g.without_partial_end(fx.telemetry(spark, d).select(*KEYS, "seq"), whole)
+
+
 @query("ing20_text_units", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST((o_orderkey % 24) * 3600 + (o_orderkey % 60) * 60 + (o_orderkey * 7) % 60 AS DOUBLE) END AS seconds FROM orders""")
 def ing20(spark, d):
     k = F.col("o_orderkey")

@@ -178,6 +178,25 @@ def fs13(spark, d):
     return fs.target_decides(wide(spark, d), "quantity")
 
 
+@query("fs13_shortcut_importances", with_(WIDE) + """, n AS (SELECT count(DISTINCT price) AS prices, count(DISTINCT constant) AS constants FROM wide)
+SELECT f AS feature, CASE WHEN prices < 5 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS importance, 'k' AS why FROM n, (VALUES ('quantity'), ('discount')) v(f)
+UNION ALL SELECT f, CASE WHEN constants < 5 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END, 'targets' FROM n, (VALUES ('quantity'), ('discount'), ('tax')) v(f)""")
+def fs13_importances(spark, d):
+    """Two features of two wanted; and three of two with a target of one value."""
+    rows = wide(spark, d)
+    few = fs.selection_shortcut(rows, ["quantity", "discount"], "price", 2).withColumn("why", F.lit("k"))
+    return few.unionByName(fs.selection_shortcut(rows, ["quantity", "discount", "tax"], "constant", 2).withColumn("why", F.lit("targets")))
+
+
+@query("fs16_varying_means", with_(WIDE) + "SELECT id % 50 AS cell_id, round(avg(quantity), 6) AS quantity, round(avg(price), 6) AS price FROM wide GROUP BY 1")
+def fs16_varying(spark, d):
+    """The constant column goes."""
+    rows = wide(spark, d).withColumn("cell_id", F.col("id") % 50)
+    columns = ["quantity", "constant", "price"]
+    means = fs.cell_means(rows, columns)
+    return rounded(means.select("cell_id", *fs.varying_columns(means, columns)))
+
+
 @query("fs14_robustness", with_(IMPORTANCE) + """, r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY importance DESC, feature) AS rank FROM imp)
 SELECT feature, count(*) AS selection_count, round(avg(rank), 6) AS avg_rank, round(avg(importance), 6) AS avg_importance, round(stddev_samp(importance), 6) AS std_importance, round(count(*) / (SELECT count(DISTINCT seed) FROM imp), 6) AS selection_rate FROM r GROUP BY feature""")
 def fs14(spark, d):

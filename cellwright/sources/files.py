@@ -46,15 +46,18 @@ def _parser(schema: StructType):
     return run
 
 
-def read_features(spark: SparkSession, path: str, schema: StructType, nrows: int | None = None, cell: str = "cell_id", cell_of_path: str = r"([^/]+)\.csv$", cycle: str = "cycle") -> DataFrame:
+def read_features(spark: SparkSession, path: str, schema: StructType, nrows: int | None = None, cell: str = "cell_id", cell_of_path: str = r"([^/]+)\.csv$", cycle: str = "cycle", escaped: bool = False) -> DataFrame:
     """Rows of all CSV files under a folder, with ``cell`` from the file's path; of each cell the first ``nrows`` cycles (None, 0, -1: all).
 
     Columns are found by the files' own headers, whatever their order; those that a file lacks are NULL, and those that the schema lacks are left out.  Files in folders named ``*_curves``,
-    and empty ones, are skipped.  A file is a cell's feature table, so a task parses it whole.
+    and empty ones, are skipped.  ``escaped``: names in paths are written as Spark writes partitions' values.  A file is a cell's feature table, so a task parses it whole.
     """
     texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     whole = texts.filter(~F.col("file").rlike(r"/[^/]*_curves/") & F.col("value").rlike(r"\S"))
-    named = whole.select(F.url_decode(F.regexp_extract("file", cell_of_path, 1)).alias("cell"), "value")
+    name = F.regexp_extract("file", cell_of_path, 1)
+    for _ in range(1 + escaped):
+        name = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    named = whole.select(name.alias("cell"), "value")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     rows = named.mapInArrow(_parser(schema), f"__cell string, {fields}").withColumnRenamed("__cell", cell)
     return first_rows(rows, nrows, cell, cycle)
@@ -89,7 +92,7 @@ def read_cell_files(spark: SparkSession, path: str, schema: StructType, nrows: i
         raise FileNotFoundError(f"no whole version under {path}")
     folder = f"{path}/data-{newest['version']}"
     inside = StructType([f for f in schema if f.name != cell])
-    return read_features(spark, folder, inside, nrows, cell, r"__cell=([^/]*)/", cycle)
+    return read_features(spark, folder, inside, nrows, cell, r"__cell=([^/]*)/", cycle, escaped=True)
 
 
 def header_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -28,7 +28,7 @@ def test_files_of_a_folder(spark, tmp_path):
 
 @pytest.fixture
 def features(spark):
-    rows = [(f"cell/{k} ö=1", c, None if c == 2 else 0.1 * c, f'say "{c}", é') for k in range(3) for c in (3, 1, 2)]
+    rows = [(f"cell/{k} ö=1+%2", c, None if c == 2 else 0.1 * c, f'say "{c}", é') for k in range(3) for c in (3, 1, 2)]
     return spark.createDataFrame(rows, SCHEMA).repartition(4), sorted(rows)
 
 
