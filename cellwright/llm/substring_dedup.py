@@ -2,9 +2,9 @@
 
 Every string of ``length`` bytes is assigned to the least hash among the 64-byte grams in it, so equal strings meet
 under one hash wherever they stand, and only stretches whose hash occurs again are looked at.  A suffix array over the bytes of
-stretches that share hashes, truncated at ``length`` bytes, is built by prefix doubling; suffixes that agree so far lie side by side, by
-position.  From it comes the array of longest previous factors, as far as ``length``: the previous smaller position of a suffix
-in that order, if it agrees over ``length`` bytes, is the earlier match that removes it.
+stretches that share hashes, truncated at ``length`` bytes, is built by prefix doubling.  For every suffix the nearest ones with smaller
+positions before and behind it in that order are found; the longer of the two common prefixes is its longest previous factor among them, and one of
+``length`` bytes is an earlier match that removes it.  With positions turned round the same gives later matches, so that no copy stays.
 
 A hash with more stretches than HOT is not left to one task: its strings are counted by name with pre-aggregation, and those of
 crowded names are dealt over many tasks to be told whether they go.
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwright.llm.common import lean, small_batches, stash, text_of
@@ -33,6 +33,8 @@ CHUNK_BYTES = 2_000_000
 #: Names of hot strings fall into this many buckets; a bucket with more rows than CROWD and than four times the mean is dealt over SALTS tasks.
 BUCKETS = 1 << 16
 CROWD = 5000
+#: Hashes that two texts share, at most.
+MOST_CLASHES = 10_000
 SALTS = 64
 _BASE = 0x9E3779B97F4A7C15
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -151,25 +153,27 @@ def _regions(length: int):
     return run
 
 
-def truncated_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of data[i : i + length] among all such strings, at each i where it fits; equal strings have one rank.
+def rank_levels(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(width, rank of data[i : i + width] among all such strings at each i where it fits) for growing widths up to ``length``; equal strings have one rank.
 
     Prefix doubling, or tripling where three ranks fit into a key.
     """
     if len(data) < length:
-        return np.zeros(0, np.int64)
+        return [(length, np.zeros(0, np.int64))]
     width = min(8, length)
     key = np.zeros(len(data) - width + 1, np.uint64)
     for k in range(width):
         key = key << np.uint64(8) | data[k : k + len(key)]
     bits = 21 if len(data) < 1 << 21 else 32
+    levels = []
     while True:
         order = np.argsort(key)
         key = key[order]
         rank = np.empty(len(order), np.uint64)
         rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1])).astype(np.uint64)
+        levels.append((width, rank.astype(np.int64)))
         if width == length:
-            return rank.astype(np.int64)
+            return levels
         steps = [min(width, length - width)]
         if bits == 21:
             steps.append(min(2 * width, length - width))
@@ -180,6 +184,54 @@ def truncated_ranks(data: np.ndarray, length: int) -> np.ndarray:
         width += steps[-1]
 
 
+def truncated_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """Rank of data[i : i + length] among all such strings."""
+    return rank_levels(data, length)[-1][1]
+
+
+def common_prefixes(data: np.ndarray, levels: list[tuple[int, np.ndarray]], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bytes that the suffixes at i and at j have in common, as far as the last level's width: by ranks of ever smaller widths, then byte by byte."""
+    length = levels[-1][0]
+    out = np.zeros(len(i), np.int64)
+    for width, rank in [*reversed(levels), *[(1, data)] * 7]:
+        for _ in range(2):  # no level is over three times the one before
+            x, y = i + out, j + out
+            fits = np.flatnonzero((np.maximum(x, y) < len(rank)) & (out + width <= length))
+            same = fits[rank[x[fits]] == rank[y[fits]]]
+            out[same] += width
+            if not len(same) or width == length:
+                break
+    return out
+
+
+def previous_smaller(x: np.ndarray) -> np.ndarray:
+    """Index of the nearest smaller value before each one, -1 without one; the values differ.
+
+    A pointer over larger values follows the pointer of the value that it stands on, all at once, until none is left.
+    """
+    at = np.arange(len(x)) - 1
+    open_ = np.flatnonzero(at >= 0)
+    while len(open_ := open_[x[at[open_]] > x[open_]]):
+        at[open_] = at[at[open_]]
+        open_ = open_[at[open_] >= 0]
+    return at
+
+
+def longest_previous_factors(data: np.ndarray, levels: list[tuple[int, np.ndarray]], at: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """For each suffix of data at ``at`` the longest prefix that a suffix of a smaller position has too, as far as the levels go.
+
+    In the order of the suffixes, ties by position, the longest common prefix with any earlier suffix is that with the nearest one of a smaller position on one of the two sides.
+    """
+    order = np.lexsort((position, levels[-1][1][at]))
+    x = position[order]
+    n = len(order)
+    out = np.zeros(n, np.int64)
+    for near in (previous_smaller(x), n - 1 - previous_smaller(x[::-1])[::-1]):
+        some = np.flatnonzero((near >= 0) & (near < n))
+        out[order[some]] = np.maximum(out[order[some]], common_prefixes(data, levels, at[order[some]], at[order[near[some]]]))
+    return out
+
+
 def _repeats(x: np.ndarray) -> np.ndarray:
     """Whether each value is there more than once."""
     order = np.argsort(x)
@@ -208,16 +260,16 @@ def repeated(regions: list[bytes], groups: np.ndarray, docs: np.ndarray, firsts:
     change[place[again]] += 1
     change[place[again] + length] -= 1
     under = np.cumsum(change[:-1]) > 0
-    rank = truncated_ranks(data[under], length)[(np.cumsum(under) - 1)[place[again]]]
-    # the suffix array: by the first ``length`` bytes, then by position in the corpus
+    bytes_under, at = data[under], (np.cumsum(under) - 1)[place[again]]
+    levels = rank_levels(bytes_under, length)
+    # positions in the corpus, as ranks; with keep_first by document, else any order does
     own = owner[again]
-    order = np.lexsort((firsts[own] + inner[again], groups[own], docs[own], rank)) if keep_first else np.argsort(rank, kind="stable")
-    # among suffixes that agree over ``length`` bytes positions ascend, so the previous smaller position is the one before
-    # and its common prefix is the longest previous factor, cut at ``length``; the next position is the one behind
-    agree = rank[order][1:] == rank[order][:-1]
-    marked[again[order[1:][agree]]] = True
+    position = np.empty(len(again), np.int64)
+    position[np.lexsort((firsts[own] + inner[again], groups[own], docs[own]))] = np.arange(len(again))
+    goes = longest_previous_factors(bytes_under, levels, at, position) >= length
     if not keep_first:
-        marked[again[order[:-1][agree]]] = True
+        goes |= longest_previous_factors(bytes_under, levels, at, -position) >= length
+    marked[again[goes]] = True
     # runs of marked strings within a region
     before = np.zeros(len(marked), bool)
     before[1:] = marked[:-1] & (inner[1:] > 0)
@@ -275,6 +327,10 @@ def _cut(texts: pd.Series, runs: pd.Series, length: int) -> pd.DataFrame:
     return pd.DataFrame({"kept": kept, "n_removed": removed, "n_spans": n})
 
 
+def text_hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "text") if seed else F.xxhash64("text")
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep_first: bool = True) -> DataFrame:
     """doc_id, kept (bytes that stay), n_bytes, n_removed, n_spans (maximal removed runs).
 
@@ -284,11 +340,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows are copies of each other (with ``keep_first`` rows with equal ids and texts are one document).  A null id comes after all others.  An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).cast("binary").alias("text")).withColumn("c1", F.xxhash64("text"))
+    named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
+
+    def classed(key: Column) -> tuple[DataFrame, DataFrame]:
+        """Rows with their text's class, and the classes of long texts; equal texts are one class, and its texts but one need no comparison."""
+        rows = named.withColumn("c1", key)
+        longs = rows.filter(F.length("text") >= length).select("c1", "doc_id", text_hash(1).alias("c2"))
+        agg = longs.groupBy("c1").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), (F.min("c2") != F.max("c2")).alias("clash"))
+        return rows, stash(agg, "text-classes")
+
+    source, classes = classed(text_hash(0))
+    # two texts with one hash: a handful among a thousand million; they take another hash
+    clashing = [r["c1"] for r in classes.filter("clash").select("c1").limit(MOST_CLASHES + 1).collect()]
+    if clashing:
+        if len(clashing) > MOST_CLASHES:
+            raise ValueError("too many texts have equal hashes")
+        source, classes = classed(F.when(text_hash(0).isin(clashing), text_hash(2)).otherwise(text_hash(0)))
     longs = source.filter(F.length("text") >= length)
-    # equal texts are one class; its texts but one need no comparison
-    classes = longs.select("c1", "doc_id", F.xxhash64(F.lit(1), "text").alias("c2")).groupBy("c1").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.min("c2").alias("x"), F.max("c2").alias("y"))
-    classes = stash(classes.select("c1", "copies", F.when(F.col("x") == F.col("y"), F.col("rep")).otherwise(F.raise_error(F.lit("two texts have one hash")).cast("bigint")).alias("rep")), "text-classes")
 
     anchors = stash(longs.select("c1", "text").mapInArrow(_anchors(length), "h bigint, c1 bigint, at bigint"), "anchors")
     tag = F.hash("c1", "at")
