@@ -54,21 +54,31 @@ def drop_bitmaps(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min
         F.min(F.struct("doc", F.element_at("positions", 1).alias("at"))).alias("first"),
     )
     if keep_first:
-        common = _few(totals.filter((F.col("n_docs") >= min_docs) & (F.col("n_lines") > 1)).select("h1", "h2", "first"))
-        hit = runs.join(common, ["h1", "h2"]).select("doc", F.explode("positions").alias("at"), "first")
+        common = totals.filter((F.col("n_docs") >= min_docs) & (F.col("n_lines") > 1)).select("h1", "h2", "n_docs", "first")
+        hit = _joined(runs, common).select("doc", F.explode("positions").alias("at"), "first")
         gone = hit.filter(~F.col("doc").eqNullSafe(F.col("first.doc")) | (F.col("at") != F.col("first.at"))).select("doc", "at.t", "at.pos")
     else:
-        common = _few(totals.filter(F.col("n_docs") >= min_docs).select("h1", "h2"))
-        gone = runs.join(common, ["h1", "h2"], "left_semi").select("doc", F.explode("positions").alias("at")).select("doc", "at.t", "at.pos")
+        common = totals.filter(F.col("n_docs") >= min_docs).select("h1", "h2", "n_docs")
+        gone = _joined(runs, common).select("doc", F.explode("positions").alias("at")).select("doc", "at.t", "at.pos")
     bit = F.expr(f"shiftleft(1L, cast(pos % {WORD} as int))")
     words = gone.select("doc", "t", F.expr(f"cast(pos div {WORD} as int)").alias("word"), bit.alias("bit")).groupBy("doc", "t", "word").agg(F.bitwise_not(F.bit_or("bit")).alias("keep"))
     return words.groupBy("doc", "t").agg(F.array_sort(F.collect_list(F.struct("word", "keep"))).alias("words"))
 
 
-def _few(common: DataFrame) -> DataFrame:
-    """The common lines, to be broadcast if they are few: then the runs of a very common line need not meet in one task."""
+def _joined(runs: DataFrame, common: DataFrame) -> DataFrame:
+    """The runs of common lines (n_docs).  The lines of most documents, BROADCAST_LINES at most, are broadcast, so that a very common line's runs need not meet in one task;
+    all others, if there are more, are joined, and none of those is in more documents than the broadcast ones.
+    """
     written = stash(common, "common-lines")
-    return F.broadcast(written) if written.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else written
+    sizes = {r["e"]: r["c"] for r in written.groupBy((F.length(F.bin("n_docs")) - 1).alias("e")).agg(F.count("*").alias("c")).collect()}  # a row for each power of two
+    least, held = 0, 0
+    for e in sorted(sizes, reverse=True):
+        held += sizes[e]
+        if held > BROADCAST_LINES:
+            least = 1 << (e + 1)
+            break
+    out = runs.join(F.broadcast(written.filter(F.col("n_docs") >= least)), ["h1", "h2"])
+    return out.unionByName(runs.join(written.filter(F.col("n_docs") < least), ["h1", "h2"])) if least else out
 
 
 def dropped_positions(words: Column) -> Column:

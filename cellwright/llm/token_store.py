@@ -29,6 +29,8 @@ from cellwright.llm.common import lean, small_batches, stash, text_of
 from cellwright.llm.tokens import encoded
 
 WINDOW, CHUNK, LONGEST = 16, 512, 4096
+#: Documents under one root of the manifest.
+SEGMENT = 1 << 16
 _GEAR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -183,7 +185,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     schema = "doc_id bigint, n_tokens bigint, chunks array<binary>, hash binary, payload binary"
     pieces = source.mapInArrow(_chunker(tokenizer, end_id, wide), schema)
     # A row without a hash is a document's recipe.  Every task sends a payload once; of those, one stays.
-    dealt = pieces.withColumn("deal", F.when(F.col("hash").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("hash")))
+    # Recipes stay whatever their number, so they are dealt so that equal rows don't meet in one task.
+    dealt = pieces.withColumn("deal", F.when(F.col("hash").isNull(), F.xxhash64("doc_id", "chunks", F.spark_partition_id())).otherwise(F.xxhash64("hash")))
     same = Window.partitionBy("deal", "hash").orderBy("n_tokens")
     kept = dealt.withColumn("copy", F.row_number().over(same)).filter(F.col("hash").isNull() | (F.col("copy") == 1))
     kept.select("doc_id", "n_tokens", "chunks", "hash", "payload").write.option("compression", "zstd").parquet(f"{path}/parts")
@@ -192,20 +195,24 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     ordered = stash(recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").withColumn("segment", F.spark_partition_id()), "recipes")
     totals = ordered.groupBy("segment").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_documents"), F.min(F.struct("doc_id")).alias("first"))
     before = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    offsets = totals.select(
-        "segment", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("ids_before"), F.coalesce(F.sum("n_documents").over(before), F.lit(0)).alias("docs_before"), F.col("n_tokens").alias("segment_tokens"), "n_documents"
-    )
-    offsets = stash(offsets, "segments")
+    offsets = stash(totals.select("segment", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("ids_before"), F.coalesce(F.sum("n_documents").over(before), F.lit(0)).alias("docs_before")), "segments")
     own = Window.partitionBy("segment").orderBy("doc_id", "root")
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
     placed = ordered.join(F.broadcast(offsets), "segment").select(
-        (F.col("docs_before") + F.row_number().over(own) - 1).alias("recipe"), "doc_id", (F.col("ids_before") + F.sum("n_tokens").over(upto) - F.col("n_tokens")).alias("start"), "n_tokens", "root", "chunks", "segment"
+        (F.col("docs_before") + F.row_number().over(own) - 1).alias("recipe"), "doc_id", (F.col("ids_before") + F.sum("n_tokens").over(upto) - F.col("n_tokens")).alias("start"), "n_tokens", "root", "chunks"
     )
     placed.write.parquet(f"{path}/recipes")
     written = spark.read.parquet(f"{path}/recipes")
-    roots = written.groupBy("segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("recipe", "root"))), lambda x: x["root"]).alias("roots"))
-    manifest = offsets.join(roots, "segment").select("segment", F.col("docs_before").alias("first_recipe"), "n_documents", F.col("segment_tokens").alias("n_tokens"), merkle_root("roots").alias("root"))
-    manifest.write.parquet(f"{path}/manifest")
+    segments(written).write.parquet(f"{path}/manifest")
+
+
+def segments(recipes: DataFrame) -> DataFrame:
+    """segment, first_recipe, n_documents, n_tokens and the Merkle root of every SEGMENT documents in a row."""
+    merkle_root = F.pandas_udf(_roots, "binary")
+    grouped = recipes.groupBy(F.floor(F.col("recipe") / SEGMENT).alias("segment")).agg(
+        F.min("recipe").alias("first_recipe"), F.count("*").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"), F.transform(F.array_sort(F.collect_list(F.struct("recipe", "root"))), lambda x: x["root"]).alias("roots")
+    )
+    return grouped.select("segment", "first_recipe", "n_documents", "n_tokens", merkle_root("roots").alias("root"))
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -215,12 +222,17 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 def verified(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the store's files.
 
-    Fails if a chunk is missing or isn't what its hash says, or if a document's chunks don't give its root.
+    Fails if a chunk is missing or isn't what its hash says, if a document's chunks don't give its root, or if the documents' roots don't give the manifest.
     """
+    recipes = spark.read.parquet(f"{path}/recipes")
+    listed = spark.read.parquet(f"{path}/manifest")
+    found, columns = segments(recipes), ["segment", "first_recipe", "n_documents", "n_tokens", "root"]
+    other = found.exceptAll(listed.select(*columns)).unionByName(listed.select(*columns).exceptAll(found))  # a row a segment
+    if other.limit(1).count():
+        raise ValueError("the manifest doesn't fit the store's documents")
     joined_up = F.pandas_udf(_joined_up, "struct<root:binary,crc:bigint,n:bigint>")
     check = F.pandas_udf(_checked, "struct<ok:boolean,crc:bigint>")("hash", "payload", "n_ids")
     chunks = read_chunks(spark, path).select("hash", "n_ids", check.alias("check")).select("hash", "n_ids", F.when(F.col("check.ok"), F.col("check.crc")).alias("crc"))
-    recipes = spark.read.parquet(f"{path}/recipes")
     asked = recipes.select("recipe", "doc_id", "start", "n_tokens", "root", F.posexplode_outer("chunks").alias("seq", "hash"))
     found = asked.join(chunks, "hash", "left")
     grouped = found.groupBy("recipe").agg(

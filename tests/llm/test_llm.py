@@ -466,7 +466,7 @@ def test_ranks_of_truncated_suffixes():
         assert np.unique(got, return_inverse=True)[1].tolist() == [place[x] for x in strings]
 
 
-@pytest.mark.parametrize("table,column", [("parts", "payload"), ("recipes", "chunks"), ("recipes", "root")])
+@pytest.mark.parametrize("table,column", [("parts", "payload"), ("recipes", "chunks"), ("recipes", "root"), ("manifest", "root")])
 def test_a_store_that_was_tampered_with_fails(spark, docs, table, column):
     path = new_path(spark, "store")
     token_store.write_store(docs, path, tokenizer_path(), end_id=2)
@@ -475,7 +475,7 @@ def test_a_store_that_was_tampered_with_fails(spark, docs, table, column):
     other = new_path(spark, "store")
     for name in ("parts", "recipes", "manifest"):
         (rows.withColumn(column, changed) if name == table else spark.read.parquet(f"{path}/{name}")).write.parquet(f"{other}/{name}")
-    with pytest.raises(Exception, match="doesn't hold document"):
+    with pytest.raises(Exception, match="doesn't hold document|manifest doesn't fit"):
         token_store.verified(spark, other).collect()
 
 
@@ -671,3 +671,49 @@ def test_equal_rows_are_learnt_from_and_scored_each_for_itself(spark):
     want = sorted((str(i), round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in [*(t or "").split(), "\n"]), 9)) for i, t, _ in rows)
     assert sorted((str(r["doc_id"]), round(r["base_score"], 9)) for r in got) == want and {r["train_tokens"] for r in got} == {n}
     assert len({r["score"] for r in got if r["doc_id"] is None}) == 1
+
+
+@pytest.mark.parametrize("held", [200_000, 3, 1])
+def test_common_lines_that_are_not_broadcast(spark, monkeypatch, held):
+    """Lines of 40, 20, 9 and 3 documents, of which all, some or none are broadcast."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", held)
+    sizes = {"aa": 40, "bb": 20, "cc": 20, "dd": 9, "ee": 3}
+    rows = [(k, "\n".join([f"own {k}", *(w for w, n in sizes.items() if k < n)])) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df, min_docs=9).collect()}
+    assert got == {k: "\n".join([f"own {k}", *(["ee"] if k < 3 else [])]) for k in range(50)}
+    first = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df, min_docs=2, keep_first=True).collect()}
+    assert first == {k: t if k == 0 else f"own {k}" for k, t in rows}
+
+
+def test_many_rows_without_ids_in_a_store(spark, monkeypatch):
+    """Repeated rows, null ids, and more documents than a segment."""
+    monkeypatch.setattr(token_store, "SEGMENT", 16)
+    rows = [(None, "same text"), (None, "same text"), (None, None), (7, "same text"), (7, "other")] * 20 + [(-3, "first with an id")]
+    path = new_path(spark, "store")
+    token_store.write_store(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), path, tokenizer_path(), end_id=2)
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_store.verified(spark, path).collect())
+    sizes = lambda t: len(ids_of(t or "")) + 1
+    assert [r[1] for r in got] == [None] * 60 + [-3] + [7] * 40
+    assert all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:], strict=False)) and sum(r[2] for r in got) == sum(sizes(t) for _, t in rows)
+    assert {r[3] for r in got[60:61]} == {zlib.crc32(np.array([*ids_of("first with an id"), 2], "<u4").tobytes())}
+    assert spark.read.parquet(f"{path}/manifest").count() == 7
+
+
+def test_near_vectors_of_many(spark):
+    """4,000 links planted in 6,000 vectors: recall of pairs just above the threshold, and none below it."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(2000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.normal(size=(2, 2000, 32))
+    off -= (off * base).sum(2, keepdims=True) * base
+    off /= np.linalg.norm(off, axis=2, keepdims=True)
+    cos = rng.uniform(0.905, 0.93, (2, 2000, 1))
+    near = cos * base + np.sqrt(1 - cos**2) * off
+    vectors = np.concatenate([base, *near])
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], "vec_id bigint, embedding array<double>").repartition(6)
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.vector_dedup(df, threshold=0.9).collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    exact = np.array([(unit[a : a + 500] @ unit.T >= 0.9).sum(1) - 1 for a in range(0, 6000, 500)]).ravel()
+    found = np.array([got[k] for k in range(6000)])
+    assert (found <= exact).all() and found.sum() >= 0.97 * exact.sum() and exact.sum() >= 8000
