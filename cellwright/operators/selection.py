@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwright.functions.columns import ordered, ratio
+from cellwright.functions.columns import no_nan, ordered, ratio
 from cellwright.operators.ranks import quantiles
 
-#: Pairs whose moments go into one aggregate: more would not be compiled as one.
-PAIRS_AT_ONCE = 150
 #: Families of features (fixed values): exact names first, in this order.
 EXACT = {
     "Energy": "discharge_capacity charge_capacity discharge_energy charge_energy coulombic_efficiency energy_efficiency",
@@ -99,19 +100,53 @@ def varying_columns(means: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if row[f"lo_{c}"] != row[f"hi_{c}"] or row[f"n_{c}"] < row["n"]]
 
 
+def _moments(pairs: list[tuple[int, int]], shifts: list[float]):
+    """A partition's sums of every pair over the rows where both are there: products of whole columns with each other and with what is there."""
+    first, second = (np.array([p[k] for p in pairs], int) for k in (0, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = len(shifts)
+        n, s, q, c = (np.zeros((p, p)) for _ in range(4))
+        for batch in batches:
+            x = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(p)], 1).astype(float) - shifts
+            there = (~np.isnan(x)).astype(float)
+            x = np.where(there > 0, x, 0.0)
+            n += there.T @ there
+            s += x.T @ there
+            q += (x * x).T @ there
+            c += x.T @ x
+        at = pa.array(np.arange(len(pairs)))
+        sums = (n[first, second], s[first, second], s[second, first], q[first, second], q[second, first], c[first, second])
+        yield pa.RecordBatch.from_arrays([at, *(pa.array(v) for v in sums)], names=["pair", *SUMS])
+
+    return run
+
+
+SUMS = ["n", "sa", "sb", "qa", "qb", "ab"]
+
+
 def pearson_pairs(wide: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """a, b, r over the rows where both are there; NULL if one of them is constant.  One scan for each PAIRS_AT_ONCE pairs, one row each."""
-    parts = []
-    for k in range(0, len(pairs), PAIRS_AT_ONCE):
-        chunk = pairs[k : k + PAIRS_AT_ONCE]
-        both = {p: F.col(p[0]).isNotNull() & F.col(p[1]).isNotNull() for p in chunk}
-        moments = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.covar_samp(a, b).alias("c"), F.stddev_samp(F.when(both[a, b], F.col(a))).alias("sa"), F.stddev_samp(F.when(both[a, b], F.col(b))).alias("sb")) for a, b in chunk]
-        agg = wide.agg(*(m.alias(f"m{i}") for i, m in enumerate(moments)))
-        parts.append(agg.select(F.inline(F.array(*(F.col(f"m{i}") for i in range(len(chunk)))))))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.select("a", "b", ratio(F.col("c"), F.col("sa") * F.col("sb")).alias("r"))
+    """a, b, r over the rows where both are there; NULL if one of them is constant there.
+
+    One scan for all pairs: tasks send six sums a pair.  Columns are shifted by their least values, so that a constant one has a deviation of exactly 0.
+    """
+    columns = sorted({c for p in pairs for c in p})
+    place = {c: k for k, c in enumerate(columns)}
+    # NaN is missing, as NULL is
+    own = wide.select(*(no_nan(F.col(c).cast("double")).alias(f"c{k}") for k, c in enumerate(columns)))
+    least = own.agg(*(F.min(c).alias(c) for c in own.columns)).first()
+    shifts = [v or 0.0 for v in least]
+    sums = own.mapInArrow(_moments([(place[a], place[b]) for a, b in pairs], shifts), "pair bigint, " + ", ".join(f"{c} double" for c in SUMS)).groupBy("pair").agg(*(F.sum(c).alias(c) for c in SUMS))
+
+    def spread(s: str, q: str) -> Column:
+        """Sum of squared differences from the mean, 0 where it is but the error of sums."""
+        v = F.col(q) - F.try_divide(F.col(s) * F.col(s), F.col("n"))
+        return F.when(v > 1e-12 * F.col(q), v).otherwise(0.0)
+
+    both = F.col("ab") - F.try_divide(F.col("sa") * F.col("sb"), F.col("n"))
+    r = ratio(both, F.sqrt(spread("sa", "qa")) * F.sqrt(spread("sb", "qb")))
+    names = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs))
+    return sums.withColumn("p", F.get(names, F.col("pair").cast("int"))).select("p.a", "p.b", r.alias("r"))
 
 
 def average_ranks(wide: DataFrame, columns: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from cellwright.plans.cycles import rounded
 from cellwright.plans.ingest import CAP
 from cellwright.plans.sql import CELLS, TELEMETRY, with_
 from cellwright.sources import fixtures as fx
+from cellwright.sources.files import written_once
 
 Q: dict = {}
 S: dict = {}
@@ -85,12 +86,13 @@ def cur4(spark, d):
 
 @query("cur5_peak_widths")
 def cur5(spark, d):
-    curve = ic(spark, d)
+    curve = written_once(ic(spark, d), "curves")
     return rounded(cu.peak_widths(cu.peaks(curve, prominence=0.01), curve))
 
 
 def _main(spark, d):
-    curve = ic(spark, d)
+    """The smoothed curves, which peaks, widths and the greatest values are read from, and their main peaks."""
+    curve = written_once(ic(spark, d), "curves")
     return curve, cu.main_peak(curve, cu.peak_widths(cu.peaks(curve, prominence=0.01), curve), 3.2, 4.1)
 
 

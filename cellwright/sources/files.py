@@ -31,6 +31,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: for a table that a plan needs several times, and would make anew each time."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _parser(schema: StructType):
     """Rows of whole files by the names in their headers."""
     types = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
