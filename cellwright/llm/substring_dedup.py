@@ -217,18 +217,29 @@ def previous_smaller(x: np.ndarray) -> np.ndarray:
     return at
 
 
-def longest_previous_factors(data: np.ndarray, levels: list[tuple[int, np.ndarray]], at: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """For each suffix of data at ``at`` the longest prefix that a suffix of a smaller position has too, as far as the levels go.
+def longest_previous_factors(data: np.ndarray, levels: list[tuple[int, np.ndarray]], at: np.ndarray, position: np.ndarray, least: int = 0, later: bool = False) -> np.ndarray:
+    """For each suffix of data at ``at`` the longest prefix that a suffix of a smaller position has too, as far as the levels go; with ``least`` shorter ones than that may be given as 0.
 
     In the order of the suffixes, ties by position, the longest common prefix with any earlier suffix is that with the nearest one of a smaller position on one of the two sides.
+    ``later``: with any suffix of a larger position instead.
     """
-    order = np.lexsort((position, levels[-1][1][at]))
-    x = position[order]
+    length, rank = levels[-1]
+    rank = rank[at]
+    order = np.lexsort((position, rank))
+    ranked = rank[order]
+    x = -position[order] if later else position[order]
     n = len(order)
-    out = np.zeros(n, np.int64)
+    found = np.zeros(n, np.int64)
     for near in (previous_smaller(x), n - 1 - previous_smaller(x[::-1])[::-1]):
         some = np.flatnonzero((near >= 0) & (near < n))
-        out[order[some]] = np.maximum(out[order[some]], common_prefixes(data, levels, at[order[some]], at[order[near[some]]]))
+        # equal ranks agree over the whole length
+        equal = ranked[some] == ranked[near[some]]
+        found[some[equal]] = length
+        if least < length:
+            rest = some[~equal]
+            found[rest] = np.maximum(found[rest], common_prefixes(data, levels, at[order[rest]], at[order[near[rest]]]))
+    out = np.empty(n, np.int64)
+    out[order] = found
     return out
 
 
@@ -262,13 +273,13 @@ def repeated(regions: list[bytes], groups: np.ndarray, docs: np.ndarray, firsts:
     under = np.cumsum(change[:-1]) > 0
     bytes_under, at = data[under], (np.cumsum(under) - 1)[place[again]]
     levels = rank_levels(bytes_under, length)
-    # positions in the corpus, as ranks; with keep_first by document, else any order does
-    own = owner[again]
-    position = np.empty(len(again), np.int64)
-    position[np.lexsort((firsts[own] + inner[again], groups[own], docs[own]))] = np.arange(len(again))
-    goes = longest_previous_factors(bytes_under, levels, at, position) >= length
+    position = np.arange(len(again))  # any order will do if no copy stays
+    if keep_first:
+        own = owner[again]
+        position[np.lexsort((firsts[own] + inner[again], groups[own], docs[own]))] = np.arange(len(again))
+    goes = longest_previous_factors(bytes_under, levels, at, position, least=length) >= length
     if not keep_first:
-        goes |= longest_previous_factors(bytes_under, levels, at, -position) >= length
+        goes |= longest_previous_factors(bytes_under, levels, at, position, least=length, later=True) >= length
     marked[again[goes]] = True
     # runs of marked strings within a region
     before = np.zeros(len(marked), bool)

@@ -26,6 +26,9 @@ def test_factors_equal_their_definition(length, letters):
     got = sd.longest_previous_factors(data, levels, at, position)
     want = [max((lcp(data, i, j, length) for j in at if position[j] < position[i]), default=0) for i in at]
     assert got.tolist() == want and max(want) == length
+    assert np.array_equal(sd.longest_previous_factors(data, levels, at, position, least=length) >= length, got >= length)
+    later = [max((lcp(data, i, j, length) for j in at if position[j] > position[i]), default=0) for i in at]
+    assert sd.longest_previous_factors(data, levels, at, position, later=True).tolist() == later
 
 
 def test_common_prefixes_end_where_the_data_ends():
