@@ -152,15 +152,22 @@ def inferred_rates(tel: DataFrame, capacity: float, keys: list[str] = KEYS, orde
     return half.join(down, keys, "left")
 
 
-def current_tau(charge: DataFrame, uvp: float, tolerance: float = 0.05, least_rows: int = 3, keys: list[str] = KEYS, order: str = "seq", rounds: int = 3) -> DataFrame:
+def current_tau(charge: DataFrame, uvp: float, tolerance: float = 0.05, least_rows: int = 3, keys: list[str] = KEYS, order: str = "seq", rounds: int = 3, over_s: float | None = None, over_a: float | None = None, least_std: float = 0.0) -> DataFrame:
     """cv_tau of I = a exp(-t / tau) + c over the rows at V >= uvp - tolerance, 0 where it can't be fitted.
 
+    It isn't fitted with under ``least_rows`` rows, where these rows last no longer than ``over_s`` seconds, where no current is over ``over_a``, or where the currents' deviation is under ``least_std``.
+
     For a given tau the fit is linear, so tau is searched on a grid of 60 in [1, 1e4], and twice on finer grids around the best; a >= 0.
     """
     w = Window.partitionBy(*keys)
     rows = charge.filter(F.col("voltage_v") >= uvp - tolerance)
-    rows = rows.select(*keys, (F.col("time_s") - F.min("time_s").over(w)).alias("t"), F.col("current_a").alias("i"), F.count("*").over(w).alias("n"))
+    rows = rows.select(*keys, (F.col("time_s") - F.min("time_s").over(w)).alias("t"), F.col("current_a").alias("i"), F.count("*").over(w).alias("n"), (F.max("time_s").over(w) - F.min("time_s").over(w)).alias("s"), F.max("current_a").over(w).alias("top"), F.stddev_pop("current_a").over(w).alias("sd"))
     rows = rows.filter(F.col("n") >= least_rows)
+    if over_s is not None:
+        rows = rows.filter(F.col("s") > over_s)
+    if over_a is not None:
+        rows = rows.filter(F.col("top") > over_a)
+    rows = rows.filter(F.col("sd") >= least_std)
     best = rows.select(*keys).distinct().withColumn("lo", F.lit(0.0)).withColumn("hi", F.log(F.lit(1e4)))
     for _ in range(rounds):
         grid = best.select(*keys, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("k")).withColumn("tau", F.exp(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / 59))

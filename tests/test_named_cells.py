@@ -163,3 +163,12 @@ def test_stage_times_leave_out_what_is_held_at_the_top(spark):
         volts = [r[4] for r in rows if start <= r[3] <= start + seconds]
         assert mean == pytest.approx(np.mean(volts)) and std == pytest.approx(np.std(volts, ddof=1))
     assert cycle_features.stage_times(df.filter(F.col("seq") < 0), stages).count() == 0
+
+
+def test_conditions_of_the_decay_constant(spark):
+    """Cycles of too few rows, too short, too weak, and steady ones have none."""
+    decay = lambda n, step, scale: [(k, step * k, 4.2, scale * float(np.exp(-step * k / 50))) for k in range(n)]
+    cycles = [decay(40, 5.0, 1.0), decay(10, 5.0, 1.0), decay(40, 0.2, 1.0), decay(40, 5.0, 0.02), [(k, 5.0 * k, 4.2, 1.0) for k in range(40)]]
+    df = spark.createDataFrame([(1, c, *r) for c, rows in enumerate(cycles) for r in rows], "cell_id bigint, cycle int, seq int, time_s double, voltage_v double, current_a double")
+    got = {r["cycle"]: r["cv_tau"] for r in cycle_features.current_tau(df, uvp=4.2, least_rows=11, over_s=10.0, over_a=0.05, least_std=1e-6).collect()}
+    assert got[0] == pytest.approx(50, rel=1e-2) and [got[k] for k in range(1, 5)] == [0.0] * 4
