@@ -221,7 +221,8 @@ def longest_previous_factors(data: np.ndarray, levels: list[tuple[int, np.ndarra
     """For each suffix of data at ``at`` the longest prefix that a suffix of a smaller position has too, as far as the levels go; with ``least`` shorter ones than that may be given as 0.
 
     In the order of the suffixes, ties by position, the longest common prefix with any earlier suffix is that with the nearest one of a smaller position on one of the two sides.
-    ``later``: with any suffix of a larger position instead.
+    ``later``: with any suffix of a larger position instead.  Suffixes that agree over the whole length lie side by side by position, so where only the whole length matters
+    the earlier ones are before, and the later ones behind.
     """
     length, rank = levels[-1]
     rank = rank[at]
@@ -230,7 +231,9 @@ def longest_previous_factors(data: np.ndarray, levels: list[tuple[int, np.ndarra
     x = -position[order] if later else position[order]
     n = len(order)
     found = np.zeros(n, np.int64)
-    for near in (previous_smaller(x), n - 1 - previous_smaller(x[::-1])[::-1]):
+    sides = (False, True) if least < length else (later,)
+    for behind in sides:
+        near = n - 1 - previous_smaller(x[::-1])[::-1] if behind else previous_smaller(x)
         some = np.flatnonzero((near >= 0) & (near < n))
         # equal ranks agree over the whole length
         equal = ranked[some] == ranked[near[some]]

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from cellwright.llm import substring_dedup as sd
 
 
-def lcp(data, i, j, most):
-    n = 0
-    while n < most and max(i, j) + n < len(data) and data[i + n] == data[j + n]:
-        n += 1
-    return n
+def common(data, most):
+    """Common prefix of the suffixes at i and j, from that at i + 1 and j + 1."""
+    n = len(data)
+    out = np.zeros((n + 1, n + 1), int)
+    for i in range(n - 1, -1, -1):
+        out[i, :n] = np.where(data == data[i], out[i + 1, 1:] + 1, 0)
+    return np.minimum(out, most)
 
 
 @pytest.mark.parametrize("length", [3, 8, 20, 200])
@@ -24,18 +26,20 @@ def test_factors_equal_their_definition(length, letters):
     at = np.arange(len(data) - length + 1)
     position = rng.permutation(len(at))
     got = sd.longest_previous_factors(data, levels, at, position)
-    want = [max((lcp(data, i, j, length) for j in at if position[j] < position[i]), default=0) for i in at]
+    both = common(data, length)[: len(at), : len(at)]
+    want = np.where(position[None, :] < position[:, None], both, 0).max(1).tolist()
     assert got.tolist() == want and max(want) == length
     assert np.array_equal(sd.longest_previous_factors(data, levels, at, position, least=length) >= length, got >= length)
-    later = [max((lcp(data, i, j, length) for j in at if position[j] > position[i]), default=0) for i in at]
+    later = np.where(position[None, :] > position[:, None], both, 0).max(1).tolist()
     assert sd.longest_previous_factors(data, levels, at, position, later=True).tolist() == later
+    assert (sd.longest_previous_factors(data, levels, at, position, least=length, later=True) >= length).tolist() == [x >= length for x in later]
 
 
 def test_common_prefixes_end_where_the_data_ends():
     data = np.frombuffer(b"abcabcabcabd" * 3, np.uint8)
     levels = sd.rank_levels(data, 10)
     i, j = (x.ravel() for x in np.meshgrid(np.arange(27), np.arange(27)))
-    assert sd.common_prefixes(data, levels, i, j).tolist() == [lcp(data, a, b, 10) for a, b in zip(i, j, strict=True)]
+    assert sd.common_prefixes(data, levels, i, j).tolist() == common(data, 10)[i, j].tolist()
 
 
 def test_nearest_smaller_values():
