@@ -245,9 +245,13 @@ def sm2(spark, d):
 SOH = "soh AS (SELECT cell_id, cycle, qd / (0.16 + cycle * 0.002 + cell_id % 5 * 0.01) AS soh FROM qd)"
 
 
+def health(q):
+    """soh of (cell_id, cycle, qd): over a capacity that is a decimal, as in the SQL; sums of doubles put healths that are right at a limit on either side of it."""
+    return q.select("cell_id", "cycle", (F.col("qd") / F.expr("CAST(0.16BD + cycle * 0.002BD + cell_id % 5 * 0.01BD AS DOUBLE)")).alias("soh"))
+
+
 def _soh(spark, d):
-    q = fx.discharge_capacity(fx.telemetry(spark, d))
-    return q.select("cell_id", "cycle", (F.col("qd") / (0.16 + F.col("cycle") * 0.002 + F.col("cell_id") % 5 * 0.01)).alias("soh"))
+    return health(fx.discharge_capacity(fx.telemetry(spark, d)))
 
 
 @query("sm3_end_of_life", with_(TELEMETRY, QD, SOH) + """, r AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY cycle) AS k, row_number() OVER (PARTITION BY cell_id ORDER BY cycle DESC) AS b FROM soh),

@@ -2,11 +2,13 @@
 
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cellwright.operators import cleaning, curves, cycle_features, phases, samples
+from cellwright.plans import learning
 
 SNL = ["SNL_NCA_25C_20-80_0.5C_a", "SNL_NCA_25C_20-80_0.5C_b", "SNL_NCA_25C_0-100_0.5C_a", "SNL_NCA_25C_0-100_0.5C_c", "SNL_NCA_25C_0-100_0.5C5_c", "SNL_LFP_25C_20-80_0.5C_a", "SNL_LFP_35C_20-80_1C", "single", "", "SNL_NCA_25C_20-80_0.5C_a_x"]
 ISU = ["ISU_G5C1", "ISU_G57C2", "ISU_G58C1", "ISU_G6C1", "ISU_G61C4", "ISU_none", "ISU_G5C1", "", "G90C1", "ISU_G12C1"]
@@ -172,3 +174,12 @@ def test_conditions_of_the_decay_constant(spark):
     df = spark.createDataFrame([(1, c, *r) for c, rows in enumerate(cycles) for r in rows], "cell_id bigint, cycle int, seq int, time_s double, voltage_v double, current_a double")
     got = {r["cycle"]: r["cv_tau"] for r in cycle_features.current_tau(df, uvp=4.2, least_rows=11, over_s=10.0, over_a=0.05, least_std=1e-6).collect()}
     assert got[0] == pytest.approx(50, rel=1e-2) and [got[k] for k in range(1, 5)] == [0.0] * 4
+
+
+def test_healths_right_at_a_limit_are_as_in_the_sql(spark):
+    """Discharged charges that give exactly 0.85 or 0.95, in Spark and in DuckDB."""
+    rows = [(k, cycle, round(limit * (160 + 2 * cycle + 10 * k) / 1000, 9), limit) for k in range(5) for cycle in range(1, 31) for limit in (0.85, 0.95)]
+    ours = learning.health(spark.createDataFrame(rows, "cell_id bigint, cycle int, qd double, lim double")).collect()
+    values = ", ".join(f"({k}, CAST({c} AS INT), CAST({q!r} AS DOUBLE))" for k, c, q, _ in rows)
+    theirs = duckdb.sql(f"WITH qd(cell_id, cycle, qd) AS (VALUES {values}), {learning.SOH} SELECT soh FROM soh").fetchall()
+    assert sorted((r["cell_id"], r["cycle"], r["soh"]) for r in ours) == sorted((r[0], r[1], t[0]) for r, t in zip(rows, theirs, strict=True))
