@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellwright.functions.columns import ratio
+from cellwright.sources.files import written_once
 
 #: Bits of a value that one scan tells apart.
 DIGIT = 11
@@ -53,11 +54,30 @@ def _counter(prefixes: list[np.ndarray], shift: int, bits: int):
     return run
 
 
+def _digits(asked: dict[tuple[int, int], list[tuple[int, int]]], step: int):
+    """The digit of every rank that is asked for among a prefix's values, and the ranks' places among that digit's values."""
+    mask = (1 << step) - 1
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        column, prefix = (int(v) for v in key)
+        own = asked.get((column, prefix), [])
+        digits, n = pdf["digit"].to_numpy() & mask, pdf["n"].to_numpy()
+        order = np.argsort(digits)
+        digits, upto = digits[order], np.cumsum(n[order])
+        inside = np.array([i for _, i in own], np.int64)
+        at = np.searchsorted(upto, inside, side="right")
+        before = np.append(0, upto)[at]
+        return pd.DataFrame({"column": column, "rank": np.array([r for r, _ in own], np.int64), "digit": digits[at], "inside": inside - before})
+
+    return run
+
+
 def quantiles(df: DataFrame, columns: list[str], shares: list[float], interpolate: bool = True) -> dict[str, list[float]]:
     """Exact quantiles of all columns at once, NULL and NaN left out; no values for a column without any.
 
     Interpolated between neighbours, or else the least value with at least the share of all values up to it.  Every scan counts the next digit of
-    the values that may still be asked for: six scans at most, and what a task sends is bounded by columns, shares and digits, not by rows.
+    the values that may still be asked for: six scans at most, and what a task sends is bounded by columns, shares and digits, not by rows.  The driver gets a row for each
+    rank after the first scan.
     """
     own = df.select(*(F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)))
     wanted: list[dict[int, int]] = [{} for _ in columns]  # rank -> rank among the values of its prefix
@@ -70,31 +90,34 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float], interpolat
         step = min(DIGIT, shift)
         shift -= step
         counted = own.mapInArrow(_counter(prefixes, shift, step), "column bigint, prefix bigint, digit bigint, n bigint").groupBy("column", "prefix", "digit").agg(F.sum("n").alias("n"))
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for row in counted.collect():
-            digit = row["digit"] & ((1 << step) - 1)
-            found.setdefault((row["column"], row["prefix"]), []).append((digit, row["n"]))
         if first:
+            found: dict[int, list[tuple[int, int]]] = {}
+            for row in counted.collect():  # one prefix a column
+                found.setdefault(row["column"], []).append((row["digit"] & ((1 << step) - 1), row["n"]))
             for k in range(len(columns)):
-                sizes[k] = n = sum(x for _, x in found.get((k, 0), []))
+                digits = sorted(found.get(k, []))
+                sizes[k] = n = sum(x for _, x in digits)
+                upto = np.cumsum([x for _, x in digits])
                 for share in shares if n else []:
                     at = share * (n - 1)
                     ranks = (int(at), min(int(at) + 1, n - 1)) if interpolate else (max(0, int(np.ceil(share * n - 1e-9)) - 1),)
                     for r in ranks:
-                        wanted[k][r], where[k][r] = r, 0
+                        j = int(np.searchsorted(upto, r, side="right"))
+                        wanted[k][r], where[k][r] = r - int(upto[j - 1] if j else 0), digits[j][0]
             first = False
+        else:
+            asked: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for k in range(len(columns)):
+                place = {int(p): j for j, p in enumerate(prefixes[k])}
+                for r, inside in wanted[k].items():
+                    asked.setdefault((k, place[where[k][r]]), []).append((r, inside))
+            if not asked:
+                break
+            # a row for each rank comes back, not one for each digit
+            for row in counted.groupBy("column", "prefix").applyInPandas(_digits(asked, step), "column bigint, rank bigint, digit bigint, inside bigint").collect():
+                k, r = row["column"], row["rank"]
+                wanted[k][r], where[k][r] = row["inside"], where[k][r] << step | row["digit"]
         for k in range(len(columns)):
-            place = {int(p): j for j, p in enumerate(prefixes[k])}
-            sums = {}
-            for r, inside in wanted[k].items():
-                j = place[where[k][r]]
-                if j not in sums:
-                    digits = sorted(found[k, j])
-                    sums[j] = ([d for d, _ in digits], np.cumsum([n for _, n in digits]))
-                digits, upto = sums[j]
-                at = int(np.searchsorted(upto, inside, side="right"))
-                wanted[k][r] = inside - int(upto[at - 1] if at else 0)
-                where[k][r] = where[k][r] << step | digits[at]
             prefixes[k] = np.unique(np.array(list(where[k].values()), np.uint64))
     out = {}
     for k, c in enumerate(columns):
@@ -128,26 +151,35 @@ def inversions(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> int:
     return total
 
 
-def _bucket(col: Column, edges: list[float]) -> Column:
-    """An edge's own values have an odd number, those between edges an even one: a frequent value is alone."""
-    e = F.array(*(F.lit(v) for v in edges)).cast("array<double>")
-    return F.size(F.filter(e, lambda v: v < col)) + F.size(F.filter(e, lambda v: v <= col))
+#: At most so many ranges of a column: their grid, of (2 * RANGES + 1) squared counts, is all that the driver holds.
+RANGES = 256
+
+
+def _placed(ex: np.ndarray, ey: np.ndarray):
+    """Rows (x, y, n) with their ranges: an edge's own values have an odd number, those between edges an even one, so a frequent value is alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranges = [np.searchsorted(e, v, "left") + np.searchsorted(e, v, "right") for e, v in ((ex, batch.column(0).to_numpy()), (ey, batch.column(1).to_numpy()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(r, pa.int32()) for r in ranges)], names=["x", "y", "n", "bx", "by"])
+
+    return run
 
 
 def discordant(counts: DataFrame, rows: int, strip: int = 1_000_000) -> int:
     """Pairs with smaller x and larger y, of a table (x, y, n) of distinct pairs and their counts.
 
-    Both columns are cut into ranges of about ``strip`` rows by exact quantiles.  Pairs of rows in different ranges of both columns are counted from the
+    Both columns are cut by exact quantiles into ranges of about ``strip`` rows, or into ``RANGES`` larger ones.  Pairs of rows in different ranges of both columns are counted from the
     grid of ranges; those in one range of x, and those in one range of y but different ones of x, in a task for each range.  A range of one value has no
-    pairs inside and goes nowhere.  The grid has (2 * rows / strip + 1) squared cells at most and comes to the driver.
+    pairs inside and goes nowhere.  The grid comes to the driver as Arrow columns.
     """
-    parts = max(1, rows // strip)
+    parts = min(RANGES, max(1, rows // strip))
     edges = quantiles(counts, ["x", "y"], [k / parts for k in range(1, parts)], interpolate=False) if parts > 1 else {"x": [], "y": []}
-    ex, ey = (sorted(set(edges[c])) for c in ("x", "y"))
-    placed = counts.select("x", "y", "n", _bucket(F.col("x"), ex).alias("bx"), _bucket(F.col("y"), ey).alias("by"))
-    grid = np.zeros((2 * len(ex) + 1, 2 * len(ey) + 1), object)
-    for row in placed.groupBy("bx", "by").agg(F.sum("n").alias("n")).collect():
-        grid[row["bx"], row["by"]] = int(row["n"])
+    ex, ey = (np.unique(np.array(edges[c], float)) for c in ("x", "y"))
+    placed = counts.select("x", "y", "n").mapInArrow(_placed(ex, ey), "x double, y double, n bigint, bx int, by int")
+    cells = placed.groupBy("bx", "by").agg(F.sum("n").alias("n")).toArrow()
+    grid = np.zeros((2 * len(ex) + 1, 2 * len(ey) + 1), object)  # exact whatever the counts
+    grid[cells["bx"].to_numpy(), cells["by"].to_numpy()] = cells["n"].to_pylist()
     above = np.cumsum(grid[:, ::-1], axis=1)[:, ::-1] - grid  # in the same range of x, a higher range of y
     left = np.cumsum(above, axis=0) - above  # in lower ranges of x
     total = int((grid * left).sum())
@@ -166,7 +198,7 @@ def discordant(counts: DataFrame, rows: int, strip: int = 1_000_000) -> int:
 def kendall(wide: DataFrame, a: str, b: str, strip: int = 1_000_000) -> DataFrame:
     """a, b, tau (tau-b; NULL for a constant column): ties from counts, discordant pairs by ranges, n log n."""
     own = wide.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-    counts = own.groupBy("x", "y").agg(F.count("*").alias("n"))
+    counts = written_once(own.groupBy("x", "y").agg(F.count("*").alias("n")), "pairs")
     pairs = lambda n: F.coalesce(F.sum(n.cast("decimal(38,0)") * (n - 1) / 2), F.lit(0)).cast("double")
     n = F.col("n")
     total, distinct = (int(v or 0) for v in counts.agg(F.sum("n"), F.count("*")).first())

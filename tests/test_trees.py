@@ -188,3 +188,15 @@ def test_orders_of_features_average_to_the_attribution():
             done |= {f}
     leaves, mean = trees.leaf_tables(nodes, 1.0)
     assert trees.attributed(leaves, x[None])[0] == pytest.approx(steps) and mean == pytest.approx(values[frozenset()])
+
+
+def test_discordant_pairs_with_more_rows_than_ranges(spark, monkeypatch):
+    """The number of ranges, and with it the driver's grid, doesn't grow with the rows."""
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 900, 3000).astype(float), rng.permutation(3000).astype(float)
+    asked = []
+    plain = ranks.quantiles
+    monkeypatch.setattr(ranks, "quantiles", lambda df, columns, shares, **kw: asked.append(len(shares)) or plain(df, columns, shares, **kw))
+    counts = spark.createDataFrame([(float(a), float(b), 1) for a, b in zip(x, y, strict=True)], "x double, y double, n bigint").repartition(3)
+    assert ranks.discordant(counts, 3000, strip=2) == int(sum(((x < x[k]) & (y > y[k])).sum() for k in range(3000)))
+    assert asked == [ranks.RANGES - 1]
