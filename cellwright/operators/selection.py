@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cellwright.functions.columns import no_nan, ordered, ratio
 from cellwright.operators.ranks import quantiles
+from cellwright.sources.files import written_once
 
 #: Families of features (fixed values): exact names first, in this order.
 EXACT = {
@@ -149,16 +150,25 @@ def pearson_pairs(wide: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return sums.withColumn("p", F.get(names, F.col("pair").cast("int"))).select("p.a", "p.b", r.alias("r"))
 
 
+#: Ranks of so many distinct values, 16 bytes each, are small enough for every task.
+FEW_VALUES = 100_000
+
+
 def average_ranks(wide: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns as average ranks, for Spearman: ranks of the distinct values from counts, joined back, so that no column is sorted in one task."""
-    out = wide
-    for c in columns:
+    """Columns as average ranks, for Spearman: ranks of the distinct values from counts, joined back, so that no column is sorted in one task.
+
+    The rows are written once for all counts; ranks of a column with about ``FEW_VALUES`` distinct values at most are broadcast.
+    """
+    wide = out = written_once(wide, "columns")
+    sizes = wide.agg(*(F.approx_count_distinct(c).alias(c) for c in columns)).first()
+    for c in sorted(columns, key=lambda c: sizes[c]):
         counts = wide.groupBy(c).agg(F.count("*").alias("n"))
         dealt = counts.filter(F.col(c).isNotNull()).repartitionByRange(c).withColumn("p", F.spark_partition_id())
         own = dealt.withColumn("upto", F.sum("n").over(Window.partitionBy("p").orderBy(c)))
         totals = own.groupBy("p").agg(F.max("upto").alias("t"))  # a row for each partition
         before = totals.withColumn("before", F.coalesce(F.sum("t").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "before")
         ranks = own.join(F.broadcast(before), "p").select(F.col(c).alias("__v"), (F.col("before") + F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("__r"))
+        ranks = F.broadcast(ranks) if sizes[c] <= FEW_VALUES else ranks
         out = out.join(ranks, out[c].eqNullSafe(F.col("__v")), "left").drop(c, "__v").withColumnRenamed("__r", c)
     return out
 
@@ -200,9 +210,10 @@ def binned_information(wide: DataFrame, features: str | list[str], target: str,
     """feature, mi: mutual information of equal-frequency bins; deterministic, in place of a nearest-neighbour estimate.
 
     The edges of all features are exact quantiles of the rows where feature and target are there, counted digit by digit (``ranks.quantiles``); one more scan
-    counts the bins of all features, and bins * bins rows a feature are left.
+    counts the bins of all features, and bins * bins rows a feature are left.  The columns are written once, as what makes them (a join, say) would run again in each scan.
     """
     features = [features] if isinstance(features, str) else features
+    wide = written_once(wide.select(*dict.fromkeys([*features, target])), "columns")
     both = {f: F.col(f).isNotNull() & F.col(target).isNotNull() for f in features}
     masked = wide.select(*(F.when(both[f], F.col(c)).alias(f"{kind}{k}") for k, f in enumerate(features) for kind, c in (("x", f), ("y", target))))
     edges = quantiles(masked, masked.columns, [k / bins for k in range(1, bins)])
