@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from cellwright.operators.selection import permutation_importance
 from cellwright.operators.trees import absolute_tree, ensemble_nodes, feature_edges, path_importance, predicted
+from cellwright.sources.files import written_once
+
+#: Rows of a task that fits trees.
+TASK_ROWS = 500_000
 
 
 def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
@@ -22,7 +26,12 @@ def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def tree_importance(df: DataFrame, features: list[str], target: str, rounds: int = 20, seed: int = 0) -> DataFrame:
-    """feature, importance: mean absolute path attribution over all rows of boosted trees with absolute loss."""
+    """feature, importance: mean absolute path attribution over all rows of boosted trees with absolute loss.
+
+    The columns are written once and dealt into tasks of about ``TASK_ROWS`` rows, so that what a task reads doesn't grow with the table.
+    """
+    df = written_once(df.select(*dict.fromkeys([*features, target])), "columns")
+    df = df.repartition(max(df.rdd.getNumPartitions(), -(-df.count() // TASK_ROWS)))
     model = GBTRegressor(featuresCol="features", labelCol=target, lossType="absolute", stepSize=0.05, maxIter=rounds, maxDepth=4, seed=seed).fit(_assembled(df, features))
     return path_importance(df, features, ensemble_nodes(model))
 
@@ -30,8 +39,12 @@ def tree_importance(df: DataFrame, features: list[str], target: str, rounds: int
 def recursive_elimination(df: DataFrame, features: list[str], target: str, keep: int, step: float = 0.1, depth: int = 5) -> list[str]:
     """Drop the features with the least importance in a tree of absolute deviations, a tenth of all (one at least) at a time, until ``keep`` are left.
 
-    On equal importances the later feature goes.  The rows' quantiles are taken once; every tree is one pass a level.
+    On equal importances the later feature goes.  The rows' quantiles are taken once; every tree is one pass a level.  The columns are written once: a join behind them would run again in every pass.
     """
+    return _left_by_trees(written_once(df.select(*dict.fromkeys([*features, target])), "columns"), features, target, keep, step, depth)
+
+
+def _left_by_trees(df: DataFrame, features: list[str], target: str, keep: int, step: float = 0.1, depth: int = 5) -> list[str]:
     edges = feature_edges(df, features, target, 32, 128)
     left, at_once = list(features), max(1, int(step * len(features)))
     while len(left) > keep:
@@ -44,7 +57,8 @@ def recursive_elimination(df: DataFrame, features: list[str], target: str, keep:
 
 def elimination_importance(df: DataFrame, features: list[str], target: str, key: str, keep: int, repeats: int = 5, seed: int = 0) -> DataFrame:
     """feature, importance of the features that recursive elimination keeps: permutation importance (mean absolute error) of a tree of them alone."""
-    left = recursive_elimination(df, features, target, keep)
+    df = written_once(df.select(*dict.fromkeys([key, *features, target])), "columns")
+    left = _left_by_trees(df, features, target, keep)
     tree = absolute_tree(df, left, target)
     return permutation_importance(df, left, predicted(tree.nodes, left), target, key, repeats, seed)
 
@@ -128,11 +142,16 @@ def mmd(domain: DataFrame, features: int = 64, seed: int = 0, bandwidths: int =
     return a.crossJoin(b).select((sum((F.pow(F.col(f"m{k}") - F.col(f"n{k}"), F.lit(2.0)) for k in range(len(cols))), F.lit(0.0)) / bandwidths).alias("mmd2"))
 
 
+#: A row goes to so many tiles at most.
+GROUPS = 24
+
+
 def mmd_exact(domain: DataFrame, key: str, bandwidths: int = 5, multiplier: float = 2.0, block: int = 1000) -> DataFrame:
     """mmd2 and bandwidth of two domains (domain 0/1, x array<double>, a unique key): means of a sum of Gaussian kernels within and between them.
 
-    The kernels' widths are powers of ``multiplier`` around the mean squared distance, which comes from sums alone.  Rows are dealt into blocks of about ``block`` by a hash of the key, and every
-    pair of blocks is a tile that returns three partial sums: time grows with the square of the rows, what is shuffled with rows times blocks, and no task holds more than two blocks.
+    The kernels' widths are powers of ``multiplier`` around the mean squared distance, which comes from sums alone.  Rows are dealt into blocks of about ``block``, or ``GROUPS`` larger ones, by a hash
+    of the key, and every pair of blocks is a tile that returns three partial sums: time grows with the square of the rows, what is shuffled with ``GROUPS`` times the rows at most.  A task holds
+    the rows of two blocks, and the distances of ``block`` times ``block`` pairs at once.
     """
     rows = domain.filter("x is not null").select("domain", F.col(key).alias("key"), "x")
     n = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
@@ -142,24 +161,28 @@ def mmd_exact(domain: DataFrame, key: str, bandwidths: int = 5, multiplier: floa
     squares = rows.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q")).agg(F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s")).alias("s")).first()
     mean = (2 * total * squares["q"] - 2 * squares["s"]) / (total * (total - 1)) or 1.0
     widths = [mean / multiplier ** (bandwidths // 2) * multiplier**k for k in range(bandwidths)]
-    blocks = max(1, -(-total // block))
+    blocks = min(GROUPS, max(1, -(-total // block)))
     dealt = rows.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-    left = dealt.withColumn("j", F.explode(F.sequence("b", F.lit(blocks - 1)))).select(F.col("b").alias("i"), "j", "domain", "x")
-    right = dealt.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b")))).select("i", F.col("b").alias("j"), "domain", "x")
-
-    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"within0": [], "within1": [], "between": []})
-        x, y = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
-        far = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0)
-        kernel = sum(np.exp(-far / w) for w in widths)
-        p, q = a["domain"].to_numpy(), b["domain"].to_numpy()
-        part = lambda u, v: float(kernel[np.ix_(p == u, q == v)].sum())
-        if a["i"].iloc[0] == a["j"].iloc[0]:
-            return pd.DataFrame({"within0": [part(0, 0)], "within1": [part(1, 1)], "between": [part(0, 1)]})
-        return pd.DataFrame({"within0": [2 * part(0, 0)], "within1": [2 * part(1, 1)], "between": [part(0, 1) + part(1, 0)]})
-
-    sums = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(tile, "within0 double, within1 double, between double")
+    other = dealt.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    placed = other.select(F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j"), "b", "domain", "x")
+
+    def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        same = key[0] == key[1]
+        first = (pdf["b"] == key[0]).to_numpy()
+        x, p = np.stack(pdf["x"].to_numpy()), pdf["domain"].to_numpy()
+        (x, p), (y, q) = (x[first], p[first]), ((x[first], p[first]) if same else (x[~first], p[~first]))
+        out = np.zeros(4)
+        for m in range(0, len(x), block):  # no more than block * block distances at once
+            for n_ in range(0, len(y), block):
+                u, v = x[m : m + block], y[n_ : n_ + block]
+                far = np.maximum((u * u).sum(1)[:, None] + (v * v).sum(1) - 2 * u @ v.T, 0)
+                kernel = sum(np.exp(-far / w) for w in widths)
+                d, e = p[m : m + block], q[n_ : n_ + block]
+                out += [kernel[np.ix_(d == f, e == g)].sum() for f in (0, 1) for g in (0, 1)]
+        within0, between, back, within1 = out if same else out * 2
+        return pd.DataFrame({"within0": [within0], "within1": [within1], "between": [between if same else (between + back) / 2]})
+
+    sums = placed.groupBy("i", "j").applyInPandas(tile, "within0 double, within1 double, between double")
     whole = sums.agg(*(F.sum(c).alias(c) for c in ("within0", "within1", "between")))
     loss = F.col("within0") / float(n[0]) ** 2 + F.col("within1") / float(n[1]) ** 2 - 2 * F.col("between") / (float(n[0]) * float(n[1]))
     return whole.select(loss.alias("mmd2"), F.lit(float(mean)).alias("bandwidth"))

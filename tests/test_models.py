@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellwright.operators import models
+from cellwright.operators import models, selection
 
 NAMES = ["a", "b", "c"]
 
@@ -163,3 +163,34 @@ def test_tuning_equals_a_loop_over_folds(known):
     assert len(rows) == 3 and set(best) == {"line", "trees"}
     with pytest.raises(ValueError, match="two folds"):
         models.tuned_baseline(df.filter("id = 1"), NAMES, "y", "id")
+
+
+@pytest.mark.parametrize("run", [
+    lambda df: selection.binned_information(df, ["a", "b"], "y", bins=4).collect(),
+    lambda df: selection.spearman_pairs(df, [("a", "b"), ("a", "y")]).collect(),
+    lambda df: models.recursive_elimination(df, ["a", "b"], "y", keep=1, depth=2),
+    lambda df: models.elimination_importance(df, ["a", "b"], "y", "id", keep=1, repeats=1).collect(),
+    lambda df: models.tree_importance(df, ["a", "b"], "y", rounds=1).collect(),
+], ids=["information", "spearman", "elimination", "importance", "trees"])
+def test_what_makes_the_rows_runs_once(spark, run):
+    """Scans and trees read written columns, so a join behind the rows isn't shuffled anew in each of them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rng = np.random.default_rng(7)
+    rows = spark.createDataFrame([(k, *map(float, rng.normal(size=3))) for k in range(60)], "id bigint, a double, b double, y double").repartition(3)
+    run(rows.mapInArrow(seen, rows.schema))
+    assert made.value == 60
+
+
+def test_vectors_go_to_a_bounded_number_of_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, domain = rng.normal(size=(60, 3)), rng.integers(0, 2, 60)
+    df = spark.createDataFrame([(k, int(d), v.tolist()) for k, (d, v) in enumerate(zip(domain, x, strict=True))], "id bigint, domain int, x array<double>")
+    want = models.mmd_exact(df, "id").first()["mmd2"]
+    monkeypatch.setattr(models, "GROUPS", 3)
+    assert models.mmd_exact(df, "id", block=4).first()["mmd2"] == pytest.approx(want, rel=1e-12)
