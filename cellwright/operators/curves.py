@@ -26,13 +26,12 @@ def prepare(rows: DataFrame, cut: float | None, least: int = 15, keys: list[str]
 def resample(points: DataFrame, step: float, least: int = 100, most: int = 5000, x: str = "v", y: str = "q", keys: list[str] = KEYS) -> DataFrame:
     """i, x, y on a uniform grid from least to greatest x of clamp(int(range / step), least, most) points; linear between the samples, of which
     one within 1e-9 of the sample before is left out."""
-    w = ordered(keys, x)
     apart = points.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).withColumn("__p", F.lag("x").over(ordered(keys, "x", "y"))).filter("__p is null or x - __p >= 1e-9").drop("__p")
-    w = ordered(keys, "x")
-    strips = apart.withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w))
-    size = apart.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).withColumn("n", F.greatest(F.lit(least), F.least(F.lit(most), F.floor((F.col("hi") - F.col("lo")) / step).cast("int"))))
+    w, whole = ordered(keys, "x"), Window.partitionBy(*keys)
+    strips = apart.withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w)).withColumn("lo", F.min("x").over(whole)).withColumn("hi", F.max("x").over(whole))
+    size = F.greatest(F.lit(least), F.least(F.lit(most), F.floor((F.col("hi") - F.col("lo")) / step).cast("int")))
     # every strip makes its own grid points: no join of grid and samples by range
-    at = strips.join(size, keys).filter("hi > lo and x2 is not null").withColumn("h", (F.col("hi") - F.col("lo")) / (F.col("n") - 1))
+    at = strips.dropna(subset=keys).filter("hi > lo and x2 is not null").withColumn("n", size).withColumn("h", (F.col("hi") - F.col("lo")) / (F.col("n") - 1))
     first, last = F.ceil((F.col("x") - F.col("lo")) / F.col("h") - 1e-9).cast("int"), F.ceil((F.col("x2") - F.col("lo")) / F.col("h") - 1e-9).cast("int") - 1
     end = F.when(F.col("x2") == F.col("hi"), F.col("n") - 1).otherwise(last)
     grid = at.withColumn("__a", first).withColumn("__b", end).filter("__a <= __b").withColumn("i", F.explode(F.sequence("__a", "__b")))
@@ -65,24 +64,34 @@ def savgol_matrix(window: int, order: int, derivative: int = 0) -> np.ndarray:
 def savgol(curve: DataFrame, window: int, order: int, y: str = "y", name: str = "smooth", derivative: int = 0, clip: bool = False, keys: list[str] = KEYS) -> DataFrame:
     """Savitzky-Golay: the window made odd; at the ends the polynomial of the first or last window.  A curve shorter than the window stays as it is.
 
-    ``window`` is small, so that a sum over lags and leads is one window pass; the two ends take the values of an array of the end's window.
+    A curve's points come together once, as an array; its windows are summed by place, a missing value making a window's sum missing.
     """
     window = max(3, window | 1)
     half = window // 2
     h = savgol_matrix(window, order, derivative)
-    w, k = ordered(keys, "i"), Window.partitionBy(*keys)
-    full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    own = curve.withColumn("__l", F.collect_list(y).over(w.rowsBetween(-half, half))).withColumn("__n", F.count("*").over(k)).withColumn("__k", F.row_number().over(w) - 1)
-    ends = own.withColumn("__f", F.first(F.when(F.col("__k") == half, F.col("__l")), True).over(full)).withColumn("__e", F.first(F.when(F.col("__k") == F.col("__n") - 1 - half, F.col("__l")), True).over(full))
-
-    def dot(values: Column, row: Column) -> Column:
-        table = F.array(*(F.array(*(F.lit(float(c)) for c in r)) for r in h))
-        return F.aggregate(F.zip_with(values, F.get(table, row), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-
-    place = F.when(F.col("__k") < half, F.col("__k")).when(F.col("__k") >= F.col("__n") - half, F.col("__k") - (F.col("__n") - window)).otherwise(F.lit(half)).cast("int")
-    values = F.when(F.col("__k") < half, F.col("__f")).when(F.col("__k") >= F.col("__n") - half, F.col("__e")).otherwise(F.col("__l"))
-    out = F.when(F.col("__n") < window, F.col(y)).otherwise(dot(values, place))
-    return ends.withColumn(name, F.greatest(out, F.lit(0.0)) if clip else out).drop("__l", "__n", "__k", "__f", "__e")
+
+    def smooth(v: np.ndarray) -> np.ndarray:
+        n = len(v)
+        if n < window:
+            return v
+        out = np.zeros(n)
+        for j in range(window):
+            out[half : n - half] += v[j : n - window + 1 + j] * h[half, j]
+            out[:half] += v[j] * h[:half, j]
+            out[n - half :] += v[n - window + j] * h[half + 1 :, j]
+        return out
+
+    def run(values: pd.Series) -> pd.Series:
+        # NULLs come as NaN, and leave as NULL
+        return pd.Series([[None if x != x else x for x in smooth(np.asarray(v, float)).tolist()] for v in values])
+
+    rest = [c for c in curve.columns if c not in (*keys, "i", name)]
+    listed = curve.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", *rest))).alias("__c"))
+    smoothed = listed.withColumn("__s", F.pandas_udf(run, "array<double>")(F.col("__c")[y].cast("array<double>")))
+    each = smoothed.select(*keys, F.explode(F.arrays_zip(F.col("__c").alias("c"), F.col("__s").alias("s"))).alias("__p"))
+    out = F.col("__p.s")
+    columns = [c for c in curve.columns if c != name]
+    return each.select(*(F.col(c) if c in keys else F.col(f"__p.c.{c}").alias(c) for c in columns), (F.greatest(out, F.lit(0.0)) if clip else out).alias(name))
 
 
 def _lowest_since_higher(h: list[float]) -> list[float]:

@@ -130,7 +130,7 @@ def cur14(spark, d):
 @query("cur15_curve_export")
 def cur15(spark, d):
     """IC and DV rows of the first cycles (rows only; the parts have tests)."""
-    curve = ic(spark, d).filter("cycle <= 100")
+    curve = written_once(ic(spark, d).filter("cycle <= 100"), "curves")
     dv = curve.filter("y > 0").select(*KEYS, F.lit("DV").alias("type"), "i", "x", F.try_divide(F.lit(1.0), "y").alias("y"))
     return rounded(curve.select(*KEYS, F.lit("IC").alias("type"), "i", "x", "y").unionByName(dv))
 
@@ -222,9 +222,9 @@ def cur9_next(spark, d):
 @query("cur13_charge_side")
 def cur13(spark, d):
     """The curve features of the charge: no charge is cut off, and a valley that isn't there is NULL."""
-    curve = ic(spark, d, sign=1, cut=None)
+    curve = written_once(ic(spark, d, sign=1, cut=None), "curves")
     tops = cu.peaks(curve, prominence=0.01)
-    peak = cu.main_peak(curve, cu.peak_widths(tops, curve), 3.2, 4.1)
+    peak = written_once(cu.main_peak(curve, cu.peak_widths(tops, curve), 3.2, 4.1), "peaks")
     parts = [cu.peak_area(curve, peak, 0.05), cu.centroid(curve), cu.valley(curve, peak, least=False, unset=None)]
     next_ = cu.valley_before_next_peak(curve, peak, tops, 3.2, 4.1, unset=None)
     parts.append(next_.select(*KEYS, F.col("icv").alias("icv_next"), F.col("icvl_v").alias("icvl_v_next")))
