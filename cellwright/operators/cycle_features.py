@@ -152,12 +152,33 @@ def inferred_rates(tel: DataFrame, capacity: float, keys: list[str] = KEYS, orde
     return half.join(down, keys, "left")
 
 
+def _best_tau(lo: Column, hi: Column) -> Column:
+    """(sse, tau, step) of the best fit on a grid of 60 taus, of a cycle's array r of (t, i); NULL where no fit is good."""
+    step = (hi - lo) / 59
+
+    def fit(tau: Column) -> Column:
+        points = F.transform("r", lambda p: F.struct(p["i"].alias("i"), F.exp(-p["t"] / tau).alias("x")))
+
+        def more(s: Column, p: Column) -> Column:
+            n = s["n"] + 1.0
+            dx, dy = p["x"] - s["mx"], p["i"] - s["my"]
+            mx = s["mx"] + dx / n
+            return F.struct(n.alias("n"), mx.alias("mx"), (s["my"] + dy / n).alias("my"), (s["sxx"] + dx * (dx - dx / n)).alias("sxx"), (s["sxy"] + dy * (p["x"] - mx)).alias("sxy"), (s["syy"] + dy * (dy - dy / n)).alias("syy"))
+
+        return F.aggregate(points, F.struct(*(F.lit(0.0).alias(c) for c in ("n", "mx", "my", "sxx", "sxy", "syy"))), more, lambda s: F.struct(tau.alias("tau"), s["sxx"].alias("sxx"), s["sxy"].alias("sxy"), s["syy"].alias("syy")))
+
+    fits = F.transform(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: F.exp(lo + (hi - lo) * k / 59)), fit)
+    good = F.filter(fits, lambda f: (f["syy"] > 1e-12) & (f["sxx"] > 0) & (f["sxy"] >= 0))
+    return F.array_min(F.transform(good, lambda f: F.struct((f["syy"] - f["sxy"] * f["sxy"] / f["sxx"]).alias("sse"), f["tau"].alias("tau"), step.alias("step"))))
+
+
 def current_tau(charge: DataFrame, uvp: float, tolerance: float = 0.05, least_rows: int = 3, keys: list[str] = KEYS, order: str = "seq", rounds: int = 3, over_s: float | None = None, over_a: float | None = None, least_std: float = 0.0) -> DataFrame:
     """cv_tau of I = a exp(-t / tau) + c over the rows at V >= uvp - tolerance, 0 where it can't be fitted.
 
     It isn't fitted with under ``least_rows`` rows, where these rows last no longer than ``over_s`` seconds, where no current is over ``over_a``, or where the currents' deviation is under ``least_std``.
 
     For a given tau the fit is linear, so tau is searched on a grid of 60 in [1, 1e4], and twice on finer grids around the best; a >= 0.
+    A cycle's rows come together as an array, so they aren't multiplied by the grid.
     """
     w = Window.partitionBy(*keys)
     rows = charge.filter(F.col("voltage_v") >= uvp - tolerance)
@@ -168,15 +189,12 @@ def current_tau(charge: DataFrame, uvp: float, tolerance: float = 0.05, least_ro
     if over_a is not None:
         rows = rows.filter(F.col("top") > over_a)
     rows = rows.filter(F.col("sd") >= least_std)
-    best = rows.select(*keys).distinct().withColumn("lo", F.lit(0.0)).withColumn("hi", F.log(F.lit(1e4)))
+    own = rows.filter("t is not null and i is not null").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", F.col("i").cast("double").alias("i")))).alias("r"))
+
+    best = own.withColumn("lo", F.lit(0.0)).withColumn("hi", F.log(F.lit(1e4)))
     for _ in range(rounds):
-        grid = best.select(*keys, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("k")).withColumn("tau", F.exp(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / 59))
-        fits = rows.join(grid, keys).withColumn("x", F.exp(-F.col("t") / F.col("tau"))).groupBy(*keys, "tau", "lo", "hi").agg(
-            F.regr_sxx("i", "x").alias("sxx"), F.regr_sxy("i", "x").alias("sxy"), F.regr_syy("i", "x").alias("syy")
-        )
-        good = fits.filter((F.col("syy") > 1e-12) & (F.col("sxx") > 0) & (F.col("sxy") >= 0)).withColumn("sse", F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"))
-        step = (F.col("hi") - F.col("lo")) / 59
-        found = good.groupBy(*keys).agg(F.min(F.struct("sse", "tau", step.alias("step"))).alias("m"))
-        best = found.select(*keys, F.greatest(F.lit(0.0), F.log("m.tau") - F.col("m.step")).alias("lo"), F.least(F.log(F.lit(1e4)), F.log("m.tau") + F.col("m.step")).alias("hi"), F.col("m.tau").alias("tau"))
+        found = best.select(*keys, "r", _best_tau(F.col("lo"), F.col("hi")).alias("m"))
+        # a NULL tau stays NULL in the rounds that follow
+        best = found.select(*keys, "r", F.when(F.col("m").isNotNull(), F.greatest(F.lit(0.0), F.log("m.tau") - F.col("m.step"))).alias("lo"), F.least(F.log(F.lit(1e4)), F.log("m.tau") + F.col("m.step")).alias("hi"), F.col("m.tau").alias("tau"))
     every = charge.select(*keys).distinct()
     return every.join(best.select(*keys, "tau"), keys, "left").select(*keys, F.coalesce("tau", F.lit(0.0)).alias("cv_tau"))
