@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellwright.operators import cycle_features, phases
+from cellwright.operators import curves, cycle_features, phases
 from cellwright.operators.curves import savgol_matrix
 from cellwright.plans import curves as plans
 from cellwright.plans.registry import QUERIES
@@ -280,3 +280,16 @@ def test_unfinished_cells(spark, tmp_path):
     assert {r["cell_id"] for r in readers.unfinished(cells, path).collect()} == {1, 2, 3}
     readers.write_features(cells.filter("cell_id < 3"), path)
     assert {r["cell_id"] for r in readers.unfinished(cells, path).collect()} == {3}
+
+
+def test_tau_is_searched_without_a_row_for_each_grid_point(spark):
+    rows = [(k, 1, 30.0 * j, 4.2, 2 * float(np.exp(-30.0 * j / tau)) + 0.1) for k, tau in enumerate((90.0, 700.0)) for j in range(40)]
+    got = cycle_features.current_tau(spark.createDataFrame(rows, "cell_id int, cycle int, time_s double, voltage_v double, current_a double"), 4.2).orderBy("cell_id")
+    assert [r["cv_tau"] for r in got.collect()] == pytest.approx([90.0, 700.0], rel=1e-3)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_grid_of_points_reads_them_once(spark):
+    points = spark.createDataFrame([(1, 1, float(k), float(k * k)) for k in range(9)], "cell_id int, cycle int, v double, q double")
+    plan = curves.resample(points, 0.5, 10, 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
