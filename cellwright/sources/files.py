@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import tempfile
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.csv
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cellwright.operators.tables import first_rows, ordered_columns
 
 #: What stands for a missing value in a file (fixed values).
 MISSING = ["", "NaN", "nan", "NA", "null", "None"]
+#: Files in a folder of cells' files; bytes of them that a task parses before it hands rows on; tasks a core that read files.
+FOLDER_FILES = 1000
+PARSED_BYTES = 4 << 20
+TASKS_PER_CORE = 4
+FOLDERS = "folder string, files bigint"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -42,25 +50,37 @@ def _parser(schema: StructType):
     """Rows of whole files by the names in their headers."""
     types = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
     convert = pa.csv.ConvertOptions(column_types=types, include_columns=types.names, include_missing_columns=True, null_values=MISSING, strings_can_be_null=True)
+    one_thread = pa.csv.ReadOptions(use_threads=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            tables, size = [], 0
             for cell, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = pa.csv.read_csv(io.BytesIO(text.encode()), convert_options=convert)
-                for part in rows.to_batches():
-                    yield pa.RecordBatch.from_arrays([pa.array([cell] * part.num_rows, pa.string()), *part.columns], names=["__cell", *types.names])
+                rows = pa.csv.read_csv(io.BytesIO(data := text.encode()), read_options=one_thread, convert_options=convert)
+                tables.append(rows.add_column(0, "__cell", pa.repeat(pa.scalar(cell, pa.string()), rows.num_rows)))
+                size += len(data)
+                if size >= PARSED_BYTES:
+                    yield from pa.concat_tables(tables).combine_chunks().to_batches()
+                    tables, size = [], 0
+            if tables:
+                yield from pa.concat_tables(tables).combine_chunks().to_batches()
 
     return run
 
 
-def read_features(spark: SparkSession, path: str, schema: StructType, nrows: int | None = None, cell: str = "cell_id", cell_of_path: str = r"([^/]+)\.csv$", cycle: str = "cycle", escaped: bool = False) -> DataFrame:
+def _texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, value (whole text) of all CSV files; the scan has a task for some thirty small files, so a number of tasks that the cores set takes them over."""
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path, wholetext=True)
+    return texts.select(F.col("_metadata.file_path").alias("file"), "value").coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+
+
+def read_features(spark: SparkSession, path: str | list[str], schema: StructType, nrows: int | None = None, cell: str = "cell_id", cell_of_path: str = r"([^/]+)\.csv$", cycle: str = "cycle", escaped: bool = False) -> DataFrame:
     """Rows of all CSV files under a folder, with ``cell`` from the file's path; of each cell the first ``nrows`` cycles (None, 0, -1: all).
 
     Columns are found by the files' own headers, whatever their order; those that a file lacks are NULL, and those that the schema lacks are left out.  Files in folders named ``*_curves``,
     and empty ones, are skipped.  ``escaped``: names in paths are written as Spark writes partitions' values.  A file is a cell's feature table, so a task parses it whole.
     """
-    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    whole = texts.filter(~F.col("file").rlike(r"/[^/]*_curves/") & F.col("value").rlike(r"\S"))
+    whole = _texts(spark, path).filter(~F.col("file").rlike(r"/[^/]*_curves/") & F.col("value").rlike(r"\S"))
     name = F.regexp_extract("file", cell_of_path, 1)
     for _ in range(1 + escaped):
         name = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
@@ -70,17 +90,50 @@ def read_features(spark: SparkSession, path: str, schema: StructType, nrows: int
     return first_rows(rows, nrows, cell, cycle)
 
 
+def _cell_writer(path: str, header: str):
+    """Writes a partition's lines (cell, line), which come cell by cell, as a file a cell; a row for each folder that is complete."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+        out, own, folder, n = None, None, "", 0
+        for batch in batches:
+            for cell, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if out is None or cell != own:
+                    if out is not None:
+                        out.close()
+                    if n == FOLDER_FILES:
+                        yield pa.RecordBatch.from_arrays([pa.array([folder]), pa.array([n], pa.int64())], names=["folder", "files"])
+                        n = 0
+                    if n == 0:
+                        folder = uuid.uuid4().hex
+                        fs.create_dir(f"{root}/{folder}", recursive=True)
+                    out, own, n = fs.open_output_stream(f"{root}/{folder}/__cell={quote(cell, safe='')}.csv", buffer_size=1 << 16), cell, n + 1
+                    out.write(header.encode())
+                out.write(f"{line}\n".encode())
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([folder]), pa.array([n], pa.int64())], names=["folder", "files"])
+
+    return run
+
+
 def write_cell_files(features: DataFrame, path: str, priority: list[str], cell: str = "cell_id", order: str = "cycle") -> str:
     """A CSV file for each cell, columns of the priority list first and the others by name, rows in order; the manifest is written last and names the version.
 
-    A run that breaks leaves a folder that no manifest names, so readers never see half of it.  A cell's rows are written by one task.
+    A run that breaks leaves a folder that no manifest names, and a task that is repeated leaves folders that the version's list lacks, so readers never see half of it.  A cell's rows are
+    written by one task, straight into the shared folder: a writer that moves a folder a cell at the end costs the driver a call for each.  The path is one that ``pyarrow.fs`` can open.
     """
     spark = features.sparkSession
     version = uuid.uuid4().hex
-    kept = ordered_columns(features.withColumn("__cell", F.col(cell)), ["__cell", *priority])
-    sorted_rows = kept.repartition("__cell").sortWithinPartitions("__cell", order)
-    sorted_rows.write.partitionBy("__cell").option("header", True).option("escape", "\"").csv(f"{path}/data-{version}")
-    columns = [c for c in kept.columns if c != "__cell"]
+    columns = ordered_columns(features, priority).columns
+    # an empty or missing name stands as Spark writes it in partitions' folders
+    name = F.coalesce(F.nullif(F.col(cell).cast("string"), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    lines = features.select(name.alias("__cell"), F.col(order).alias("__order"), F.to_csv(F.struct(*columns), {"escape": '"'}).alias("line"))
+    sorted_rows = lines.repartition("__cell").sortWithinPartitions("__cell", "__order").select("__cell", "line")
+    header = io.StringIO()
+    csv.writer(header, lineterminator="\n").writerow(columns)
+    written = sorted_rows.mapInArrow(_cell_writer(f"{path}/data-{version}", header.getvalue()), FOLDERS)
+    written.write.parquet(f"{path}/folders-{version}")
     manifest = spark.createDataFrame([(version, columns)], "version string, columns array<string>").withColumn("written", F.current_timestamp().cast("double"))
     manifest.coalesce(1).write.mode("append").json(f"{path}/manifest")
     return version
@@ -92,22 +145,31 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return every.orderBy(F.desc("written"), "version").limit(1)
 
 
-def read_cell_files(spark: SparkSession, path: str, schema: StructType, nrows: int | None = None, cell: str = "cell_id", cycle: str = "cycle") -> DataFrame:
-    """The newest whole version under ``path`` as ``read_features`` reads it; an error where there is none."""
+def _newest(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the newest whole version, ``FOLDER_FILES`` files or less each; an error where there is none."""
     newest = manifest(spark, path).first()
     if newest is None:
         raise FileNotFoundError(f"no whole version under {path}")
-    folder = f"{path}/data-{newest['version']}"
+    listed = spark.read.schema(FOLDERS).parquet(f"{path}/folders-{newest['version']}")
+    return [f"{path}/data-{newest['version']}/{r['folder']}" for r in listed.collect()]
+
+
+def read_cell_files(spark: SparkSession, path: str, schema: StructType, nrows: int | None = None, cell: str = "cell_id", cycle: str = "cycle") -> DataFrame:
+    """The newest whole version under ``path`` as ``read_features`` reads it; an error where there is none."""
     inside = StructType([f for f in schema if f.name != cell])
-    return read_features(spark, folder, inside, nrows, cell, r"__cell=([^/]*)/", cycle, escaped=True)
+    folders = _newest(spark, path)
+    if not folders:
+        return spark.createDataFrame([], StructType([StructField(cell, StringType()), *inside]))
+    return read_features(spark, folders, inside, nrows, cell, r"__cell=([^/]*)\.csv$", cycle, escaped=True)
 
 
 def header_lines(spark: SparkSession, path: str) -> DataFrame:
     """position (from 0), name, n_files of the columns in the files of the newest version."""
-    folder = f"{path}/data-{manifest(spark, path).first()['version']}"
-    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder, wholetext=True)
+    folders = _newest(spark, path)
+    if not folders:
+        return spark.createDataFrame([], "position int, name string, n_files bigint")
     first = F.split(F.regexp_extract("value", r"^([^\r\n]*)", 1), ",")
-    return texts.select(F.posexplode(first).alias("position", "name")).groupBy("position", "name").agg(F.count("*").alias("n_files"))
+    return _texts(spark, folders).select(F.posexplode(first).alias("position", "name")).groupBy("position", "name").agg(F.count("*").alias("n_files"))
 
 
 def write_summary(path: str, title: str, tables: dict[str, DataFrame], most: int = 20) -> None:

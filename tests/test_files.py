@@ -56,6 +56,26 @@ def test_a_broken_run_is_not_read(spark, tmp_path, features):
     assert sorted(map(tuple, files.read_cell_files(spark, path, SCHEMA).collect())) == rows
 
 
+def test_folders_hold_many_cells_and_are_listed(spark, tmp_path, monkeypatch):
+    """No folder for each cell; folders that the version's list lacks, as a repeated task leaves them, aren't read; odd names and no rows at all."""
+    monkeypatch.setattr(files, "FOLDER_FILES", 7)
+    path = f"file://{tmp_path}/many"
+    rows = [(name, c, 0.5 * k, None) for k, name in enumerate(["_hidden", ".dot", "a,b", "", None, *map(str, range(50))]) for c in (2, 1)]
+    version = files.write_cell_files(spark.createDataFrame(rows, SCHEMA).coalesce(1), path, ["cycle"])
+    folders = [f for f in Path(tmp_path, "many", f"data-{version}").iterdir() if f.is_dir()]
+    sizes = [len(list(f.glob("*.csv"))) for f in folders]
+    assert sum(sizes) == 54 and max(sizes) <= 7 and len(folders) < 20
+    (lost := folders[0].parent / "lost").mkdir()
+    (lost / "__cell=0.csv").write_text("cycle,a\n9,9\n")
+    none = "__HIVE_DEFAULT_PARTITION__"
+    expected = sorted((r[0] or none, *r[1:]) for r in rows)
+    assert sorted(map(tuple, files.read_cell_files(spark, path, SCHEMA).collect())) == expected
+    first = sorted({e[:2]: e for e in expected if e[1] == 1 and e[0] != none}.values())
+    assert sorted(tuple(r) for r in files.read_cell_files(spark, path, SCHEMA, 1).collect() if r[0] != none) == first
+    files.write_cell_files(spark.createDataFrame([], SCHEMA), f"{path}-none", ["cycle"])
+    assert files.read_cell_files(spark, f"{path}-none", SCHEMA).collect() == files.header_lines(spark, f"{path}-none").collect() == []
+
+
 def test_reports_as_json_and_text(spark, tmp_path, features):
     path = f"file://{tmp_path}/report"
     files.write_summary(path, "Report", {"cells": features[0].drop("a"), "none": features[0].limit(0)}, most=2)
