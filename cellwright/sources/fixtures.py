@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellwright.functions.columns import ordered
 
 
+#: Line items that a task holds while their cells' windows are computed; fewer where a small table would leave cores idle.
+TASK_ROWS, LEAST_ROWS = 500_000, 20_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def task_count(rows: int, cores: int) -> int:
+    """Tasks of ``TASK_ROWS`` rows or less, and as many as there are cores if each gets ``LEAST_ROWS``."""
+    return max(1, math.ceil(rows / TASK_ROWS), min(cores, rows // LEAST_ROWS))
+
+
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One supplier is a cell, 30 line items are a cycle (12 charge, 3 rest, 15 discharge samples) (the last one may be shorter)."""
+    """One supplier is a cell, 30 line items are a cycle (12 charge, 3 rest, 15 discharge samples) (the last one may be shorter).
+
+    What follows sorts and groups within the same tasks, so cells are dealt to as many as the rows ask for, not to a number that the session fixes.
+    """
     w = ordered(["l_suppkey"], "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_discount", "l_tax", "l_linenumber", (F.row_number().over(w) - 1).alias("rn"))
+    items = table(spark, sf_dir, "lineitem")
+    dealt = items.repartition(task_count(items.count(), spark.sparkContext.defaultParallelism), "l_suppkey")
+    rows = dealt.select("l_suppkey", "l_quantity", "l_discount", "l_tax", "l_linenumber", (F.row_number().over(w) - 1).alias("rn"))
     return rows.selectExpr(
         "l_suppkey AS cell_id",
         "CAST(floor(rn / 30) AS INT) + 1 AS cycle",

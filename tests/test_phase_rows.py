@@ -138,3 +138,20 @@ def test_no_rows_and_null_values(spark):
         assert phases.stable_current_rows(df, True).count() == phases.stable_current_rows(df, False).count() == 0
         assert phases.discharge_stream(df).count() == phases.charge_stream(df).count() == 0
     assert phases.longest_chain(empty).count() == 0 and phases.longest_chain(nulls).filter(F.col("voltage_v").isNotNull()).count() == 0
+
+
+def test_a_task_holds_a_bounded_number_of_line_items(spark, sf, monkeypatch):
+    """Tasks grow in number with the table, whatever number of partitions the session has; the rows are the same."""
+    from cellwright.plans.cycles import ph3
+    from cellwright.sources import fixtures
+
+    assert [fixtures.task_count(n, 12) for n in (0, 6_000, 600_000, 36_000_000)] == [1, 1, 12, 72]
+    whole = sorted(map(tuple, ph3(spark, sf).collect()))
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 500)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        found = ph3(spark, sf)
+        assert found.rdd.getNumPartitions() == 12 and sorted(map(tuple, found.collect())) == whole
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
