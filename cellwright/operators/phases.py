@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwright.functions.columns import ordered, ratio, running
-from cellwright.operators.curves import peaks
+from cellwright.operators.curves import local_maxima
 
 KEYS = ["cell_id", "cycle"]
 
@@ -200,37 +202,69 @@ def renumbered(cycles: DataFrame, reject: Column, limit: int | None = None, firs
     return kept.filter(F.col("new_cycle") <= limit) if limit and not first_limit else kept
 
 
+def _main_currents(window: int, bins: int, apart: int):
+    """s: currents of cycles through a median filter (zeros beyond the ends); levels: the currents of their histograms' peaks, rising."""
+    half, place = window // 2, np.arange(bins)
+
+    def levels(counts: np.ndarray, top: float) -> list[float]:
+        if not np.isfinite(top):
+            return []
+        kept: list[tuple[int, float]] = []
+        # the higher one stays (of equal ones the later), then what is prominent
+        for p, _, r in sorted(local_maxima(place, counts), key=lambda m: (-m[1], -m[0])):
+            if all(abs(p - q) >= apart for q, _ in kept):
+                kept.append((p, r))
+        return sorted((p + 0.5) * top / bins for p, r in kept if r >= counts.sum() * 0.01)
+
+    def run(currents: pd.Series) -> pd.DataFrame:
+        size = currents.map(len).to_numpy()
+        owner = np.repeat(np.arange(len(size)), size)
+        padded = np.zeros(size.sum() + half * (len(size) + 1))
+        at = np.arange(len(owner)) + half * (owner + 1)
+        padded[at] = np.concatenate(currents.to_numpy()) if len(size) else []
+        near = np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1)
+        s = np.concatenate([np.sort(near[at[k : k + 100_000] - half], 1)[:, half] for k in range(0, len(at), 100_000)] or [np.zeros(0)])
+        charging = (s > 0.1) | np.isnan(s)
+        some, own = s[charging], owner[charging]
+        top = np.ones(len(size))
+        with np.errstate(invalid="ignore"):
+            np.maximum.at(top, own, some)
+        top *= 1.1
+        tops = [[] for _ in size]
+        for k in range(0, len(size), 1000):  # histograms of so many cycles at once
+            a, b = np.searchsorted(own, [k, k + 1000])
+            with np.errstate(invalid="ignore"):
+                share = some[a:b] / top[own[a:b]] * bins
+            bin_ = np.minimum(np.nan_to_num(share), bins - 1).astype(np.int64)
+            counts = np.bincount((own[a:b] - k) * bins + bin_, minlength=bins * 1000).reshape(1000, bins).astype(float)
+            for c in np.unique(own[a:b]).tolist():
+                tops[c] = levels(counts[c - k], top[c])
+        return pd.DataFrame({"s": np.split(s, np.cumsum(size)[:-1]) if len(size) else [], "levels": tops})
+
+    return F.pandas_udf(run, "s array<double>, levels array<double>")
+
+
 def histogram_stages(rows: DataFrame, tolerance: float = 0.3, window: int = 15, bins: int = 100, apart: int = 5, gap: float = 120.0, least: float = 60.0, keys: list[str] = KEYS, order: str = "seq", voltage: str | None = None) -> DataFrame:
     """keys, stage, start_s, duration_s, current_a (and with ``voltage`` that column's mean_v and std_v over the stage's rows): constant-current charge stages around the most frequent currents.
 
     Currents go through a median filter (zeros beyond the ends); a histogram of those over 0.1 A has peaks, at least ``apart`` bins from each other and
     with a prominence of a hundredth of its rows.  Rows within ``tolerance`` of a peak's current (the lowest such) form runs; runs of one current, or of currents
     under 0.5 A both, with less than ``gap`` seconds in between are one stage; stages of under ``least`` seconds go.  The current is
-    the mean over the rows within twice the tolerance.  A cycle without peaks has no stages.
+    the mean over the rows within twice the tolerance.  A cycle without peaks has no stages.  A cycle's rows come together once, as an array.
     """
-    w, whole = ordered(keys, order), Window.partitionBy(*keys)
-    half = window // 2
-    near = F.collect_list("current_a").over(w.rowsBetween(-half, half))
-    padded = F.array_sort(F.concat(near, F.array_repeat(F.lit(0.0), F.lit(window) - F.size(near))))
-    smooth = rows.withColumn("__s", F.get(padded, F.lit(half))).withColumn("__k", F.row_number().over(w))
-    charging = F.when(F.col("__s") > 0.1, F.col("__s"))
-    sized = smooth.withColumn("__top", F.greatest(F.max(charging).over(whole), F.lit(1.0)) * 1.1).withColumn("__n", F.count(charging).over(whole))
-
-    # the histogram with all its bins, as curves for ``peaks``
-    bin_ = F.least(F.floor(F.col("__s") / F.col("__top") * bins), F.lit(bins - 1)).cast("int")
-    counted = sized.filter("__s > 0.1").groupBy(*keys, "__top", "__n", bin_.alias("bin")).agg(F.count("*").alias("c"))
-    filled = counted.groupBy(*keys, "__top", "__n").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m")).select(*keys, "__top", "__n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("i"), "m")
-    curve = filled.select(*keys, "i", ((F.col("i") + 0.5) * F.col("__top") / bins).alias("x"), F.coalesce(F.element_at("m", F.col("i")), F.lit(0)).cast("double").alias("y"), F.col("__n").alias("n"))
-    tops = peaks(curve, keys=keys).groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list(F.struct("y", "i", "x", "prominence")))).alias("tops"))
-    # the higher one stays (of equal ones the later), then what is prominent
-    none = F.filter("tops", lambda p: F.lit(False))
-    chosen = F.aggregate("tops", none, lambda kept, p: F.when(F.exists(kept, lambda q: F.abs(q["i"] - p["i"]) < apart), kept).otherwise(F.concat(kept, F.array(p))))
-    currents = tops.select(*keys, chosen.alias("tops"))
-
-    marked = sized.join(currents, keys).withColumn("__c", F.array_min(F.transform(F.filter("tops", lambda p: (p["prominence"] >= F.col("__n") * 0.01) & (F.abs(F.col("__s") - p["x"]) < tolerance)), lambda p: p["x"])))
-    runs = marked.withColumn("__new", (~F.col("__c").eqNullSafe(F.lag("__c").over(w)) | (F.col("__k") == 1)).cast("int")).withColumn("__run", F.sum("__new").over(w))
-    parts = runs.filter("__c is not null").groupBy(*keys, "__run").agg(F.min("__k").alias("a"), F.max("__k").alias("b"), F.min_by("time_s", "__k").alias("t0"), F.max_by("time_s", "__k").alias("t1"), F.first("__c").alias("c"))
-    listed = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("a", "b", "t0", "t1", "c"))).alias("parts"))
+    fields = list(dict.fromkeys([order, "time_s", "current_a", *([voltage] if voltage else [])]))
+    cycles = rows.dropna(subset=keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
+    # a missing current is a zero to the filter
+    found = _main_currents(window, bins, apart)(F.transform("rows", lambda r: F.coalesce(r["current_a"], F.lit(0.0))))
+    levelled = cycles.withColumn("found", found).filter(F.size("found.levels") > 0).select(*keys, "rows", "found.s", "found.levels")
+    near = F.transform("s", lambda v: F.array_min(F.filter("levels", lambda x: F.abs(v - x) < tolerance)))
+    labelled = levelled.select(*keys, "rows", near.alias("near"))
+    begins = F.filter(F.sequence(F.lit(1), F.size("near")), lambda k: (k == 1) | ~F.get("near", k - 1).eqNullSafe(F.get("near", k - 2)))
+    runs = labelled.select(*keys, "rows", "near", begins.alias("begins"))
+    ends = F.transform("begins", lambda a, k: F.coalesce(F.get("begins", k + 1) - 1, F.size("near")))
+    at = lambda a: F.get("rows", a - 1)["time_s"]
+    part = F.zip_with("begins", ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"), at(a).alias("t0"), at(b).alias("t1"), F.get("near", a - 1).alias("c")))
+    listed = runs.select(*keys, "rows", F.filter(part, lambda p: p["c"].isNotNull()).alias("parts"))
 
     def stitched(done: Column, part: Column) -> Column:
         last = F.element_at(done, -1)
@@ -239,10 +273,10 @@ def histogram_stages(rows: DataFrame, tolerance: float = 0.3, window: int = 15,
         return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(part)))
 
     merged = F.aggregate(F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0))), F.slice("parts", 1, 1), stitched)
-    segments = listed.select(*keys, F.filter(merged, lambda p: p["t1"] - p["t0"] >= least).alias("segments")).filter(F.size("segments") > 0)
-    inside = smooth.join(segments, keys).withColumn("s", F.get(F.filter("segments", lambda p: F.col("__k").between(p["a"], p["b"])), F.lit(0))).filter("s is not null")
+    segments = listed.select(*keys, "rows", F.explode(F.filter(merged, lambda p: p["t1"] - p["t0"] >= least)).alias("s"))
+    inside = segments.select(*keys, "s", F.explode(F.slice("rows", F.col("s.a"), F.col("s.b") - F.col("s.a") + 1)).alias("r")).select(*keys, "s", "r.*")
     mean = F.avg(F.when(F.abs(F.col("current_a") - F.col("s.c")) < 2 * tolerance, F.col("current_a")))
     volts = [F.avg(voltage).alias("mean_v"), F.stddev_samp(voltage).alias("std_v")] if voltage else []
     own = ["mean_v", "std_v"] if voltage else []
-    found = inside.groupBy(*keys, "s").agg(mean.alias("m"), *volts).select(*keys, F.col("s.t0").alias("start_s"), (F.col("s.t1") - F.col("s.t0")).alias("duration_s"), F.coalesce("m", F.col("s.c")).alias("current_a"), *own)
-    return found.withColumn("stage", F.row_number().over(ordered(keys, "start_s"))).select(*keys, "stage", "start_s", "duration_s", "current_a", *own)
+    stages = inside.groupBy(*keys, "s").agg(mean.alias("m"), *volts).select(*keys, F.col("s.t0").alias("start_s"), (F.col("s.t1") - F.col("s.t0")).alias("duration_s"), F.coalesce("m", F.col("s.c")).alias("current_a"), *own)
+    return stages.withColumn("stage", F.row_number().over(ordered(keys, "start_s"))).select(*keys, "stage", "start_s", "duration_s", "current_a", *own)

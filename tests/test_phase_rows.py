@@ -155,3 +155,16 @@ def test_a_task_holds_a_bounded_number_of_line_items(spark, sf, monkeypatch):
         assert found.rdd.getNumPartitions() == 12 and sorted(map(tuple, found.collect())) == whole
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_stages_need_a_cycles_rows_once(spark, capsys):
+    """One grouping by cycle, no joins; missing currents are zeros to the filter, ones that are no numbers give no stages."""
+    rows = [(cell, 1, k, 20.0 * k, 2.0 if k < 20 else 1.0) for cell in range(4) for k in range(40)]
+    odd = {(1, 30): None, (2, 30): float("nan"), (3, 30): float("inf")}
+    rows = [(*r[:4], odd.get((r[0], r[2]), r[4])) for r in rows] + [(None, 1, k, 20.0 * k, 2.0) for k in range(40)] + [(5, 1, k, 20.0 * k, float("nan")) for k in range(40)]
+    df = spark.createDataFrame(rows, "cell_id bigint, cycle int, seq int, time_s double, current_a double")
+    stages = phases.histogram_stages(df, window=5)
+    got = sorted((r["cell_id"], r["stage"], r["start_s"], r["duration_s"], round(r["current_a"], 6)) for r in stages.collect())
+    assert got == [(cell, *s) for cell in range(4) for s in ((1, 0.0, 380.0, 2.0), (2, 400.0, 380.0, 1.0))]
+    stages.explain()
+    assert "Join" not in capsys.readouterr().out
