@@ -319,6 +319,19 @@ def test_kth_largest(spark):
     assert quality.kth_largest(df, "x", 501) is None
 
 
+def test_training_makes_projections_at_once():
+    """Each step multiplies all its places by the joined projections: no product with one window's matrix."""
+    rng = np.random.default_rng(4)
+    ids = rng.integers(1, attention.KNOWN, 400)
+    inputs, targets, _ = attention.windows(ids, np.array([150, 250]))
+    p = attention.first_params(np.bincount(ids, minlength=attention.KNOWN), 2)
+    x, joint = attention._hidden(p, inputs)[:2]
+    assert x.shape == (inputs.size, attention.DIM) and joint.shape == (attention.DIM, 3 * attention.DIM)
+    loss = [attention.gradients(q, inputs, targets)[0] for q in (p, attention.train(p, inputs, targets, 1))]
+    none = attention.gradients(p, inputs[:1], np.where(np.arange(attention.WINDOW) == 3, targets[:1], -1))
+    assert loss[1] < loss[0] and np.isfinite(none[0]) and np.count_nonzero(none[1]["c"] > 0) >= attention.CLASSES - 1
+
+
 def test_gradients_and_windows():
     rng = np.random.default_rng(5)
     ids, counts = rng.integers(0, 300, 200), np.array([1, 24, 25, 44, 45, 61])
