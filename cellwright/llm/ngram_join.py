@@ -3,10 +3,10 @@
 Documents with equal shingle sets are one class from the start.  Two classes x and y link if their overlap
 reaches threshold * |union|, so x shares at least T(x) = ceil(threshold * |x|) shingles with any partner.
 
-1. Inverted lists are ordered by length: by counts of shingles in a table of fixed size, over all documents.  DivideSkip: the
-   longest T(x) - k of x's lists are left out of the merge, so any partner meets x in at least k of the short ones.
-   Classes that have fewer short lists which any other class holds link with nothing.
-2. Classes that meet in short lists, directly or over others, are a family; sets are written as their symmetric difference D from
+1. A list is of a part of a set, not of one shingle, as texts share single shingles by chance.  Linked sets of like sizes differ in D shingles at most, which lie
+   in D of D + k parts at most (stretches of the hashes): they have k parts in common at least.  A part's hash names its list, and classes that have fewer
+   of their lists with any other class link with nothing.
+2. Classes that meet in lists, directly or over others, are a family; sets are written as their symmetric difference D from
    the family's smallest set.  As |x ^ y| = |Dx ^ Dy|, nothing is lost, and copies have short differences.
 3. Each member is compared with the smallest set, with the one nearest to what most of the family have, and with up to CENTRES others.
 4. What is left are pairs in different components so far.  The lists of D are merged, rare ones first: a pair that links shares at
@@ -18,9 +18,8 @@ reaches threshold * |union|, so x shares at least T(x) = ceil(threshold * |x|) s
 
 from __future__ import annotations
 
-import math
+import functools
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -33,77 +32,86 @@ from cellwright.llm.graph import components
 from cellwright.llm.tokens import mixed, slices
 from cellwright.llm.words import shingle_sets
 
-#: Of a set's shingles, this part is merged beyond what two linked sets can differ by.
-SCREEN = Fraction(1, 20)
-#: Buckets of the table of counts that lists are ordered by.
-BUCKET_BITS = 16
-#: Turns of the screen; one more only makes families smaller.
-SCREENS = 3
+#: Parts that linked sets have in common beyond the part of their differences that they may have more.
+SPARE = 3
+#: Largest size by smallest size in a class of sizes, if linked sets are nearer to each other.
+CLASS = 1.5
+#: Turns in which the lists are shuffled.
+TURNS = 4
+#: Ids of screened classes up to which they are broadcast (40 bytes each).
+BROADCAST_IDS = 1_000_000
 #: Members of a family that all others are compared with, beside its smallest set and its middle.
 CENTRES = 4
+#: Turns in which the lists are shuffled.
+TURNS = 4
 #: Ids of screened classes up to which they are broadcast (40 bytes each).
 BROADCAST_IDS = 1_000_000
 
 
-def least_overlap(n: int, threshold: Fraction) -> int:
-    """What a set of n shingles shares with any linked set, at least."""
-    return math.ceil(threshold * n)
-
-
-def screen_length(n: int) -> int:
-    return 1 + int(SCREEN * n)
-
-
-def _count(size: int):
-    """bucket, n: how many shingles of a partition's sets fall into each bucket."""
-
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices([len(x) for x in texts], 1_500_000):
-                sets = shingle_sets(texts[a:b], size)
-                if sets:
-                    total += np.bincount(np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS), minlength=1 << BUCKET_BITS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["bucket", "n"])
-
-    return run
-
+def size_bounds(top: int, bottom: int) -> np.ndarray:
+    """Least sizes of the classes of sizes: a set links within its class and the ones beside it only."""
+    bounds = [1, 2]
+    while bounds[-1] < 1 << 32:
+        bounds.append(max(bounds[-1] + 1, (bounds[-1] - 1) * bottom // top + 1, int(bounds[-1] * CLASS)))
+    return np.array(bounds, np.int64)
 
-def list_lengths(source: DataFrame, words: int) -> np.ndarray:
-    """Counts of all documents' shingles by bucket; the driver sees 2 ** BUCKET_BITS rows at most."""
-    counted = source.select("text").mapInArrow(_count(words), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(1 << BUCKET_BITS, np.int64)
-    for row in counted.collect():
-        out[row["bucket"]] = row["n"]
-    return out
 
+def part_lists(sets: list[np.ndarray], top: int, bottom: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The names of each set's lists, and how many of them it has in common with any set that it links with, at least.
 
-def _scan(size: int, threshold: Fraction, lengths):
-    """doc_id, t, n, h1, h2 (of the set), need, short: the shortest lists, by the table of lengths and then by hash."""
+    A set is in the lists of its own class of sizes, and of the next one if that has sets that it can link with: linked sets meet in the larger one's.  An empty part has no list, and takes one from what is asked for; sets for
+    which so many parts are empty that nothing would be asked for are in one more list together.
+    """
+    bounds = size_bounds(top, bottom)
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), n)
+    weight = mixed(flat * np.uint64(0x9E3779B97F4A7C15))
+    own, need, names, owners = np.searchsorted(bounds, n, "right") - 1, np.full(len(sets), np.iinfo(np.int64).max), [], []
+    for label, near in ((own, n > 0), (own + 1, n * bottom >= bounds[own + 1] * top)):
+        differ = 2 * (bounds[label + 1] - 1) * (bottom - top) // (bottom + top)
+        common = np.where((differ > 0) & near, SPARE + differ * (bottom - top) // top, 0)  # 0: links with no other set of this class
+        parts = differ + common
+        use = common[owner] > 0
+        of, what = owner[use], flat[use]
+        part = (((what >> np.uint64(32)) * parts[of].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        head = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+        if not len(head):
+            continue
+        place = label[of[head]] << 34 | part[head] + 1
+        names.append(mixed(np.add.reduceat(weight[use], head) + mixed(place.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))))
+        owners.append(of[head])
+        empty = parts - np.bincount(of[head], minlength=len(sets))
+        many = np.flatnonzero((common > 0) & (empty >= common))
+        names.append(mixed((label[many] << 34).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+        owners.append(many)
+        need = np.where(common > 0, np.minimum(need, np.maximum(1, common - empty)), need)
+    order = np.argsort(every := np.concatenate(owners), kind="stable") if owners else np.zeros(0, np.int64)
+    ends = np.cumsum(np.bincount(every, minlength=len(sets)))[:-1] if owners else np.zeros(max(0, len(sets) - 1), np.int64)
+    lists = np.concatenate(names)[order] if owners else np.zeros(0, np.uint64)
+    return np.split(lists, ends) if sets else [], need
+
+
+def _scan(size: int, top: int, bottom: int):
+    """doc_id, t, n, h1, h2 (of the set), need, lists."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = lengths.value
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in slices([len(x) for x in texts], 1_500_000):
                 sets = shingle_sets(texts[a:b], size)
-                n = np.fromiter(map(len, sets), np.int64, len(sets))
-                least = [least_overlap(int(k), threshold) for k in n]
-                short = [s[np.argsort(table[s >> np.uint64(64 - BUCKET_BITS)], kind="stable")[: len(s) - t + screen_length(len(s))]].view(np.int64) for s, t in zip(sets, least, strict=True)]
+                lists, need = part_lists(sets, top, bottom)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
                         batch.column(1).slice(a, b - a),
-                        pa.array(n),
+                        pa.array(np.fromiter(map(len, sets), np.int64, len(sets))),
                         *_set_hashes(sets),
-                        pa.array([screen_length(t) if t else 0 for t in least], pa.int64()),
-                        pa.array(short, pa.list_(pa.int64())),
+                        pa.array(need),
+                        pa.array([x.view(np.int64) for x in lists], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "t", "n", "h1", "h2", "need", "short"],
+                    names=["doc_id", "t", "n", "h1", "h2", "need", "lists"],
                 )
 
     return run
@@ -154,25 +162,20 @@ def links(both: Column, apart: Column, top: int, bottom: int) -> Column:
     return (both - apart) * bottom >= (both + apart) * top
 
 
-def screened(base: DataFrame, top: int, bottom: int) -> DataFrame:
-    """row, first: classes that have enough short lists with others in them, and the first class of each such list.
+def screened(base: DataFrame) -> DataFrame:
+    """row, first: classes that have enough lists with others in them, and the first class of each such list.
 
-    From the second turn on a list counts for classes of like sizes only: each goes to the lists of its size class and of the
-    next one, so that sets which can link meet in one of them.
+    A list is in one of ``TURNS`` turns by its name, so that what is shuffled at once is a part of all lists.
     """
-    own = base.filter("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("row")).select("row")
-    postings = base.join(own, "row", "left_semi").select("row", "n", F.explode("short").alias("s"))
-    need = F.expr(f"1 + ((n * {top} + {bottom - 1}) div {bottom} * {SCREEN.numerator}) div {SCREEN.denominator}")
-    size_class = F.floor(F.log("n") / F.lit(math.log(bottom / top) * 1.0001))
-    for turn in range(SCREENS):  # lists are shorter once the classes that fail are gone
-        keys = ["s", "size"] if turn else ["s"]
-        if turn:
-            postings = postings.select("row", "n", "s", F.explode(F.array(size_class, size_class + 1)).alias("size"))
-        held = stash(postings.groupBy(keys).agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first <> last").select(*keys, "first"), "held-lists")
-        met = postings.join(held, keys)
-        passing = met.groupBy("row", "n").agg(F.collect_set("s").alias("lists"), F.collect_set("first").alias("firsts")).filter(F.size("lists") >= need)
-        postings = stash(passing, "short-lists").select("row", "n", F.explode("lists").alias("s"))
-    return passing.select("row", F.explode("firsts").alias("first"))
+    own = stash(base.filter("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("row")).select("row"), "class-rows")
+    met = []
+    for turn in range(TURNS):
+        part = base.select("row", F.filter("lists", lambda s: F.pmod(s, F.lit(TURNS)) == turn).alias("lists"))  # noqa: B023
+        postings = part.join(own, "row", "left_semi").select("row", F.explode("lists").alias("s"))
+        held = stash(postings.groupBy("s").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first <> last").select("s", "first"), "held-lists")
+        met.append(stash(postings.join(held, "s").groupBy("row", "first").agg(F.count("*").alias("k")), "met-classes"))
+    passing = functools.reduce(DataFrame.unionByName, met).groupBy("row").agg(F.sum("k").alias("k"), F.collect_set("first").alias("firsts"))
+    return passing.join(base.select("row", "need"), "row").filter("k >= need").select("row", F.explode("firsts").alias("first"))
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, top: int = 4, bottom: int = 5) -> DataFrame:
@@ -192,10 +195,8 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, top: int, b
     Vertices are numbers of rows, as ids may be null or belong to several texts.
     """
     small_batches(docs.sparkSession)
-    threshold = Fraction(top, bottom)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("t"), text_of(text_col).cast("binary").alias("text"))
-    lengths = docs.sparkSession.sparkContext.broadcast(list_lengths(source, words))
-    scanned = source.mapInArrow(_scan(words, threshold, lengths), "doc_id bigint, t bigint, n bigint, h1 bigint, h2 bigint, need bigint, short array<bigint>")
+    scanned = source.mapInArrow(_scan(words, top, bottom), "doc_id bigint, t bigint, n bigint, h1 bigint, h2 bigint, need bigint, lists array<bigint>")
     base = stash(scanned.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
 
     merged = components(_linked(source, base, words, top, bottom)).select(F.col("v").alias("rep"), "component")
@@ -210,7 +211,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, top: int, b
 def _linked(source: DataFrame, base: DataFrame, words: int, top: int, bottom: int) -> DataFrame:
     """Links (a, b) of classes, named by a row each, that give the same components as all links."""
     difference, overlap = F.pandas_udf(_difference, "array<bigint>"), F.pandas_udf(_overlaps, "bigint")
-    family = components(screened(base, top, bottom).select(F.col("first").alias("a"), F.col("row").alias("b"))).select(F.col("v").alias("rep"), F.col("component").alias("family"))
+    family = components(screened(base).select(F.col("first").alias("a"), F.col("row").alias("b"))).select(F.col("v").alias("rep"), F.col("component").alias("family"))
     left = stash(base.select(F.col("row").alias("rep"), F.col("doc_id").alias("id"), F.col("t").alias("text_hash"), "n", "h1", "h2").join(family, "rep"), "families")
 
     # a bounded number of ids goes to the texts; more of them meet the texts in a shuffle
