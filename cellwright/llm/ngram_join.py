@@ -5,7 +5,7 @@ reaches threshold * |union|, so x shares at least T(x) = ceil(threshold * |x|) s
 
 1. A list is of a part of a set, not of one shingle, as texts share single shingles by chance.  Linked sets of like sizes differ in D shingles at most, which lie
    in D of D + k parts at most (stretches of the hashes): they have k parts in common at least.  A part's hash names its list, and classes that have fewer
-   of their lists with any other class link with nothing.
+   of their lists with any other class link with nothing.  Of what passes, the lists of most classes are left out up to one less than linked sets have in common.
 2. Classes that meet in lists, directly or over others, are a family; sets are written as their symmetric difference D from
    the family's smallest set.  As |x ^ y| = |Dx ^ Dy|, nothing is lost, and copies have short differences.
 3. Each member is compared with the smallest set, with the one nearest to what most of the family have, and with up to CENTRES others.
@@ -42,10 +42,6 @@ TURNS = 4
 BROADCAST_IDS = 1_000_000
 #: Members of a family that all others are compared with, beside its smallest set and its middle.
 CENTRES = 4
-#: Turns in which the lists are shuffled.
-TURNS = 4
-#: Ids of screened classes up to which they are broadcast (40 bytes each).
-BROADCAST_IDS = 1_000_000
 
 
 def size_bounds(top: int, bottom: int) -> np.ndarray:
@@ -163,19 +159,28 @@ def links(both: Column, apart: Column, top: int, bottom: int) -> Column:
 
 
 def screened(base: DataFrame) -> DataFrame:
-    """row, first: classes that have enough lists with others in them, and the first class of each such list.
+    """row, first: classes that have enough lists with others in them, and the first class of each list that may tell which of them link.
 
-    A list is in one of ``TURNS`` turns by its name, so that what is shuffled at once is a part of all lists.
+    A list is in one of ``TURNS`` turns by its name, so that what is shuffled at once is a part of all lists; rows travel with the lists that other classes hold too, so all lists are never
+    moved as arrays.  Classes that have too few such lists go, and lists are counted again among those that stay.  Linked classes have ``need`` lists in common, so the
+    rarest of these is not among the last need - 1 of either by number of classes.
     """
-    own = stash(base.filter("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("row")).select("row"), "class-rows")
     met = []
     for turn in range(TURNS):
-        part = base.select("row", F.filter("lists", lambda s: F.pmod(s, F.lit(TURNS)) == turn).alias("lists"))  # noqa: B023
-        postings = part.join(own, "row", "left_semi").select("row", F.explode("lists").alias("s"))
-        held = stash(postings.groupBy("s").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first <> last").select("s", "first"), "held-lists")
-        met.append(stash(postings.join(held, "s").groupBy("row", "first").agg(F.count("*").alias("k")), "met-classes"))
-    passing = functools.reduce(DataFrame.unionByName, met).groupBy("row").agg(F.sum("k").alias("k"), F.collect_set("first").alias("firsts"))
-    return passing.join(base.select("row", "need"), "row").filter("k >= need").select("row", F.explode("firsts").alias("first"))
+        part = base.filter("n > 0").select("row", "h1", F.filter("lists", lambda s: F.pmod(s, F.lit(TURNS)) == turn).alias("lists"))  # noqa: B023
+        postings = part.select("row", "h1", F.explode("lists").alias("s"))
+        held = stash(postings.groupBy("s").agg(F.min("h1").alias("first"), F.max("h1").alias("last")).filter("first <> last").select("s"), "held-lists")
+        met.append(stash(postings.select("row", "s").join(held, "s").groupBy("row").agg(F.collect_list("s").alias("lists")), "met-classes"))
+    gathered = functools.reduce(DataFrame.unionByName, met).groupBy("row").agg(F.flatten(F.collect_list("lists")).alias("lists"))
+    enough = stash(gathered.join(base.select("row", "need", "h1", "h2"), "row").filter("size(lists) >= need"), "screened-lists")
+    own = enough.groupBy("h1", "h2").agg(F.min("row").alias("row")).select("row")
+    postings = enough.join(own, "row", "left_semi").select("row", "need", F.explode("lists").alias("s"))
+    held = stash(postings.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"), "held-lists")
+    counted = postings.join(held, "s").groupBy("row", "need").agg(F.collect_list(F.struct("df", "s")).alias("by_df")).filter("size(by_df) >= need")
+    rare = F.slice(F.array_sort("by_df"), F.lit(1), (F.size("by_df") - F.col("need") + 1).cast("int"))
+    short = stash(counted.select("row", F.explode(rare).alias("x")).select("row", F.col("x.s").alias("s")), "rare-lists")
+    firsts = stash(short.groupBy("s").agg(F.min("row").alias("first"), F.count("*").alias("df")).filter("df > 1").select("s", "first"), "first-classes")
+    return short.join(firsts, "s").select("row", "first").distinct()
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, top: int = 4, bottom: int = 5) -> DataFrame:

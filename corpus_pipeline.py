@@ -17,6 +17,8 @@ from cellwright.llm.packing import best_fit_packing
 from cellwright.llm.quality import keep_good
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows dropped as near duplicates up to which their ids and text hashes are broadcast (16 bytes each, and the table's own).
+BROADCAST_LOST = 2_000_000
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +40,18 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     groups = grouped(docs, "doc_id", "text", words=5, top=4, bottom=5)
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("__id"), F.col("t").alias("__t"))
-    linked = groups.filter("n > 0").groupBy("vertex").agg(F.min(row).alias("row")).select("row.__id", "row.__t")
-    first = linked.unionByName(groups.filter("n = 0").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"))).distinct()
+    groups = stash(groups.select("doc_id", "t", "n", "vertex", row.alias("row")), "grouped-rows")
+    first = groups.filter("n > 0").groupBy("vertex").agg(F.min("row").alias("row")).select("row.__id", "row.__t")
+    linked = groups.filter("n > 0").select("doc_id", "t").distinct()
+    lost = linked.join(first, linked.doc_id.eqNullSafe(first["__id"]) & (linked.t == first["__t"]), "left_anti")
+    lost = stash(lost.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")), "lost-rows")
     hashed = docs.withColumn("__text", F.xxhash64("text"))
-    kept = hashed.join(first, hashed.doc_id.eqNullSafe(first["__id"]) & (hashed["__text"] == first["__t"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text"]).select(*COLUMNS)
+    # a bounded number of ids goes to the texts; more of them meet the texts in a shuffle
+    few = lost.limit(BROADCAST_LOST + 1).count() <= BROADCAST_LOST
+    kept = hashed.join(F.broadcast(lost) if few else lost, hashed.doc_id.eqNullSafe(lost["__id"]) & (hashed["__text"] == lost["__t"]), "left_anti")
+    if groups.groupBy("doc_id", "t").count().filter("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "__text"])
+    return kept.select(*COLUMNS)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
